@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sharding
+from . import exact_dedup, mixing, packing, sharding, topk
 
 QUERIES = {
+    "op1_packing": packing.op1,
     "op2_mixing": mixing.op2,
+    "op5_topk": topk.op5,
     "op6_sharding": sharding.op6,
     "op10_exact_dedup": exact_dedup.op10,
 }
-ORACLES = {"op10_exact_dedup": exact_dedup.OP10_SQL}
+ORACLES = {"op5_topk": topk.OP5_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}
