@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, sharding, topk
+from . import exact_dedup, mixing, packing, pii, sharding, topk, url_filter
 
 QUERIES = {
     "op1_packing": packing.op1,
     "op2_mixing": mixing.op2,
     "op5_topk": topk.op5,
     "op6_sharding": sharding.op6,
+    "op7_pii": pii.op7,
+    "op8_url_filter": url_filter.op8,
     "op10_exact_dedup": exact_dedup.op10,
 }
 ORACLES = {"op5_topk": topk.OP5_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}

@@ -1,7 +1,7 @@
 """URL filtering by association rules.
 
-URLs that a list rule covers are labelled by it. FP-growth mines the token combinations that go with a
-label; rules with enough support and confidence, and no shorter rule that says the same, are kept in an
+URLs that a list rule blocks are labelled so, all others are labelled allow: a combination that also occurs on
+URLs nobody blocked loses confidence. FP-growth mines the token combinations that go with a label; rules with enough support and confidence, and no shorter rule that says the same, are kept in an
 inverted index from their rarest token. A URL looks up its tokens there and checks what else a rule asks for.
 List rules always win; what no rule of either kind covers is allowed.
 """
@@ -90,11 +90,11 @@ def filter_urls(pages: DataFrame, url: str = "url", rules=RULES, **how) -> DataF
     """All columns with host, path, rule and verdict (such columns of the input are replaced).
 
     A null URL or one without '://' has empty host and path and is allowed; repeated rows are judged alike and all
-    come out; without labelled URLs nothing is mined; an empty table gives an empty result.
+    come out; without blocked URLs nothing is mined; an empty table gives an empty result.
     """
     host, path = host_and_path(F.col(url))
     judged = pages.withColumns({"host": host, "path": path}).withColumn("_list", list_rule(F.col("host"), F.col("path"), rules)).withColumn("_tokens", tokens(F.col("host"), F.col("path")))
-    labelled = judged.where(F.col("_list").isNotNull()).select(F.col("_tokens").alias("tokens"), F.col("_list.verdict").alias("verdict"))
+    labelled = judged.select(F.col("_tokens").alias("tokens"), F.coalesce(F.col("_list.verdict"), F.lit("allow")).alias("verdict")).where(F.size("tokens") > 0)
     index = inverted_index(mine(labelled, **how)) if labelled.limit(1).count() else {}
     verdict = F.coalesce(F.col("_list.verdict"), F.when(matches(F.col("_tokens"), index), F.lit("block")).otherwise(F.lit("allow")))
     return judged.withColumns({"rule": F.col("_list.rule"), "verdict": verdict}).drop("_list", "_tokens")
