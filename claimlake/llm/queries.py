@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, pii, sharding, topk, url_filter
+from . import exact_dedup, license_scan, mixing, packing, pii, sharding, topk, url_filter
 
 QUERIES = {
     "op1_packing": packing.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_sharding": sharding.op6,
     "op7_pii": pii.op7,
     "op8_url_filter": url_filter.op8,
+    "op9_license_scan": license_scan.op9,
     "op10_exact_dedup": exact_dedup.op10,
 }
 ORACLES = {"op5_topk": topk.OP5_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}
