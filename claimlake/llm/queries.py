@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, license_scan, mixing, packing, pii, sharding, topk, url_filter
+from . import exact_dedup, license_scan, mixing, packing, pii, quality, sharding, topk, url_filter
 
 QUERIES = {
     "op1_packing": packing.op1,
     "op2_mixing": mixing.op2,
+    "op3_quality": quality.op3,
     "op5_topk": topk.op5,
     "op6_sharding": sharding.op6,
     "op7_pii": pii.op7,
