@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, license_scan, mixing, packing, pii, quality, sharding, topk, url_filter
+from . import exact_dedup, license_scan, mixing, near_dedup, packing, pii, quality, sharding, topk, url_filter
 
 QUERIES = {
     "op1_packing": packing.op1,
     "op2_mixing": mixing.op2,
     "op3_quality": quality.op3,
+    "op4_near_dedup": near_dedup.op4,
     "op5_topk": topk.op5,
     "op6_sharding": sharding.op6,
     "op7_pii": pii.op7,
@@ -15,4 +16,4 @@ QUERIES = {
     "op9_license_scan": license_scan.op9,
     "op10_exact_dedup": exact_dedup.op10,
 }
-ORACLES = {"op5_topk": topk.OP5_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}
+ORACLES = {"op4_near_dedup": near_dedup.OP4_SQL, "op5_topk": topk.OP5_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}
