@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -162,8 +163,6 @@ def _rows(total: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
 
 def score_column(model: Model, text: str = "text") -> Column:
     """Score of a text column as a vectorised function."""
-    import pandas as pd
-
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(model.scores(np.array([statistics(t) for t in texts]).reshape(len(texts), len(NAMES))))
 
