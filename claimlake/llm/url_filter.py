@@ -50,7 +50,7 @@ def mine(labelled: DataFrame, label: str = "block", min_support: float = MIN_SUP
     """
     mark = F.concat(F.lit("="), F.col("verdict"))
     sets = labelled.where(F.size("tokens") > 0).select(F.concat(F.col("tokens"), F.array(mark)).alias("items"))
-    found = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(sets).freqItemsets
+    found = FPGrowth(itemsCol="items", minSupport=min_support).fit(sets).freqItemsets
     found = found.where(F.size("items") <= MOST_ITEMS + 1).select(F.array_sort("items").alias("items"), "freq")
     goal = F.lit("=" + label)
     whole = found.where(F.array_contains("items", "=" + label) & (F.size("items") > 1)).select(F.array_remove("items", goal).alias("items"), F.col("freq").alias("hits"))
