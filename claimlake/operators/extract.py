@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Levels of objects that are walked; deeper ones raise.
-DEPTH = 5
+DEPTH = 4
 PAYMENTS = "payments_made"
 
 
@@ -21,7 +21,7 @@ def leaves(extractions: DataFrame, variant: str, *keys: str) -> DataFrame:
     """(keys, path, reason, value, page) for every leaf of a variant.
 
     A leaf is an object with both ``value`` and ``_page``, or a bare null. Other objects are walked; scalars and arrays
-    are skipped, as are keys that start with an underscore and payments. The walk is unrolled, so it stays one plan.
+    are skipped (elements of arrays have no key), as are keys that start with an underscore and payments. The walk is unrolled, so it stays one plan.
     """
     level = extractions.select(*keys, F.lit("").alias("above"), F.col(variant).alias("v"))
     found = []
@@ -29,15 +29,14 @@ def leaves(extractions: DataFrame, variant: str, *keys: str) -> DataFrame:
         kids = level.sparkSession.sql("SELECT t.* EXCEPT (v), e.key AS _key, e.value AS v FROM {level} t, LATERAL variant_explode(t.v) e", level=level)
         kids = kids.where(~F.col("_key").startswith("_") & (F.col("_key") != PAYMENTS))
         path = F.when(F.col("above") == "", F.col("_key")).otherwise(F.concat_ws(".", "above", "_key"))
-        kids = kids.select(*keys, path.alias("above"), "v", F.is_variant_null("v").alias("_null"), F.json_object_keys(F.to_json("v")).alias("_has"))
-        leaf = F.coalesce(F.array_contains("_has", "value") & F.array_contains("_has", "_page"), F.lit(False))
-        pick = lambda c: F.when(leaf, c)  # noqa: E731, B023
-        found.append(kids.where(F.col("_null") | leaf).select(*keys, F.col("above").alias("path"), pick(text_of(F.col("v"), "reason")).alias("reason"), pick(text_of(F.col("v"), "value")).alias("value"), pick(F.try_variant_get("v", "$._page", "int")).alias("page")))
-        level = kids.where(F.col("_has").isNotNull() & ~leaf)
         if depth == DEPTH:
-            stop = level.select(*keys, F.col("above").alias("path"), F.raise_error(F.lit("an extraction is nested too deeply")).cast("string").alias("reason"), F.lit("").alias("value"), F.lit(0).alias("page"))
-            found.append(stop)
-        level = level.select(*keys, "above", "v")
+            found.append(kids.select(*keys, F.raise_error(F.concat(F.lit("nested too deeply: "), path)).cast("string").alias("path"), F.lit("").alias("reason"), F.lit("").alias("value"), F.lit(0).alias("page")))
+            break
+        has = [F.try_variant_get("v", f"$.{n}", "variant").isNotNull() for n in ("value", "_page")]
+        kids = kids.select(*keys, path.alias("above"), "v", F.is_variant_null("v").alias("_null"), F.coalesce(has[0] & has[1], F.lit(False)).alias("_leaf"))
+        pick = lambda c: F.when(F.col("_leaf"), c)
+        found.append(kids.where(F.col("_null") | F.col("_leaf")).select(*keys, F.col("above").alias("path"), pick(text_of(F.col("v"), "reason")).alias("reason"), pick(text_of(F.col("v"), "value")).alias("value"), pick(F.try_variant_get("v", "$._page", "int")).alias("page")))
+        level = kids.where(~F.col("_null") & ~F.col("_leaf")).select(*keys, "above", "v")
     return reduce(DataFrame.unionByName, found)
 
 
