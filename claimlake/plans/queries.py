@@ -84,7 +84,7 @@ a AS (SELECT id, s, front OR back AS hit, CASE WHEN front AND c1 <> '' THEN c1 W
   regexp_replace(regexp_replace(CASE WHEN front THEN a1 ELSE a2 END, '[.,]\d{1,2}$', ''), '[^\d]', '', 'g') AS digits FROM g)
 SELECT id, CASE WHEN hit THEN code || ' ' || ltrim(digits, '0') ELSE s END AS value FROM a"""
 
-TEXT_IN = """SELECT doc_id AS id, chr(9) || '  ' || substr(text, 1, 400) || chr(10) || chr(10) || chr(10) || chr(10) || 'broken-' || chr(10) || 'word gluedWords' || '  end  ' || chr(10) AS raw FROM documents"""
+TEXT_IN = """SELECT doc_id AS id, chr(9) || '  ' || text || chr(10) || chr(10) || chr(10) || chr(10) || 'broken-' || chr(10) || 'word gluedWords' || '  end  ' || chr(10) AS raw FROM documents"""
 CLEAN_OUT = r"""
 , a AS (SELECT id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]+', ' ', 'g'), '([\p{L}\p{N}_])-\s*\n\s*([\p{L}\p{N}_])', '\1\2', 'g'), '([a-zäöüß])([A-ZÄÖÜ])', '\1 \2', 'g') AS t FROM d)
 SELECT id, trim(array_to_string(list_transform(string_split(t, chr(10)), lambda x: trim(x, ' ' || chr(9))), chr(10)), ' ' || chr(9) || chr(10)) AS value FROM a"""
@@ -100,7 +100,7 @@ def table_rows(d: DataFrame) -> DataFrame:
 
 CELLS_CTE = r""", r AS (SELECT id, n, max(CASE WHEN short THEN 1 ELSE 2 END) OVER (PARTITION BY id) AS w, trim(replace(replace(coalesce(a, ''), '|', '\|'), chr(10), ' ')) AS a, CASE WHEN short THEN '' ELSE trim(replace(b, chr(10), ' ')) END AS b, row_number() OVER (PARTITION BY id ORDER BY n) AS k FROM d)"""
 
-TALK_IN = """SELECT conv_id AS doc, CAST(turn AS INT) AS seq, CASE WHEN role = 'system' THEN 'table' WHEN turn % 5 = 4 THEN 'image' ELSE 'text' END AS chunk_type, CAST(1 + turn / 4 AS INT) AS page, substr(text, 1, 60) AS content, CAST(turn AS DOUBLE) AS x0, CAST(turn * 2 AS DOUBLE) AS y0, CAST(turn + 5 AS DOUBLE) AS x1, CAST(turn * 2 + 1 AS DOUBLE) AS y1 FROM (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text) AS rn FROM conversations) WHERE rn = 1"""
+TALK_IN = """SELECT conv_id AS doc, CAST(turn AS INT) AS seq, CASE WHEN role = 'system' THEN 'table' WHEN turn % 5 = 4 THEN 'image' ELSE 'text' END AS chunk_type, CAST(1 + turn / 4 AS INT) AS page, text AS content, CAST(turn AS DOUBLE) AS x0, CAST(turn * 2 AS DOUBLE) AS y0, CAST(turn + 5 AS DOUBLE) AS x1, CAST(turn * 2 + 1 AS DOUBLE) AS y1 FROM (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text) AS rn FROM conversations) WHERE rn = 1"""
 TALK_IN = TALK_IN.replace("CAST(1 + turn / 4 AS INT)", "CAST(1 + floor(turn / 4.0) AS INT)")
 
 BOX_IN = """SELECT l_orderkey % 50 AS page, l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_linenumber = 7 THEN 'rect' ELSE 'char' END AS object_type, CAST(l_partkey % 600 AS DOUBLE) AS x0, CAST(l_suppkey % 700 AS DOUBLE) AS top, CAST(l_partkey % 600 + 8 AS DOUBLE) AS x1, CAST(l_suppkey % 700 + 10 AS DOUBLE) AS bottom, CASE WHEN l_linenumber = 1 AND l_orderkey % 7 = 0 THEN 1 ELSE 0 END AS box FROM lineitem"""
@@ -111,9 +111,9 @@ def bbox_mask(d: DataFrame) -> DataFrame:
     return layout.outside_tables(d, boxes, ["page"]).select("id", "page", "object_type")
 
 
-LINES_IN = """SELECT user_id AS doc, event_id AS ordinal, event_type AS text, CAST(event_id % 500 AS DOUBLE) AS x0, CAST(event_id % 90 AS DOUBLE) / 2 AS top, CAST(event_id % 500 + 10 AS DOUBLE) AS x1, CAST(event_id % 90 AS DOUBLE) / 2 + 8 AS bottom FROM (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events) WHERE rn <= 40"""
+LINES_IN = """SELECT user_id AS doc, event_id AS ordinal, event_type AS text, CAST(event_id % 500 AS DOUBLE) AS x0, CAST(event_id % 90 AS DOUBLE) / 2 AS top, CAST(event_id % 500 + 10 AS DOUBLE) AS x1, CAST(event_id % 90 AS DOUBLE) / 2 + 8 AS bottom FROM events"""
 
-SECTIONS_IN = """SELECT doc_id AS id, 'x <!-- BEGIN_DIARY -->' || chr(10) || 'old' || chr(10) || '<!-- END_DIARY --> <!-- ' || CASE WHEN doc_id % 2 = 0 THEN 'begin_diary' ELSE 'BEGIN_DIARY' END || ' --> ' || substr(text, 1, 80) || ' <!--END_DIARY-->' || CASE WHEN doc_id % 3 = 0 THEN '<!-- BEGIN_LEDGER --> | 1 | a | - | b | <!-- END_LEDGER -->' WHEN doc_id % 3 = 1 THEN '<!-- BEGIN_LEDGER --> cut <!-- END_OTHER -->' ELSE '' END AS raw FROM documents"""
+SECTIONS_IN = """SELECT doc_id AS id, 'x <!-- BEGIN_DIARY -->' || chr(10) || 'old' || chr(10) || '<!-- END_DIARY --> <!-- ' || CASE WHEN doc_id % 2 = 0 THEN 'begin_diary' ELSE 'BEGIN_DIARY' END || ' --> ' || text || ' <!--END_DIARY-->' || CASE WHEN doc_id % 3 = 0 THEN '<!-- BEGIN_LEDGER --> | 1 | a | - | b | <!-- END_LEDGER -->' WHEN doc_id % 3 = 1 THEN '<!-- BEGIN_LEDGER --> cut <!-- END_OTHER -->' ELSE '' END AS raw FROM documents"""
 
 LEDGER_IN = """SELECT o_custkey % 100 AS claim_id, o_orderkey AS doc_idx, CASE CAST(o_orderkey % 6 AS INT) WHEN 0 THEN '| 1 | Status | - | ' || o_orderstatus || ' |' WHEN 1 THEN ' 2 | Priority | ' || o_orderpriority || ' | ' || o_orderstatus || '  ' WHEN 2 THEN '| 3 | only | three |' WHEN 3 THEN '| a | b | c | d | e |' WHEN 4 THEN '|| A | - | B |' ELSE 'no cells' END || chr(10) || '| 9 | Total | - | x' || CAST(o_orderkey AS STRING) || ' |' AS ledger FROM orders"""
 
@@ -229,12 +229,12 @@ QUERIES: dict[str, Query] = {
         r"SELECT id, id AS value FROM d WHERE id % 4 <> 3",
     ),
     "render_prompt": Query(
-        "SELECT conv_id AS id, turn, 'Q: {{question}} by {{role}} {{left}}' AS template, CASE WHEN turn % 3 = 0 THEN '{{role}}?' ELSE substr(text, 1, 30) END AS question, role FROM conversations",
+        "SELECT conv_id AS id, turn, 'Q: {{question}} by {{role}} {{left}}' AS template, CASE WHEN turn % 3 = 0 THEN '{{role}}?' ELSE text END AS question, role FROM conversations",
         lambda d: d.select("id", "turn", text.render(F.col("template"), {"question": F.col("question"), "role": F.col("role")}).alias("prompt")).withColumns({"tokens": text.token_estimate(F.col("prompt")), "unfilled": text.unfilled(F.col("prompt"))}),
         "SELECT id, turn, replace(replace(template, '{{question}}', question), '{{role}}', role) AS prompt, CAST(length(replace(replace(template, '{{question}}', question), '{{role}}', role)) // 4 AS BIGINT) AS tokens, true AS unfilled FROM d",
     ),
     "chunk_summary": Query(
-        "SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'text' ELSE 'table' END AS kind, substr(text, 1, 300) AS content, CAST(doc_id % 100 AS INT) AS page FROM documents",
+        "SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'text' ELSE 'table' END AS kind, text AS content, CAST(doc_id % 100 AS INT) AS page FROM documents",
         lambda d: d.select("id", text.chunk_line(F.col("page"), F.lit(1), F.col("kind"), F.col("content"), F.lit(2), F.lit(3), F.lit(0), F.lit(1.0), F.lit(1.0)).alias("line")),
         ", s AS (SELECT id, kind, page, CASE WHEN kind = 'text' THEN replace(content, chr(10), ' ') ELSE 'Table (2x3)' || CASE WHEN content <> '' THEN ' ' || string_split(content, chr(10))[1] ELSE '' END END AS t FROM d) SELECT id, 'Page ' || lpad(CAST(page AS STRING), 2, '0') || ' | Order 01 | ' || CASE WHEN kind = 'text' THEN 'TEXT ' ELSE 'TABLE' END || ' | ' || CASE WHEN length(t) > 100 THEN substr(t, 1, 97) || '...' ELSE t END AS line FROM s",
     ),
