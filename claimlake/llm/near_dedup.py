@@ -4,8 +4,9 @@ A document is the set of its distinct word shingles. Sets that are equal form a
 goes on. Bands of minima name candidate buckets; inside a bucket the packed low bits of the minima estimate
 the similarity, corrected for chance collisions, and a spanning forest of promising pairs comes out. The
 clusters of that forest are confirmed on full sets, again keeping a spanning forest of the links that hold.
-Buckets and clusters of any size are dealt out as pairs of blocks, so no task holds a whole large group and
-no list of all its pairs is ever made.
+Buckets and clusters of any size are dealt out in blocks, each compared with itself and the group's leader;
+only members left unconnected to the leader meet the other blocks. So no task holds a whole large group, and
+a group of near copies costs as much as its size, not its square.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,7 +27,7 @@ SHINGLE, PERCENT = 5, 85
 BANDS, ROWS = 24, 5
 #: Low bits kept of each minimum, and how far under the threshold an estimate may lie (over four standard errors).
 BITS, MARGIN = 4, 0.15
-#: Members of a block of a bucket or cluster, and shingles of a block of a cluster.
+#: Members of a block of a bucket or cluster on average, and shingles of a block of a cluster.
 BLOCK, BLOCK_SHINGLES = 256, 1_000_000
 SEED = 11
 
@@ -90,8 +91,8 @@ def estimates(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (equal - chance) / (1 - chance)
 
 
-def _forest(n: int, linked: Callable[[int, np.ndarray], np.ndarray], others: Callable[[int], np.ndarray]) -> list[tuple[int, int]]:
-    """Spanning forest of n nodes; linked(i, candidates) says which candidates of others(i) node i links to."""
+def _forest(n: int, linked: Callable[[int, np.ndarray], np.ndarray], others: Callable[[int], np.ndarray]) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Spanning forest of n nodes and each node's tree; linked(i, candidates) says which candidates of others(i) node i links to."""
     label, edges = np.arange(n), []
     for i in range(n):
         rest = others(i)
@@ -103,7 +104,7 @@ def _forest(n: int, linked: Callable[[int, np.ndarray], np.ndarray], others: Cal
             if a != b:
                 label[label == max(a, b)] = min(a, b)
                 edges.append((i, int(j)))
-    return edges
+    return edges, label
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -132,8 +133,15 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
+def _address(doc_id: str, text: str) -> Column:
+    return F.xxhash64(F.col(doc_id), F.col(text).cast("string"))
+
+
 def signatures(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(doc_id, key, n, bands, sig) of every row; key, 128 bits of hash over the full set, and the rest are null without words."""
+    """(doc_id, h, key, n, bands, sig) of every row; key, 128 bits of hash over the full set, and the rest are null without words.
+
+    h is a hash of id and text, by which the text of a class is found again.
+    """
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,66 +153,105 @@ def signatures(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 bands.append(band_keys(low) if len(s) else None)
                 sigs.append(pack_bits(low) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], ["doc_id", "key", "n", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], ["doc_id", "h", "key", "n", "bands", "sig"])
 
-    kept = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    schema = T.StructType([kept.schema["doc_id"], *T._parse_datatype_string("key binary, n long, bands array<long>, sig binary").fields])
+    kept = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), _address(doc_id, text).alias("h"))
+    schema = T.StructType([kept.schema["doc_id"], *T._parse_datatype_string("h long, key binary, n long, bands array<long>, sig binary").fields])
     return kept.mapInArrow(compute, schema)
 
 
-def _blocks(rows: DataFrame, group: str, count: str) -> DataFrame:
-    """Each row once for every pair of blocks (i, j), i <= j, that its own block is part of."""
-    own = F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col(count).cast("int") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    return rows.withColumn("block", own).withColumn("pair", F.explode(pairs)).select("*", "pair.i", "pair.j").drop("pair", count)
-
-
-def _dealt(rows: DataFrame, group: str) -> DataFrame:
-    """Groups of (group, i, j) whole, in order, dealt out evenly."""
-    keys = [group, "i", "j"]
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Groups of (cluster, i, j) whole, in order, dealt out evenly."""
+    keys = ["cluster", "i", "j"]
     return rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
-def _others(block: np.ndarray, i: int, j: int) -> Callable[[int], np.ndarray]:
-    """Partners of a member: all later ones inside one block, else those of the other block."""
-    if i == j:
-        return lambda a: np.arange(a + 1, len(block))
-    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    return lambda a: right if block[a] == i else left[:0]
+def _spread(count: str) -> Column:
+    """The numbers from 0 to a column of counts, one row each."""
+    return F.explode(F.sequence(F.lit(0), F.col(count).cast("int") - 1))
 
 
-def candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) between classes: in every bucket a spanning forest of the pairs whose estimate is near enough."""
-    least = percent / 100 - MARGIN
-    rows = classes.select("node", F.explode("bands").alias("bucket"))
-    shared = common.materialize(rows.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"), "near-buckets")
-    inside = rows.join(shared, "bucket").select("bucket", "node", F.ceil(F.col("m") / BLOCK).alias("blocks"))
-    dealt = common.materialize(_blocks(inside.join(classes.select("node", "sig"), "node"), "bucket", "blocks"), "near-members")
+def _trees(linker: Callable[[pa.Table], Callable[[int, np.ndarray], np.ndarray]], first: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per group of (cluster, i, j): edges (a, b) of a spanning forest and, the first time, rows (a, null) for loose members.
+
+    The first time all members of a group meet each other; later those with ``left`` meet those without.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, ["bucket", "i", "j"]):
-            n = group.num_rows
-            if n < 2:
+        for group in _groups(batches, ["cluster", "i", "j"]):
+            node, left = group.column("node").to_numpy(), group.column("left").to_numpy(zero_copy_only=False)
+            if len(node) < 2:
                 continue
-            node = group.column("node").to_numpy()
-            sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(n, -1)
-            near = lambda a, rest: estimates(sig[a : a + 1], sig[rest])[0] >= least  # noqa: E731, B023
-            found = _forest(n, near, _others(group.column("block").to_numpy(), group.column("i")[0].as_py(), group.column("j")[0].as_py()))
-            if found:
-                a, b = np.array(found).T
-                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+            right = np.flatnonzero(~left)
+            others = (lambda a, n=len(node): np.arange(a + 1, n)) if first else (lambda a, left=left, right=right: right if left[a] else right[:0])
+            found, label = _forest(len(node), linker(group), others)
+            edges = [(node[a], node[b]) for a, b in found if node[a] != node[b]]
+            if first and group.column("blocks")[0].as_py() > 1:
+                lead = label[node == group.column("leader")[0].as_py()][:1]
+                edges += [(x, None) for x in node[~np.isin(label, lead)]]
+            if edges:
+                a, b = zip(*edges, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([group.column("cluster")[0].as_py()] * len(a), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["cluster", "a", "b"])
+
+    return compare
+
+
+def spanning_edges(members: DataFrame, linker: Callable[[pa.Table], Callable[[int, np.ndarray], np.ndarray]]) -> DataFrame:
+    """Edges (a, b) that connect in every cluster what its links connect; members is a scratch table (cluster, node, blocks, leader, ...).
+
+    Every block of a cluster is compared with itself and the cluster's leader. Members that this leaves unconnected
+    to the leader, the loose ones, then meet the whole cluster. A cluster whose members are near its leader thus
+    costs as much as its size, and any pair that could still join two trees is compared.
+    """
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    placed = members.withColumns({"i": own, "j": F.lit(0), "left": F.lit(True)})
+    guests = members.where("blocks > 1 AND node = leader").select("*", _spread("blocks").alias("i"), F.lit(0).alias("j"), F.lit(True).alias("left")).where(F.col("i") != own)
+    result = "cluster long, a long, b long"
+    found = common.materialize(_dealt(placed.unionByName(guests)).mapInArrow(_trees(linker, True), result), "near-trees")
+    edges, loose = found.where("b is not null").select("a", "b"), found.where("b is null").select("cluster", F.col("a").alias("node"))
+    if loose.isEmpty():
+        return edges
+    width = common.materialize(loose.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("loose")), "near-loose")
+    open_ = members.join(width, "cluster")
+    left = open_.join(loose, ["cluster", "node"]).select("*", F.pmod(F.xxhash64("node"), F.col("loose")).cast("int").alias("i"), _spread("blocks").alias("j"), F.lit(True).alias("left"))
+    right = open_.select("*", _spread("loose").alias("i"), own.alias("j"), F.lit(False).alias("left"))
+    crossed = common.materialize(left.unionByName(right).drop("loose", "blocks", "leader"), "near-crossed")
+    return edges.unionAll(_dealt(crossed).mapInArrow(_trees(linker, False), result).select("a", "b"))
+
+
+def _signatures_of(group: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(group.num_rows, -1)
+
+
+def candidates(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b) between classes that connect, in every bucket, the pairs whose estimate is near enough; and (node, weight).
+
+    The weight is the number of members of all buckets of a node: the more central a class, the higher.
+    """
+    least = percent / 100 - MARGIN
+    rows = classes.select("node", F.explode("bands").alias("cluster"))
+    shared = common.materialize(rows.groupBy("cluster").agg(F.count("*").alias("m"), F.min("node").alias("leader")).where("m > 1"), "near-buckets")
+    inside = rows.join(shared, "cluster").select("cluster", "node", "m", F.ceil(F.col("m") / BLOCK).alias("blocks"), "leader")
+    members = common.materialize(inside.join(classes.select("node", "sig"), "node"), "near-members")
+    weights = members.groupBy("node").agg(F.sum("m").alias("weight"))
 
-    return _dealt(dealt, "bucket").mapInArrow(compare, "a long, b long")
+    def near(group: pa.Table) -> Callable[[int, np.ndarray], np.ndarray]:
+        sig = _signatures_of(group)
+        return lambda a, rest: estimates(sig[a : a + 1], sig[rest])[0] >= least
+
+    return spanning_edges(members.drop("m"), near), weights
 
 
 def confirmed(docs: DataFrame, classes: DataFrame, clusters: DataFrame, text: str, doc_id: str, percent: int) -> DataFrame:
-    """Edges (a, b) between classes of a cluster: a spanning forest of the pairs that hold on their full sets."""
-    wanted = common.materialize(clusters.join(classes.select("node", "min_id", "key", "n", "sig"), "node").withColumn("_h", F.xxhash64("min_id")).drop("min_id"), "near-wanted")
+    """Edges (a, b) between classes that connect, in every cluster of (cluster, node, weight), the pairs that hold on their full sets."""
+    wanted = common.materialize(clusters.join(classes.select("node", F.col("h").alias("_h"), "key", "n", "sig"), "node"), "near-wanted")
     bits = common.filter_bits(wanted.count())
     words = common.materialize(common.filter_words(wanted, "_h", bits), "near-filter")
-    texts = common.might_hold(docs.select(F.xxhash64(doc_id).alias("_h"), F.col(text).cast("string").alias("text")), words, "_h", bits, "_hit").where("_hit").drop("_hit")
-    sizes = common.materialize(wanted.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks")), "near-clusters")
+    texts = common.might_hold(docs.select(_address(doc_id, text).alias("_h"), F.col(text).cast("string").alias("text")), words, "_h", bits, "_hit").where("_hit").drop("_hit")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks")
+    sizes = common.materialize(wanted.groupBy("cluster").agg(blocks, F.max(F.struct("weight", "node"))["node"].alias("leader")), "near-clusters")
     wanted = wanted.join(sizes, "cluster")
+    kept_columns = ["cluster", "node", "blocks", "leader", "sig"]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,42 +261,33 @@ def confirmed(docs: DataFrame, classes: DataFrame, clusters: DataFrame, text: st
                 if hashlib.blake2b(s, digest_size=16).digest() == key:
                     rows.append((at, s))
             kept = batch.take(pa.array([r[0] for r in rows], pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(kept.column(n) for n in ("cluster", "node", "blocks", "sig")), pa.array([r[1] for r in rows], pa.binary())], ["cluster", "node", "blocks", "sig", "items"])
+            yield pa.RecordBatch.from_arrays([*(kept.column(n) for n in kept_columns), pa.array([r[1] for r in rows], pa.binary())], [*kept_columns, "items"])
 
-    sets = common.materialize(texts.join(wanted, "_h").select("cluster", "node", "blocks", "sig", "key", "text").mapInArrow(gather, "cluster long, node long, blocks long, sig binary, items binary"), "near-sets")
-    dealt = common.materialize(_blocks(sets, "cluster", "blocks"), "near-set-blocks")
+    # rows that share an id and a text would give a class its set twice, which adds no link
+    sets = texts.join(wanted, "_h").select(*kept_columns, "key", "text").mapInArrow(gather, "cluster long, node long, blocks long, leader long, sig binary, items binary")
 
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, ["cluster", "i", "j"]):
-            n = group.num_rows
-            if n < 2:
-                continue
-            node = group.column("node").to_numpy()
-            sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(n, -1)
-            items = group.column("items").to_pylist()
-            size = np.array([len(x) // 8 for x in items])
-            ids = np.unique(np.frombuffer(b"".join(items), np.uint64), return_inverse=True)[1]
-            ends = np.concatenate([[0], np.cumsum(size)])
-            mark = np.zeros(ids.max() + 1, dtype=np.int32)
-
-            def holds(a: int, rest: np.ndarray) -> np.ndarray:
-                out = np.zeros(len(rest), dtype=bool)  # B023: used within this turn only
-                able = np.flatnonzero((np.minimum(size[a], size[rest]) * 100 >= percent * np.maximum(size[a], size[rest])) & (estimates(sig[a : a + 1], sig[rest])[0] >= percent / 100 - MARGIN))  # noqa: B023
-                own = ids[ends[a] : ends[a + 1]]  # noqa: B023
-                mark[own] = 1  # noqa: B023
-                for x in able:
-                    b = rest[x]
-                    both = int(mark[ids[ends[b] : ends[b + 1]]].sum())  # noqa: B023
-                    out[x] = 100 * both >= percent * (size[a] + size[b] - both)  # noqa: B023
-                mark[own] = 0  # noqa: B023
-                return out
-
-            found = _forest(n, holds, _others(group.column("block").to_numpy(), group.column("i")[0].as_py(), group.column("j")[0].as_py()))
-            if found:
-                a, b = np.array(found).T
-                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
-
-    return _dealt(dealt, "cluster").mapInArrow(confirm, "a long, b long")
+    def holding(group: pa.Table) -> Callable[[int, np.ndarray], np.ndarray]:
+        sig, items = _signatures_of(group), group.column("items").to_pylist()
+        size = np.array([len(x) // 8 for x in items])
+        ids = np.unique(np.frombuffer(b"".join(items), np.uint64), return_inverse=True)[1]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        mark = np.zeros(ids.max() + 1, dtype=np.int32)
+
+        def holds(a: int, rest: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(rest), dtype=bool)
+            able = np.flatnonzero((np.minimum(size[a], size[rest]) * 100 >= percent * np.maximum(size[a], size[rest])) & (estimates(sig[a : a + 1], sig[rest])[0] >= percent / 100 - MARGIN))
+            own = ids[ends[a] : ends[a + 1]]
+            mark[own] = 1
+            for x in able:
+                b = rest[x]
+                both = int(mark[ids[ends[b] : ends[b + 1]]].sum())
+                out[x] = 100 * both >= percent * (size[a] + size[b] - both)
+            mark[own] = 0
+            return out
+
+        return holds
+
+    return spanning_edges(common.materialize(sets, "near-sets"), holding)
 
 
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
@@ -260,13 +298,14 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", per
     words link to nothing and are kept. An empty table gives an empty result.
     """
     rows = common.materialize(signatures(docs, text, doc_id).withColumn("rid", F.monotonically_increasing_id()), "near-signatures")
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "rid"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "rid", "h"))
     classes = rows.where("key is not null").groupBy("key").agg(best.alias("best"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    classes = common.materialize(classes.select("key", F.col("best.rid").alias("node"), F.col("best.doc_id").alias("min_id"), "n", "bands", "sig"), "near-classes")
-    edges = common.materialize(candidates(classes, percent), "near-candidates")
+    classes = common.materialize(classes.select("key", F.col("best.rid").alias("node"), F.col("best.doc_id").alias("min_id"), F.col("best.h").alias("h"), "n", "bands", "sig"), "near-classes")
+    found, weights = candidates(classes, percent)
+    edges = common.materialize(found, "near-candidates")
     clusters = common.components(edges)
     clusters = clusters.select("node", F.col("root").alias("cluster")).unionAll(clusters.select(F.col("root").alias("node"), F.col("root").alias("cluster")).distinct())
-    links = common.components(confirmed(docs, classes, common.materialize(clusters, "near-clustered"), text, doc_id, percent))
+    links = common.components(confirmed(docs, classes, common.materialize(clusters.join(weights, "node"), "near-clustered"), text, doc_id, percent))
     linked = common.materialize(links.unionAll(links.select(F.col("root").alias("node"), "root").distinct()).join(classes.select("node", "min_id"), "node"), "near-linked")
     heads = common.materialize(linked.groupBy("root").agg(F.min(F.struct(F.col("min_id").isNull().alias("null"), "min_id", "node")).alias("head")), "near-heads")
     owners = common.materialize(linked.join(heads, "root").select("node", F.col("head.min_id").alias("head_id"), F.col("head.node").alias("head_node")), "near-owners")

@@ -222,6 +222,42 @@ def test_near_dedup_large_group_in_blocks(spark, monkeypatch):
     assert sum(r["kept"] for r in got) == 1
 
 
+def brute_components(texts, percent):
+    sets = [set(zip(*[t.split()[k:] for k in range(5)])) for t in texts]
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 100 * len(a & b) >= percent * len(a | b):
+                x, y = root[i], root[j]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("block", [4, 256])
+def test_near_dedup_families_in_blocks(spark, monkeypatch, block):
+    """Variants of a base that link only through it, chains and strangers: as brute force finds them, whatever the size of blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    draw, texts = np.random.default_rng(5), []
+    for family in range(3):
+        base = [f"f{family}w{i}" for i in range(240)]
+        variants = []
+        for v in range(25):
+            words = list(base)
+            for at in draw.choice(48, draw.integers(1, 5), replace=False) * 5:
+                words[at] = f"v{family}x{v}x{at}"
+            variants.append(" ".join(words))
+        texts += [*variants[:20], " ".join(base), *variants[20:]]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts, near_dedup.PERCENT)
+
+
+def test_near_dedup_null_ids(spark):
+    base = " ".join(f"w{i}" for i in range(200))
+    rows = [(None, f"{base} {i}") for i in range(30)] + [(3, f"{base} z"), (None, "alone in the whole wide world")]
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["component_id"], r["kept"]) for r in got) == {(3, True): 1, (3, False): 30, (None, True): 1}
+
+
 def test_bit_estimates():
     a = near_dedup.shingles(" ".join(f"w{i}" for i in range(1000)))
     b = near_dedup.shingles(" ".join(f"w{i}" for i in range(60, 1060)))
