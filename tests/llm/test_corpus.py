@@ -334,3 +334,22 @@ def test_pipeline(spark):
 def test_digest_of_no_spans(spark):
     d = spark.createDataFrame([(1, "plain")], "doc_id long, text string")
     assert pii.find(d).select(F.sha2(pii.digest(F.col("base")), 256)).first()[0] == hashlib.sha256(b"").hexdigest()
+
+
+def test_filter_words(spark):
+    keys = spark.range(4000).select(F.when(F.col("id") < 100, F.col("id") % 50).otherwise(F.col("id")).alias("k"))
+    bits = common.filter_bits(4000)
+    for least, must in ((1, 4000), (2, 100)):
+        words = common.filter_words(keys, "k", bits, least=least)
+        assert words.where(F.col("word") >= bits // 64).isEmpty()
+        hits = common.might_hold(keys, words, "k", bits, "hit").where("hit")
+        assert hits.where("k < 50").count() == 100
+        assert must <= hits.count() <= must + 200
+    assert common.might_hold(spark.range(10000, 14000), common.filter_words(keys, "k", bits), "id", bits, "hit").where("hit").count() < 200
+
+
+def test_sharding_spreads_null_ids(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.col("id").cast("string").alias("text"))
+    placed, buckets = sharding.scatter(rows.withColumn("_size", F.lit(8)), "doc_id", "_size")
+    assert placed.groupBy("_bucket").count().agg(F.max("count")).first()[0] < 5 * 5000 / buckets
+    assert [r["n"] for r in sharding.shard(rows).groupBy("shard").agg(F.countDistinct("slot").alias("n")).collect()] and sharding.shard(rows).count() == 5000
