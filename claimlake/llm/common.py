@@ -72,29 +72,38 @@ def filter_bits(entries: int) -> int:
     return bits
 
 
-def positions(key: Column, bits: int) -> list[Column]:
-    """Bit positions of a key in a filter."""
-    return [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(bits)) for i in range(HASHES)]
+def _place(key: Column, bits: int) -> tuple[Column, list[Column]]:
+    """A key's word in a filter, and its bits in there."""
+    spread = F.xxhash64(key, F.lit(1))
+    return F.pmod(F.xxhash64(key, F.lit(0)), F.lit(bits // 64)), [F.shiftrightunsigned(spread, 6 * i).bitwiseAND(F.lit(63)).cast("int") for i in range(HASHES)]
+
+
+def _mask(bits_: list[Column]) -> Column:
+    out = F.call_function("shiftleft", F.lit(1).cast("long"), bits_[0])
+    for b in bits_[1:]:
+        out = out.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))
+    return out
 
 
 def filter_words(keys: DataFrame, key: str, bits: int, least: int = 1) -> DataFrame:
-    """Bloom filter of a key column as rows (word, mask): the bits that at least ``least`` rows set.
+    """Blocked Bloom filter of a key column as rows (word, mask): the bits that at least ``least`` rows set.
 
-    With least = 2 a key all of whose bits are set occurred twice, save for collisions.
+    All bits of a key lie in one word. With least = 2 a key all of whose bits are set occurred twice, save for
+    collisions.
     """
-    bit = keys.select(F.explode(F.array(*positions(F.col(key), bits))).alias("p")).groupBy("p").agg(F.count("*").alias("n"))
-    word = F.expr("p div 64").alias("word"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("mask")
-    return bit.where(F.col("n") >= least).select(*word).groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    word, spots = _place(F.col(key), bits)
+    if least == 1:
+        return keys.select(word.alias("word"), _mask(spots).alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    bit = keys.select(word.alias("word"), F.explode(F.array_distinct(F.array(*spots))).alias("b")).groupBy("word", "b").agg(F.count("*").alias("n"))
+    return bit.where(F.col("n") >= least).groupBy("word").agg(F.bit_or(_mask([F.col("b")])).alias("mask"))
 
 
 def might_hold(df: DataFrame, words: DataFrame, key: str, bits: int, hit: str) -> DataFrame:
     """Add boolean column ``hit``: whether the filter may hold the key. The filter has at most bits / 64 rows, so it is broadcast."""
-    kept, found = list(df.columns), F.lit(True)
-    for i, p in enumerate(positions(F.col(key), bits)):
-        part = words.select(F.col("word").alias(f"_word{i}"), F.col("mask").alias(f"_mask{i}"))
-        df = df.withColumn(f"_pos{i}", p).join(F.broadcast(part), F.expr(f"_pos{i} div 64 = _word{i}"), "left")
-        found = found & F.expr(f"coalesce(shiftright(_mask{i}, cast(_pos{i} % 64 as int)) & 1L, 0L) = 1L")
-    return df.select(*kept, found.alias(hit))
+    word, spots = _place(F.col(key), bits)
+    part = words.select(F.col("word").alias("_word"), F.col("mask").alias("_mask"))
+    probed = df.withColumns({"_at": word, "_own": _mask(spots)}).join(F.broadcast(part), F.col("_at") == F.col("_word"), "left")
+    return probed.select(*df.columns, F.coalesce(F.col("_mask").bitwiseAND(F.col("_own")) == F.col("_own"), F.lit(False)).alias(hit))
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
