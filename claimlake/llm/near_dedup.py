@@ -144,7 +144,7 @@ def signatures(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     """
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.small_batches(batches):
             keys, sizes, bands, sigs = [], [], [], []
             for value in batch.column(1).to_pylist():
                 s = shingles(value)
@@ -254,7 +254,7 @@ def confirmed(docs: DataFrame, classes: DataFrame, clusters: DataFrame, text: st
     kept_columns = ["cluster", "node", "blocks", "leader", "sig"]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.small_batches(batches):
             rows = []
             for at, (value, key) in enumerate(zip(batch.column("text").to_pylist(), batch.column("key").to_pylist(), strict=True)):
                 s = shingles(value).tobytes()

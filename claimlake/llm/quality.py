@@ -97,7 +97,7 @@ def with_statistics(docs: DataFrame, text: str, *keep: str) -> DataFrame:
     schema = kept.drop("_text").schema.add("x", T.ArrayType(T.DoubleType()))
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.small_batches(batches):
             x = pa.array([statistics(t) for t in batch.column("_text").to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), x], [*keep, "x"])
 
