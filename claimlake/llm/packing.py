@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import Encoder, tokenizer_path
+from .tokens import encoder, tokenizer_path
 
 LENGTH = 1024
 #: Vocabulary: the tokenizer file, and its ranks for the fast path.
@@ -175,14 +175,14 @@ def cut_pieces(docs: DataFrame, text: str, doc_id: str, path: str, ranks: str |
     sizes = class_sizes(length)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(path, ranks), TaskContext.get().partitionId()
+        encode, part = encoder(path, ranks).ids, TaskContext.get().partitionId()
         seen = np.zeros(len(sizes), dtype=np.int64)
         for batch in batches:
             for begin in range(0, batch.num_rows, 512):
                 chunk = batch.slice(begin, 512)
                 owner, start, size, crc, total, kept = [], [], [], [], [], []
                 for i, value in enumerate(chunk.column(1).to_pylist()):
-                    ids = encoder.ids(value or "") + b"\0\0\0\0"
+                    ids = encode(value or "") + b"\0\0\0\0"
                     n = len(ids) // 4
                     for at in range(0, n, length):
                         piece = ids[4 * at : 4 * (at + length)]

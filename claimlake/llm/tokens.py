@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import re
+from functools import lru_cache
 
 import numpy as np
 
@@ -35,6 +36,12 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str, ranks: str | None = None) -> Encoder:
+    """The encoder of these files; a worker that runs several tasks loads it once."""
+    return Encoder(path, ranks)
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
