@@ -23,7 +23,8 @@ def with_index(files: DataFrame, claim: str = "claim_id", name: str = "name") ->
 
 def list_claims(spark: SparkSession, root: str) -> DataFrame:
     """(claim_id, name, ext, path, length, content) of the supported files one level under each claim's folder."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{pdf,PDF,Pdf,docx,DOCX,Docx}").load(f"{root}/*/")
+    any_case = ["".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in ext) for ext in DECODERS]
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{{{','.join(any_case)}}}").load(f"{root}/*/")
     named = files.select(F.element_at(F.split("path", "/"), -2).alias("claim_id"), text.file_name(F.col("path")).alias("name"), "path", "length", "content")
     return with_index(named.withColumn("ext", text.file_ext(F.col("name"))))
 
@@ -61,7 +62,15 @@ def decode_docx(content: bytes) -> list[dict]:
             if said(node).strip():
                 out.append({"pos": pos, "kind": "text", "text": said(node)})
         elif node.tag == f"{w}tbl":
-            rows = [["\n".join(said(p) for p in cell.iter(f"{w}p")).strip() for cell in row.findall(f"{w}tc")] for row in node.findall(f"{w}tr")]
+            rows: list[list[str]] = []
+            for row in node.findall(f"{w}tr"):
+                cells: list[str] = []  # a merged cell's text stands in every place that it spans
+                for cell in row.findall(f"{w}tc"):
+                    span, down = cell.find(f"{w}tcPr/{w}gridSpan"), cell.find(f"{w}tcPr/{w}vMerge")
+                    above = rows[-1][len(cells) : len(cells) + 1] if rows and down is not None and down.get(f"{w}val", "continue") == "continue" else []
+                    own = above or ["\n".join(said(p) for p in cell.iter(f"{w}p")).strip()]
+                    cells += own * (int(span.get(f"{w}val", 1)) if span is not None else 1)
+                rows.append(cells)
             if rows:
                 out.append({"pos": pos, "kind": "table", "rows": rows})
     page = 1

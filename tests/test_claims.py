@@ -141,12 +141,23 @@ def docx() -> bytes:
     return out.getvalue()
 
 
+def test_merged_cells_repeat():
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    cell = lambda text, more="": f"<w:tc><w:tcPr>{more}</w:tcPr><w:p><w:r><w:t>{text}</w:t></w:r></w:p></w:tc>"
+    top = cell("wide", "<w:gridSpan w:val='2'/>") + cell("tall", "<w:vMerge w:val='restart'/>")
+    low = cell("a") + cell("b") + cell("", "<w:vMerge/>")
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {w}><w:body><w:tbl><w:tr>{top}</w:tr><w:tr>{low}</w:tr></w:tbl></w:body></w:document>")
+    assert files.decode_docx(out.getvalue())[0]["rows"] == [["wide", "wide", "tall"], ["a", "b", "tall"]]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "k1").mkdir()
-    for name, content in {"c_invoice.docx": docx(), "a_claim.pdf": b"%PDF", "readme.txt": b"x", "b.DOCX": b"broken"}.items():
+    for name, content in {"c_invoice.docx": docx(), "a_claim.pdf": b"%PDF", "readme.txt": b"x", "b.dOcX": b"broken"}.items():
         (tmp_path / "k1" / name).write_bytes(content)
     listed = files.list_claims(spark, str(tmp_path))
-    assert [(r["name"], r["doc_idx"]) for r in listed.orderBy("doc_idx").collect()] == [("a_claim.pdf", 0), ("b.DOCX", 1), ("c_invoice.docx", 2)]
+    assert [(r["name"], r["doc_idx"]) for r in listed.orderBy("doc_idx").collect()] == [("a_claim.pdf", 0), ("b.dOcX", 1), ("c_invoice.docx", 2)]
     rows = files.decode(listed, False, "claim_id", "doc_idx").collect()
     good = [r for r in rows if r["doc_idx"] == 2 and r["kind"] != "break"]
     assert [(r["kind"], r["text"], r["page"]) for r in good] == [("text", "One two", 1), ("table", None, 1), ("text", "Next", 2)]
