@@ -12,7 +12,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -163,10 +162,12 @@ def _rows(total: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
 
 def score_column(model: Model, text: str = "text") -> Column:
     """Score of a text column as a vectorised function."""
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.scores(np.array([statistics(t) for t in texts]).reshape(len(texts), len(NAMES))))
 
-    return F.pandas_udf(score, "double")(F.col(text).cast("string"))
+    def score(texts: pa.Array) -> pa.Array:
+        x = [statistics(t) for at in range(0, len(texts), 512) for t in texts.slice(at, 512).to_pylist()]
+        return pa.array(model.scores(np.array(x).reshape(len(x), len(NAMES))))
+
+    return F.arrow_udf(score, "double")(F.col(text).cast("string"))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -174,10 +175,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
+def usable_labels(labels: DataFrame, doc_id: str = "doc_id", label: str = "quality") -> DataFrame:
+    """(_of, y): the labels 0 and 1 of rows that are not held out."""
+    return labels.where(F.col(label).isin(0, 1) & ~held_out(F.col(doc_id))).select(F.col(doc_id).alias("_of"), F.col(label).alias("y"))
+
+
 def train(docs_x: DataFrame, labels: DataFrame, doc_id: str = "doc_id", label: str = "quality") -> Model:
     """Fit on rows (doc_id, x) that have a label and are not held out."""
-    taught = labels.select(F.col(doc_id).alias("_of"), F.col(label).alias("y")).where(F.col("y").isin(0, 1))
-    return fit(docs_x.where(~held_out(F.col(doc_id))).join(taught, F.col(doc_id) == F.col("_of")).select("x", "y"))
+    return fit(docs_x.join(usable_labels(labels, doc_id, label), F.col(doc_id) == F.col("_of")).select("x", "y"))
+
+
+def labelled_statistics(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality") -> DataFrame:
+    """Statistics of the rows that may have a usable label: a bit filter of the labels' ids spares the others the work."""
+    ids = common.materialize(usable_labels(labels, doc_id, label).select(F.xxhash64("_of").alias("_h")), "quality-ids")
+    bits = common.filter_bits(ids.count())
+    words = common.materialize(common.filter_words(ids, "_h", bits), "quality-filter")
+    rows = docs.where(~held_out(F.col(doc_id))).select(F.col(doc_id), F.col(text).cast("string").alias(text), F.xxhash64(F.col(doc_id).cast(labels.schema[doc_id].dataType)).alias("_h"))
+    return with_statistics(common.might_hold(rows, words, "_h", bits, "_hit").where("_hit"), text, doc_id)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", least: float = 0.5) -> DataFrame:
@@ -186,7 +200,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: st
     Null and empty texts are scored like any other, repeated rows alike; an empty table stays empty; without
     usable labels every score is 1/2, so that nothing is rejected.
     """
-    model = train(common.materialize(with_statistics(docs, text, doc_id), "quality-stats"), labels, doc_id, label)
+    model = train(common.materialize(labelled_statistics(docs, labels, text, doc_id, label), "quality-stats"), labels, doc_id, label)
     return docs.where(score_column(model, text) >= least)
 
 
