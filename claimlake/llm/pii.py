@@ -33,7 +33,8 @@ PROPOSED = [
     ("ssn", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
     ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]{4}){3,7}(?:[\x20]?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"),
 ]
-HINT_PROPOSED = r"[0-9][-.\x20)][\x20]?[0-9]{3}|[0-9]-[0-9]{2}-|[A-Z]{2}[0-9]{2}|[(\[][\x20]?(?:at|AT)[\x20]?[)\]]"
+#: What a text must hold for them to be tried: every match of each of them holds a match of this.
+HINT_PROPOSED = r"[0-9][-.\x20)][\x20]?[0-9]{3}|[0-9]-[0-9]{2}-|[A-Z]{2}[0-9]{2}|[(\[][\x20]?(?:at|AT)[\x20]?[)\]]|(?<![0-9A-Za-z+-])00[1-9][0-9]{0,2}[\x20.-][0-9]"
 SPAN = "array<struct<kind:string,start:int,end:int,found:string>>"
 CONTEXT = 32
 
@@ -175,6 +176,16 @@ def base_spans(text: Column) -> dict[str, Column]:
     return out
 
 
+def candidates(text: Column) -> Column:
+    """array<struct<kind, start, end, found>> of what the generators propose."""
+    every = F.concat(*[_tagged(k, places(text, F.lit(p))) for k, p in PROPOSED])
+    return F.when(text.rlike(HINT_PROPOSED), every).otherwise(F.array().cast(SPAN))
+
+
+def _tagged(kind: str, spans: Column) -> Column:
+    return F.transform(spans, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["found"].alias("found")))
+
+
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
     """All columns with ``base`` and ``added``: arrays of (kind, start, end, found), in code points, end exclusive.
 
@@ -186,10 +197,8 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     start, trees, threshold = model(spark)
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     held = docs.withColumn("_text", whole).withColumn("_spans", F.when(whole.rlike("[0-9@]"), F.struct(*[c.alias(k) for k, c in base_spans(whole).items()])))
-    tag = lambda k, a: F.transform(a, lambda m: F.struct(F.lit(k).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["found"].alias("found")))
-    base = F.coalesce(F.concat(*[tag(k, F.col(f"_spans.{k}")) for k in BASE]), F.array().cast(SPAN))
-    proposed = F.concat(*[tag(k, places(F.col("_text"), F.lit(p))) for k, p in PROPOSED])
-    held = held.withColumn("base", base).drop("_spans").withColumn("_more", F.when(whole.rlike(HINT_PROPOSED), proposed).otherwise(F.array().cast(SPAN)))
+    base = F.coalesce(F.concat(*[_tagged(k, F.col(f"_spans.{k}")) for k in BASE]), F.array().cast(SPAN))
+    held = held.withColumn("base", base).drop("_spans").withColumn("_more", candidates(F.col("_text")))
 
     def good(m: Column) -> Column:
         begin = F.greatest(m["start"] - CONTEXT, F.lit(0))

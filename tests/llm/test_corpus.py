@@ -160,6 +160,17 @@ def test_pii_additions(spark):
     assert clean == "to <email> and <phone>!"
 
 
+def test_pii_hint_covers_generators(spark):
+    """Each alone in a text: the same candidates with the hint as without it."""
+    alone = [e[1] for e in pii.EXAMPLES if e[3]] + ["0033.1.42.68.53.00", "0033-1-42-68-53-00", "0045 33 12 34 56", "001 2 3 4 5 6 7 8", "00999.1.2.3.4.5.6"]
+    d = spark.createDataFrame([(x,) for x in alone], "text string")
+    without = F.flatten(F.array(*[F.transform(pii.places(F.col("text"), F.lit(p)), lambda m: m["found"]) for _, p in pii.PROPOSED]))
+    for r in d.select("text", without.alias("want"), F.transform(pii.candidates(F.col("text")), lambda m: m["found"]).alias("got")).collect():
+        assert r["text"] in r["want"] and r["got"] == r["want"], r["text"]
+    clean = pii.redact(spark.createDataFrame([(1, "whatsapp 0033 1 42 68 53 00 ok"), (2, "please call 0045 33 12 34 56 now")], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["text"] for r in clean] == ["whatsapp <phone> ok", "please call <phone> now"]
+
+
 def test_url_filter(spark):
     urls = ["https://Www.Example.com/en/71", "http://x.com/en/1?a", "http://com/en/", "http://notcom/en/", "http://a.net/de/8", "http://a.example.net/de/80#x", "ftp://org/es/", "no scheme", None, "http://host", "x://a.com?/en/"]
     got = {r["id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "id long, url string"), min_confidence=1.01).collect()}
