@@ -1,12 +1,15 @@
 """License scan by ordered signature rules.
 
-Texts become a row of lower-case words. A text with a family's keyword is tried against that family's
+Texts become a row of lower-case words. Words with a family's keyword are tried against that family's
 signature rules, each a regular expression over the words; of overlapping detections one that lies within
 another of at least its priority is suppressed. Base phrases are always reported.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +43,6 @@ CREATIVE = ["by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd"]
 CREATIVE_LONG = {"by": "attribution", "sa": "share ?alike", "nc": "non ?commercial", "nd": "no ?deriv(?:ative)?s?(?: works)?"}
 CREATIVE_VERSIONS = ["1.0", "2.0", "2.5", "3.0", "4.0"]
 BSD_CLAUSES = {"0": "zero", "1": "one", "2": "two", "3": "three", "4": "four"}
-#: Keywords of which a text must hold one to be looked at: fixed values.
-KEYWORDS = ["licen", "spdx", "creative commons", "cc by", "cc-by", "cc0", "gpl", "public domain", "rights reserved", "permission", "mpl", "without any express or implied warranty"]
 HIGH, MIDDLE, LOW = 3, 2, 1
 CONFIDENCE = {HIGH: 1.0, MIDDLE: 0.8, LOW: 0.6}
 
@@ -74,6 +75,12 @@ def rules() -> list[tuple[str, str, str, int]]:
     return out
 
 
+def keywords() -> list[str]:
+    """What words must hold one of for any rule or base phrase to fit; keywords that hold another one are left out."""
+    every = {keyword for _, keyword, _, _ in rules()} | {phrase for phrase, _ in PHRASES}
+    return sorted(k for k in every if not any(o != k and o in k for o in every))
+
+
 def _words(text: Column) -> Column:
     """Lower-case words, one space before, between and after them."""
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), GAP, " ")), F.lit(" "))
@@ -123,11 +130,9 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     The score is the confidence of the best detection, 0 without any.
     """
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    lower = F.lower(whole)
-    hint = lower.contains(KEYWORDS[0])
-    for word in KEYWORDS[1:]:
-        hint = hint | lower.contains(word)
-    held = docs.withColumn("n_words", F.regexp_count(whole, F.lit(WORD_ANY_CASE)).cast("long")).withColumn("_words", F.when(hint, _words(whole)))
+    held = docs.withColumn("n_words", F.regexp_count(whole, F.lit(WORD_ANY_CASE)).cast("long")).withColumn("_all", _words(whole))
+    hint = reduce(or_, [F.col("_all").contains(k) for k in keywords()])
+    held = held.withColumn("_words", F.when(hint, F.col("_all"))).drop("_all")
     words = F.col("_words")
     base = F.array(*[F.struct(F.lit(label).alias("label"), F.when(words.contains(f" {phrase} "), places(words, F.lit(_bounded(phrase)))).otherwise(F.array().cast(NO_SPANS)).alias("at")) for phrase, label in PHRASES])
     held = held.withColumn("_base", F.when(words.isNotNull(), F.filter(base, lambda b: F.size(b["at"]) > 0))).withColumn("_more", F.when(words.isNotNull(), unsuppressed(detections(words))))

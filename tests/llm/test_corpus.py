@@ -210,6 +210,25 @@ def test_license_scan(spark, texts):
     assert len(license_scan.rules()) > 200
 
 
+def bare_phrases(pattern):
+    """The shortest and the longest way to write a rule: optional parts left out with first alternatives, then all of them with last ones."""
+    for long in (False, True):
+        text = re.sub(r"\[(\w+)\]", lambda m: m[1][-long], pattern)
+        while "(?:" in text:
+            text = re.sub(r"\(\?:([^()]*)\)(\??)", lambda m: "" if m[2] and not long else m[1].split("|")[-long], text)
+        yield re.sub(r"(.)\?", r"\1" if long else "", text)
+
+
+def test_license_rules_fire_on_bare_phrases(spark):
+    """Nothing but the phrase in the text, on one line or broken over lines."""
+    cases = [(label, join.join(phrase.split())) for label, _, pattern, _ in license_scan.rules() for phrase in bare_phrases(pattern) for join in (" ", "\n  ")]
+    cases += [("apache-2.0", "Apache-2.0"), ("apache-2.0", "Apache Version 2.0"), ("bsd-3-clause", "BSD 3-Clause"), ("bsd-3-clause", "3-clause BSD"), ("proprietary", "all rights\nreserved"), ("cc-by-4.0", "Creative  Commons\tAttribution 4.0")]
+    d = spark.createDataFrame(cases, "label string, text string")
+    missed = [(r["label"], r["text"], r["labels"]) for r in license_scan.scan(d.withColumnRenamed("label", "want")).withColumnRenamed("want", "label").collect() if r["label"] not in r["labels"].split(",") or not r["score"]]
+    assert not missed, missed[:10]
+    assert license_scan.scan(spark.createDataFrame([(1, "the clauses of apaches and of the public, all reserved")], "doc_id long, text string")).first()["labels"] == ""
+
+
 def test_near_dedup_chain_and_short_texts(spark):
     base = [f"w{i}" for i in range(200)]
     chain = [" ".join(base)]
