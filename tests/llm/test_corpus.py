@@ -123,6 +123,12 @@ def test_sharding(spark, data, texts):
     assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
 
 
+def test_op6_describes_what_the_operator_writes(spark, data, docs, tmp_path):
+    sharding.write_shards(docs, str(tmp_path / "shards"))
+    place = lambda rows: {(r["doc_id"], r["shard"], r["slot"]) for r in rows.select("doc_id", "shard", "slot").collect()}
+    assert place(sharding.op6(spark, data)) == place(spark.read.parquet(str(tmp_path / "shards")))
+
+
 def luhn(s):
     total = 0
     for i, c in enumerate(reversed(s)):
