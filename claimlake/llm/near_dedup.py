@@ -12,7 +12,9 @@ a group of near copies costs as much as its size, not its square.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,19 +25,30 @@ from pyspark.sql import types as T
 from . import common
 
 SHINGLE, PERCENT = 5, 85
-#: Bands and rows per band: at a similarity of 0.85 a pair shares no band with a probability under one in a million.
-BANDS, ROWS = 24, 5
+#: Least bands, rows per band, and the probability under which a pair at the threshold shares no band, see bands_for().
+BANDS, ROWS, MISSED = 24, 5, 1e-6
 #: Low bits kept of each minimum, and how far under the threshold an estimate may lie (over four standard errors).
 BITS, MARGIN = 4, 0.15
 #: Members of a block of a bucket or cluster on average, and shingles of a block of a cluster.
 BLOCK, BLOCK_SHINGLES = 256, 1_000_000
 SEED = 11
 
-_draw = np.random.default_rng(SEED)
-_MULTIPLY = (_draw.integers(0, 2**32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
-_ADD = _draw.integers(0, 2**32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
-_PLACE = _draw.integers(0, 2**63, 64, dtype=np.uint64) | np.uint64(1)
-_BAND = _draw.integers(0, 2**63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
+_PLACE = np.random.default_rng(SEED).integers(0, 2**63, 64, dtype=np.uint64) | np.uint64(1)
+
+
+def bands_for(percent: int) -> int:
+    """Bands with which a pair at the threshold is missed with a probability under MISSED; an even number, so that signatures are whole bytes."""
+    alike = (percent / 100) ** ROWS
+    need = math.ceil(math.log(MISSED) / math.log1p(-alike)) if alike < 1 else 1
+    return max(BANDS, need + need % 2)
+
+
+@cache
+def _family(bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Factors and summands of bands * ROWS hash functions, and the weights of band keys."""
+    draw = np.random.default_rng((SEED, bands))
+    multiply = (draw.integers(0, 2**32, bands * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
+    return multiply, draw.integers(0, 2**32, bands * ROWS, dtype=np.uint64).astype(np.uint32), draw.integers(0, 2**63, (bands, ROWS), dtype=np.uint64) | np.uint64(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -61,18 +74,20 @@ def shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
     return np.unique(_mix(total))
 
 
-def minima(values: np.ndarray) -> np.ndarray:
-    """BANDS * ROWS minima of a non-empty set of hashes."""
+def minima(values: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    """bands * ROWS minima of a non-empty set of hashes."""
+    multiply, add, _ = _family(bands)
     low = (values >> np.uint64(32)).astype(np.uint32)
-    out = np.full(len(_MULTIPLY), 2**32 - 1, dtype=np.uint32)
+    out = np.full(len(multiply), 2**32 - 1, dtype=np.uint32)
     for at in range(0, len(low), 4096):
-        np.minimum(out, (low[at : at + 4096, None] * _MULTIPLY + _ADD).min(axis=0), out=out)
+        np.minimum(out, (low[at : at + 4096, None] * multiply + add).min(axis=0), out=out)
     return out
 
 
 def band_keys(low: np.ndarray) -> np.ndarray:
-    wide = low.reshape(BANDS, ROWS).astype(np.uint64)
-    return _mix((_mix(wide + np.uint64(1)) * _BAND).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+    wide = low.reshape(-1, ROWS).astype(np.uint64)
+    weights = _family(len(wide))[2]
+    return _mix((_mix(wide + np.uint64(1)) * weights).sum(axis=1, dtype=np.uint64) + np.arange(len(wide), dtype=np.uint64)).view(np.int64)
 
 
 def pack_bits(low: np.ndarray) -> bytes:
@@ -86,7 +101,7 @@ def estimates(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Collision-corrected similarity of all pairs of packed signatures (rows of bytes)."""
     apart = left[:, None, :] ^ right[None, :, :]
     nibble = ((apart & 15) != 0).astype(np.uint8) + ((apart >> 4) != 0)
-    equal = 1 - nibble.sum(axis=2, dtype=np.int32) / len(_MULTIPLY)
+    equal = 1 - nibble.sum(axis=2, dtype=np.int32) / (left.shape[1] * 8 // BITS)
     chance = 2.0**-BITS
     return (equal - chance) / (1 - chance)
 
@@ -137,7 +152,7 @@ def _address(doc_id: str, text: str) -> Column:
     return F.xxhash64(F.col(doc_id), F.col(text).cast("string"))
 
 
-def signatures(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+def signatures(docs: DataFrame, text: str, doc_id: str, bands: int = BANDS) -> DataFrame:
     """(doc_id, h, key, n, bands, sig) of every row; key, 128 bits of hash over the full set, and the rest are null without words.
 
     h is a hash of id and text, by which the text of a class is found again.
@@ -145,15 +160,15 @@ def signatures(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.small_batches(batches):
-            keys, sizes, bands, sigs = [], [], [], []
+            keys, sizes, banded, sigs = [], [], [], []
             for value in batch.column(1).to_pylist():
                 s = shingles(value)
                 sizes.append(len(s))
-                low = minima(s) if len(s) else None
+                low = minima(s, bands) if len(s) else None
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                bands.append(band_keys(low) if len(s) else None)
+                banded.append(band_keys(low) if len(s) else None)
                 sigs.append(pack_bits(low) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], ["doc_id", "h", "key", "n", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(banded, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], ["doc_id", "h", "key", "n", "bands", "sig"])
 
     kept = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), _address(doc_id, text).alias("h"))
     schema = T.StructType([kept.schema["doc_id"], *T._parse_datatype_string("h long, key binary, n long, bands array<long>, sig binary").fields])
@@ -297,7 +312,7 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", per
     reachable (null ids last), and of a component exactly one row is kept: the first with that id. Rows without
     words link to nothing and are kept. An empty table gives an empty result.
     """
-    rows = common.materialize(signatures(docs, text, doc_id).withColumn("rid", F.monotonically_increasing_id()), "near-signatures")
+    rows = common.materialize(signatures(docs, text, doc_id, bands_for(percent)).withColumn("rid", F.monotonically_increasing_id()), "near-signatures")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "rid", "h"))
     classes = rows.where("key is not null").groupBy("key").agg(best.alias("best"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = common.materialize(classes.select("key", F.col("best.rid").alias("node"), F.col("best.doc_id").alias("min_id"), F.col("best.h").alias("h"), "n", "bands", "sig"), "near-classes")

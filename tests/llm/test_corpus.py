@@ -303,6 +303,26 @@ def test_bit_estimates():
     assert near_dedup.estimates(sig[0], sig[0])[0, 0] == 1
 
 
+@pytest.mark.parametrize("percent", [60, 80, 85, 95])
+def test_bands_and_margin_suit_the_threshold(spark, percent):
+    """At the threshold a pair shares no band with under one in a million, and the margin is over four standard errors."""
+    rows = near_dedup.signatures(spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string"), "text", "doc_id", near_dedup.bands_for(percent)).first()
+    bands, n, alike = len(rows["bands"]), len(rows["sig"]) * 8 // near_dedup.BITS, percent / 100
+    assert n == bands * near_dedup.ROWS
+    assert (1 - alike**near_dedup.ROWS) ** bands < 1e-6
+    equal = alike + (1 - alike) / 2**near_dedup.BITS
+    assert near_dedup.MARGIN > 4 * (equal * (1 - equal) / n) ** 0.5 / (1 - 2**-near_dedup.BITS)
+
+
+def test_near_dedup_takes_bands_from_percent(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(near_dedup, "signatures", lambda *how: asked.append(how[3:]) or 1 / 0)
+    for percent in (80, 85):
+        with pytest.raises(ZeroDivisionError):
+            near_dedup.near_dedup(spark.createDataFrame([(1, "a")], "doc_id long, text string"), percent=percent)
+    assert asked == [(36,), (24,)]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (9, 3), (7, 7), (3, 1)], "a long, b long")
     assert {(r["node"], r["root"]) for r in common.components(edges).collect()} == {(2, 1), (3, 1), (9, 1), (5, 4)}
