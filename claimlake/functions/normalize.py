@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import SPACE, collapse, strip
+from .text import SPACE, bind, collapse, strip
 
 #: Aliases of property types, currency symbols, length of the narrative prefix that is compared.
 PROPERTY_ALIASES = {"res": "residential", "residential property": "residential", "comm": "commercial", "commercial property": "commercial", "ind": "industrial"}
@@ -23,28 +23,36 @@ def narrative(c: Column) -> Column:
     return collapse(c)
 
 
-#: Date shapes in order of preference: what the text must look like, and how it is read. Fixed values.
+#: Date shapes, which exclude each other: what the text must look like, and how it is read, in order of preference. Fixed values.
 DATE_SHAPES = [
-    (r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}\z", "yyyy-M-d"), (r"^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}\z", "d.M.yyyy"), (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}\z", "d/M/yyyy"),
-    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}\z", "M/d/yyyy"), (r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}\z", "d-M-yyyy"),
-    (r"^[A-Za-z]+ [0-9]{1,2}, [0-9]{4}\z", "MMMM d, yyyy"), (r"^[0-9]{1,2} [A-Za-z]+ [0-9]{4}\z", "d MMMM yyyy"), (r"^[A-Za-z]+ [0-9]{1,2}, [0-9]{4}\z", "MMM d, yyyy"), (r"^[0-9]{1,2} [A-Za-z]+ [0-9]{4}\z", "d MMM yyyy"),
-]
+    (r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}\z", ["yyyy-M-d"]),
+    (r"^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}\z", ["d.M.yyyy"]),
+    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}\z", ["d/M/yyyy", "M/d/yyyy"]),
+    (r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}\z", ["d-M-yyyy"]),
+    (r"^[A-Za-z]+ [0-9]{1,2}, [0-9]{4}\z", ["MMMM d, yyyy", "MMM d, yyyy"]),
+    (r"^[0-9]{1,2} [A-Za-z]+ [0-9]{4}\z", ["d MMMM yyyy", "d MMM yyyy"]),
+]
 COMPACT = r"^([0-9]{4})(1[0-2]|0[1-9]|[1-9])(3[01]|[12][0-9]|0[1-9]|[1-9])\z"
 
 
 def as_date(c: Column) -> Column:
     """The date that a text names, or null. Slash dates are day first unless only month first is valid."""
-    flat = collapse(c)
-    tries = [F.when(flat.rlike(shape), F.try_to_timestamp(flat, F.lit(form))) for shape, form in DATE_SHAPES]
-    parts = F.concat_ws("-", *[F.regexp_extract(flat, COMPACT, i) for i in (1, 2, 3)])
-    tries.append(F.when(flat.rlike(COMPACT), F.try_to_timestamp(parts, F.lit("yyyy-M-d"))))
-    return F.coalesce(*tries).cast("date")
+
+    def read(flat: Column) -> Column:
+        parts = F.concat_ws("-", *[F.regexp_extract(flat, COMPACT, i) for i in (1, 2, 3)])
+        out = F
+        for shape, forms in DATE_SHAPES:
+            out = out.when(flat.rlike(shape), F.coalesce(*[F.try_to_timestamp(flat, F.lit(form)) for form in forms]))
+        return out.when(flat.rlike(COMPACT), F.try_to_timestamp(parts, F.lit("yyyy-M-d")))
+
+    return bind(collapse(c), read).cast("date")
 
 
 def date(c: Column) -> Column:
     return F.coalesce(F.date_format(as_date(c), "yyyy-MM-dd"), strip(c))
 
 
+#: Amounts of money with their code or symbol: fixed values.
 _AMOUNT = rf"(\d[\d,.'\s\x1c-\x1f]*)"
 _CODE_FIRST = rf"(?U)(?:([A-Z]{{3}})|([€$£¥₹])){SPACE}*{_AMOUNT}"
 _AMOUNT_FIRST = rf"(?U){_AMOUNT}{SPACE}*([A-Z]{{3}})"

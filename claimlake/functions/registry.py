@@ -34,3 +34,14 @@ def field_registry(spark: SparkSession) -> DataFrame:
     """(ord, field_name, kind), one row per field."""
     rows = F.array(*[F.struct(F.lit(i + 1).alias("ord"), F.lit(n).alias("field_name"), F.lit(k).alias("kind")) for i, (n, k) in enumerate(FIELDS)])
     return spark.range(1).select(F.explode(rows).alias("f")).select("f.*")
+
+
+def labels(spark: SparkSession) -> DataFrame:
+    """(ord, field_name, kind, field_label, kind_label): how fields and their kinds are shown."""
+    shown = lambda what, c: F.concat(F.lit(f"<{what}:"), F.col(c), F.lit(">"))
+    return field_registry(spark).withColumns({"field_label": shown("Field", "field_name"), "kind_label": shown("FieldType", "kind")})
+
+
+def with_kind(rows: DataFrame, path: str = "path", fallback: str = "string") -> DataFrame:
+    """Rows with the kind of their field path; unregistered paths get the fallback."""
+    return rows.withColumn("kind", F.coalesce(kind_of(F.col(path)), F.lit(fallback)))

@@ -2,38 +2,51 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPACE = r"[\s\x1c-\x1f]"
+#: White space as a class of single characters, and all of it as text: fixed values.
+SPACES = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = f"[{SPACES}]"
+WHITE = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Placeholders for unset old values and for unknown fields: fixed values.
 UNSET, UNKNOWN = "-", "—"
 
 
+def bind(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c), with c computed once however often it occurs in there."""
+    return F.transform(F.array(c), use)[0]
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def collapse(c: Column) -> Column:
-    """Every run of white space becomes one space; none at the ends."""
-    return strip(F.regexp_replace(c, rf"(?U){SPACE}+", " "))
+    """Every run of white space becomes one space; none at the ends. A single space inside is left untouched, not replaced by itself."""
+    return strip(F.regexp_replace(c, rf" ?[{SPACES}&&[^ ]]{SPACE}*|  {SPACE}*", " "))
 
 
 def clean_text(c: Column) -> Column:
-    """Tidy extracted text: blank lines, spaces, hyphenation at line ends, glued words, line ends. Null gives ''."""
-    out = F.regexp_replace(F.coalesce(c, F.lit("")), r"\n{3,}", "\n\n")
-    out = F.regexp_replace(out, r"[ \t]+", " ")
-    out = F.regexp_replace(out, rf"(?U)(\w)-{SPACE}*\n{SPACE}*(\w)", "$1$2")
-    out = F.regexp_replace(out, "([a-zäöüß])([A-ZÄÖÜ])", "$1 $2")
+    """Tidy extracted text: blank lines, spaces, hyphenation at line ends, glued words, line ends. Null gives ''.
+
+    Each pattern starts with a character that is rare in prose, so that the text is passed over quickly. A letter that
+    ended one joined hyphenation can't begin the next, which is what ``\\G`` is for.
+    """
+    out = F.coalesce(c, F.lit(""))
+    out = F.when(out.contains("\n\n\n"), F.regexp_replace(out, r"\n{3,}", "\n\n")).otherwise(out)
+    out = F.regexp_replace(out, r"\t[ \t]*| [ \t]+", " ")
+    out = F.regexp_replace(out, rf"(?U)-(?<=\w-)(?<!\G-){SPACE}*\n{SPACE}*(\w)", "$1")
+    out = F.regexp_replace(out, "(?<=[a-zäöüß])[A-ZÄÖÜ]", " $0")
     return strip(F.array_join(F.transform(F.split(out, "\n"), strip), "\n"))
 
 
 def unfence(c: Column) -> Column:
     """A model's answer without the code fence around it."""
-    out = F.regexp_replace(strip(c), rf"(?iU)^```(?:json)?{SPACE}*", "")
-    return strip(F.regexp_replace(out, rf"(?U){SPACE}*```\z", ""))
+    out = F.regexp_replace(strip(c), r"(?i)^```(?:json)?", "")
+    return strip(F.regexp_replace(out, r"```\z", ""))
 
 
 def parse_json(c: Column) -> Column:
@@ -41,13 +54,51 @@ def parse_json(c: Column) -> Column:
     return F.try_parse_json(unfence(c))
 
 
+#: A delimiter of a section: fixed value.
+MARKER = r"(?U)<!--\s*(?i:BEGIN|END)_\w+\s*-->"
+
+
 def sections(c: Column) -> Column:
-    """map<name, content> of all delimited sections, names in upper case; of duplicates the last counts."""
-    pattern = r"(?isU)<!--\s*BEGIN_(\w+)\s*-->(.*?)<!--\s*END_\1\s*-->"
-    names, bodies = (F.regexp_extract_all(c, F.lit(pattern), F.lit(g)) for g in (1, 2))
-    pairs = F.zip_with(names, bodies, lambda n, b: F.struct(F.upper(n).alias("name"), strip(b).alias("body")))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["name"] == p["name"]))
-    return F.map_from_entries(last)
+    """map<name, content> of all delimited sections, names in upper case; of duplicates the last counts.
+
+    The text is split once at its delimiters. A section runs from a delimiter that opens it to the next one that
+    closes the same name; delimiters in between are content, and one that is never closed opens nothing.
+    """
+    marks = F.regexp_extract_all(c, F.lit(MARKER), F.lit(0))
+    after = F.slice(F.split(c, MARKER, -1), 2, F.greatest(F.size(marks), F.lit(1)))
+    piece = F.zip_with(
+        marks,
+        after,
+        lambda m, a: F.struct(
+            (F.upper(F.regexp_extract(m, r"^<!--\s*(\w)", 1)) == "B").alias("opens"),
+            F.upper(F.regexp_extract(m, r"(?U)_(\w+)\s*-->$", 1)).alias("name"),
+            m.alias("mark"),
+            a.alias("after"),
+        ),
+    )
+    state = "struct<name:string,body:array<string>,found:array<struct<name:string,body:string>>>"
+
+    def walk(all_: Column) -> Column:
+        def step(s: Column, p: Column, i: Column) -> Column:
+            rest = F.slice(all_, i + 2, F.size(all_))
+            starts = s["name"].isNull() & p["opens"] & F.exists(rest, lambda q: ~q["opens"] & (q["name"] == p["name"]))
+            ends = ~p["opens"] & (p["name"] == s["name"])
+            opened = F.struct(p["name"].alias("name"), F.array(p["after"]).alias("body"), s["found"].alias("found"))
+            one = F.struct(s["name"].alias("name"), strip(F.array_join(s["body"], "")).alias("body"))
+            closed = F.struct(F.lit(None).cast("string").alias("name"), F.array().cast("array<string>").alias("body"), F.array_append(s["found"], one).alias("found"))
+            inner = F.struct(s["name"].alias("name"), F.concat(s["body"], F.array(p["mark"], p["after"])).alias("body"), s["found"].alias("found"))
+            return F.when(starts, opened).when(s["name"].isNull(), s).when(ends, closed).otherwise(inner).cast(state)
+
+        indexed = F.transform(all_, lambda p, i: F.struct(p.alias("p"), i.alias("i")))
+        none = F.struct(F.lit(None).alias("name"), F.array().alias("body"), F.array().alias("found")).cast(state)
+        return F.aggregate(indexed, none, lambda s, x: step(s, x["p"], x["i"]), lambda s: s["found"])
+
+    def last(pairs: Column) -> Column:
+        return F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["name"] == p["name"]))
+
+    # what lambdas refer to is bound once, or it would be computed for every element
+    found = bind(bind(piece, walk), last)
+    return F.when(c.contains("<!--"), F.map_from_entries(found)).when(c.isNotNull(), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
 
 
 def section(c: Column, name: str) -> Column:
@@ -57,7 +108,9 @@ def section(c: Column, name: str) -> Column:
 
 def first_section(c: Column, name: str) -> Column:
     """Content of the first section of a name, '' without one."""
-    return strip(F.regexp_extract(c, rf"(?isU)<!--\s*BEGIN_{name}\s*-->(.*?)<!--\s*END_{name}\s*-->", 1))
+    rest = F.get(F.split(c, rf"(?iU)<!--\s*BEGIN_{name}\s*-->", 2), F.lit(1))
+    parts = F.split(rest, rf"(?iU)<!--\s*END_{name}\s*-->", 2)
+    return F.when(F.size(parts) == 2, strip(parts[0])).when(c.isNotNull(), F.lit(""))
 
 
 def render(template: Column, values: Mapping[str, Column]) -> Column:
