@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Levels of objects that are walked; deeper ones raise.
-DEPTH = 4
+from ..functions import text
+
 PAYMENTS = "payments_made"
+NODES = "array<struct<path:string,v:variant>>"
 
 
 def text_of(v: Column, name: str) -> Column:
@@ -17,27 +16,38 @@ def text_of(v: Column, name: str) -> Column:
     return F.try_variant_get(v, f"$.{name}", "string")
 
 
+def _is_leaf(v: Column) -> Column:
+    """Whether a variant is null, or an object with both a value and a page."""
+    has = [F.try_variant_get(v, f"$.{n}", "variant").isNotNull() for n in ("value", "_page")]
+    return F.coalesce(F.is_variant_null(v) | (has[0] & has[1]), F.lit(False))
+
+
+def _children(node: Column) -> Column:
+    """The members of an object that are walked, with their paths; none of a scalar or an array."""
+    members = F.map_entries(F.try_variant_get(node["v"], "$", "map<string,variant>"))
+    walked = F.filter(members, lambda e: ~e["key"].startswith("_") & (e["key"] != PAYMENTS))
+    path = lambda e: F.when(node["path"] == "", e["key"]).otherwise(F.concat_ws(".", node["path"], e["key"]))
+    return F.coalesce(F.transform(walked, lambda e: F.struct(path(e).alias("path"), e["value"].alias("v"))), F.array().cast(NODES))
+
+
 def leaves(extractions: DataFrame, variant: str, *keys: str) -> DataFrame:
-    """(keys, path, reason, value, page) for every leaf of a variant.
+    """(keys, path, reason, value, page) for every leaf of a variant, however deep it lies.
 
     A leaf is an object with both ``value`` and ``_page``, or a bare null. Other objects are walked; scalars and arrays
-    are skipped (elements of arrays have no key), as are keys that start with an underscore and payments. The walk is unrolled, so it stays one plan.
+    are skipped (elements of arrays have no key), as are keys that start with an underscore and payments. Objects are
+    opened level by level until none is left; a document has no more levels than opening braces.
     """
-    level = extractions.select(*keys, F.lit("").alias("above"), F.col(variant).alias("v"))
-    found = []
-    for depth in range(DEPTH + 1):
-        kids = level.sparkSession.sql("SELECT t.* EXCEPT (v), e.key AS _key, e.value AS v FROM {level} t, LATERAL variant_explode(t.v) e", level=level)
-        kids = kids.where(~F.col("_key").startswith("_") & (F.col("_key") != PAYMENTS))
-        path = F.when(F.col("above") == "", F.col("_key")).otherwise(F.concat_ws(".", "above", "_key"))
-        if depth == DEPTH:
-            found.append(kids.select(*keys, F.raise_error(F.concat(F.lit("nested too deeply: "), path)).cast("string").alias("path"), F.lit("").alias("reason"), F.lit("").alias("value"), F.lit(0).alias("page")))
-            break
-        has = [F.try_variant_get("v", f"$.{n}", "variant").isNotNull() for n in ("value", "_page")]
-        kids = kids.select(*keys, path.alias("above"), "v", F.is_variant_null("v").alias("_null"), F.coalesce(has[0] & has[1], F.lit(False)).alias("_leaf"))
-        pick = lambda c: F.when(F.col("_leaf"), c)
-        found.append(kids.where(F.col("_null") | F.col("_leaf")).select(*keys, F.col("above").alias("path"), pick(text_of(F.col("v"), "reason")).alias("reason"), pick(text_of(F.col("v"), "value")).alias("value"), pick(F.try_variant_get("v", "$._page", "int")).alias("page")))
-        level = kids.where(~F.col("_null") & ~F.col("_leaf")).select(*keys, "above", "v")
-    return reduce(DataFrame.unionByName, found)
+    state = f"struct<open:{NODES},leaves:{NODES}>"
+    first = F.struct(F.array(F.struct(F.lit("").alias("path"), F.col(variant).alias("v"))).alias("open"), F.array().cast(NODES).alias("leaves")).cast(state)
+
+    def level(s: Column, _: Column) -> Column:
+        below = lambda kids: F.struct(F.filter(kids, lambda n: ~_is_leaf(n["v"])).alias("open"), F.concat(s["leaves"], F.filter(kids, lambda n: _is_leaf(n["v"]))).alias("leaves")).cast(state)
+        return F.when(F.size(s["open"]) == 0, s).otherwise(text.bind(F.flatten(F.transform(s["open"], _children)), below))
+
+    most = F.regexp_count(F.to_json(F.col(variant)), F.lit(r"\{"))
+    found = F.aggregate(F.sequence(F.lit(0), most), first, level, lambda s: s["leaves"])
+    v = F.col("leaf.v")
+    return extractions.where(F.col(variant).isNotNull()).select(*keys, F.explode(found).alias("leaf")).select(*keys, "leaf.path", text_of(v, "reason").alias("reason"), text_of(v, "value").alias("value"), F.try_variant_get(v, "$._page", "int").alias("page"))
 
 
 def observations(leaf_rows: DataFrame) -> DataFrame:

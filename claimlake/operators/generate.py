@@ -6,6 +6,7 @@ import json
 import os
 import urllib.error
 import urllib.request
+import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -19,7 +20,7 @@ from ..functions import text
 SYSTEM, TEMPERATURE, MOST_TOKENS, TIMEOUT = "You are a helpful assistant.", 0.7, -1, 2000
 
 
-@dataclass
+@dataclass(repr=False)
 class Generator:
     """A model behind a function from prompt to answer."""
 
@@ -34,8 +35,16 @@ class Generator:
     def __call__(self, prompt: str) -> str:
         return self.generate(prompt)
 
+    @classmethod
+    def label(cls) -> str:
+        """The name that the generator is registered under."""
+        return next((name for name, kind in GENERATORS.items() if kind is cls), cls.__name__)
 
-@dataclass
+    def __repr__(self) -> str:
+        return f"<Generator:{self.label()}>"
+
+
+@dataclass(repr=False)
 class Stub(Generator):
     """Answers by a function, for tests and dry runs."""
 
@@ -59,7 +68,7 @@ def _post(url: str, payload: dict, headers: dict[str, str]) -> str:
     return body["choices"][0]["message"]["content"]
 
 
-@dataclass
+@dataclass(repr=False)
 class LocalServer(Generator):
     """Chat completions of a server that speaks the common protocol; max_tokens is always sent."""
 
@@ -71,18 +80,27 @@ class LocalServer(Generator):
         return _post(self.base_url.rstrip("/") + "/chat/completions", payload, {})
 
 
-@dataclass
+@dataclass(repr=False)
 class HostedServer(Generator):
-    """A hosted endpoint with a bearer token, taken from the environment unless given; max_tokens is sent if positive."""
+    """A hosted endpoint with a bearer token, taken from the environment unless given; max_tokens is sent if positive.
 
+    Without a model of its own it asks for ``default_model``; without a token it warns, as calls may fail.
+    """
+
+    model: str = ""
     base_url: str = ""
     token: str | None = None
     token_variable: str = "MODEL_TOKEN"
+    default_model: str = "default"
+
+    def __post_init__(self) -> None:
+        if not (self.token or os.environ.get(self.token_variable)):
+            warnings.warn(f"no token is given and {self.token_variable} is not set; calls may fail", stacklevel=2)
 
     def generate(self, prompt: str) -> str:
         token = self.token or os.environ.get(self.token_variable, "")
         messages = [{"role": "system", "content": self.system}, {"role": "user", "content": [{"type": "text", "text": prompt}]}]
-        payload = {"model": self.model, "messages": messages, "temperature": self.temperature} | ({"max_tokens": self.max_tokens} if self.max_tokens > 0 else {})
+        payload = {"model": self.model or self.default_model, "messages": messages, "temperature": self.temperature} | ({"max_tokens": self.max_tokens} if self.max_tokens > 0 else {})
         return _post(self.base_url.rstrip("/") + "/chat/completions", payload, {"Authorization": f"Bearer {token}"})
 
 

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import tables
+from ..functions import text as functions_text
+
+#: How far the tops of words on one line may lie apart: fixed value.
 TOLERANCE = 2.0
 
 
@@ -44,17 +48,25 @@ def ordered(chunks: DataFrame, doc: str = "doc") -> DataFrame:
     return chunks.withColumn("order", F.row_number().over(Window.partitionBy(doc, "page").orderBy("y0", rank, "seq")) - 1)
 
 
-def merge_text_runs(chunks: DataFrame, doc: str = "doc") -> DataFrame:
+def _keys(doc: str | list[str]) -> list[str]:
+    return [doc] if isinstance(doc, str) else list(doc)
+
+
+def merge_text_runs(chunks: DataFrame, doc: str | list[str] = "doc") -> DataFrame:
     """Consecutive texts of a page as one chunk: joined by line feeds, boxes united. Other chunks pass through.
 
-    Consecutive means in order of seq within the document; a table, an image or a new page ends a run.
+    Consecutive means in order of seq within the document; a table, an image or a new page ends a run. Further columns
+    keep the value of a run's first chunk.
     """
-    w = Window.partitionBy(doc).orderBy("seq")
+    keys = _keys(doc)
+    w = Window.partitionBy(*keys).orderBy("seq")
     starts = (F.col("chunk_type") != "text") | (F.lag("chunk_type").over(w) != "text") | (F.lag("page").over(w) != F.col("page"))
     island = F.sum(F.coalesce(starts, F.lit(True)).cast("int")).over(w)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.coalesce("content", F.lit("")).alias("content")))), lambda x: x["content"]), "\n")
     boxes = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
-    runs = chunks.withColumn("island", island).groupBy(doc, "island").agg(F.first("page").alias("page"), F.first("chunk_type").alias("chunk_type"), F.min("seq").alias("seq"), text.alias("content"), *boxes)
+    known = {*keys, "page", "chunk_type", "seq", "content", "x0", "y0", "x1", "y1"}
+    rest = [F.min_by(c, "seq").alias(c) for c in chunks.columns if c not in known]
+    runs = chunks.withColumn("island", island).groupBy(*keys, "island").agg(F.first("page").alias("page"), F.first("chunk_type").alias("chunk_type"), F.min("seq").alias("seq"), text.alias("content"), *boxes, *rest)
     return runs.drop("island")
 
 
@@ -64,12 +76,12 @@ def page_numbers(rows: DataFrame, doc: str = "doc", position: str = "pos", break
     return rows.withColumn("page", 1 + F.sum(F.coalesce(F.col(breaks), F.lit(False)).cast("int")).over(w))
 
 
-def content(chunks: DataFrame, doc: str = "doc", page_tags: bool = False) -> DataFrame:
+def content(chunks: DataFrame, doc: str | list[str] = "doc", page_tags: bool = False) -> DataFrame:
     """One row per document: its texts and tables that hold anything, in order, with blank lines between."""
     part = F.concat(F.format_string("[Page %d]\n", "page"), F.col("content")) if page_tags else F.col("content")
     kept = chunks.where(F.col("chunk_type").isin("text", "table") & (F.length("content") > 0))
     parts = F.array_sort(F.collect_list(F.struct("page", "order", part.alias("part"))))
-    return kept.groupBy(doc).agg(F.array_join(F.transform(parts, lambda p: p["part"]), "\n\n").alias("content"))
+    return kept.groupBy(*_keys(doc)).agg(F.array_join(F.transform(parts, lambda p: p["part"]), "\n\n").alias("content"))
 
 
 def chunk_counts(chunks: DataFrame, *keys: str) -> DataFrame:
@@ -83,6 +95,44 @@ def with_image_bytes(images: DataFrame, bytes_: DataFrame, doc: str = "doc") ->
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("x0", "y0", "x1", "y1")})
 
 
+def table_chunks(layout: DataFrame, form: str = "markdown") -> DataFrame:
+    """Rows of cells as text in the form asked for, with num_rows and num_cols (the longest row)."""
+    cells = F.col("rows")
+    return layout.withColumns({"content": tables.to_json(cells) if form == "json" else tables.to_markdown(cells), "num_rows": F.size(cells), "num_cols": tables.width(cells)})
+
+
+def chunks(layout: DataFrame, doc: list[str], form: str = "markdown") -> DataFrame:
+    """Ordered chunks of decoded files: words become lines, lines are cleaned, texts in a row are one chunk, and chunks are numbered per page from 0.
+
+    A format with a reading order of its own gives ``seq``; else chunks of a page go by their upper edge, and of equal
+    ones tables come before texts and texts before images.
+    """
+    box = ["x0", "y0", "x1", "y1"]
+    shape = [*doc, "page", "seq", "pos", *box]
+    words = layout.where("kind = 'word'").select(*doc, "page", F.col("pos").alias("ordinal"), "text", "x0", F.col("y0").alias("top"), "x1", F.col("y1").alias("bottom"))
+    lines = cluster_lines(words, [*doc, "page"]).select(*doc, "page", F.lit(None).cast("int").alias("seq"), F.col("line").alias("pos"), "x0", F.col("top").alias("y0"), "x1", F.col("bottom").alias("y1"), F.col("text").alias("content"))
+    texts = layout.where("kind = 'text'").select(*shape, F.col("text").alias("content")).unionByName(lines)
+    texts = texts.withColumns({"content": functions_text.clean_text(F.col("content")), "chunk_type": F.lit("text")})
+    boxed = table_chunks(layout.where("kind = 'table'"), form).select(*shape, "content", "num_rows", "num_cols", F.lit("table").alias("chunk_type"))
+    images = layout.where("kind = 'image'").select(*shape, "image", "width", "height", "image_index", F.lit("image").alias("chunk_type"))
+    every = texts.unionByName(boxed, allowMissingColumns=True).unionByName(images, allowMissingColumns=True)
+    rank = F.when(F.col("chunk_type") == "table", 0).when(F.col("chunk_type") == "text", 1).otherwise(2)
+    place = F.row_number().over(Window.partitionBy(*doc).orderBy("page", "y0", "seq", rank, "pos", "image_index"))
+    runs = merge_text_runs(every.withColumn("seq", place).drop("pos"), doc)
+    said = F.when(F.col("chunk_type") != "image", F.col("content"))
+    return runs.withColumns({"content": said, "order": F.row_number().over(Window.partitionBy(*doc, "page").orderBy("seq")) - 1})
+
+
+def rendered(chunks: DataFrame, doc: str = "doc") -> DataFrame:
+    """(doc, shown): a document as text for reading: heading, column heads between rules, one line per chunk."""
+    line = functions_text.chunk_line(*[F.col(c) for c in ("page", "order", "chunk_type", "content", "num_rows", "num_cols", "image_index", "width", "height")])
+    lines = F.array_sort(F.collect_list(F.struct("page", "order", line.alias("line"))))
+    rule = F.lit("-" * 120)
+    head = F.concat(F.lit("Document: "), F.col(doc).cast("string"), F.lit(" ("), F.count("*").cast("string"), F.lit(" chunks extracted)"))
+    parts = [head, rule, F.lit("PAGE | ORDER | TYPE  | CONTENT SUMMARY"), rule, F.array_join(F.transform(lines, lambda x: x["line"]), "\n")]
+    return chunks.groupBy(doc).agg(F.concat_ws("\n", *parts).alias("shown"))
+
+
 def as_records(chunks: DataFrame) -> DataFrame:
     """Chunks as JSON text; bytes are replaced by whether there are any."""
     box = F.struct("x0", "y0", "x1", "y1").alias("bbox")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -18,6 +19,13 @@ def parse_ledger(rows: DataFrame, body: str = "ledger", *keys: str) -> DataFrame
     return lines.where(F.col("cells").isNotNull()).select(*keys, "line", *[F.col("cells")[i].alias(n) for i, n in enumerate(names)])
 
 
+def ledger_text(entries: DataFrame, heading: str, claim: str = "claim_id") -> DataFrame:
+    """(claim, ledger): the entries (claim, doc_idx, doc, line, page, field_name, old_value, new_value) of each claim as one table under a heading."""
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", "doc", "page", "field_name", "old_value", "new_value"), F.lit(" |"))
+    rows = F.array_sort(F.collect_list(F.struct("doc_idx", "line", row.alias("row"))))
+    return entries.groupBy(claim).agg(F.concat(F.lit(heading.rstrip("\n") + "\n"), F.array_join(F.transform(rows, lambda r: r["row"]), "\n"), F.lit("\n")).alias("ledger"))
+
+
 def changes(values: DataFrame, claim: str, field: str, order: list[str], value: str = "value") -> DataFrame:
     """Old and new value wherever a field's value differs from the one before; the first value counts as a change from none."""
     w = Window.partitionBy(claim, field).orderBy(*order)
@@ -41,15 +49,15 @@ def summary(fields: DataFrame, ledger: DataFrame, claim: str, field: str, order:
 
 Update = Callable[[str, str], str]
 
+#: Delimited sections of an answer, and the names of the two that an update has: fixed values.
+SECTION = re.compile(r"<!--\s*BEGIN_(\w+)\s*-->(.*?)<!--\s*END_\1\s*-->", re.S | re.I)
+DIARY, ENTRY = "DIARY", "LEDGER_ENTRY"
+
 
 def updated(answer: str | None) -> tuple[str, str] | None:
     """New diary and ledger text of an answer; None unless it holds a diary."""
-    import re
-
-    found: dict[str, str] = {}
-    for m in re.finditer(r"<!--\s*BEGIN_(\w+)\s*-->(.*?)<!--\s*END_\1\s*-->", answer or "", re.S | re.I):
-        found[m[1].upper()] = m[2].strip()
-    return (found["DIARY"], found.get("LEDGER", "")) if found.get("DIARY") else None
+    found = {m[1].upper(): m[2].strip() for m in SECTION.finditer(answer or "")}
+    return (found[DIARY], found.get(ENTRY, "")) if found.get(DIARY) else None
 
 
 def fold(documents: DataFrame, update: Update, start: str, claim: str = "claim_id") -> DataFrame:

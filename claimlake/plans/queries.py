@@ -9,9 +9,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import normalize, tables, text
+from ..functions import normalize, registry, tables, text
 from ..operators import extract, generate, layout, ledger, merge
 from ..sources import files
+from . import runs
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages conversations".split()
 
@@ -42,11 +43,11 @@ def joined(c, sep: str = ",") -> F.Column:
 
 MERGE_IN = """
 SELECT claim_id, doc_idx, 'doc' || CAST(doc_idx AS STRING) AS doc, path, value, page, 'r' || CAST(event_id AS STRING) AS reason FROM (
- SELECT user_id % 10 AS claim_id, CAST(dense_rank() OVER (PARTITION BY user_id % 10 ORDER BY CAST(ts AS DATE)) - 1 AS INT) AS doc_idx, event_type AS path, event_id,
-  row_number() OVER (PARTITION BY user_id % 10, CAST(ts AS DATE), event_type ORDER BY event_id DESC) AS rn,
+ SELECT user_id % 10 AS claim_id, CAST(dense_rank() OVER (PARTITION BY user_id % 10 ORDER BY CAST(ts AS DATE)) - 1 AS INT) AS doc_idx, event_id,
+  event_type || '.' || CAST(row_number() OVER (PARTITION BY user_id % 10, CAST(ts AS DATE), event_type ORDER BY event_id DESC) AS STRING) AS path,
   CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 3 = 0 THEN '  BAND ' || CAST(event_id % 4 AS STRING) || ' ' ELSE 'band ' || CAST(event_id % 4 AS STRING) END AS value,
   CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(event_id % 9 AS INT) END AS page
- FROM events) WHERE rn = 1"""
+ FROM events)"""
 
 MERGE_OUT = """
 , n AS (SELECT claim_id, count(DISTINCT doc_idx) AS n FROM d GROUP BY claim_id),
@@ -63,6 +64,13 @@ def merge_fields(d: DataFrame) -> DataFrame:
     return out.withColumns({"source_documents": joined("source_documents"), "pages": joined("pages")})
 
 
+def final_claim(d: DataFrame) -> DataFrame:
+    fields = merge.merge_fields(d, d.select("claim_id", "doc_idx").distinct())
+    amount = F.concat(F.lit("EUR "), (F.col("event_id") % 40).cast("string"))
+    paid = d.where("event_id % 11 = 0").select("claim_id", "doc_idx", "doc", F.col("event_id").alias("pos"), F.lit("2024-05-01").alias("date"), amount.alias("amount"), F.lit(None).cast("string").alias("description"), "page")
+    return merge.final_claim(fields, paid).select("claim_id", "ord", "field_name", "field_value", joined("source_documents").alias("source_documents"), "confidence")
+
+
 DATES_IN = """
 SELECT o_orderkey AS id, CASE CAST(o_orderkey % 12 AS INT)
  WHEN 0 THEN y || '-' || m || '-' || dd WHEN 1 THEN dd || '.' || m || '.' || y WHEN 2 THEN dd || '/' || m || '/' || y WHEN 3 THEN m || '/' || dd || '/' || y WHEN 4 THEN dd || '-' || m || '-' || y
@@ -100,8 +108,9 @@ def table_rows(d: DataFrame) -> DataFrame:
 
 CELLS_CTE = r""", r AS (SELECT id, n, max(CASE WHEN short THEN 1 ELSE 2 END) OVER (PARTITION BY id) AS w, trim(replace(replace(coalesce(a, ''), '|', '\|'), chr(10), ' ')) AS a, CASE WHEN short THEN '' ELSE trim(replace(b, chr(10), ' ')) END AS b, row_number() OVER (PARTITION BY id ORDER BY n) AS k FROM d)"""
 
-TALK_IN = """SELECT conv_id AS doc, CAST(turn AS INT) AS seq, CASE WHEN role = 'system' THEN 'table' WHEN turn % 5 = 4 THEN 'image' ELSE 'text' END AS chunk_type, CAST(1 + turn / 4 AS INT) AS page, text AS content, CAST(turn AS DOUBLE) AS x0, CAST(turn * 2 AS DOUBLE) AS y0, CAST(turn + 5 AS DOUBLE) AS x1, CAST(turn * 2 + 1 AS DOUBLE) AS y1 FROM (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text) AS rn FROM conversations) WHERE rn = 1"""
-TALK_IN = TALK_IN.replace("CAST(1 + turn / 4 AS INT)", "CAST(1 + floor(turn / 4.0) AS INT)")
+TALK_IN = """SELECT doc, seq, CASE WHEN role = 'system' THEN 'table' WHEN seq % 5 = 4 THEN 'image' ELSE 'text' END AS chunk_type, CAST(1 + floor(seq / 4.0) AS INT) AS page, text AS content,
+ CAST(seq AS DOUBLE) AS x0, CAST(seq * 2 AS DOUBLE) AS y0, CAST(seq + 5 AS DOUBLE) AS x1, CAST(seq * 2 + 1 AS DOUBLE) AS y1
+FROM (SELECT conv_id AS doc, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS INT) AS seq, role, text FROM conversations)"""
 
 BOX_IN = """SELECT l_orderkey % 50 AS page, l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_linenumber = 7 THEN 'rect' ELSE 'char' END AS object_type, CAST(l_partkey % 600 AS DOUBLE) AS x0, CAST(l_suppkey % 700 AS DOUBLE) AS top, CAST(l_partkey % 600 + 8 AS DOUBLE) AS x1, CAST(l_suppkey % 700 + 10 AS DOUBLE) AS bottom, CASE WHEN l_linenumber = 1 AND l_orderkey % 7 = 0 THEN 1 ELSE 0 END AS box FROM lineitem"""
 
@@ -113,7 +122,15 @@ def bbox_mask(d: DataFrame) -> DataFrame:
 
 LINES_IN = """SELECT user_id AS doc, event_id AS ordinal, event_type AS text, CAST(event_id % 500 AS DOUBLE) AS x0, CAST(event_id % 90 AS DOUBLE) / 2 AS top, CAST(event_id % 500 + 10 AS DOUBLE) AS x1, CAST(event_id % 90 AS DOUBLE) / 2 + 8 AS bottom FROM events"""
 
-SECTIONS_IN = """SELECT doc_id AS id, 'x <!-- BEGIN_DIARY -->' || chr(10) || 'old' || chr(10) || '<!-- END_DIARY --> <!-- ' || CASE WHEN doc_id % 2 = 0 THEN 'begin_diary' ELSE 'BEGIN_DIARY' END || ' --> ' || text || ' <!--END_DIARY-->' || CASE WHEN doc_id % 3 = 0 THEN '<!-- BEGIN_LEDGER --> | 1 | a | - | b | <!-- END_LEDGER -->' WHEN doc_id % 3 = 1 THEN '<!-- BEGIN_LEDGER --> cut <!-- END_OTHER -->' ELSE '' END AS raw FROM documents"""
+LINES_OUT = """
+, w AS (SELECT doc, list([{top: top, text: text, x0: x0, up: top, x1: x1, bottom: bottom, n: 1}] ORDER BY ordinal) AS words FROM d GROUP BY doc),
+l AS (SELECT doc, list_reduce(words, lambda a, x: CASE WHEN len(list_filter(a, lambda l: abs(l.top - x[1].top) <= 2.0)) = 0 THEN list_concat(a, x)
+  ELSE list_transform(a, lambda l, i: CASE WHEN i = list_position(list_transform(a, lambda m: abs(m.top - x[1].top) <= 2.0), true)
+   THEN {top: l.top, text: l.text || ' ' || x[1].text, x0: least(l.x0, x[1].x0), up: least(l.up, x[1].up), x1: greatest(l.x1, x[1].x1), bottom: greatest(l.bottom, x[1].bottom), n: l.n + 1} ELSE l END) END) AS lines FROM w),
+u AS (SELECT doc, unnest(lines) AS v, unnest(range(len(lines))) AS line FROM l)
+SELECT doc, CAST(line AS INT) AS line, v.text AS text, v.x0 AS x0, v.up AS top, v.x1 AS x1, v.bottom AS bottom, v.n AS n_words FROM u"""
+
+SECTIONS_IN = """SELECT doc_id AS id, 'x <!-- BEGIN_DIARY -->' || chr(10) || 'old' || chr(10) || '<!-- END_DIARY --> <!-- ' || CASE WHEN doc_id % 2 = 0 THEN 'begin_diary' ELSE 'BEGIN_DIARY' END || ' --> ' || text || ' <!--END_DIARY-->' || CASE WHEN doc_id % 3 = 0 THEN '<!-- BEGIN_LEDGER_ENTRY --> | 1 | a | - | b | <!-- END_LEDGER_ENTRY -->' WHEN doc_id % 3 = 1 THEN '<!-- BEGIN_LEDGER_ENTRY --> cut <!-- END_OTHER -->' ELSE '' END AS raw FROM documents"""
 
 LEDGER_IN = """SELECT o_custkey % 100 AS claim_id, o_orderkey AS doc_idx, CASE CAST(o_orderkey % 6 AS INT) WHEN 0 THEN '| 1 | Status | - | ' || o_orderstatus || ' |' WHEN 1 THEN ' 2 | Priority | ' || o_orderpriority || ' | ' || o_orderstatus || '  ' WHEN 2 THEN '| 3 | only | three |' WHEN 3 THEN '| a | b | c | d | e |' WHEN 4 THEN '|| A | - | B |' ELSE 'no cells' END || chr(10) || '| 9 | Total | - | x' || CAST(o_orderkey AS STRING) || ' |' AS ledger FROM orders"""
 
@@ -136,6 +153,9 @@ UNION ALL SELECT id, 'general.cause', NULL, NULL, NULL FROM d WHERE id % 5 <> 0
 UNION ALL SELECT id, 'odd.note', NULL, NULL, NULL FROM d
 UNION ALL SELECT id, 'financials.reserves.total', 't', raw->'financials'->'reserves'->'total'->>'value', NULL FROM d"""
 
+REGISTRY_IN = "SELECT o_orderkey AS id, CASE CAST(o_orderkey % 39 AS INT) " + " ".join(f"WHEN {i} THEN '{name}'" for i, (name, _) in enumerate(registry.FIELDS)) + " WHEN 37 THEN 'extra.note' END AS path FROM orders"
+REGISTRY_OUT = ", f AS (SELECT * FROM (VALUES " + ", ".join(f"('{name}', '{kind}')" for name, kind in registry.FIELDS) + ") AS t(path, kind)) SELECT id, path, coalesce(kind, 'string') AS kind FROM d LEFT JOIN f USING (path)"
+
 QUERIES: dict[str, Query] = {
     "merge_fields": Query(MERGE_IN, merge_fields, MERGE_OUT),
     "leaf_walk": Query(LEAF_IN, lambda d: extract.leaves(d.select("id", F.parse_json("raw").alias("v")), "v", "id").withColumn("page", F.col("page").cast("string")), LEAF_OUT),
@@ -175,21 +195,21 @@ QUERIES: dict[str, Query] = {
         "SELECT doc, string_agg('[Page ' || CAST(page AS STRING) || ']' || chr(10) || content, chr(10) || chr(10) ORDER BY page, y0, CASE chunk_type WHEN 'table' THEN 0 WHEN 'text' THEN 1 ELSE 2 END, seq) AS content FROM d WHERE chunk_type IN ('text', 'table') AND content <> '' GROUP BY doc",
     ),
     "chunk_order": Query(
-        TALK_IN.replace("CAST(turn * 2 AS DOUBLE)", "CAST(turn % 2 AS DOUBLE)"),
+        TALK_IN.replace("CAST(seq * 2 AS DOUBLE)", "CAST(seq % 2 AS DOUBLE)"),
         lambda d: layout.ordered(d).select("doc", "page", "seq", "order"),
         """SELECT doc, page, seq, CAST(row_number() OVER (PARTITION BY doc, page ORDER BY y0, CASE chunk_type WHEN 'table' THEN 0 WHEN 'text' THEN 1 ELSE 2 END, seq) - 1 AS INT) AS "order" FROM d""",
     ),
     "page_counter": Query(
-        "SELECT conv_id AS doc, turn AS pos, turn % 3 = 2 AS has_break FROM conversations",
-        lambda d: layout.page_numbers(d.distinct()).select("doc", "pos", "page"),
-        "SELECT doc, pos, 1 + sum(CASE WHEN has_break THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS page FROM (SELECT DISTINCT * FROM d)",
+        "SELECT doc, pos, pos % 3 = 2 AS has_break FROM (SELECT conv_id AS doc, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS pos FROM conversations)",
+        lambda d: layout.page_numbers(d).select("doc", F.col("pos").cast("long").alias("pos"), "page"),
+        "SELECT doc, pos::BIGINT AS pos, 1 + sum(CASE WHEN has_break THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS page FROM d",
     ),
     "bbox_mask": Query(
         BOX_IN,
         bbox_mask,
         "SELECT id, page, object_type FROM d o WHERE object_type <> 'char' OR NOT EXISTS (SELECT 1 FROM d b WHERE b.box = 1 AND b.page = o.page AND o.x0 < b.x1 + 90 AND o.x1 > b.x0 AND o.top < b.bottom + 30 AND o.bottom > b.top)",
     ),
-    "line_cluster": Query(LINES_IN, lambda d: layout.cluster_lines(d, ["doc"])),
+    "line_cluster": Query(LINES_IN, lambda d: layout.cluster_lines(d, ["doc"]), LINES_OUT),
     "chunk_counts": Query(
         TALK_IN,
         lambda d: layout.chunk_counts(d, "doc", "page"),
@@ -197,8 +217,8 @@ QUERIES: dict[str, Query] = {
     ),
     "section_extract": Query(
         SECTIONS_IN,
-        lambda d: d.select("id", text.section(F.col("raw"), "DIARY").alias("diary"), text.section(F.col("raw"), "LEDGER").alias("ledger"), text.first_section(F.col("raw"), "DIARY").alias("first")),
-        r"""SELECT id, trim(list_extract(regexp_extract_all(raw, '(?is)<!--\s*BEGIN_DIARY\s*-->(.*?)<!--\s*END_DIARY\s*-->', 1), -1), ' ' || chr(10) || chr(9)) AS diary, trim(list_extract(regexp_extract_all(raw, '(?is)<!--\s*BEGIN_LEDGER\s*-->(.*?)<!--\s*END_LEDGER\s*-->', 1), -1)) AS ledger, trim(regexp_extract(raw, '(?is)<!--\s*BEGIN_DIARY\s*-->(.*?)<!--\s*END_DIARY\s*-->', 1), ' ' || chr(10)) AS first FROM d""",
+        lambda d: d.select("id", text.sections(F.col("raw")).alias("s"), text.first_section(F.col("raw"), "DIARY").alias("first")).select("id", F.try_element_at("s", F.lit("DIARY")).alias("diary"), F.try_element_at("s", F.lit("LEDGER_ENTRY")).alias("ledger"), "first"),
+        r"""SELECT id, trim(list_extract(regexp_extract_all(raw, '(?is)<!--\s*BEGIN_DIARY\s*-->(.*?)<!--\s*END_DIARY\s*-->', 1), -1), ' ' || chr(10) || chr(9)) AS diary, trim(list_extract(regexp_extract_all(raw, '(?is)<!--\s*BEGIN_LEDGER_ENTRY\s*-->(.*?)<!--\s*END_LEDGER_ENTRY\s*-->', 1), -1)) AS ledger, trim(regexp_extract(raw, '(?is)<!--\s*BEGIN_DIARY\s*-->(.*?)<!--\s*END_DIARY\s*-->', 1), ' ' || chr(10)) AS first FROM d""",
     ),
     "ledger_parse": Query(
         LEDGER_IN,
@@ -239,28 +259,84 @@ QUERIES: dict[str, Query] = {
         ", s AS (SELECT id, kind, page, CASE WHEN kind = 'text' THEN replace(content, chr(10), ' ') ELSE 'Table (2x3)' || CASE WHEN content <> '' THEN ' ' || string_split(content, chr(10))[1] ELSE '' END END AS t FROM d) SELECT id, 'Page ' || lpad(CAST(page AS STRING), 2, '0') || ' | Order 01 | ' || CASE WHEN kind = 'text' THEN 'TEXT ' ELSE 'TABLE' END || ' | ' || CASE WHEN length(t) > 100 THEN substr(t, 1, 97) || '...' ELSE t END AS line FROM s",
     ),
     "answer_quality": Query(
-        MONEY_IN.replace("ELSE NULL END AS raw", "ELSE NULL END AS value, CAST(o_orderkey % 4 AS INT) AS page, CASE WHEN o_orderkey % 9 < 7 THEN 'currency' ELSE 'date' END AS kind, CASE WHEN o_orderkey % 2 = 0 THEN 'said' END AS reason"),
-        lambda d: generate.quality_flags(d, "kind", "value", "reason", "page").groupBy("kind").agg(*[F.count_if(~F.col(c)).alias(c.replace("_ok", "_bad")) for c in ("money_ok", "date_ok", "page_ok", "absence_ok", "cell_ok")]),
-        "SELECT kind, count(*) FILTER (kind = 'currency' AND value IS NOT NULL AND NOT regexp_matches(value, '^[A-Z]{3} [0-9]+$')) AS money_bad, count(*) FILTER (kind = 'date' AND value IS NOT NULL AND NOT regexp_matches(value, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$')) AS date_bad, 0::BIGINT AS page_bad, count(*) FILTER (value IS NULL AND reason IS NOT NULL) AS absence_bad, 0::BIGINT AS cell_bad FROM d GROUP BY kind",
+        MONEY_IN.replace("'about ' || whole", "'\"' || whole || '|\"'").replace("ELSE NULL END AS raw", "ELSE NULL END AS value, CAST(o_orderkey % 4 AS INT) AS page, CASE WHEN o_orderkey % 9 < 7 THEN 'currency' ELSE 'date' END AS kind, CASE WHEN o_orderkey % 2 = 0 THEN 'said' END AS reason"),
+        lambda d: generate.quality_flags(d, "kind", "value", "reason", "page").groupBy("kind").agg(*[F.count_if(~F.col(c)).alias(c.replace("_ok", "_bad")) for c in ("money_ok", "date_ok", "page_ok", "absence_ok", "cell_ok", "quotes_ok")]),
+        "SELECT kind, count(*) FILTER (kind = 'currency' AND value IS NOT NULL AND NOT regexp_matches(value, '^[A-Z]{3} [0-9]+$')) AS money_bad, count(*) FILTER (kind = 'date' AND value IS NOT NULL AND NOT regexp_matches(value, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$')) AS date_bad, 0::BIGINT AS page_bad, count(*) FILTER (value IS NULL AND reason IS NOT NULL) AS absence_bad, count(*) FILTER (contains(value, '|')) AS cell_bad, count(*) FILTER (starts_with(value, chr(34)) OR ends_with(value, chr(34))) AS quotes_bad FROM d GROUP BY kind",
     ),
     "image_bytes": Query(
-        "SELECT conv_id AS doc, CAST(turn AS INT) AS image_index, CAST(1 AS INT) AS page, CASE WHEN turn % 2 = 0 THEN CAST(turn AS DOUBLE) END AS x0, 0.5 AS y0, CAST(NULL AS DOUBLE) AS x1, 2.5 AS y1, length(text) AS size FROM (SELECT conv_id, turn, max(text) AS text FROM conversations GROUP BY conv_id, turn)",
+        "SELECT doc, image_index, 1 AS page, CASE WHEN image_index % 2 = 0 THEN CAST(image_index AS DOUBLE) END AS x0, 0.5 AS y0, CAST(NULL AS DOUBLE) AS x1, 2.5 AS y1, size FROM (SELECT conv_id AS doc, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS INT) AS image_index, length(text) AS size FROM conversations)",
         lambda d: layout.with_image_bytes(d.drop("size"), d.where("image_index % 3 <> 0").select("doc", "page", "image_index", "size")).select("doc", "image_index", "x0", "x1", F.coalesce(F.col("size").cast("long"), F.lit(-1)).alias("size")),
-        "SELECT doc, image_index, coalesce(x0, 0.0) AS x0, coalesce(x1, 0.0)::DOUBLE AS x1, CASE WHEN image_index % 3 <> 0 THEN size::BIGINT ELSE -1 END AS size FROM d",
+        "SELECT doc, image_index, coalesce(x0, 0.0) AS x0, coalesce(x1, 0.0)::DOUBLE AS x1, CASE WHEN image_index % 3 <> 0 THEN coalesce(size::BIGINT, -1) ELSE -1 END AS size FROM d",
     ),
     "diary_fold": Query(
-        "SELECT conv_id AS claim_id, CAST(turn AS INT) AS doc_idx, 't' || CAST(turn AS STRING) AS doc, role AS content FROM (SELECT conv_id, turn, max(role) AS role FROM conversations GROUP BY conv_id, turn)",
+        "SELECT claim_id, doc_idx, 't' || CAST(doc_idx AS STRING) AS doc, role || ': ' || coalesce(text, '') || '.' AS content FROM (SELECT conv_id AS claim_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS INT) AS doc_idx, role, text FROM conversations)",
         lambda d: ledger.fold(d, stub_update, "start").select("claim_id", "doc_idx", "diary", "ledger"),
-        "SELECT claim_id, doc_idx, 'start' || coalesce(string_agg(CASE WHEN content <> 'system' THEN '/' || content END, '') OVER (PARTITION BY claim_id ORDER BY doc_idx), '') AS diary, CASE WHEN content <> 'system' THEN '| 1 | f | - | ' || content || ' |' END AS ledger FROM d",
+        "SELECT claim_id, doc_idx, 'start' || coalesce(string_agg(CASE WHEN content NOT LIKE 'system:%' THEN '/' || content END, '') OVER (PARTITION BY claim_id ORDER BY doc_idx), '') AS diary, CASE WHEN content NOT LIKE 'system:%' THEN '| 1 | said | - | ' || length(content) || ' |' END AS ledger FROM d",
+    ),
+    "fold_ledger": Query(
+        "SELECT claim_id, doc_idx, 't' || CAST(doc_idx AS STRING) AS doc, role || ': ' || coalesce(text, '') || '.' AS content FROM (SELECT conv_id AS claim_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS INT) AS doc_idx, role, text FROM conversations)",
+        lambda d: ledger.ledger_text(runs.entries(ledger.fold(d, stub_update, "start")), "# Ledger"),
+        "SELECT claim_id, '# Ledger' || chr(10) || string_agg('| ' || doc || ' | 1 | said | - | ' || length(content) || ' |', chr(10) ORDER BY doc_idx) || chr(10) AS ledger FROM d WHERE content NOT LIKE 'system:%' GROUP BY claim_id",
+    ),
+    "compare_values": Query(
+        "SELECT c_custkey AS id, CASE CAST(c_custkey % 6 AS INT) WHEN 0 THEN '2024-03-05' WHEN 1 THEN 'EUR 500' WHEN 2 THEN 'March 5, 2024' WHEN 4 THEN 'USD 5' WHEN 5 THEN ' ' || c_name END AS a, CASE CAST(c_custkey % 6 AS INT) WHEN 0 THEN '05.03.2024' WHEN 1 THEN '€500,00' WHEN 2 THEN '5  Mar 2024' WHEN 4 THEN 'EUR 5' WHEN 5 THEN c_name || ' ' END AS b FROM customer",
+        lambda d: d.select("id", *[normalize.same(k, F.col("a"), F.col("b")).alias(k) for k in ("date", "currency")]),
+        "SELECT id, id % 6 IN (0, 2, 3, 5) AS date, id % 6 IN (1, 3, 5) AS currency FROM d",
+    ),
+    "normalize_by_kind": Query(
+        "SELECT c_custkey AS id, CASE CAST(c_custkey % 6 AS INT) WHEN 0 THEN 'date' WHEN 1 THEN 'currency' WHEN 2 THEN 'enum' WHEN 3 THEN 'narrative' WHEN 4 THEN 'other' END AS kind, CASE CAST(c_custkey % 6 AS INT) WHEN 0 THEN '7.3.2024 ' WHEN 1 THEN '$ ' || CAST(c_custkey AS STRING) || '.20' WHEN 2 THEN ' Comm' ELSE '  A  ' || c_name || ' ' END AS raw FROM customer",
+        lambda d: d.select("id", normalize.normalize(F.col("kind"), F.col("raw")).alias("value"), normalize.merge_key(F.col("kind"), F.col("raw")).alias("key")),
+        ", v AS (SELECT id, CASE id % 6 WHEN 0 THEN '2024-03-07' WHEN 1 THEN 'USD ' || CAST(id AS VARCHAR) WHEN 2 THEN 'commercial' WHEN 3 THEN regexp_replace(trim(raw), ' +', ' ', 'g') ELSE trim(raw) END AS value FROM d) SELECT id, value, lower(value) AS key FROM v",
+    ),
+    "registry_lookup": Query(REGISTRY_IN, lambda d: registry.with_kind(d), REGISTRY_OUT),
+    "kept_extractions": Query(
+        JSON_IN.replace("SELECT event_id AS id,", "SELECT event_id % 50 AS claim_id, CAST(event_id AS INT) AS doc_idx,"),
+        lambda d: generate.succeeded(d.withColumn("extraction", text.parse_json(F.col("raw")))).select("claim_id", F.try_variant_get("extraction", "$.v", "long").alias("value"), F.col("doc_idx").cast("long").alias("doc_idx")),
+        "SELECT claim_id, CAST(doc_idx AS BIGINT) AS value, row_number() OVER (PARTITION BY claim_id ORDER BY doc_idx) - 1 AS doc_idx FROM d WHERE doc_idx % 4 <> 3",
+    ),
+    "payments_record": Query(
+        PAY_IN,
+        lambda d: merge.payments_record(d).select("claim_id", "field_name", "field_value", joined("source_documents").alias("source_documents"), "confidence"),
+        PAY_OUT.replace("SELECT claim_id, doc_idx, doc, pos, date, amount, description, page FROM k", ", z AS (SELECT * FROM k") + """)
+    SELECT claim_id, 'financials.payments_made' AS field_name, '[' || string_agg('{"date":"' || date || '","amount":"' || amount || '","description":"' || description || '","_page":' || page || ',"_source_document":"' || doc || '"}', ',' ORDER BY doc_idx, pos) || ']' AS field_value,
+     string_agg(doc, ',' ORDER BY doc_idx) AS source_documents, 1.0::DOUBLE AS confidence FROM z GROUP BY claim_id""",
+    ),
+    "final_claim": Query(
+        MERGE_IN.replace("SELECT claim_id, doc_idx,", "SELECT claim_id, doc_idx, event_id,", 1),
+        final_claim,
+        MERGE_OUT.replace("SELECT p.claim_id,", ", m AS (SELECT p.claim_id,") + """),
+    y AS (SELECT claim_id, doc_idx, doc, event_id, page, 'EUR ' || (event_id % 40) AS amount FROM d WHERE event_id % 11 = 0 QUALIFY row_number() OVER (PARTITION BY claim_id, event_id % 40 ORDER BY doc_idx, event_id) = 1),
+    x AS (SELECT claim_id, 0 AS late, field_name, field_value, source_documents, confidence FROM m UNION ALL
+     SELECT claim_id, 1, 'financials.payments_made', '[' || string_agg('{"date":"2024-05-01","amount":"' || amount || '","description":null,"_page":' || coalesce(CAST(page AS VARCHAR), 'null') || ',"_source_document":"' || doc || '"}', ',' ORDER BY doc_idx, event_id) || ']',
+      (SELECT string_agg(u, ',' ORDER BY CAST(substr(u, 4) AS INT)) FROM (SELECT unnest(list_distinct(list(doc))) AS u)), 1.0 FROM y GROUP BY claim_id)
+    SELECT claim_id, CAST(row_number() OVER (PARTITION BY claim_id ORDER BY late, field_name) AS INT) AS ord, field_name, field_value, source_documents, confidence FROM x""",
+    ),
+    "chunk_records": Query(
+        TALK_IN,
+        lambda d: layout.as_records(d),
+        """SELECT '{"doc":' || doc || ',"seq":' || seq || ',"chunk_type":"' || chunk_type || '","page":' || page || ',"content":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || ',"bbox":{"x0":' || x0 || ',"y0":' || y0 || ',"x1":' || x1 || ',"y1":' || y1 || '}}' AS record FROM d""",
+    ),
+    "document_render": Query(
+        TALK_IN,
+        lambda d: layout.rendered(layout.ordered(d.withColumns({"num_rows": F.lit(2), "num_cols": F.lit(3), "image_index": F.lit(0), "width": F.lit(1.5), "height": F.lit(2.0)}))),
+        """, s AS (SELECT *, row_number() OVER (PARTITION BY doc, page ORDER BY y0, CASE chunk_type WHEN 'table' THEN 0 WHEN 'text' THEN 1 ELSE 2 END, seq) - 1 AS o,
+         CASE chunk_type WHEN 'text' THEN replace(content, chr(10), ' ') WHEN 'table' THEN 'Table (2x3)' || CASE WHEN content <> '' THEN ' ' || string_split(content, chr(10))[1] ELSE '' END ELSE 'Image index=0 size=1.5x2.0' END AS t FROM d)
+        SELECT doc, 'Document: ' || doc || ' (' || count(*) || ' chunks extracted)' || chr(10) || repeat('-', 120) || chr(10) || 'PAGE | ORDER | TYPE  | CONTENT SUMMARY' || chr(10) || repeat('-', 120) || chr(10)
+         || string_agg('Page ' || CASE WHEN page < 10 THEN '0' ELSE '' END || page || ' | Order ' || CASE WHEN o < 10 THEN '0' ELSE '' END || o || ' | ' || rpad(upper(chunk_type), 5, ' ') || ' | ' || CASE WHEN chunk_type <> 'image' AND length(t) > 100 THEN substr(t, 1, 97) || '...' ELSE t END, chr(10) ORDER BY page, o) AS shown FROM s GROUP BY doc""",
+    ),
+    "sources_by_field": Query(
+        "SELECT o_orderstatus AS field, 'd' || CAST(o_orderkey % 7 AS STRING) || ',d' || CAST(o_orderkey % 3 AS STRING) AS docs FROM orders",
+        lambda d: runs.sources_by_field(d.withColumn("sources", F.split("docs", ",")), "field").select("field", joined("sources").alias("sources")),
+        "SELECT field, string_agg(u, ',' ORDER BY u) AS sources FROM (SELECT DISTINCT field, unnest(string_split(docs, ',')) AS u FROM d) GROUP BY field",
     ),
 }
 
 
 def stub_update(diary: str, content: str) -> str:
-    """A model that adds the content to the diary, and fails on 'system'."""
-    if content == "system":
+    """A model that adds the content to the diary, and fails on what the system says."""
+    if content.startswith("system:"):
         raise ValueError("no answer")
-    return f"<!-- BEGIN_DIARY -->{diary}/{content}<!-- END_DIARY --><!-- BEGIN_LEDGER -->| 1 | f | - | {content} |<!-- END_LEDGER -->"
+    return f"<!-- BEGIN_DIARY -->{diary}/{content}<!-- END_DIARY --><!-- BEGIN_LEDGER_ENTRY -->| 1 | said | - | {len(content)} |<!-- END_LEDGER_ENTRY -->"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

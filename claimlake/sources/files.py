@@ -12,7 +12,9 @@ from ..functions import text
 
 #: Page size and line height of documents without layout, and units of length: fixed values.
 PAGE_WIDTH, LINE_HEIGHT, ROW_HEIGHT, EMU_PER_INCH, POINTS = 612.0, 12.0, 20.0, 914400, 72
-LAYOUT = "pos int, kind string, text string, rows array<array<string>>, image binary, width double, height double, image_index int, has_break boolean, page int, x0 double, y0 double, x1 double, y1 double"
+#: How far apart characters of a word may lie: fixed values.
+X_TOLERANCE, Y_TOLERANCE = 1.1, 2.0
+LAYOUT = "pos int, seq int, kind string, text string, rows array<array<string>>, image binary, width double, height double, image_index int, has_break boolean, page int, x0 double, y0 double, x1 double, y1 double"
 
 
 def with_index(files: DataFrame, claim: str = "claim_id", name: str = "name") -> DataFrame:
@@ -56,7 +58,7 @@ def decode_docx(content: bytes) -> list[dict]:
                 if blip is None or not blip.get(f"{r}embed"):
                     continue
                 target = parts.get(blip.get(f"{r}embed"))
-                name = posixpath.normpath(posixpath.join("word", target)) if target else ""
+                name = posixpath.normpath(posixpath.join("/word", target)).lstrip("/") if target else ""
                 size = [float(extent.get(k, 0)) / EMU_PER_INCH * POINTS if extent is not None else 0.0 for k in ("cx", "cy")]
                 out.append({"pos": pos, "kind": "image", "image": pack.read(name) if name in pack.namelist() else None, "width": size[0], "height": size[1], "image_index": index})
             if said(node).strip():
@@ -78,7 +80,38 @@ def decode_docx(content: bytes) -> list[dict]:
         page += bool(x.get("has_break"))
         high = ROW_HEIGHT * len(x["rows"]) if x["kind"] == "table" else LINE_HEIGHT
         x |= {"page": page, "x0": 0.0, "y0": float(x["pos"]), "x1": PAGE_WIDTH, "y1": x["pos"] + high}
-    return [x for x in out if x["kind"] != "none"]
+    kept = [x for x in out if x["kind"] != "none"]
+    return [x | {"seq": seq} for seq, x in enumerate(kept)]
+
+
+def _image_bytes(content: bytes) -> Callable[[int], list[bytes | None]]:
+    """Bytes of a page's images by their place, as far as an optional library can read them."""
+    try:
+        import io
+
+        import pypdf
+
+        pages = pypdf.PdfReader(io.BytesIO(content)).pages
+    except Exception:  # without the library, or of a file that it can't read, images have no bytes
+        return lambda page: []
+
+    def of_page(page: int) -> list[bytes | None]:
+        out: list[bytes | None] = []
+        try:
+            for image in pages[page].images:
+                out.append(_bytes_of(image))
+        except Exception:  # the images from here on have no bytes
+            return out
+        return out
+
+    return of_page
+
+
+def _bytes_of(image) -> bytes | None:
+    try:
+        return image.data
+    except Exception:  # this image has no bytes
+        return None
 
 
 def decode_pdf(content: bytes) -> list[dict]:
@@ -89,19 +122,21 @@ def decode_pdf(content: bytes) -> list[dict]:
         raise RuntimeError("reading PDF files needs the optional library pdfplumber") from missing
     import io
 
-    out = []
+    out, image_bytes = [], _image_bytes(content)
     with pdfplumber.open(io.BytesIO(content)) as pdf:
         for number, page in enumerate(pdf.pages, 1):
             tables = page.find_tables()
             boxes = [t.bbox for t in tables]
             for t in tables:
-                out.append({"kind": "table", "rows": t.extract(), "page": number, "x0": t.bbox[0], "y0": t.bbox[1], "x1": t.bbox[2], "y1": t.bbox[3]})
+                out.append({"kind": "table", "rows": t.extract(), "page": number} | dict(zip(("x0", "y0", "x1", "y1"), t.bbox, strict=True)))
             clear = page.filter(lambda o, boxes=boxes: o.get("object_type") != "char" or not any(o["x0"] < b[2] and o["x1"] > b[0] and o["top"] < b[3] and o["bottom"] > b[1] for b in boxes))
-            for word in clear.extract_words(x_tolerance=1.1, y_tolerance=2.0, keep_blank_chars=False, use_text_flow=True):
+            for word in clear.extract_words(x_tolerance=X_TOLERANCE, y_tolerance=Y_TOLERANCE, keep_blank_chars=False, use_text_flow=True):
                 out.append({"kind": "word", "text": word["text"], "page": number, "x0": word["x0"], "y0": word["top"], "x1": word["x1"], "y1": word["bottom"]})
+            raw = image_bytes(number - 1) if page.images else []
             for index, image in enumerate(page.images):
                 box = [float(image.get(k) or 0.0) for k in ("x0", "top", "x1", "bottom")]
-                out.append({"kind": "image", "image_index": index, "page": number, "x0": box[0], "y0": box[1], "x1": box[2], "y1": box[3], "width": float(image.get("width") or 0), "height": float(image.get("height") or 0)})
+                own = {"image_index": index, "image": raw[index] if index < len(raw) else None, "width": float(image.get("width") or 0), "height": float(image.get("height") or 0)}
+                out.append({"kind": "image", "page": number} | own | dict(zip(("x0", "y0", "x1", "y1"), box, strict=True)))
     for pos, x in enumerate(out):
         x["pos"] = pos
     return out
@@ -146,10 +181,30 @@ def write_by_claim(rows: DataFrame, path: str, mode: str, claim: str = "claim_id
 
 
 def reset(claims: DataFrame, diary_path: str, ledger_path: str, diary: str, claim: str = "claim_id") -> None:
-    """Start claims afresh: the template as their diary, an empty ledger."""
-    write_by_claim(claims.select(claim).distinct().withColumn("diary", F.lit(diary)), diary_path, "overwrite", claim)
-    empty = claims.select(claim).distinct().select(claim, *[F.lit(None).cast("string").alias(c) for c in ("document", "page", "field_name", "old_value", "new_value")])
-    write_by_claim(empty, ledger_path, "overwrite", claim)
+    """Start claims afresh: the template as their diary, and no entries in their ledger."""
+    spark, own = claims.sparkSession, claims.select(claim).distinct()
+    write_by_claim(own.withColumn("diary", F.lit(diary)), diary_path, "overwrite", claim)
+    for row in own.toLocalIterator():
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{ledger_path}/{claim}={row[0]}")
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def processed_root(root: str) -> str:
+    """Where results of the claims under a folder go: ``processed`` beside it."""
+    return root.rstrip("/").rsplit("/", 1)[0] + "/processed"
+
+
+def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table by claim that earlier runs left, empty where there is none yet."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+
+
+def read_texts(spark: SparkSession, pattern: str) -> DataFrame:
+    """(claim_id, name, content) of text files one level under each claim's folder, such as diaries and ledgers."""
+    files = spark.read.text(pattern, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    return files.select(F.element_at(F.split("path", "/"), -2).alias("claim_id"), text.file_name(F.col("path")).alias("name"), "content")
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -5,11 +5,13 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from claimlake import prompts
 from claimlake.functions import normalize, registry, tables, text
 from claimlake.operators import extract, generate, layout, ledger, merge
 from claimlake.plans import queries as plans
+from claimlake.plans import runs
 from claimlake.sources import files
-from claimlake.streaming.fold import stream_fold
+from claimlake.streaming.fold import store, stream_fold
 
 
 @pytest.mark.parametrize("name", list(plans.queries()))
@@ -66,6 +68,9 @@ def test_text(spark):
     assert one(spark, text.clean_text, "a\n\n\n\nb  c\td\nhy-\n  phen gluedWord \n") == "a\n\nb c d\nhyphen glued Word"
     assert one(spark, text.clean_text, None) == ""
     assert one(spark, text.unfence, "```JSON\n{}\n```") == "{}"
+    assert one(spark, text.clean_text, "a-\nb-\nc-\n") == "ab-\nc-"
+    assert one(spark, text.sections, "<!-- BEGIN_A --><!-- BEGIN_B -->x<!-- END_B --><!-- END_C -->y<!-- END_B -->") == {"B": "x"}
+    assert one(spark, text.sections, "plain") == {}
     raw = "<!-- BEGIN_A --> 1 <!-- END_A --><!-- begin_a -->\n2\n<!--END_A--><!-- BEGIN_B -->x<!-- END_C -->"
     assert one(spark, text.sections, raw) == {"A": "2"}
     assert one(spark, lambda c: text.first_section(c, "A"), raw) == "1"
@@ -132,12 +137,12 @@ def test_leaves_and_payments(spark):
     assert [(r["date"], r["page"]) for r in extract.payments(d, "v", "id").collect()] == [("d", 3)]
 
 
-def docx() -> bytes:
+def docx(full: bool = True) -> bytes:
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     body = "<w:p><w:r><w:t>One</w:t></w:r><w:r><w:t> two</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t> a </w:t></w:r></w:p></w:tc></w:tr></w:tbl><w:p><w:r><w:br w:type='page'/><w:t>Next</w:t></w:r></w:p>"
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
-        z.writestr("word/document.xml", f"<w:document {w}><w:body>{body}</w:body></w:document>")
+        z.writestr("word/document.xml", f"<w:document {w}><w:body>{body * full}</w:body></w:document>")
     return out.getvalue()
 
 
@@ -185,13 +190,151 @@ def test_generators(spark):
     assert [(r["doc_idx"], r["path"], r["value"]) for r in extract.leaves(kept, "extraction", "claim_id", "doc_idx").orderBy("doc_idx").collect()] == [(0, "a", "good"), (1, "a", "fine")]
 
 
+def said(role):
+    return f"{role}: x."
+
+
 def test_folds(spark, tmp_path):
-    rows = [("c", 0, "d0", "user"), ("c", 1, "d1", "system"), ("c", 2, "d2", "assistant")]
+    rows = [("c", i, f"d{i}", said(r)) for i, r in enumerate(("user", "system", "assistant"))]
     docs = spark.createDataFrame(rows, "claim_id string, doc_idx int, doc string, content string")
+    want = ["s/user: x.", "s/user: x.", "s/user: x./assistant: x."]
     out = ledger.fold(docs, plans.stub_update, "s").orderBy("doc_idx").collect()
-    assert [(r["diary"], r["ledger"] is None, r["error"] is None) for r in out] == [("s/user", False, True), ("s/user", True, False), ("s/user/assistant", False, True)]
+    assert [(r["diary"], r["ledger"], r["error"]) for r in out] == [(want[0], "| 1 | said | - | 8 |", None), (want[1], None, "no answer"), (want[2], "| 1 | said | - | 13 |", None)]
     docs.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = stream_fold(spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in")), plans.stub_update, "s")
-    query = stream.writeStream.format("memory").queryName("folded").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    stream = lambda: stream_fold(spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in")), plans.stub_update, "s")
+    query = stream().writeStream.format("memory").queryName("folded").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     query.awaitTermination(120)
-    assert [r["diary"] for r in spark.table("folded").orderBy("doc").collect()] == ["s/user", "s/user", "s/user/assistant"]
+    assert [(r["diary"], r["ledger"]) for r in spark.table("folded").orderBy("doc").collect()] == [(r["diary"], r["ledger"]) for r in out]
+    at = {k: str(tmp_path / k) for k in ("diary", "ledger", "check")}
+    for _ in range(2):  # the second start finds nothing new
+        store(stream(), at["diary"], at["ledger"], at["check"]).awaitTermination(120)
+    assert [(r["claim_id"], r["diary"]) for r in spark.read.parquet(at["diary"]).collect()] == [("c", want[2])]
+    docs.limit(1).select("claim_id", F.lit(3).alias("doc_idx"), F.lit("d3").alias("doc"), F.lit("user: y.").alias("content")).write.mode("append").parquet(str(tmp_path / "in"))
+    store(stream(), at["diary"], at["ledger"], at["check"]).awaitTermination(120)
+    assert [r["diary"] for r in spark.read.parquet(at["diary"]).collect()] == [want[2] + "/user: y."]
+    assert [(r["doc"], r["new_value"]) for r in spark.read.parquet(at["ledger"]).orderBy("doc").collect()] == [("d0", "8"), ("d2", "13"), ("d3", "8")]
+
+
+def test_answers_of_the_protocol():
+    good = "Hello.\n<!-- BEGIN_DIARY -->\n# Diary\n<!-- END_DIARY -->\n\n<!--  begin_ledger_entry -->\n| 1 | Claim ID | - | C1 |\n<!-- END_LEDGER_ENTRY -->"
+    assert ledger.updated(good) == ("# Diary", "| 1 | Claim ID | - | C1 |")
+    assert ledger.updated("<!-- BEGIN_DIARY -->x<!-- END_DIARY -->") == ("x", "")
+    for bad in (None, "", "nothing", "<!-- BEGIN_DIARY -->  <!-- END_DIARY -->", "<!-- BEGIN_LEDGER_ENTRY -->x<!-- END_LEDGER_ENTRY -->"):
+        assert ledger.updated(bad) is None
+
+
+def test_deep_leaves(spark):
+    deep = {"value": "x", "_page": 1, "reason": None}
+    for i in range(40):
+        deep = {f"k{i}": deep, "none": None}
+    d = spark.createDataFrame([(1, json.dumps(deep)), (2, "[1, 2]"), (3, "null"), (4, '"x"'), (5, "{}"), (6, None)], "id int, raw string").select("id", F.parse_json("raw").alias("v"))
+    rows = extract.leaves(d, "v", "id").collect()
+    assert [(r["id"], r["value"]) for r in rows if r["value"]] == [(1, "x")]
+    assert len(rows) == 41
+    assert max(r["path"].count(".") for r in rows) == 39
+
+
+@pytest.fixture
+def claims(tmp_path):
+    for claim, names in {"k1": ["a.docx", "b.docx", "broken.docx"], "k2": ["only.DOCX"], "k3": ["blank.docx"]}.items():
+        (tmp_path / "claims" / claim).mkdir(parents=True)
+        for name in names:
+            (tmp_path / "claims" / claim / name).write_bytes(b"broken" if "broken" in name else docx(name != "blank.docx"))
+    return str(tmp_path / "claims")
+
+
+def test_chunks_of_documents(spark, claims):
+    listed = files.list_claims(spark, claims)
+    rows = [r for r in runs.parse(listed).orderBy("claim_id", "doc_idx", "page", "order").collect() if r["name"] == "a.docx"]
+    assert [(r["page"], r["order"], r["chunk_type"], r["content"]) for r in rows] == [(1, 0, "text", "One two"), (1, 1, "table", "| a |\n| --- |"), (2, 0, "text", "Next")]
+    assert (rows[1]["num_rows"], rows[1]["num_cols"], rows[1]["y1"] - rows[1]["y0"]) == (1, 1, 20.0)
+    assert {r["content"] for r in runs.contents(listed).where("doc = 'a.docx'").collect()} == {"[Page 1]\nOne two\n\n[Page 1]\n| a |\n| --- |\n\n[Page 2]\nNext"}
+    assert runs.contents(listed).where("claim_id = 'k3' OR doc = 'broken.docx'").isEmpty()
+    one = runs.parse(listed.where("name = 'a.docx'"), "json").drop("claim_id", "doc_idx", "name")
+    whole = json.loads(runs.as_document(one, "a.docx", "docx"))
+    assert [c["content"] for c in whole["chunks"]] == ["One two", '[["a"]]', "Next"]
+
+
+def test_chunks_of_layout(spark):
+    """Words of a page become cleaned lines in order of height, broken up by tables and images."""
+    rows = [("word", "low", 1, 40.0), ("word", "Hello", 1, 10.0), ("word", "World", 1, 11.0), ("word", "again", 1, 30.0), ("image", None, 1, 35.0), ("table", None, 1, 10.0), ("word", "page2", 2, 5.0)]
+    made = [(f"d.{ext}", i, None, kind, word, [["x"], ["y", "z"]] if kind == "table" else None, b"i" if kind == "image" else None, 1.0, 2.0, 0, None, page, float(i), y, i + 1.0, y + 5) for ext in ("pdf",) for i, (kind, word, page, y) in enumerate(rows)]
+    d = spark.createDataFrame(made, "name string, " + files.LAYOUT)
+    got = layout.chunks(d, ["name"]).orderBy("page", "order").collect()
+    assert [(r["page"], r["order"], r["chunk_type"], r["content"]) for r in got] == [(1, 0, "table", "| x |  |\n| --- | --- |\n| y | z |"), (1, 1, "text", "Hello World\nagain"), (1, 2, "image", None), (1, 3, "text", "low"), (2, 0, "text", "page2")]
+    assert (got[0]["num_rows"], got[0]["num_cols"]) == (2, 2)
+    assert (got[1]["y0"], got[1]["y1"], bytes(got[2]["image"])) == (10.0, 35.0, b"i")
+
+
+def test_ingest(spark, claims, tmp_path):
+    def model(prompt):
+        if "Ledger of changes" in prompt:
+            return "no table" if "k2" in prompt else "<!-- BEGIN_SUMMARY -->\n| Field |\n<!-- END_SUMMARY -->"
+        if "# Diary so far" in prompt:
+            assert "[Page 1]\nOne two" in prompt and "{{" not in prompt
+            seen = prompt.split("# Diary so far")[1].split("# New document")[0].count("seen")
+            return f"<!-- BEGIN_DIARY -->{'seen ' * (seen + 1)}<!-- END_DIARY --><!-- BEGIN_LEDGER_ENTRY -->\n| 1 | Status | - | {seen} |\nno row\n<!-- END_LEDGER_ENTRY -->"
+        raise ValueError("an unknown prompt")
+
+    for _ in range(2):  # a second run starts afresh
+        out = runs.ingest(spark, claims, generate.Stub(answer=model))
+    assert out == str(tmp_path / "processed")
+    state = files.read_state(spark, f"{out}/diary", "claim_id string, diary string")
+    assert {r["claim_id"]: r["diary"] for r in state.collect()} == {"k1": "seen seen", "k2": "seen", "k3": prompts.template("diary")}
+    rows = files.read_state(spark, f"{out}/ledger", runs.LEDGER_ROWS).orderBy("claim_id", "doc_idx").collect()
+    assert [(r["claim_id"], r["doc"], r["field_name"], r["new_value"]) for r in rows] == [("k1", "a.docx", "Status", "0"), ("k1", "b.docx", "Status", "1"), ("k2", "only.DOCX", "Status", "0")]
+    assert {r["claim_id"]: r["summary"] for r in files.read_state(spark, f"{out}/summary", "claim_id string, summary string").collect()} == {"k1": "| Field |", "k2": "| Field |"}
+    assert files.read_state(spark, f"{out}/nothing", "claim_id string").isEmpty()
+
+
+def test_extract_and_merge(spark, claims):
+    calls = []
+
+    def model(prompt):
+        assert "general.claim_identification.claim_id (string)" in prompt
+        calls.append(1)
+        return '```json\n{"general": {"claim_identification": {"claim_id": {"reason": "r", "value": "C-1", "_page": 1}}}, "financials": {"payments_made": [{"date": "2024-05-01", "amount": "EUR 5", "description": "é", "_page": 2}]}, "_document": "?"}\n```'
+
+    out = runs.extract_and_merge(spark, claims, generate.Stub(answer=model))
+    per = {(r["claim_id"], r["doc"]): json.loads(r["json"]) for r in spark.read.parquet(f"{out}/extraction").collect()}
+    assert {k: v["_document"] for k, v in per.items()} == {("k1", "a.docx"): "a.docx", ("k1", "b.docx"): "b.docx", ("k2", "only.DOCX"): "only.DOCX"}
+    final = {r["claim_id"]: json.loads(r["value"]) for r in spark.read.text(f"{out}/final_claim").collect()}
+    assert set(final) == {"k1", "k2"}
+    field, paid = final["k1"]
+    assert (field["field_name"], field["field_value"], field["source_documents"], field["confidence"]) == ("general.claim_identification.claim_id", "C-1", ["a.docx", "b.docx"], 1.0)
+    assert json.loads(paid["field_value"]) == [{"date": "2024-05-01", "amount": "EUR 5", "description": "é", "_page": 2, "_source_document": "a.docx"}]
+
+
+def test_questions(spark):
+    d = spark.createDataFrame([(1, "the sky is blue"), (2, "nothing")], "id int, content string")
+    got = runs.answer(d, generate.Stub(answer=lambda p: " blue\n" if "sky" in p.split("Context:")[1] else prompts.REFUSAL), "What colour?", "id").orderBy("id").collect()
+    assert [(r["answer"], r["found"]) for r in got] == [("blue", True), (prompts.REFUSAL, False)]
+
+
+def test_prompts():
+    with pytest.raises(FileNotFoundError):
+        prompts.load("none")
+    assert prompts.template("none") == "# None\n"
+    assert prompts.fill("{{a}} {{b}}", {"a": "{{b}}", "b": "x"}) == "x x"
+    assert all(f"{{{{{key}}}}}" in prompts.load(name) for name, keys in {"update": ["diary", "document"], "summary": ["diary", "ledger"], "extraction": ["fields", "document"], "question": ["question", "context"]}.items() for key in keys)
+
+
+def test_image_targets():
+    ns = "xmlns:w='http://schemas.openxmlformats.org/wordprocessingml/2006/main' xmlns:a='http://schemas.openxmlformats.org/drawingml/2006/main' xmlns:r='http://schemas.openxmlformats.org/officeDocument/2006/relationships' xmlns:wp='http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing'"
+    drawing = lambda i: f"<w:r><w:drawing><wp:inline><wp:extent cx='914400' cy='457200'/><a:blip r:embed='i{i}'/></wp:inline></w:drawing></w:r>"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {ns}><w:body><w:p>{drawing(1)}{drawing(2)}{drawing(3)}</w:p></w:body></w:document>")
+        z.writestr("word/_rels/document.xml.rels", "<Relationships xmlns='http://schemas.openxmlformats.org/package/2006/relationships'><Relationship Id='i1' Target='media/a.png'/><Relationship Id='i2' Target='/word/media/a.png'/><Relationship Id='i3' Target='gone.png'/></Relationships>")
+        z.writestr("word/media/a.png", b"png")
+    got = [x for x in files.decode_docx(out.getvalue()) if x["kind"] == "image"]
+    assert [(x["image"], x["width"], x["height"], x["image_index"]) for x in got] == [(b"png", 72.0, 36.0, 0), (b"png", 72.0, 36.0, 1), (None, 72.0, 36.0, 2)]
+
+
+def test_labels_and_warnings(spark, monkeypatch):
+    assert repr(generate.Stub()) == "<Generator:stub>"
+    row = registry.labels(spark).orderBy("ord").first()
+    assert (row["field_label"], row["kind_label"]) == ("<Field:general.claim_identification.claim_id>", "<FieldType:string>")
+    monkeypatch.delenv("MODEL_TOKEN", raising=False)
+    with pytest.warns(UserWarning, match="MODEL_TOKEN"):
+        generate.get_generator("hosted")
