@@ -1,19 +1,23 @@
 """Personal data by candidate gradient boosting.
 
 Base patterns find e-mail addresses, IP addresses, cards and phone numbers for certain. High-recall generators
-propose further spans; boosted trees over format and context features score them, and a threshold calibrated
-for precision selects what is added. Everything runs on built-in functions; the trees are fitted once on a
-fixed list of examples and become one arithmetic expression.
+propose further spans, which may overlap; boosted trees over format and context features score them, and a
+threshold calibrated for precision selects what is added. Everything runs on built-in functions; the trees are
+fitted once on examples from grammars of formats and become one arithmetic expression.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .spans import NO_SPANS, places
+from . import common
+from .pii_examples import HASH, PERSON, SECRET, THING, Example, examples
+from .spans import NO_SPANS, bind, clear_of, places, replaced, united
 
 #: Base patterns: fixed values, written so that no text makes them retry or recurse.
 #: A match may start only where a run of its first class starts, or where the match before it ended.
@@ -25,90 +29,137 @@ BASE = {
 }
 #: What a text must hold for a pattern to be tried at all.
 HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
+_DATE = r"(?:[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2})(?![0-9])"
+#: Kinds whose every generator asks for a digit.
+NUMERIC = {"phone", "ssn", "iban", "birth"}
 #: Generators of further candidates: kind and pattern.
 PROPOSED = [
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}[\x20]?[(\[][\x20]?(?:at|AT)[\x20]?[)\]][\x20]?[A-Za-z0-9-]{1,63}(?:[\x20]?[(\[][\x20]?(?:dot|DOT)[\x20]?[)\]][\x20]?[A-Za-z0-9-]{1,63}){1,4}"),
     ("phone", r"(?<![0-9A-Za-z+-])(?:\([0-9]{3}\)[\x20]?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9A-Za-z-])"),
     ("phone", r"(?<![0-9A-Za-z+-])00[1-9][0-9]{0,2}[\x20.-][0-9][0-9\x20.-]{6,14}[0-9](?![0-9A-Za-z-])"),
+    ("phone", r"(?<![0-9A-Za-z+.-])0[1-9][0-9]{0,3}(?:[\x20/-][0-9]{2,6}){2,5}(?![0-9A-Za-z-])"),
     ("ssn", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
     ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]{4}){3,7}(?:[\x20]?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"),
+    ("secret", r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+={0,2}"),
+    ("secret", r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api[_-]?key)[\x22']?[\x20]{0,3}[:=][\x20]{0,3}[\x22']?[^\s\x22',;]{6,}+[\x22']?"),
+    ("secret", r"-----BEGIN[A-Z\x20]{0,40}PRIVATE[\x20]KEY-----"),
+    ("birth", r"(?<![A-Za-z])(?i:born|dob|birth|geboren|née?|nacid[oa])[^0-9\n]{1,24}" + _DATE),
 ]
-#: What a text must hold for them to be tried: every match of each of them holds a match of this.
-HINT_PROPOSED = r"[0-9][-.\x20)][\x20]?[0-9]{3}|[0-9]-[0-9]{2}-|[A-Z]{2}[0-9]{2}|[(\[][\x20]?(?:at|AT)[\x20]?[)\]]|(?<![0-9A-Za-z+-])00[1-9][0-9]{0,2}[\x20.-][0-9]"
+KINDS = [*BASE, "ssn", "iban", "secret", "birth"]
 SPAN = "array<struct<kind:string,start:int,end:int,found:string>>"
+PROPOSAL = "array<struct<kind:string,start:int,end:int,found:string,before:string,after:string>>"
 CONTEXT = 32
-
-#: Examples that the trees are fitted on: before, found, after, whether it is personal data.
-EXAMPLES = [
-    ("please call ", "555-123-4567", " today", 1), ("phone: ", "(212) 555-0187", ".", 1), ("tel. ", "415 555 2671", ", ask for Ann", 1), ("my mobile is ", "202.555.0143", "", 1),
-    ("reach me at ", "303-555-0198", " after six", 1), ("fax ", "617-555-0121", "", 1), ("contact ", "(646) 555-3890", " or mail", 1), ("cell ", "0049 30 901820", "", 1), ("whatsapp ", "0033 1 42 68 53 00", " ok", 1),
-    ("order no. ", "555-123-4567", " shipped", 0), ("part number ", "100 200 3000", " in stock", 0), ("serial ", "123-456-7890", "", 0), ("isbn ", "978-316-1484", " hardcover", 0), ("invoice ", "200-100-5500", " due", 0),
-    ("version ", "100.200.3000", " released", 0), ("sum of ", "100 200 3000", " units", 0), ("the values ", "123 456 7890", " and", 0), ("table row ", "111 222 3333", " | 44", 0), ("between ", "001 5 200 300 400 5", " and", 0),
-    ("ssn ", "123-45-6789", "", 1), ("social security number: ", "078-05-1120", ".", 1), ("social security no ", "219-09-9999", " on file", 1), ("tax id of applicant ", "457-55-5462", "", 1),
-    ("lot ", "123-45-6789", " of screws", 0), ("part ", "900-00-1234", " fits", 0), ("code ", "000-12-3456", "", 0), ("ref ", "666-01-0001", " closed", 0), ("batch ", "321-54-9876", "", 0),
-    ("iban ", "DE89 3704 0044 0532 0130 00", "", 1), ("account: ", "GB29NWBK60161331926819", " please", 1), ("transfer to ", "FR14 2004 1010 0505 0001 3M02 606", "", 1), ("bank account ", "ES9121000418450200051332", ".", 1),
-    ("key ", "AB12 CDEF GHIJ KLMN", " activates", 0), ("licence ", "XX99 AAAA BBBB CCCC DDDD", "", 0), ("product key ", "QW12ERTY34UI56OP", "", 0), ("model ", "TV55 1000 2000 3000", " sale", 0),
-    ("mail me: ", "ann (at) example (dot) com", "", 1), ("write to ", "bob [at] example [dot] org", " now", 1), ("contact ", "c.d [AT] mail [DOT] example [DOT] net", "", 1), ("e-mail ", "eve(at)example(dot)com", ".", 1),
-]
-#: Words before a candidate: fixed values.
-TELLS_PERSON = r"(?i)(?:call|phone|tel|mobile|cell|fax|contact|reach|whatsapp|ssn|social|security|tax id|applicant|iban|account|bank|transfer|mail|write to)"
-TELLS_THING = r"(?i)(?:order|part|serial|isbn|invoice|version|sum|value|table|row|lot|code|ref|batch|key|licen[cs]e|model|between|number of|no\.\x20?$)"
-FEATURES = ["person", "thing", "separators", "digits", "letters", "kind_email", "kind_iban", "kind_ssn", "paren", "dotted", "invalid"]
-ROUNDS, RATE, LEAST_PRECISION = 40, 0.3, 0.98
-
-
-def features(kind: Column, found: Column, before: Column, after: Column) -> list[Column]:
-    """Format and context features, one column of doubles for each of FEATURES."""
-    digits = F.length(F.regexp_replace(found, "[^0-9]", ""))
-    bad_ssn = (kind == "ssn") & found.rlike(r"^(?:000|666|9[0-9]{2})-|-00-|-0000$")
-    flags = [before.rlike(TELLS_PERSON), before.rlike(TELLS_THING), F.length(F.regexp_replace(found, "[^-. ]", "")), digits, F.length(F.regexp_replace(found, "[^A-Za-z]", "")), kind == "email", kind == "iban", kind == "ssn", found.startswith("("), found.contains("."), bad_ssn | after.startswith("|")]
-    return [f.cast("double") for f in flags]
-
-
-def fit(rows: list[list[float]], labels: list[int], rounds: int = ROUNDS, rate: float = RATE) -> tuple[float, list[tuple]]:
-    """Gradient boosting for the logistic loss with trees of depth two: start value and trees.
-
-    A tree is (feature, cut, left, right); a side is a leaf value or (feature, cut, value, value).
+#: Rounds of boosting, learning rate, cuts tried per feature, and the precision that the threshold is calibrated for.
+ROUNDS, RATE, CUTS, LEAST_PRECISION = 50, 0.3, 12, 0.98
+
+
+def _words(words: list[str]) -> str:
+    return rf"(?i)(?<![a-z])(?:{'|'.join(words)})"
+
+
+def _valid_account(found: Column) -> Column:
+    """Whether an account number's check digits hold modulo 97."""
+    plain = F.replace(found, F.lit(" "), F.lit(""))
+    moved = F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))
+    digits = F.flatten(F.transform(F.split(moved, ""), lambda c: F.when(c.rlike("^[0-9]$"), F.array(c.cast("int"))).otherwise(F.array(F.floor((F.ascii(c) - 55) / 10).cast("int"), ((F.ascii(c) - 55) % 10).cast("int")))))
+    return F.aggregate(F.filter(digits, lambda d: d.isNotNull()), F.lit(0), lambda a, d: (a * 10 + d) % 97) == 1
+
+
+def features(kind: Column, found: Column, before: Column, after: Column) -> dict[str, Column]:
+    """Format and context features by name, doubles."""
+    count = lambda pattern, c=found: F.regexp_count(c, F.lit(pattern))
+    group = lambda n: F.regexp_extract(found, r"^[^0-9]*([0-9]+)" + r"[^0-9]+([0-9]+)" * (n - 1), n)
+    number = lambda c: F.coalesce(c.try_cast("int"), F.lit(-1))
+    size = F.greatest(F.length(found), F.lit(1))
+    value = F.regexp_replace(found, r"^(?i:password|passwd|pwd|secret|token|api[_-]?key)[\x22']?[\x20]{0,3}[:=][\x20]{0,3}", "")
+    date = F.regexp_extract(found, rf"({_DATE})", 1)
+    iso = date.rlike("^[0-9]{4}-")
+    parts = F.split(date, "[./-]")
+    day, month, year = (number(F.when(iso, F.get(parts, F.lit(2 - i))).otherwise(F.get(parts, F.lit(i)))) for i in range(3))
+    flags = {
+        "person": before.rlike(_words(PERSON)),
+        "thing": before.rlike(_words(THING)),
+        "secret_word": before.rlike(_words(SECRET)) | found.rlike(r"^(?i:password|passwd|pwd|secret|token|api[_-]?key)"),
+        "hash_word": before.rlike(_words(HASH)),
+        "assigned": before.rlike(r"[=:][\x20]?[\x22']?$"),
+        "quoted": after.rlike(r"^[\x22']"),
+        "in_table": before.rlike(r"\|[\x20]?$") | after.rlike(r"^[\x20]?\|"),
+        "number_before": before.rlike(r"[0-9][\x20]?$"),
+        "number_after": after.rlike(r"^[\x20][0-9]"),
+        "separators": count(r"[-./\x20]"),
+        "spaces": count(r"[\x20]"),
+        "dots": count(r"[.]"),
+        "dashes": count(r"-"),
+        "digits": count("[0-9]"),
+        "groups": count("[0-9]+"),
+        "first_group": F.length(group(1)),
+        "first_digit": number(F.substring(group(1), 1, 1)),
+        "second_digit": number(F.substring(group(2), 1, 1)),
+        "round": F.length(F.regexp_extract(found, "(0*)$", 1)),
+        "paren": found.startswith("("),
+        "double_zero": found.startswith("00"),
+        "valid_account": (kind == "iban") & _valid_account(F.when(kind == "iban", found).otherwise(F.lit(""))),
+        "valid_ssn": (kind == "ssn") & ~found.rlike(r"^(?:000|666|9[0-9]{2})-|-00-|-0000$"),
+        "last_label": F.length(F.regexp_extract(found, r"([A-Za-z]*)$", 1)),
+        "key_block": found.startswith("-----BEGIN"),
+        "value_digits": count("[0-9]", value) / F.greatest(F.length(value), F.lit(1)),
+        "value_length": F.length(value),
+        "digit_runs": count("[0-9]+", value) / F.greatest(F.length(value), F.lit(1)),
+        "upper": count("[A-Z]", value) / F.greatest(F.length(value), F.lit(1)),
+        "distinct": F.size(F.array_distinct(F.split(F.substring(value, 1, 256), ""))) / F.least(size, F.lit(256)),
+        "joints": count("[_/-]", value),
+        "hex": value.rlike(r"^[\x22']?[0-9a-f]{16,}[\x22']?$"),
+        "date_ok": (kind == "birth") & day.between(1, 31) & month.between(1, 12) & (F.least(day, month) <= 12),
+        "year_ok": (kind == "birth") & year.between(1900, 2025),
+        **{f"kind_{k}": kind == k for k in ("email", "phone", "ssn", "iban", "secret", "birth")},
+    }
+    return {name: F.coalesce(c.cast("double"), F.lit(0.0)) for name, c in flags.items()}
+
+
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, rate: float = RATE) -> tuple[float, list]:
+    """Gradient boosting for the logistic loss with trees of depth three: start value and trees.
+
+    A tree is a leaf value or (feature, cut, left, right); rows at or under the cut go left.
     """
-    share = min(max(sum(labels) / max(len(labels), 1), 0.01), 0.99)
+    share = min(max(float(y.mean()) if len(y) else 0.5, 0.01), 0.99)
     start = math.log(share / (1 - share))
-    scores, trees = [start] * len(rows), []
-
-    def leaf(at: list[int], g: list[float], h: list[float]) -> float:
-        return rate * sum(g[i] for i in at) / (sum(h[i] for i in at) + 1.0)
-
-    def split(at: list[int], g: list[float], h: list[float]):
-        best = None
-        for f in range(len(rows[0])):
-            values = sorted({rows[i][f] for i in at})
-            for low, high in zip(values, values[1:], strict=False):
-                cut = (low + high) / 2
-                left = [i for i in at if rows[i][f] <= cut]
-                right = [i for i in at if rows[i][f] > cut]
-                gain = sum(sum(g[i] for i in side) ** 2 / (sum(h[i] for i in side) + 1.0) for side in (left, right))
-                if best is None or gain > best[0] + 1e-12:
-                    best = (gain, f, cut, left, right)
-        return best
-
-    for _ in range(rounds):
-        p = [1 / (1 + math.exp(-s)) for s in scores]
-        g, h = [y - q for y, q in zip(labels, p, strict=True)], [q * (1 - q) for q in p]
-        top = split(list(range(len(rows))), g, h)
-        if top is None:
-            break
-        sides = []
-        for at in top[3:]:
-            sub = split(at, g, h)
-            sides.append((sub[1], sub[2], leaf(sub[3], g, h), leaf(sub[4], g, h)) if sub else leaf(at, g, h))
-        trees.append((top[1], top[2], *sides))
-        scores = [s + grown(trees[-1], r) for s, r in zip(scores, rows, strict=True)]
+    scores, trees = np.full(len(y), start), []
+    cuts = []
+    for f in range(x.shape[1]):
+        values = np.unique(x[:, f])
+        middle = (values[1:] + values[:-1]) / 2
+        cuts.append(middle[np.unique(np.linspace(0, len(middle) - 1, min(CUTS, len(middle))).astype(int))] if len(middle) else middle)
+
+    def grow(at: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int):
+        leaf = rate * g[at].sum() / (h[at].sum() + 1.0)
+        if not depth or len(at) < 8:
+            return float(leaf)
+        best = (g[at].sum() ** 2 / (h[at].sum() + 1.0) + 1e-9, None, 0.0)
+        for f, tried in enumerate(cuts):
+            if len(tried):
+                low = x[at, f][None, :] <= tried[:, None]
+                gl, hl = low @ g[at], low @ h[at]
+                gain = gl**2 / (hl + 1.0) + (g[at].sum() - gl) ** 2 / (h[at].sum() - hl + 1.0)
+                top = int(np.argmax(gain))
+                if gain[top] > best[0] + 1e-9:
+                    best = (float(gain[top]), f, float(tried[top]))
+        if best[1] is None:
+            return float(leaf)
+        side = x[at, best[1]] <= best[2]
+        return best[1], best[2], grow(at[side], g, h, depth - 1), grow(at[~side], g, h, depth - 1)
+
+    for _ in range(rounds if len(y) else 0):
+        p = 1 / (1 + np.exp(-scores))
+        trees.append(grow(np.arange(len(y)), y - p, p * (1 - p), 3))
+        scores = scores + grown(trees[-1], x)
     return start, trees
 
 
-def grown(tree, row: list[float]) -> float:
+def grown(tree, x: np.ndarray) -> np.ndarray:
+    """What a tree adds to the score of each row."""
     if not isinstance(tree, tuple):
-        return tree
-    return grown(tree[2] if row[tree[0]] <= tree[1] else tree[3], row)
+        return np.full(len(x), tree)
+    return np.where(x[:, tree[0]] <= tree[1], grown(tree[2], x), grown(tree[3], x))
 
 
 def tree_column(tree, inputs: list[Column]) -> Column:
@@ -117,28 +168,32 @@ def tree_column(tree, inputs: list[Column]) -> Column:
     return F.when(inputs[tree[0]] <= tree[1], tree_column(tree[2], inputs)).otherwise(tree_column(tree[3], inputs))
 
 
-def example_kind(found: str) -> str:
-    return "email" if "at" in found.lower() and not any(c.isdigit() for c in found) else "iban" if found[:2].isalpha() else "ssn" if [len(x) for x in found.split("-")] == [3, 2, 4] else "phone"
+def matrix(spark: SparkSession, rows: list[Example]) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of examples, by the same expressions as the corpus' candidates."""
+    d = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, kind string, found string, before string, after string, label int")
+    made = d.select("i", "label", F.array(*features(*(F.col(c) for c in ("kind", "found", "before", "after"))).values()).alias("x")).collect()  # the examples, whose number is fixed
+    made.sort(key=lambda r: r["i"])
+    return np.array([r["x"] for r in made]), np.array([r["label"] for r in made], dtype=float)
+
+
+_fitted: list[tuple[float, list, float]] = []
 
 
-def model(spark) -> tuple[float, list[tuple], float]:
-    """Start value, trees and threshold, fitted on EXAMPLES; their features come from the same expressions as the corpus'."""
-    one = F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip((*e, example_kind(e[1])), ("before", "found", "after", "label", "kind"), strict=True)]) for e in EXAMPLES])
-    rows = spark.range(1).select(F.explode(one).alias("e")).select("e.*")
-    rows = rows.select("label", F.array(*features(F.col("kind"), F.col("found"), F.col("before"), F.col("after"))).alias("x")).collect()  # len(EXAMPLES) rows
-    x, y = [list(r["x"]) for r in rows], [r["label"] for r in rows]
-    start, trees = fit(x, y)
-    # calibrated out of fold: the least threshold that holds the precision asked for, never below one half
-    scored = []
-    for fold in range(4):
-        s, t = fit([v for i, v in enumerate(x) if i % 4 != fold], [v for i, v in enumerate(y) if i % 4 != fold])
-        scored += [(1 / (1 + math.exp(-s - sum(grown(q, x[i]) for q in t))), y[i]) for i in range(len(x)) if i % 4 == fold]
-    threshold = 1.0
-    for cut in sorted({p for p, _ in scored}, reverse=True):
-        over = [label for p, label in scored if p >= cut]
-        if sum(over) / len(over) >= LEAST_PRECISION:
-            threshold = cut
-    return start, trees, max(threshold, 0.5)
+def model(spark: SparkSession) -> tuple[float, list, float]:
+    """Start value, trees and the least score that is selected, fitted once per process on the examples.
+
+    The threshold is calibrated out of fold: the least one, from one half on, that holds the precision asked for.
+    """
+    if not _fitted:
+        x, y = matrix(spark, examples())
+        scored = np.zeros(len(y))
+        for fold in range(4):
+            out = np.arange(len(y)) % 4 == fold
+            start, trees = fit(x[~out], y[~out])
+            scored[out] = start + sum(grown(t, x[out]) for t in trees)
+        precise = [c for c in np.unique(scored) if c >= 0 and y[scored >= c].mean() >= LEAST_PRECISION]
+        _fitted.append((*fit(x, y), float(min(precise, default=math.inf))))
+    return _fitted[0]
 
 
 def luhn(digits: Column) -> Column:
@@ -177,61 +232,74 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def candidates(text: Column) -> Column:
-    """array<struct<kind, start, end, found>> of what the generators propose."""
-    every = F.concat(*[_tagged(k, places(text, F.lit(p))) for k, p in PROPOSED])
-    return F.when(text.rlike(HINT_PROPOSED), every).otherwise(F.array().cast(SPAN))
+    """array<struct<kind, start, end, found, before, after>> of what the generators propose; a generator runs where its own pattern matches."""
+    out = []
+    for kind, pattern in PROPOSED:
+        tagged = F.transform(places(text, F.lit(pattern), CONTEXT), _tag(kind, "before", "after"))
+        may = text.rlike("[0-9]") & text.rlike(pattern) if kind in NUMERIC else text.rlike(pattern)
+        out.append(F.when(may, tagged).otherwise(F.array().cast(PROPOSAL)))
+    return F.concat(*out)
 
 
-def _tagged(kind: str, spans: Column) -> Column:
-    return F.transform(spans, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["found"].alias("found")))
+def _tag(kind: str, *more: str):
+    return lambda m: F.struct(F.lit(kind).alias("kind"), *[m[n].alias(n) for n in ("start", "end", "found", *more)])
+
+
+def selected(proposals: Column, fitted: tuple[float, list, float]) -> Column:
+    """The proposals whose score reaches the threshold, as spans."""
+    start, trees, least = fitted
+
+    def good(m: Column) -> Column:
+        inputs = F.array(*features(m["kind"], m["found"], m["before"], m["after"]).values())
+        score = lambda x: reduce(lambda a, t: a + tree_column(t, [x[i] for i in range(len(names))]), trees, F.lit(start))
+        return bind(inputs, lambda x: score(x) >= least)
+
+    names = list(features(*[F.lit("")] * 4))
+    kept = F.filter(proposals, good) if least < math.inf else F.slice(proposals, 1, 0)
+    return F.transform(kept, lambda m: F.struct(*[m[n].alias(n) for n in ("kind", "start", "end", "found")]))
+
+
+def _located(docs: DataFrame, text: str) -> DataFrame:
+    """(row, text, base, added): the input as one column, so that no name of it can clash."""
+    fitted = model(docs.sparkSession)
+    none = F.array().cast(SPAN)
+    held = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    whole = F.col("text")
+    kinds = F.when(whole.rlike("[0-9@]"), F.struct(*[c.alias(k) for k, c in base_spans(whole).items()]))
+    held = held.withColumns({"kinds": kinds, "more": candidates(whole)})
+    base = F.coalesce(F.concat(*[F.transform(f"kinds.{k}", _tag(k)) for k in BASE]), none)
+    held = held.select("row", "text", base.alias("base"), "more")
+    added = bind(selected(F.col("more"), fitted), lambda m: F.when(F.size(m) > 0, united(clear_of(m, F.col("base")))).otherwise(none))
+    return held.select("row", "text", "base", F.when(F.size("more") > 0, added).otherwise(none).alias("added"))
 
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
     """All columns with ``base`` and ``added``: arrays of (kind, start, end, found), in code points, end exclusive.
 
-    A null text has no spans. Added spans never overlap base ones, nor each other (the earlier, then longer, wins).
-    Columns named like an output are replaced; repeated rows come out as often as they occur; an empty table
-    gives an empty result.
+    A null text has no spans. Added spans never overlap base ones; those that overlap each other are one span, with the
+    kind and text of the first. Columns named like an output are replaced; repeated rows come out as often as they
+    occur; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    start, trees, threshold = model(spark)
-    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    held = docs.withColumn("_text", whole).withColumn("_spans", F.when(whole.rlike("[0-9@]"), F.struct(*[c.alias(k) for k, c in base_spans(whole).items()])))
-    base = F.coalesce(F.concat(*[_tagged(k, F.col(f"_spans.{k}")) for k in BASE]), F.array().cast(SPAN))
-    held = held.withColumn("base", base).drop("_spans").withColumn("_more", candidates(F.col("_text")))
-
-    def good(m: Column) -> Column:
-        begin = F.greatest(m["start"] - CONTEXT, F.lit(0))
-        inputs = features(m["kind"], m["found"], F.substring(F.col("_text"), begin + 1, m["start"] - begin), F.substring(F.col("_text"), m["end"] + 1, F.lit(3)))
-        return F.exists(F.array(F.array(*inputs)), lambda x: sum((tree_column(t, [x[i] for i in range(len(FEATURES))]) for t in trees), F.lit(start)) >= math.log(threshold / (1 - threshold)) if threshold < 1 else F.lit(False))
-
-    clear = lambda m, others: ~F.exists(others, lambda o: (o["start"] < m["end"]) & (m["start"] < o["end"]))
-    chosen = F.filter(F.filter(F.col("_more"), lambda m: clear(m, F.col("base"))), good)
-    key = F.array_sort(F.transform(chosen, lambda m: F.struct(m["start"].alias("start"), (-m["end"]).alias("last"), m["kind"].alias("kind"), m["found"].alias("found"))))
-    added = F.aggregate(key, F.array().cast(SPAN), lambda a, m: F.when(F.exists(a, lambda o: o["end"] > m["start"]), a).otherwise(F.array_append(a, F.struct(m["kind"].alias("kind"), m["start"].alias("start"), (-m["last"]).alias("end"), m["found"].alias("found")))))
-    return held.withColumn("added", F.when(F.size("_more") > 0, added).otherwise(F.array().cast(SPAN))).drop("_more", "_text")
+    found = _located(docs, text)
+    return found.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in ("base", "added")], "base", "added")
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The input with every span of its text replaced by its kind in angle brackets; null stays null."""
-    found = find(docs, text)
-    spans = F.array_sort(F.transform(F.concat("base", "added"), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["kind"].alias("kind"))))
-    empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda s, m: F.when(m["start"] < s["at"], s).otherwise(F.struct(m["end"].alias("at"), F.concat(s["out"], F.substring(F.col(text), s["at"] + 1, m["start"] - s["at"]), F.lit("<"), m["kind"], F.lit(">")).alias("out")))
-    clean = F.aggregate(spans, empty, step, lambda s: F.concat(s["out"], F.substring(F.col(text), s["at"] + 1, F.length(F.col(text)))))
-    return found.withColumn(text, F.when(F.size(spans) > 0, clean).otherwise(F.col(text))).drop("base", "added")
+    """The input with every span of its text replaced by its kind in angle brackets; null stays null. Overlapping spans are one."""
+    found = _located(docs, text)
+    clean = F.when(F.col("row")[text].isNotNull(), replaced(F.col("text"), united(F.concat("base", "added"))))
+    return found.select(*[clean.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def digest(spans: Column) -> Column:
     """kind:start:end of each span, by kind as listed and then start, comma-joined."""
-    rank = lambda k: F.array_position(F.array(*[F.lit(x) for x in (*BASE, "ssn", "iban")]), k)
+    rank = lambda k: F.array_position(F.array(*[F.lit(x) for x in KINDS]), k)
     sorted_ = F.array_sort(F.transform(spans, lambda m: F.struct(rank(m["kind"]).alias("r"), m["start"].alias("start"), m["end"].alias("end"), m["kind"].alias("kind"))))
     return F.array_join(F.transform(sorted_, lambda m: F.concat_ws(":", m["kind"], m["start"].cast("string"), m["end"].cast("string"))), ",")
 
 
-def op7(spark, sf_dir: str) -> DataFrame:
-    from . import common
-
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda k: F.size(F.filter("base", lambda m: m["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *[count(k) for k in BASE], F.sha2(digest(F.col("base")), 256).alias("base_sha256"), digest(F.concat("base", "added")).alias("spans"))
+    both = F.concat("base", "added")
+    return found.select("doc_id", *[count(k) for k in BASE], F.sha2(digest(F.col("base")), 256).alias("base_sha256"), digest(both).alias("spans"), F.size(both).cast("long").alias("n_spans"), F.size("added").cast("long").alias("n_added"))
