@@ -16,14 +16,15 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only after its rows were counted and are at most this many.
 BROADCAST_ROWS = 100_000
-#: Bit arrays of filters: bits per entry, least and most bits. 2**30 bits are at most 2**24 words of 64.
-BITS_PER_ENTRY, LEAST_BITS, MOST_BITS = 32, 1 << 16, 1 << 30
+#: Bit arrays of filters: bits per entry and least bits; filters of at most so many words of 64 bits are broadcast.
+BITS_PER_ENTRY, LEAST_BITS, BROADCAST_WORDS = 32, 1 << 16, 1 << 20
 HASHES = 2
 #: ASCII white space of the contracts, for Java and RE2 regular expressions.
 WS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own: list[str] = []
+_written: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,9 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where the session names none."""
+    """The shared folder of the cluster, which the session must name; on a single machine a temporary one will do."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local"):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="claimlake-"))
         base = _own[0]
@@ -45,9 +49,30 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/claimlake/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def mark() -> int:
+    """Where the list of scratch tables ends now, for release()."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0, *keep: DataFrame) -> None:
+    """Remove the scratch tables written since a mark, save the kept ones; call it when nothing reads them any more."""
+    kept = [file.rsplit("/", 1)[0] for df in keep for file in df.inputFiles()]
+    stay = [path for path in _written[since:] if any(k.endswith(path.rsplit("/", 1)[1]) for k in kept)]
+    for path in _written[since:]:
+        if path not in stay:
+            _delete(spark, path)
+    _written[since:] = stay
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most so many: a worker holds what it derives from that many texts."""
     for batch in batches:
@@ -59,8 +84,7 @@ def discard(*tables: DataFrame) -> None:
     """Remove scratch tables that nothing will read again."""
     for df in tables:
         for file in df.inputFiles()[:1]:
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
-            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            _delete(df.sparkSession, file.rsplit("/", 1)[0])
 
 
 def small_side(df: DataFrame) -> DataFrame:
@@ -76,7 +100,7 @@ def unit_hash(*cols: Column | str, seed: int | Column = 0) -> Column:
 
 def filter_bits(entries: int) -> int:
     bits = LEAST_BITS
-    while bits < min(MOST_BITS, BITS_PER_ENTRY * entries):
+    while bits < BITS_PER_ENTRY * entries:
         bits *= 2
     return bits
 
@@ -108,13 +132,44 @@ def filter_words(keys: DataFrame, key: str, bits: int, least: int = 1) -> DataFr
 
 
 def might_hold(df: DataFrame, words: DataFrame, key: str, bits: int, hit: str) -> DataFrame:
-    """Add boolean column ``hit``: whether the filter may hold the key. The filter has at most bits / 64 rows, so it is broadcast."""
+    """Add boolean column ``hit``: whether the filter may hold the key; df has no columns named _at, _own, _word or _mask.
+
+    A filter of ``bits`` has at most bits / 64 rows. It is broadcast up to BROADCAST_WORDS; a larger one is parted by
+    word and the rows go to their part, so that neither the driver nor a task ever holds a filter that grows.
+    """
     word, spots = _place(F.col(key), bits)
     part = words.select(F.col("word").alias("_word"), F.col("mask").alias("_mask"))
-    probed = df.withColumns({"_at": word, "_own": _mask(spots)}).join(F.broadcast(part), F.col("_at") == F.col("_word"), "left")
+    part = F.broadcast(part) if bits // 64 <= BROADCAST_WORDS else part
+    probed = df.withColumns({"_at": word, "_own": _mask(spots)}).join(part, F.col("_at") == F.col("_word"), "left")
     return probed.select(*df.columns, F.coalesce(F.col("_mask").bitwiseAND(F.col("_own")) == F.col("_own"), F.lit(False)).alias(hit))
 
 
+def address(doc_id: str, text: str) -> list[Column]:
+    """Two hashes of a row's id and text, 128 bits: rows with one address share both."""
+    whole = F.col(text).cast("string")
+    return [F.xxhash64(F.col(doc_id), whole).alias("_a"), F.xxhash64(F.lit(1), whole, F.col(doc_id)).alias("_b")]
+
+
+def keep_rows(docs: DataFrame, decided: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of docs that are kept, with its columns, by (_a, _b, kept): one row per row of docs, with its address.
+
+    Of rows with one address some of which are kept, one stays. Rows whose address a filter does not know pass
+    straight; the others alone are joined with the addresses of rows that go.
+    """
+    gone = decided.groupBy("_a", "_b").agg(F.min("kept").alias("all_kept"), F.max("kept").alias("one"))
+    gone = materialize(gone.where(~F.col("all_kept")).select(F.col("_a").alias("_x"), F.col("_b").alias("_y"), "one"), "gone")
+    entries = gone.count()
+    bits = filter_bits(entries)
+    words = materialize(filter_words(gone, "_x", bits), "gone-filter")
+    addressed = docs.select(F.struct(*docs.columns).alias("row"), *address(doc_id, text))
+    probed = might_hold(addressed, words, "_a", bits, "_hit")
+    clear = probed.where(~F.col("_hit")).select("row.*")
+    hits = probed.where("_hit").join(F.broadcast(gone) if entries <= BROADCAST_ROWS else gone, (F.col("_a") == F.col("_x")) & (F.col("_b") == F.col("_y")), "left")
+    other = hits.where("_x IS NULL").select("row.*")
+    once = hits.where("one").groupBy("_a", "_b").agg(F.first("row").alias("row")).select("row.*")
+    return clear.unionByName(other).unionByName(once)
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b) of longs: rows (node, root), root the smallest node reachable.
 

@@ -148,14 +148,10 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def _address(doc_id: str, text: str) -> Column:
-    return F.xxhash64(F.col(doc_id), F.col(text).cast("string"))
-
-
 def signatures(docs: DataFrame, text: str, doc_id: str, bands: int = BANDS) -> DataFrame:
-    """(doc_id, h, key, n, bands, sig) of every row; key, 128 bits of hash over the full set, and the rest are null without words.
+    """(doc_id, _a, _b, key, n, bands, sig) of every row; key, 128 bits of hash over the full set, and the rest are null without words.
 
-    h is a hash of id and text, by which the text of a class is found again.
+    _a and _b are the row's address, by which the text of a class is found again.
     """
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,10 +164,10 @@ def signatures(docs: DataFrame, text: str, doc_id: str, bands: int = BANDS) -> D
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 banded.append(band_keys(low) if len(s) else None)
                 sigs.append(pack_bits(low) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(banded, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], ["doc_id", "h", "key", "n", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("doc_id", "_a", "_b")), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(banded, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], ["doc_id", "_a", "_b", "key", "n", "bands", "sig"])
 
-    kept = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), _address(doc_id, text).alias("h"))
-    schema = T.StructType([kept.schema["doc_id"], *T._parse_datatype_string("h long, key binary, n long, bands array<long>, sig binary").fields])
+    kept = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), *common.address(doc_id, text))
+    schema = T.StructType([kept.schema["doc_id"], *T._parse_datatype_string("_a long, _b long, key binary, n long, bands array<long>, sig binary").fields])
     return kept.mapInArrow(compute, schema)
 
 
@@ -246,6 +242,10 @@ def candidates(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     least = percent / 100 - MARGIN
     rows = classes.select("node", F.explode("bands").alias("cluster"))
     shared = common.materialize(rows.groupBy("cluster").agg(F.count("*").alias("m"), F.min("node").alias("leader")).where("m > 1"), "near-buckets")
+    bits = common.filter_bits(shared.count())
+    if bits // 64 <= common.BROADCAST_WORDS:  # most buckets hold one class; their rows need not shuffle again
+        words = common.materialize(common.filter_words(shared, "cluster", bits), "near-bucket-filter")
+        rows = common.might_hold(rows, words, "cluster", bits, "_hit").where("_hit").drop("_hit")
     inside = rows.join(shared, "cluster").select("cluster", "node", "m", F.ceil(F.col("m") / BLOCK).alias("blocks"), "leader")
     members = common.materialize(inside.join(classes.select("node", "sig"), "node"), "near-members")
     weights = members.groupBy("node").agg(F.sum("m").alias("weight"))
@@ -257,12 +257,18 @@ def candidates(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     return spanning_edges(members.drop("m"), near), weights
 
 
-def confirmed(docs: DataFrame, classes: DataFrame, clusters: DataFrame, text: str, doc_id: str, percent: int) -> DataFrame:
-    """Edges (a, b) between classes that connect, in every cluster of (cluster, node, weight), the pairs that hold on their full sets."""
-    wanted = common.materialize(clusters.join(classes.select("node", F.col("h").alias("_h"), "key", "n", "sig"), "node"), "near-wanted")
+def confirmed(docs: DataFrame, classes: DataFrame, clusters: DataFrame, repeated: DataFrame, text: str, doc_id: str, percent: int) -> DataFrame:
+    """Edges (a, b) between classes that connect, in every cluster of (cluster, node, weight), the pairs that hold on their full sets; ``repeated`` has the addresses (_a, _b) of several rows."""
+    wanted = common.materialize(clusters.join(classes.select("node", F.col("a").alias("_a"), F.col("b").alias("_b"), "key", "n", "sig"), "node"), "near-wanted")
     bits = common.filter_bits(wanted.count())
-    words = common.materialize(common.filter_words(wanted, "_h", bits), "near-filter")
-    texts = common.might_hold(docs.select(_address(doc_id, text).alias("_h"), F.col(text).cast("string").alias("text")), words, "_h", bits, "_hit").where("_hit").drop("_hit")
+    words = common.materialize(common.filter_words(wanted, "_a", bits), "near-filter")
+    addressed = docs.select(*common.address(doc_id, text), F.col(text).cast("string").alias("text"))
+    texts = common.might_hold(addressed, words, "_a", bits, "_hit").where("_hit").drop("_hit")
+    entries = repeated.count()
+    if entries:  # of rows that share id and text one brings the class its set
+        few = common.filter_bits(entries)
+        asked = common.might_hold(texts, common.materialize(common.filter_words(repeated, "_a", few), "near-repeated-filter"), "_a", few, "_again")
+        texts = asked.where(~F.col("_again")).drop("_again").unionByName(asked.where("_again").groupBy("_a", "_b").agg(F.first("text").alias("text")))
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks")
     sizes = common.materialize(wanted.groupBy("cluster").agg(blocks, F.max(F.struct("weight", "node"))["node"].alias("leader")), "near-clusters")
     wanted = wanted.join(sizes, "cluster")
@@ -278,8 +284,7 @@ def confirmed(docs: DataFrame, classes: DataFrame, clusters: DataFrame, text: st
             kept = batch.take(pa.array([r[0] for r in rows], pa.int64()))
             yield pa.RecordBatch.from_arrays([*(kept.column(n) for n in kept_columns), pa.array([r[1] for r in rows], pa.binary())], [*kept_columns, "items"])
 
-    # rows that share an id and a text would give a class its set twice, which adds no link
-    sets = texts.join(wanted, "_h").select(*kept_columns, "key", "text").mapInArrow(gather, "cluster long, node long, blocks long, leader long, sig binary, items binary")
+    sets = texts.join(wanted, ["_a", "_b"]).select(*kept_columns, "key", "text").mapInArrow(gather, "cluster long, node long, blocks long, leader long, sig binary, items binary")
 
     def holding(group: pa.Table) -> Callable[[int, np.ndarray], np.ndarray]:
         sig, items = _signatures_of(group), group.column("items").to_pylist()
@@ -305,40 +310,43 @@ def confirmed(docs: DataFrame, classes: DataFrame, clusters: DataFrame, text: st
     return spanning_edges(common.materialize(sets, "near-sets"), holding)
 
 
-def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
-
-    Rows link if 100 * intersection >= percent * union of their shingle sets. component_id is the smallest id
-    reachable (null ids last), and of a component exactly one row is kept: the first with that id. Rows without
-    words link to nothing and are kept. An empty table gives an empty result.
-    """
+def _rows(docs: DataFrame, text: str, doc_id: str, percent: int) -> DataFrame:
+    """Per input row: doc_id, _a, _b, n_shingles, component_id, kept; see near_groups()."""
     rows = common.materialize(signatures(docs, text, doc_id, bands_for(percent)).withColumn("rid", F.monotonically_increasing_id()), "near-signatures")
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "rid", "h"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "rid", F.col("_a").alias("a"), F.col("_b").alias("b")))
     classes = rows.where("key is not null").groupBy("key").agg(best.alias("best"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    classes = common.materialize(classes.select("key", F.col("best.rid").alias("node"), F.col("best.doc_id").alias("min_id"), F.col("best.h").alias("h"), "n", "bands", "sig"), "near-classes")
+    classes = common.materialize(classes.select("key", F.col("best.rid").alias("node"), F.col("best.doc_id").alias("min_id"), "best.a", "best.b", "n", "bands", "sig"), "near-classes")
+    repeated = common.materialize(rows.where("key is not null").groupBy("_a", "_b").agg(F.count("*").alias("m")).where("m > 1").select("_a", "_b"), "near-repeats")
     found, weights = candidates(classes, percent)
     edges = common.materialize(found, "near-candidates")
     clusters = common.components(edges)
     clusters = clusters.select("node", F.col("root").alias("cluster")).unionAll(clusters.select(F.col("root").alias("node"), F.col("root").alias("cluster")).distinct())
-    links = common.components(confirmed(docs, classes, common.materialize(clusters.join(weights, "node"), "near-clustered"), text, doc_id, percent))
+    links = common.components(confirmed(docs, classes, common.materialize(clusters.join(weights, "node"), "near-clustered"), repeated, text, doc_id, percent))
     linked = common.materialize(links.unionAll(links.select(F.col("root").alias("node"), "root").distinct()).join(classes.select("node", "min_id"), "node"), "near-linked")
     heads = common.materialize(linked.groupBy("root").agg(F.min(F.struct(F.col("min_id").isNull().alias("null"), "min_id", "node")).alias("head")), "near-heads")
     owners = common.materialize(linked.join(heads, "root").select("node", F.col("head.min_id").alias("head_id"), F.col("head.node").alias("head_node")), "near-owners")
-    resolved = common.materialize(classes.select("key", "node", "min_id").join(owners, "node", "left").select("key", F.when(F.col("head_node").isNull(), F.col("min_id")).otherwise(F.col("head_id")).alias("component_id"), F.coalesce("head_node", "node").alias("keeper")), "near-resolved")
-    out = rows.select("rid", "doc_id", "key", "n").join(resolved, "key", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce(F.col("keeper") == F.col("rid"), F.lit(True)).alias("kept"))
+    head_id = F.when(F.col("head_node").isNull(), F.col("min_id")).otherwise(F.col("head_id"))
+    resolved = common.materialize(classes.select("key", "node", "min_id").join(owners, "node", "left").select("key", head_id.alias("component_id"), F.coalesce("head_node", "node").alias("keeper")), "near-resolved")
+    out = rows.select("rid", "doc_id", "_a", "_b", "key", "n").join(resolved, "key", "left")
+    own = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "_a", "_b", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("keeper") == F.col("rid"), F.lit(True)).alias("kept"))
+
+
+def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept.
+
+    Rows link if 100 * intersection >= percent * union of their shingle sets. component_id is the smallest id
+    reachable (null ids last), and of a component exactly one row is kept: the first with that id. Rows without
+    words link to nothing and are kept. An empty table gives an empty result.
+    """
+    return _rows(docs, text, doc_id, percent).drop("_a", "_b")
 
 
 def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
-    """The input without rows that are near copies of a kept one, with its columns. Rows that share an id go or stay together."""
-    gone = near_groups(docs, text, doc_id, percent).groupBy("doc_id").agg(F.max("kept").alias("kept")).where(~F.col("kept"))
-    gone = common.materialize(gone.select(F.xxhash64("doc_id").alias("_h"), F.col("doc_id").alias("_gone")), "near-gone")
-    bits = common.filter_bits(gone.count())
-    words = common.materialize(common.filter_words(gone, "_h", bits), "near-gone-filter")
-    probed = common.might_hold(docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("_id"), F.xxhash64(doc_id).alias("_h")), words, "_h", bits, "_hit")
-    clear = probed.where(~F.col("_hit")).select("row.*")
-    left = probed.where("_hit").join(gone.select("_gone"), F.col("_id").eqNullSafe(F.col("_gone")), "left_anti").select("row.*")
-    return clear.unionByName(left)
+    """The input without rows that are near copies of a kept one, with its columns. Every row is decided by itself, null and repeated ids too.
+    """
+    decided = _rows(docs, text, doc_id, percent).select("_a", "_b", "kept")
+    return common.keep_rows(docs, decided, doc_id, text)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ def test_odd_and_empty_tables(odd, apply):
 
 
 def test_exact_dedup(odd):
-    got = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.mark_copies(exact_dedup.fingerprint(odd)).collect()}
+    got = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.mark_copies(odd).collect()}
     assert got == {(1, 3, 3, False), (2, 3, 3, False), (3, 3, 3, True), (4, None, 4, False), (5, None, 4, False), (None, None, 4, True), (6, 6, 2, True), (8, 6, 2, False), (7, 7, 1, True)}
     assert exact_dedup.exact_dedup(odd).count() == 4
 
@@ -349,6 +349,21 @@ def test_near_dedup_families_in_blocks(spark, monkeypatch, block):
     assert [got[i] for i in range(len(texts))] == brute_components(texts, near_dedup.PERCENT)
 
 
+def test_near_dedup_repeated_rows(spark, monkeypatch):
+    """Thousands of rows with one id and text bring their class one set, and one of them stays."""
+    base = " ".join(f"w{i}" for i in range(200))
+    near = [" ".join(f"w{i}" for i in range(k, 200 + k)) for k in (1, 2)]
+    rows = [(None, base)] * 5000 + [(4, near[0])] * 300 + [(None, near[1]), (9, ""), (9, ""), (None, None)]
+    sets, whole = [], common.materialize
+    monkeypatch.setattr(common, "materialize", lambda df, label: (out := whole(df, label), sets.append(out) if label == "near-sets" else None)[0])
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter((r["component_id"], r["kept"]) for r in near_dedup.near_groups(d).collect()) == {(4, False): 5300, (4, True): 1, (9, True): 2, (None, True): 1}
+    assert [s.count() for s in sets] == [3]
+    left = near_dedup.near_dedup(d.withColumns({"row": F.lit(1), "_a": F.lit(2), "key": F.lit(3)}))
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == {(4, near[0]): 1, (9, ""): 2, (None, None): 1}
+    assert left.columns == ["doc_id", "text", "row", "_a", "key"]
+
+
 def test_near_dedup_null_ids(spark):
     base = " ".join(f"w{i}" for i in range(200))
     rows = [(None, f"{base} {i}") for i in range(30)] + [(3, f"{base} z"), (None, "alone in the whole wide world")]
