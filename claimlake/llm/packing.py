@@ -3,7 +3,8 @@
 Documents are cut at multiples of the sequence length; what is left over, the rest pieces, is counted by
 length class. A linear program over packing patterns covers these counts; a knapsack dynamic programme over
 the dual prices finds the next pattern worth adding. The rounded patterns are then handed out to pieces by
-their rank in their length class. Only the histogram, one row per class, reaches the driver.
+their rank in their length class. Where even the best patterns leave room, their pieces are laid end to end
+instead and cut where a sequence is full. Only the histogram, one row per class, reaches the driver.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ LENGTH = 1024
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 #: Length classes are exact up to EXACT tokens and STEP tokens wide beyond.
 EXACT, STEP = 64, 8
-#: Columns are added until the linear program is within this share of its optimum.
-GAP = 0.002
+#: Columns are added until the linear program is within this share of its optimum, or none improves it, or so many turns.
+GAP, TURNS = 0.002, 1000
+#: Patterns filled less than this are dissolved: their pieces are cut freely, at multiples of MARK tokens within a piece.
+LEAST_FILL, MARK = 0.98, 8
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -86,7 +89,7 @@ def first_basis(demand: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndar
     return basis
 
 
-def solve(demand: np.ndarray, sizes: np.ndarray, capacity: int, gap: float = GAP, most_rounds: int = 80) -> tuple[np.ndarray, np.ndarray]:
+def solve(demand: np.ndarray, sizes: np.ndarray, capacity: int, gap: float = GAP, most_rounds: int = TURNS) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (rows, copies of each class) and how often to use each, for every unit of demand exactly once.
 
     Revised simplex whose columns are generated on demand, rounded down; the few units that rounding leaves
@@ -146,9 +149,25 @@ def solve(demand: np.ndarray, sizes: np.ndarray, capacity: int, gap: float = GAP
 
 
 class Layout:
-    """Where the piece of a given rank in its class goes: pattern, sequence and place in it."""
+    """Where the piece of a given rank in its class goes: pattern, sequence and place in it.
 
-    def __init__(self, patterns: np.ndarray, times: np.ndarray):
+    The first pieces of a class go to the patterns that are filled well, in turn. The others, class after class, lie on
+    a line of slots as long as their class, of which each sequence takes ``window``; a piece that reaches into the next
+    window is cut there. A cut falls on the last mark before the window's end, so a sequence takes up to MARK - 1 tokens
+    more at its start, which the window leaves room for.
+    """
+
+    def __init__(self, patterns: np.ndarray, times: np.ndarray, sizes: np.ndarray, capacity: int):
+        self.sizes, self.window = sizes, capacity - MARK
+        fits = patterns.max(axis=1, initial=0, where=patterns > 0) if len(patterns) else np.zeros(0)
+        longest = np.array([sizes[np.flatnonzero(p)[-1]] for p in patterns], dtype=np.int64)
+        dissolved = (patterns @ sizes < LEAST_FILL * capacity) & (longest <= self.window) & (fits > 0)
+        if dissolved.sum() and (times[dissolved].sum() < 2 or capacity <= 4 * MARK):
+            dissolved[:] = False
+        loose = (patterns[dissolved] * times[dissolved, None]).sum(axis=0)
+        patterns, times = patterns[~dissolved], times[~dissolved]
+        self.sequences = int(times.sum())
+        self.base = np.concatenate([[0], np.cumsum(loose * sizes)])
         first = np.concatenate([[0], np.cumsum(times)])
         self.by_class = []
         for c in range(patterns.shape[1]):
@@ -158,15 +177,41 @@ class Layout:
             before = patterns[rows, :c].sum(axis=1)
             self.by_class.append((starts, per, first[rows], before, patterns[rows].sum(axis=1)))
 
-    def place(self, klass: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        sequence, order, pieces = (np.zeros(len(rank), dtype=np.int64) for _ in range(3))
+    def place(self, klass: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sequence, order within it, whether others share it, and after how many slots the piece is to be cut (0: nowhere)."""
+        sequence, order, cut = (np.zeros(len(rank), dtype=np.int64) for _ in range(3))
+        shared = np.ones(len(rank), dtype=bool)
         for c in np.unique(klass):
             at = np.flatnonzero(klass == c)
             starts, per, first, before, total = self.by_class[c]
-            row = np.searchsorted(starts, rank[at], side="right") - 1
-            into = rank[at] - starts[row]
-            sequence[at], order[at], pieces[at] = first[row] + into // per[row], before[row] + into % per[row], total[row]
-        return sequence, order, pieces
+            held = rank[at] < starts[-1]
+            own = at[held]
+            row = np.searchsorted(starts, rank[own], side="right") - 1
+            into = rank[own] - starts[row]
+            sequence[own], order[own], shared[own] = first[row] + into // np.maximum(per[row], 1), before[row] + into % np.maximum(per[row], 1), total[row] > 1
+            free = at[~held]
+            slot = self.base[c] + (rank[free] - starts[-1]) * self.sizes[c]
+            sequence[free], order[free] = self.sequences + slot // self.window, 1 + slot % self.window
+            room = self.window - slot % self.window
+            cut[free] = np.where(room < self.sizes[c], room, 0)
+        return sequence, order, shared, cut
+
+
+def prefix_sums(ids: bytes) -> bytes:
+    """CRC-32 of the first MARK ids, of the first 2 * MARK and so on, packed as 32-bit integers."""
+    sums, crc = [], 0
+    for at in range(0, len(ids) - 4 * MARK, 4 * MARK):
+        crc = zlib.crc32(ids[at : at + 4 * MARK], crc)
+        sums.append(crc)
+    return np.array(sums, dtype="<u4").tobytes()
+
+
+def rest_sum(whole: int, first: int, tokens: int) -> int:
+    """CRC-32 of the last ids of a piece, from that of the whole and of the part before them.
+
+    A CRC's register is linear in what it held before: zeros carry the first part's share on, and it is taken off.
+    """
+    return whole ^ zlib.crc32(bytes(4 * tokens), first ^ 0xFFFFFFFF) ^ 0xFFFFFFFF
 
 
 def cut_pieces(docs: DataFrame, text: str, doc_id: str, path: str, ranks: str | None, length: int, keep_ids: bool = False) -> DataFrame:
@@ -180,7 +225,7 @@ def cut_pieces(docs: DataFrame, text: str, doc_id: str, path: str, ranks: str |
         for batch in batches:
             for begin in range(0, batch.num_rows, 512):
                 chunk = batch.slice(begin, 512)
-                owner, start, size, crc, total, kept = [], [], [], [], [], []
+                owner, start, size, crc, total, marks, kept = [], [], [], [], [], [], []
                 for i, value in enumerate(chunk.column(1).to_pylist()):
                     ids = encode(value or "") + b"\0\0\0\0"
                     n = len(ids) // 4
@@ -191,6 +236,7 @@ def cut_pieces(docs: DataFrame, text: str, doc_id: str, path: str, ranks: str |
                         size.append(len(piece) // 4)
                         crc.append(zlib.crc32(piece))
                         total.append(n)
+                        marks.append(prefix_sums(piece) if len(piece) < 4 * length else b"")
                         if keep_ids:
                             kept.append(piece)
                 klass = np.searchsorted(sizes, size)
@@ -199,11 +245,11 @@ def cut_pieces(docs: DataFrame, text: str, doc_id: str, path: str, ranks: str |
                     at = np.flatnonzero(klass == c)
                     rank[at] = np.arange(len(at)) + seen[c]
                     seen[c] += len(at)
-                columns = [chunk.column(0).take(pa.array(owner, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, size, crc, total)), pa.array(klass, pa.int32()), pa.array(np.full(len(klass), part), pa.int32()), pa.array(rank, pa.int64())]
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "class", "part", "rank"]
+                columns = [chunk.column(0).take(pa.array(owner, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, size, crc, total)), pa.array(klass, pa.int32()), pa.array(np.full(len(klass), part), pa.int32()), pa.array(rank, pa.int64()), pa.array(marks, pa.binary())]
+                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "class", "part", "rank", "marks"]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * keep_ids, names + ["ids"] * keep_ids)
 
-    schema = f"doc_id {kind}, {PIECES}, class int, part int, rank long" + ", ids binary" * keep_ids
+    schema = f"doc_id {kind}, {PIECES}, class int, part int, rank long, marks binary" + ", ids binary" * keep_ids
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(cut, schema)
 
 
@@ -221,7 +267,7 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str
     demand = np.zeros(len(sizes), dtype=np.int64)
     for row in counts.groupBy("class").agg(F.sum("n").alias("n")).collect():  # at most one row per class
         demand[row["class"]] = row["n"]
-    layout = Layout(*solve(demand, sizes, length))
+    layout = Layout(*solve(demand, sizes, length), sizes, length)
 
     upto = Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = common.materialize(counts.select("part", "class", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before")), "piece-starts")
@@ -229,17 +275,36 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places = layout.place(batch.column("class").to_numpy(), batch.column("rank").to_numpy())
-            kept = [n for n in batch.schema.names if n not in ("class", "rank")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *(pa.array(x) for x in places)], [*kept, "sequence_id", "place", "pieces"])
+            sequence, order, shared, cut = layout.place(batch.column("class").to_numpy(), batch.column("rank").to_numpy())
+            start, size, crc = (batch.column(n).to_numpy().copy() for n in ("start", "length", "ids_crc32"))
+            keep = cut // MARK * MARK
+            late = np.flatnonzero((cut > 0) & (keep == 0))  # too little room for a first part: all of it goes on
+            sequence[late], order[late] = sequence[late] + 1, 0
+            two = np.flatnonzero((keep > 0) & (keep < size))
+            first = np.array([int.from_bytes(batch.column("marks")[int(i)].as_py()[4 * (int(keep[i]) // MARK - 1) :][:4], "little") for i in two], dtype=np.int64)
+            rest = np.array([rest_sum(int(crc[i]), int(f), int(size[i] - keep[i])) for i, f in zip(two, first, strict=True)], dtype=np.int64)
+            owner = np.concatenate([np.arange(len(size)), two])
+            start, old = np.concatenate([start, start[two] + keep[two]]), size[two] - keep[two]
+            size[two], crc[two] = keep[two], first
+            columns = [batch.column("doc_id").take(pa.array(owner)), pa.array(start), pa.array(np.concatenate([size, old])), pa.array(np.concatenate([crc, rest])), batch.column("doc_tokens").take(pa.array(owner))]
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+            if keep_ids:
+                ids = batch.column("ids").to_pylist()
+                tails = [ids[i][4 * int(keep[i]) :] for i in two]
+                for i in two:
+                    ids[i] = ids[i][: 4 * int(keep[i])]
+                columns.append(pa.array(ids + tails, pa.binary()))
+                names.append("ids")
+            where = [np.concatenate([sequence, sequence[two] + 1]), np.concatenate([order, np.zeros(len(two), dtype=np.int64)]), np.concatenate([shared, shared[two]])]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x) for x in where)], [*names, "sequence_id", "place", "shared"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    placed = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * keep_ids, "class", "rank").mapInArrow(place, f"doc_id {kind}, {PIECES}{', ids binary' * keep_ids}, sequence_id long, place long, pieces long")
+    placed = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * keep_ids, "marks", "class", "rank").mapInArrow(place, f"doc_id {kind}, {PIECES}{', ids binary' * keep_ids}, sequence_id long, place long, shared boolean")
     placed = common.materialize(placed, "placed")
-    alone = placed.where("pieces = 1").withColumn("offset", F.lit(0).cast("long"))
+    alone = placed.where("NOT shared").withColumn("offset", F.lit(0).cast("long"))
     within = Window.partitionBy("sequence_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    shared = placed.where("pieces > 1").withColumn("offset", F.coalesce(F.sum("length").over(within), F.lit(0)).cast("long"))
-    return alone.unionByName(shared).drop("place", "pieces", *["ids"] * (not keep_ids))
+    shared = placed.where("shared").withColumn("offset", F.coalesce(F.sum("length").over(within), F.lit(0)).cast("long"))
+    return alone.unionByName(shared).drop("place", "shared", *["ids"] * (not keep_ids))
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -12,8 +12,9 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Anything but printable ASCII, tab, line ends and the Latin letters of Latin-1 and Latin Extended-A and -B.
-_ODD = re.compile("[^\t\n\r -~À-ÖØ-öø-ɏ]")
+#: Anything but printable ASCII, tab, line ends and the Latin letters of Latin-1 and Latin Extended-A and -B; and white
+#: space in a row that the rank file's pattern gives up on (somewhere beyond 300,000 characters).
+_ODD = re.compile("[^\t\n\r -~À-ÖØ-öø-ɏ]|[\t\n\r ]{65536}")
 
 
 class Encoder:
