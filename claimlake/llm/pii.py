@@ -286,9 +286,9 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """The input with every span of its text replaced by its kind in angle brackets; null stays null. Overlapping spans are one."""
-    found = _located(docs, text)
     clean = F.when(F.col("row")[text].isNotNull(), replaced(F.col("text"), united(F.concat("base", "added"))))
-    return found.select(*[clean.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
+    found = _located(docs, text).select("row", clean.alias("clean"))
+    return found.select(*[F.col("clean").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def digest(spans: Column) -> Column:

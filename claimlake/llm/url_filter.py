@@ -1,9 +1,11 @@
 """URL filtering by association rules.
 
-URLs that a list rule blocks are labelled so, all others are labelled allow: a combination that also occurs on
-URLs nobody blocked loses confidence. FP-growth mines the token combinations that go with a label; rules with enough support and confidence, and no shorter rule that says the same, are kept in an
-inverted index from their rarest token. A URL looks up its tokens there and checks what else a rule asks for.
-List rules always win; what no rule of either kind covers is allowed.
+URLs that a list rule decides are labelled with its verdict; all others have no label. FP-growth mines the token
+combinations that go with a blocked label. A combination becomes a rule if enough labelled URLs support it, if nearly
+all of them are blocked, and if they are most of all the URLs that hold it: a host whose pages the list blocks, but
+for a few that it does not mention, is blocked altogether, whereas one of which it mentions a few is not. Rules that a
+shorter one covers are dropped; the others lie in an inverted index from their rarest token. A URL looks up its tokens
+there and checks what else a rule asks for. List rules always win; what no rule of either kind covers is allowed.
 """
 
 from __future__ import annotations
@@ -12,9 +14,16 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 #: (verdict, host, path): fixed values. A rule fits its host and all subdomains if the path starts with the rule's.
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
-MIN_SUPPORT, MIN_CONFIDENCE, MOST_ITEMS = 0.01, 0.95, 3
+#: Least share of labelled URLs that support a rule, least share of these that are blocked, least share of a rule's URLs that are labelled.
+MIN_SUPPORT, MIN_CONFIDENCE, MIN_COVERAGE = 0.01, 0.9, 0.65
+#: Least number of labelled URLs that support a rule: fewer tell nothing.
+MIN_URLS = 10
+#: Most tokens in a rule, and most tokens of a URL that combine in mining: its rarest frequent ones. Matching reads all tokens.
+MOST_ITEMS, MOST_TOKENS = 3, 10
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -34,36 +43,62 @@ def list_rule(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def tokens(host: Column, path: Column) -> Column:
-    """Distinct tokens: host labels with their place from the right, hyphenated parts, and the first path segments by place."""
+    """Distinct tokens: host labels with their place from the right, the parts of hyphenated ones, and all path segments with their place."""
     labels = F.reverse(F.split(host, r"\."))
-    hosts = F.transform(labels, lambda x, i: F.concat(F.lit("h"), F.least(i, F.lit(3)).cast("string"), F.lit(":"), x))
-    parts = F.transform(F.filter(F.split(host, r"[.-]"), lambda x: F.length(x) > 0), lambda x: F.concat(F.lit("w:"), x))
-    segments = F.transform(F.slice(F.filter(F.split(path, "/"), lambda x: F.length(x) > 0), 1, 2), lambda x, i: F.concat(F.lit("p"), i.cast("string"), F.lit(":"), x))
+    hosts = F.transform(labels, lambda x, i: F.concat(F.lit("h"), i.cast("string"), F.lit(":"), x))
+    hyphened = F.flatten(F.transform(F.filter(labels, lambda x: x.contains("-")), lambda x: F.split(x, "-")))
+    parts = F.transform(F.filter(hyphened, lambda x: F.length(x) > 0), lambda x: F.concat(F.lit("w:"), x))
+    segments = F.transform(F.filter(F.split(path, "/"), lambda x: F.length(x) > 0), lambda x, i: F.concat(F.lit("p"), i.cast("string"), F.lit(":"), x))
     return F.when(F.length(host) > 0, F.array_distinct(F.concat(hosts, parts, segments))).otherwise(F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, label: str = "block", min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Rules (items, support, confidence) for a label from rows (tokens, verdict): at most MOST_ITEMS items each.
+def frequent(labelled: DataFrame, least: int) -> DataFrame:
+    """(_item, _n): tokens of at least so many labelled URLs; at most tokens-per-URL / min_support of them."""
+    return labelled.select(F.explode("tokens").alias("_item")).groupBy("_item").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
+
+
+def mine(judged: DataFrame, label: str = "block", min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_coverage: float = MIN_COVERAGE, min_urls: int = MIN_URLS) -> DataFrame:
+    """Rules (items, support, confidence, coverage) for a label from rows (tokens, verdict); rows without a label have a null verdict.
 
-    Items with less than min_support are dropped by FP-growth, so at most tokens-per-URL / min_support items
-    and their small combinations are left, however many URLs there are.
+    Only tokens frequent among labelled URLs are mined, of a URL with more than MOST_TOKENS the rarest ones together;
+    every frequent token is tried as a rule by itself. So FP-growth forms at most 2 ** (MOST_TOKENS + 1) sets per URL,
+    however long its path or deep its host, and at most MOST_ITEMS + 1 items of a set are looked at.
     """
-    mark = F.concat(F.lit("="), F.col("verdict"))
-    sets = labelled.where(F.size("tokens") > 0).select(F.concat(F.col("tokens"), F.array(mark)).alias("items"))
-    found = FPGrowth(itemsCol="items", minSupport=min_support).fit(sets).freqItemsets
-    found = found.where(F.size("items") <= MOST_ITEMS + 1).select(F.array_sort("items").alias("items"), "freq")
+    spark = judged.sparkSession
+    labelled = common.materialize(judged.where(F.col("verdict").isNotNull() & (F.size("tokens") > 0)).select(F.monotonically_increasing_id().alias("_url"), "tokens", "verdict"), "url-labelled")
+    n = labelled.count()
+    none = spark.createDataFrame([], "items array<string>, support long, confidence double, coverage double")
+    least = max(min_urls, int(min_support * n))
+    if n < least:
+        return none
+    items = common.materialize(frequent(labelled, least), "url-frequent")
+    each = labelled.select("_url", "verdict", F.explode("tokens").alias("_item")).join(common.small_side(items), "_item")
+    rarest = F.slice(F.array_sort(F.collect_list(F.struct("_n", "_item"))), 1, MOST_TOKENS)
+    mark = lambda v: F.concat(F.lit("="), v)
+    sets = each.groupBy("_url", "verdict").agg(rarest.alias("kept")).select(F.array_append(F.transform("kept", lambda k: k["_item"]), mark(F.col("verdict"))).alias("items"))
+    found = FPGrowth(itemsCol="items", minSupport=least / n).fit(common.materialize(sets, "url-sets")).freqItemsets
+    found = common.materialize(found.where(F.size("items") <= MOST_ITEMS + 1).select(F.array_sort("items").alias("items"), "freq"), "url-itemsets")
     goal = F.lit("=" + label)
-    whole = found.where(F.array_contains("items", "=" + label) & (F.size("items") > 1)).select(F.array_remove("items", goal).alias("items"), F.col("freq").alias("hits"))
-    return whole.join(found, "items").select("items", F.col("hits").alias("support"), (F.col("hits") / F.col("freq")).alias("confidence"), "freq").where(F.col("confidence") >= min_confidence)
+    hits = found.where((F.size("items") > 2) & F.array_contains("items", "=" + label)).select(F.array_remove("items", goal).alias("items"), F.col("freq").alias("hits"))
+    combined = hits.join(found, "items").where(F.col("hits") >= min_confidence * F.col("freq")).select("items")
+    tried = common.materialize(combined.unionByName(items.select(F.array("_item").alias("items"))).distinct(), "url-tried")
+    index = inverted_index(tried)
+    if not index:
+        return none
+    # counted over all URLs, labelled or not, so that a rule's figures do not depend on which tokens were mined together
+    fits = judged.where(F.size("tokens") > 0).select("verdict", F.explode(matched(F.col("tokens"), index)).alias("items"))
+    counted = fits.groupBy("items").agg(F.count_if(F.col("verdict") == label).alias("support"), F.count("verdict").alias("known"), F.count("*").alias("all"))
+    rules = counted.select("items", "support", (F.col("support") / F.col("known")).alias("confidence"), (F.col("known") / F.col("all")).alias("coverage"))
+    return rules.where((F.col("support") >= least) & (F.col("confidence") >= min_confidence) & (F.col("coverage") >= min_coverage))
 
 
-def inverted_index(rules: DataFrame) -> dict[str, list[list[str]]]:
-    """From a rule's least frequent token (the last by name of ties) to what else it asks for; rules that hold a shorter rule are dropped."""
+def inverted_index(rules: DataFrame, shortest: bool = False) -> dict[str, list[list[str]]]:
+    """From a rule's least used token (the first by name of ties) to what else it asks for; with ``shortest`` rules that hold a shorter rule are dropped."""
     rows = sorted(rules.select("items").collect(), key=lambda r: (len(r["items"]), r["items"]))  # bounded by 1 / min_support, see mine()
     kept: list[frozenset[str]] = []
     for row in rows:
         items = frozenset(row["items"])
-        if not any(k <= items for k in kept):
+        if not (shortest and any(k <= items for k in kept)):
             kept.append(items)
     used: dict[str, int] = {}
     for items in kept:
@@ -76,13 +111,27 @@ def inverted_index(rules: DataFrame) -> dict[str, list[list[str]]]:
     return index
 
 
+def _lookup(index: dict[str, list[list[str]]]) -> Column:
+    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    rest = lambda r: "array(" + ", ".join(map(quoted, r)) + ")" if r else "cast(array() as array<string>)"
+    return F.expr("map(" + ", ".join(f"{quoted(k)}, array({', '.join(map(rest, v))})" for k, v in index.items()) + ")")
+
+
+def matched(toks: Column, index: dict[str, list[list[str]]]) -> Column:
+    """array<array<string>>: the rules of the index that fit the tokens, items sorted."""
+    none = F.array().cast("array<array<string>>")
+    if not index:
+        return none
+    lookup = _lookup(index)
+    fitting = lambda t: F.filter(F.coalesce(F.try_element_at(lookup, t), none), lambda rest: F.size(F.array_except(rest, toks)) == 0)
+    return F.flatten(F.transform(toks, lambda t: F.transform(fitting(t), lambda rest: F.array_sort(F.array_append(rest, t)))))
+
+
 def matches(toks: Column, index: dict[str, list[list[str]]]) -> Column:
     """Whether any rule of the index fits the tokens."""
     if not index:
         return F.lit(False)
-    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    entries = ", ".join(f"{quoted(k)}, array({', '.join('array(' + ', '.join(map(quoted, r)) + ')' if r else 'cast(array() as array<string>)' for r in v)})" for k, v in index.items())
-    lookup = F.expr(f"map({entries})")
+    lookup = _lookup(index)
     return F.exists(toks, lambda t: F.exists(F.coalesce(F.try_element_at(lookup, t), F.array().cast("array<array<string>>")), lambda rest: F.size(F.array_except(rest, toks)) == 0))
 
 
@@ -90,18 +139,18 @@ def filter_urls(pages: DataFrame, url: str = "url", rules=RULES, **how) -> DataF
     """All columns with host, path, rule and verdict (such columns of the input are replaced).
 
     A null URL or one without '://' has empty host and path and is allowed; repeated rows are judged alike and all
-    come out; without blocked URLs nothing is mined; an empty table gives an empty result.
+    come out; where the list decides nothing, nothing is mined; an empty table gives an empty result.
     """
     host, path = host_and_path(F.col(url))
-    judged = pages.withColumns({"host": host, "path": path}).withColumn("_list", list_rule(F.col("host"), F.col("path"), rules)).withColumn("_tokens", tokens(F.col("host"), F.col("path")))
-    labelled = judged.select(F.col("_tokens").alias("tokens"), F.coalesce(F.col("_list.verdict"), F.lit("allow")).alias("verdict")).where(F.size("tokens") > 0)
-    index = inverted_index(mine(labelled, **how)) if labelled.limit(1).count() else {}
-    verdict = F.coalesce(F.col("_list.verdict"), F.when(matches(F.col("_tokens"), index), F.lit("block")).otherwise(F.lit("allow")))
-    return judged.withColumns({"rule": F.col("_list.rule"), "verdict": verdict}).drop("_list", "_tokens")
+    own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    parted = pages.select(F.struct(*[F.col(c) for c in own]).alias("row") if own else F.lit(None).alias("row"), host.alias("host"), path.alias("path"))
+    judged = parted.withColumns({"list": list_rule(F.col("host"), F.col("path"), rules), "tokens": tokens(F.col("host"), F.col("path"))})
+    index = inverted_index(mine(judged.select("tokens", F.col("list.verdict").alias("verdict")), **how), shortest=True)
+    verdict = F.coalesce(F.col("list.verdict"), F.when(matches(F.col("tokens"), index), F.lit("block")).otherwise(F.lit("allow")))
+    decided = judged.select("row", "host", "path", F.col("list.rule").alias("rule"), verdict.alias("verdict"))
+    return decided.select(*[F.col("row")[c].alias(c) for c in own], "host", "path", "rule", "verdict")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
-    from . import common
-
     pages = common.table(spark, sf_dir, "pages").select("page_id", "url")
     return filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")

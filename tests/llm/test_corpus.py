@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import re
 import time
 import zlib
@@ -282,21 +283,63 @@ def test_spans_against_plain_versions(spark):
 
 def test_url_filter(spark):
     urls = ["https://Www.Example.com/en/71", "http://x.com/en/1?a", "http://com/en/", "http://notcom/en/", "http://a.net/de/8", "http://a.example.net/de/80#x", "ftp://org/es/", "no scheme", None, "http://host", "x://a.com?/en/"]
-    got = {r["id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "id long, url string"), min_confidence=1.01).collect()}
+    got = {r["id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "id long, url string")).collect()}
     assert got == {
         0: ("www.example.com", "/en/71", "example.com/en/7", "allow"), 1: ("x.com", "/en/1", "com/en/", "block"), 2: ("com", "/en/", "com/en/", "block"), 3: ("notcom", "/en/", None, "allow"), 4: ("a.net", "/de/8", "net/de/", "block"),
         5: ("a.example.net", "/de/80", "example.net/de/8", "block"), 6: ("org", "/es/", "org/es/", "block"), 7: ("", "", None, "allow"), 8: ("", "", None, "allow"), 9: ("host", "", None, "allow"), 10: ("a.com", "", None, "allow"),
     }
 
 
-def test_url_rules_are_mined(spark):
-    rows = [(f"http://spam{i}.com/en/{i}" if i % 2 else f"http://good{i}.fr/x/{i}",) for i in range(100)]
-    pages = spark.createDataFrame(rows, "url string")
-    host, path = url_filter.host_and_path(F.col("url"))
-    labelled = pages.select(url_filter.tokens(host, path).alias("tokens"), F.when(host.endswith(".com"), "block").otherwise("allow").alias("verdict"))
-    index = url_filter.inverted_index(url_filter.mine(labelled, min_support=0.1))
-    assert index
-    assert pages.where(url_filter.matches(url_filter.tokens(host, path), index)).count() == 50
+def plain_rules(rows, least, confidence, coverage, most=3):
+    """Rules by counting every combination: token sets of (tokens, verdict or None)."""
+    seen = defaultdict(lambda: [0, 0, 0])
+    for toks, verdict in rows:
+        for k in range(1, most + 1):
+            for items in itertools.combinations(sorted(set(toks)), k):
+                seen[items][0] += verdict == "block"
+                seen[items][1] += verdict is not None
+                seen[items][2] += 1
+    return {k: v[0] for k, v in seen.items() if v[0] >= least and v[0] >= confidence * v[1] and v[1] >= coverage * v[2]}
+
+
+def test_url_rules_against_counting(spark):
+    draw = np.random.default_rng(6)
+    rows = []
+    for _ in range(600):
+        toks = [f"a{draw.integers(3)}", f"b{draw.integers(4)}", f"c{draw.integers(6)}"]
+        bad = toks[0] == "a1" and toks[2] != "c0"
+        rows.append((toks, None if draw.random() < (0.2 if bad else 0.7) else "block" if bad and draw.random() < 0.97 else "allow"))
+    d = spark.createDataFrame(rows, "tokens array<string>, verdict string")
+    got = {tuple(r["items"]): r["support"] for r in url_filter.mine(d, min_support=0.02, min_confidence=0.9, min_coverage=0.6, min_urls=5).collect()}
+    n = sum(v is not None for _, v in rows)
+    assert got == plain_rules(rows, max(5, int(0.02 * n)), 0.9, 0.6)
+    assert got
+
+
+def test_url_rules_decide_unlisted_pages(spark):
+    """A host whose pages the list blocks but for a few is blocked altogether; one of which it mentions a few is not."""
+    rows = [f"http://www.cheap-pills.example.com/{'en' if i % 5 else 'fr'}/1{i}" for i in range(100)] + [f"http://blog.fine.example.com/{'en' if i % 5 == 0 else 'fr'}/{i}00" for i in range(100)]
+    rows += [f"http://a{i}.example.com/en/7{i}" for i in range(40)] + [f"http://b{i}.example.org/fr/deep/{'/'.join(map(str, range(30)))}/{i}" for i in range(60)] + [f"http://{'.'.join(f'x{k}' for k in range(25))}.com/en/{i}" for i in range(60)]
+    got = url_filter.filter_urls(spark.createDataFrame(list(enumerate(rows)), "id long, url string").withColumns({"host": F.lit(1), "tokens": F.lit(2), "list": F.lit(3), "row": F.lit(4)}))
+    assert set(got.columns) == {"id", "url", "tokens", "list", "row", "host", "path", "rule", "verdict"}
+    verdicts = Counter((r["url"].split("/")[2].split(".")[1], r["url"].split("/")[3], r["rule"], r["verdict"]) for r in got.collect() if "example.com" in r["url"] and "/7" not in r["url"][:30])
+    assert verdicts[("cheap-pills", "fr", None, "block")] == 20
+    assert verdicts[("cheap-pills", "en", "com/en/", "block")] == 80
+    assert verdicts[("fine", "fr", None, "allow")] == 80
+    assert got.where("rule IS NULL AND verdict = 'block' AND url NOT LIKE '%pills%'").isEmpty()
+
+
+def test_url_query_list_columns(spark, data, duck, agree):
+    """Host, path, rule and, where a rule fits, verdict of the query as SQL has them."""
+    sql = r"""
+    WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+    r AS (SELECT * FROM (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')) AS t(verdict, at, under)),
+    f AS (SELECT page_id, at || under AS rule, verdict FROM h JOIN r ON (host = at OR ends_with(host, '.' || at)) AND starts_with(path, under) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(at || under) DESC) = 1)
+    SELECT page_id, host, path, rule, verdict FROM h LEFT JOIN f USING (page_id)"""
+    out = url_filter.op8(spark, data)
+    assert {r["verdict"] for r in out.collect()} <= {"allow", "block"}
+    agree(out.withColumn("verdict", F.when(F.col("rule").isNotNull(), F.col("verdict"))).toPandas(), duck.sql(sql).df())
 
 
 def test_license_scan(spark, texts):
