@@ -92,6 +92,12 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def count_runs(text: Column, gap: str) -> Column:
+    """How many runs of characters a pattern of one or more separators leaves. Nothing is gathered, as regexp_count does."""
+    spaced = F.trim(F.regexp_replace(text, gap, " "))
+    return F.when(spaced == "", F.lit(0)).otherwise(F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit(""))) + 1).cast("long")
+
+
 def unit_hash(*cols: Column | str, seed: int | Column = 0) -> Column:
     """A number in [0, 1) that depends on the values and the seed alone."""
     salt = seed if isinstance(seed, Column) else F.lit(seed)

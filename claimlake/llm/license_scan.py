@@ -1,8 +1,8 @@
 """License scan by ordered signature rules.
 
-Texts become a row of lower-case words. Words with a family's keyword are tried against that family's
-signature rules, each a regular expression over the words; of overlapping detections one that lies within
-another of at least its priority is suppressed. Base phrases are always reported.
+A text that holds a word of any keyword becomes a row of lower-case words. Words with a rule's keyword are tried
+against the rule, a regular expression over the words; of overlapping detections one that lies within another of at
+least its priority is suppressed. Base phrases are always reported.
 """
 
 from __future__ import annotations
@@ -13,12 +13,12 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import NO_SPANS, places
+from . import common
+from .spans import NO_SPANS, bind, places
 from .url_filter import LOWER, UPPER
 
 #: Runs of characters that separate words once A-Z is lower case, and in the original text.
 GAP, GAP_ANY_CASE = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Base phrases and their labels: fixed values.
 PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
 #: Licenses of one version: label and the phrases that name it.
@@ -30,6 +30,29 @@ NAMED = [
     ("ncsa", "university of illinois ncsa open source license"), ("openssl", "openssl license"), ("vim", "vim license"), ("x11", "x11 license"), ("bsl-1.1", "business source license"), ("sspl-1.0", "server side public license"), ("elastic-2.0", "elastic license"),
     ("proprietary", "all rights reserved"), ("public-domain", "(?:placed|released|dedicated) (?:in|into|to) the public domain"),
 ]
+#: Sentences of license texts and notices: label and words.
+TEXTS = [
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd-3-clause", "may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display the following acknowledgement"),
+    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-1.1", "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("epl-1.0", "the accompanying materials are made available under the terms of the eclipse public license v1 0"),
+    ("epl-2.0", "the accompanying materials are made available under the terms of the eclipse public license (?:v ?)?2 0"),
+    ("cddl-1.0", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("cc0-1.0", "has waived all copyright and related or neighboring rights to"),
+    ("boost-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("ofl-1.1", "this font software is licensed under the sil open font license version 1 1"),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("proprietary", "unauthorized copying of this file via any medium is strictly prohibited"),
+]
+#: Notices of a family: label, what is licensed, name of the license, versions.
+NOTICES = [("gpl", "program", "general public license", ["2", "3"]), ("lgpl", "library", "lesser general public license", ["2.1", "3"]), ("agpl", "program", "affero general public license", ["3"])]
 #: Families whose rules are built from versions: label, keyword, names, versions.
 VERSIONED = [
     ("gpl", "general public license", "(?:gnu )?general public license", ["1", "2", "3"]), ("gpl", "gpl", "(?:gnu )?gpl", ["1", "2", "3"]),
@@ -47,12 +70,26 @@ HIGH, MIDDLE, LOW = 3, 2, 1
 CONFIDENCE = {HIGH: 1.0, MIDDLE: 0.8, LOW: 0.6}
 
 
+def _literal(phrase: str) -> str:
+    """The longest part of a phrase that stands in every text it fits."""
+    plain, depth, parts = "", 0, []
+    for i, c in enumerate(phrase):
+        depth += (c == "(") - (c == ")")
+        kept = not depth and (c.isalnum() or c == " ") and phrase[i + 1 : i + 2] != "?"
+        plain = plain + c if kept else ""
+        parts.append(plain)
+    return max(parts, key=len).strip()
+
+
 def rules() -> list[tuple[str, str, str, int]]:
     """(label, keyword, pattern, priority), in order; patterns are over words with a space before and after."""
-    out = []
-    for label, phrase in NAMED:
-        word = max((w for w in phrase.replace("?", "(").replace(")", "(").split("(") if w.replace(" ", "").isalnum()), key=len, default="").strip()
-        out.append((label, word, phrase, MIDDLE))
+    out = [(label, _literal(phrase), phrase, MIDDLE) for label, phrase in NAMED]
+    out += [(label, _literal(phrase), phrase, HIGH) for label, phrase in TEXTS]
+    for family, work, name, versions in NOTICES:
+        for v in versions:
+            terms = f"it under the terms of the gnu {name} as published by the free software foundation"
+            notice = f"this {work} is free software you can redistribute it and or modify {terms} either version {v.replace('.', ' ')} of the license or (?:at your option )?any later version"
+            out.append((f"{family}-{v if '.' in v else v + '.0'}-or-later", f"the terms of the gnu {name} as published", notice, HIGH))
     for label, keyword, name, versions in VERSIONED:
         for v in versions:
             spaced = v.replace(".", " ")
@@ -81,6 +118,26 @@ def keywords() -> list[str]:
     return sorted(k for k in every if not any(o != k and o in k for o in every))
 
 
+def gate_words() -> list[str]:
+    """Few single words of which any text that some rule or base phrase fits holds one, whatever separates its words."""
+    left = {k: {w for w in k.split() if len(w) > 5} or {max(k.split(), key=len)} for k in keywords() if not k.startswith(SHORT)}
+    out = []
+    while left:
+        covers = lambda w: sum(any(w in x for x in k.split()) for k in left)
+        out.append(max(sorted(set().union(*left.values())), key=covers))
+        left = {k: words for k, words in left.items() if not any(out[-1] in x for x in k.split())}
+    return out
+
+
+#: A keyword too short to look for alone, and what a lower-case text with it or a longer word of its family holds.
+SHORT, SHORT_PATTERN = "cc", r"cc(?:0|[\x00-\x2F\x3A-\x60\x7B-\x7F]+by)"
+
+
+def _may_fit(text: Column) -> Column:
+    """Whether a text may hold a rule's words. Lower case of all letters, not only A-Z, lets a few more texts through."""
+    return bind(F.lower(text), lambda t: reduce(or_, [t.contains(w) for w in gate_words()]) | t.rlike(SHORT_PATTERN))
+
+
 def _words(text: Column) -> Column:
     """Lower-case words, one space before, between and after them."""
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), GAP, " ")), F.lit(" "))
@@ -96,12 +153,21 @@ def _bounded(pattern: str) -> str:
     return rf"(?<= )(?:{pattern})(?= )"
 
 
-def detections(words: Column) -> Column:
-    """array<struct<start, end, label, priority>> of all rules whose keyword occurs, in code points of ``words``."""
-    table = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(b).alias("keyword"), F.lit(_bounded(c)).alias("pattern"), F.lit(d).alias("priority")) for a, b, c, d in rules()])
-    tried = F.filter(table, lambda r: words.contains(r["keyword"]))
-    hits = F.transform(tried, lambda r: F.transform(places(words, r["pattern"]), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), r["label"].alias("label"), r["priority"].alias("priority"))))
-    return F.flatten(hits)
+def fitting(words: Column) -> Column:
+    """array<int>: numbers of the rules that fit. A rule's pattern is a constant, compiled once, and tried where its keyword occurs."""
+    by_keyword: dict[str, list[tuple[int, str]]] = {}
+    for i, (_, keyword, pattern, _) in enumerate(rules()):
+        by_keyword.setdefault(keyword, []).append((i, pattern))
+    none = F.array().cast("array<int>")
+    tried = lambda own: F.filter(F.array(*[F.when(words.rlike(f" (?:{p}) "), F.lit(i)) for i, p in own]), lambda i: i.isNotNull())
+    return F.concat(*[F.when(words.contains(k), tried(own)).otherwise(none) for k, own in by_keyword.items()])
+
+
+def detections(words: Column, numbers: Column) -> Column:
+    """array<struct<start, end, label, priority>> of all places of the rules with these numbers, in code points of ``words``."""
+    table = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(_bounded(c)).alias("pattern"), F.lit(d).alias("priority")) for a, _, c, d in rules()])
+    one = lambda r: F.transform(places(words, r["pattern"]), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), r["label"].alias("label"), r["priority"].alias("priority")))
+    return F.flatten(F.transform(numbers, lambda i: one(F.get(table, i))))
 
 
 def unsuppressed(found: Column) -> Column:
@@ -123,32 +189,37 @@ def unsuppressed(found: Column) -> Column:
     return F.aggregate(order, none, step, lambda s: s["kept"])
 
 
+OUTPUTS = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+
+
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """All columns with n_words, n_base, first_word, last_word, base_labels, labels and score (such ones are replaced).
 
     A null text has no words. Repeated rows come out as often as they occur; an empty table gives an empty result.
     The score is the confidence of the best detection, 0 without any.
     """
+    own = [c for c in docs.columns if c not in OUTPUTS]
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    held = docs.withColumn("n_words", F.regexp_count(whole, F.lit(WORD_ANY_CASE)).cast("long")).withColumn("_all", _words(whole))
-    hint = reduce(or_, [F.col("_all").contains(k) for k in keywords()])
-    held = held.withColumn("_words", F.when(hint, F.col("_all"))).drop("_all")
-    words = F.col("_words")
+    held = docs.select(F.struct(*[F.col(c) for c in own]).alias("row") if own else F.lit(None).alias("row"), whole.alias("whole"))
+    held = held.select("row", common.count_runs(F.col("whole"), GAP_ANY_CASE).alias("n_words"), F.when(_may_fit(F.col("whole")), _words(F.col("whole"))).alias("all"))
+    hint = reduce(or_, [F.col("all").contains(k) for k in keywords()])
+    held = held.select("row", "n_words", F.when(hint, F.col("all")).alias("words"))
+    words = F.col("words")
     base = F.array(*[F.struct(F.lit(label).alias("label"), F.when(words.contains(f" {phrase} "), places(words, F.lit(_bounded(phrase)))).otherwise(F.array().cast(NO_SPANS)).alias("at")) for phrase, label in PHRASES])
-    held = held.withColumn("_base", F.when(words.isNotNull(), F.filter(base, lambda b: F.size(b["at"]) > 0))).withColumn("_more", F.when(words.isNotNull(), unsuppressed(detections(words))))
-    places_ = F.flatten(F.transform(F.col("_base"), lambda b: b["at"]))
+    held = held.withColumns({"base": F.when(words.isNotNull(), F.filter(base, lambda b: F.size(b["at"]) > 0)), "numbers": F.when(words.isNotNull(), fitting(words))})
+    held = held.withColumn("more", F.when(F.size("numbers") > 0, unsuppressed(detections(words, F.col("numbers")))))
+    places_ = F.flatten(F.transform(F.col("base"), lambda b: b["at"]))
     at = lambda pick: _place(words, pick(F.transform(places_, lambda m: m["start"]))) - 1  # noqa: E731  the first space stands before word 0
-    labels = F.coalesce(F.transform("_base", lambda b: b["label"]), F.array().cast("array<string>"))
-    more = F.coalesce(F.transform("_more", lambda d: d["label"]), F.array().cast("array<string>"))
+    labels = F.coalesce(F.transform("base", lambda b: b["label"]), F.array().cast("array<string>"))
+    more = F.coalesce(F.transform("more", lambda d: d["label"]), F.array().cast("array<string>"))
     joined = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
-    best = F.array_max(F.transform("_more", lambda d: d["priority"]))
+    best = F.array_max(F.transform("more", lambda d: d["priority"]))
     score = F.when(best == HIGH, CONFIDENCE[HIGH]).when(best == MIDDLE, CONFIDENCE[MIDDLE]).when(best == LOW, CONFIDENCE[LOW]).otherwise(0.0)
     score = F.greatest(score, F.when(F.size(labels) > 0, CONFIDENCE[MIDDLE]).otherwise(0.0))
-    return held.withColumns({"n_base": F.coalesce(F.size(places_), F.lit(0)).cast("long"), "first_word": at(F.array_min), "last_word": at(F.array_max), "base_labels": joined(labels), "labels": joined(F.concat(labels, more)), "score": score}).drop("_words", "_base", "_more")
+    made = held.select("row", "n_words", F.coalesce(F.size(places_), F.lit(0)).cast("long").alias("n_base"), at(F.array_min).alias("first_word"), at(F.array_max).alias("last_word"), joined(labels).alias("base_labels"), joined(F.concat(labels, more)).alias("labels"), score.alias("score"))
+    return made.select(*[F.col("row")[c].alias(c) for c in own], *OUTPUTS)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
-    from . import common
-
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     return scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")

@@ -15,20 +15,26 @@ from . import common
 WEIGHTS = (3, 1, 2)
 #: All targets together, and the most of one source, as multiples of the sizes.
 TOTAL, CAP = 1.5, 2.0
-#: Seeds tried per source; the one whose draw comes nearest to the target is used.
+#: Seeds tried per source; the one whose draw comes nearest to the target is used. Each copy is one draw with the
+#: fraction as its probability, but as the best of 16 is taken, draws of one source are not quite independent.
 SEEDS = 16
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(common.WORD)).cast("long")
+    return common.count_runs(F.coalesce(text.cast("string"), F.lit("")), common.WS + "+")
 
 
 def _key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source), F.lit("-"))
 
 
-def _copies(doc_id: Column, rate: Column, seed: Column | int) -> Column:
-    extra = (common.unit_hash(doc_id, seed=seed) < rate - F.floor(rate)).cast("long")
+def draw_of(doc_id: Column, text: Column) -> Column:
+    """What a document's draw depends on: its id, or without one its text."""
+    return F.xxhash64(doc_id.isNull(), doc_id, F.when(doc_id.isNull(), text.cast("string")))
+
+
+def _copies(draw: Column, rate: Column, seed: Column | int) -> Column:
+    extra = (common.unit_hash(draw, seed=seed) < rate - F.floor(rate)).cast("long")
     return F.least(F.floor(rate) + extra, F.lit(int(CAP)).cast("long"))
 
 
@@ -56,11 +62,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float =
 
 
 def plan(sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """For (doc_id, source, size): per source key, source_size, target, rate and seed; and sizes with its key."""
+    """For (draw, source, size): per source key, source_size, target, rate and seed; and sizes with its key."""
     keyed = sizes.withColumn("key", _key(F.col("source")))
     rates = common.materialize(targets(sizes), "mix-rates")
     tried = keyed.join(common.small_side(rates), "key")
-    sums = [F.sum(_copies(F.col("doc_id"), F.col("rate"), s) * F.col("size")).alias(f"t{s}") for s in range(SEEDS)]
+    sums = [F.sum(_copies(F.col("draw"), F.col("rate"), s) * F.col("size")).alias(f"t{s}") for s in range(SEEDS)]
     miss = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{s}") - F.col("target")).alias("miss"), F.lit(s).alias("seed")) for s in range(SEEDS)]))
     per = ["key", "source_size", "target", "rate"]
     return common.materialize(tried.groupBy(*per).agg(*sums).select(*per, miss["seed"].alias("seed")), "mix-plan"), keyed
@@ -69,20 +75,21 @@ def plan(sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
     """Every document as often as the mix takes it, with the columns of the input.
 
-    Null text has size 0, null source is a source of its own (the last), null ids share one draw, repeated rows
-    draw alike, an empty table gives an empty mix. Documents of size 0 follow their source's rate.
+    Null text has size 0, null source is a source of its own (the last), rows without an id draw by their text, repeated
+    rows draw alike, an empty table gives an empty mix. Documents of size 0 follow their source's rate.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+    draw = draw_of(F.col(doc_id), F.col(text)).alias("draw")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), draw, F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
     sizes = common.materialize(rows.drop("row"), "mix-sizes")
     rates, _ = plan(sizes)
     out = rows.withColumn("key", _key(F.col("source"))).join(common.small_side(rates), "key")
-    copies = _copies(F.col("doc_id"), F.col("rate"), F.col("seed"))
+    copies = _copies(F.col("draw"), F.col("rate"), F.col("seed"))
     return out.select("row", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))).alias("_copy")).select("row.*")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", draw_of(F.col("doc_id"), F.col("text")).alias("draw"), "source", word_count(F.col("text")).alias("size"))
     rates, keyed = plan(common.materialize(docs, "mix-sizes"))
     out = keyed.join(common.small_side(rates), "key")
-    taken = _copies(F.col("doc_id"), F.col("rate"), F.col("seed")) * F.col("size")
+    taken = _copies(F.col("draw"), F.col("rate"), F.col("seed")) * F.col("size")
     return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from operator import or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,19 +31,17 @@ BASE = {
 #: What a text must hold for a pattern to be tried at all.
 HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
 _DATE = r"(?:[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2})(?![0-9])"
-#: Kinds whose every generator asks for a digit.
-NUMERIC = {"phone", "ssn", "iban", "birth"}
-#: Generators of further candidates: kind and pattern.
+#: Generators of further candidates: kind, pattern, and what any match of it holds one of (nothing: a digit).
 PROPOSED = [
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}[\x20]?[(\[][\x20]?(?:at|AT)[\x20]?[)\]][\x20]?[A-Za-z0-9-]{1,63}(?:[\x20]?[(\[][\x20]?(?:dot|DOT)[\x20]?[)\]][\x20]?[A-Za-z0-9-]{1,63}){1,4}"),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}[\x20]?[(\[][\x20]?(?:at|AT)[\x20]?[)\]][\x20]?[A-Za-z0-9-]{1,63}(?:[\x20]?[(\[][\x20]?(?:dot|DOT)[\x20]?[)\]][\x20]?[A-Za-z0-9-]{1,63}){1,4}", "(["),
     ("phone", r"(?<![0-9A-Za-z+-])(?:\([0-9]{3}\)[\x20]?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9A-Za-z-])"),
     ("phone", r"(?<![0-9A-Za-z+-])00[1-9][0-9]{0,2}[\x20.-][0-9][0-9\x20.-]{6,14}[0-9](?![0-9A-Za-z-])"),
     ("phone", r"(?<![0-9A-Za-z+.-])0[1-9][0-9]{0,3}(?:[\x20/-][0-9]{2,6}){2,5}(?![0-9A-Za-z-])"),
     ("ssn", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
     ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]{4}){3,7}(?:[\x20]?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"),
-    ("secret", r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+={0,2}"),
-    ("secret", r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api[_-]?key)[\x22']?[\x20]{0,3}[:=][\x20]{0,3}[\x22']?[^\s\x22',;]{6,}+[\x22']?"),
-    ("secret", r"-----BEGIN[A-Z\x20]{0,40}PRIVATE[\x20]KEY-----"),
+    ("secret", r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{20,}+={0,2}"),
+    ("secret", r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api[_-]?key)[\x22']?[\x20]{0,3}[:=][\x20]{0,3}[\x22']?[^\s\x22',;]{6,}+[\x22']?", ":="),
+    ("secret", r"-----BEGIN[A-Z\x20]{0,40}PRIVATE[\x20]KEY-----", "-"),
     ("birth", r"(?<![A-Za-z])(?i:born|dob|birth|geboren|née?|nacid[oa])[^0-9\n]{1,24}" + _DATE),
 ]
 KINDS = [*BASE, "ssn", "iban", "secret", "birth"]
@@ -234,10 +233,10 @@ def base_spans(text: Column) -> dict[str, Column]:
 def candidates(text: Column) -> Column:
     """array<struct<kind, start, end, found, before, after>> of what the generators propose; a generator runs where its own pattern matches."""
     out = []
-    for kind, pattern in PROPOSED:
+    for kind, pattern, *marks in PROPOSED:
         tagged = F.transform(places(text, F.lit(pattern), CONTEXT), _tag(kind, "before", "after"))
-        may = text.rlike("[0-9]") & text.rlike(pattern) if kind in NUMERIC else text.rlike(pattern)
-        out.append(F.when(may, tagged).otherwise(F.array().cast(PROPOSAL)))
+        may = reduce(or_, [text.contains(c) for c in marks[0]]) if marks else text.rlike("[0-9]")
+        out.append(F.when(may & text.rlike(pattern), tagged).otherwise(F.array().cast(PROPOSAL)))
     return F.concat(*out)
 
 

@@ -334,8 +334,8 @@ def test_url_query_list_columns(spark, data, duck, agree):
     sql = r"""
     WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
     h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
-    r AS (SELECT * FROM (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')) AS t(verdict, at, under)),
-    f AS (SELECT page_id, at || under AS rule, verdict FROM h JOIN r ON (host = at OR ends_with(host, '.' || at)) AND starts_with(path, under) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(at || under) DESC) = 1)
+    r AS (SELECT * FROM (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')) AS t(verdict, site, under)),
+    f AS (SELECT page_id, site || under AS rule, verdict FROM h JOIN r ON (host = site OR ends_with(host, '.' || site)) AND starts_with(path, under) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(site || under) DESC) = 1)
     SELECT page_id, host, path, rule, verdict FROM h LEFT JOIN f USING (page_id)"""
     out = url_filter.op8(spark, data)
     assert {r["verdict"] for r in out.collect()} <= {"allow", "block"}
