@@ -153,19 +153,22 @@ def _bounded(pattern: str) -> str:
     return rf"(?<= )(?:{pattern})(?= )"
 
 
-def fitting(words: Column) -> Column:
-    """array<int>: numbers of the rules that fit. A rule's pattern is a constant, compiled once, and tried where its keyword occurs."""
-    by_keyword: dict[str, list[tuple[int, str]]] = {}
+def fitting(words: str) -> Column:
+    """array<int>: numbers of the rules that fit a column of words. A rule's pattern is a constant, compiled once, and tried where its keyword occurs.
+
+    Rules hold neither quotes nor backslashes, so the expression is written as text, which is quicker to build.
+    """
+    by_keyword: dict[str, list[str]] = {}
     for i, (_, keyword, pattern, _) in enumerate(rules()):
-        by_keyword.setdefault(keyword, []).append((i, pattern))
-    none = F.array().cast("array<int>")
-    tried = lambda own: F.filter(F.array(*[F.when(words.rlike(f" (?:{p}) "), F.lit(i)) for i, p in own]), lambda i: i.isNotNull())
-    return F.concat(*[F.when(words.contains(k), tried(own)).otherwise(none) for k, own in by_keyword.items()])
+        by_keyword.setdefault(keyword, []).append(f"CASE WHEN {words} RLIKE ' (?:{pattern}) ' THEN {i} END")
+    tried = [f"CASE WHEN contains({words}, '{k}') THEN array_compact(array({', '.join(own)})) ELSE CAST(array() AS array<int>) END" for k, own in by_keyword.items()]
+    return F.expr(f"concat({', '.join(tried)})")
 
 
 def detections(words: Column, numbers: Column) -> Column:
     """array<struct<start, end, label, priority>> of all places of the rules with these numbers, in code points of ``words``."""
-    table = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(_bounded(c)).alias("pattern"), F.lit(d).alias("priority")) for a, _, c, d in rules()])
+    rows = ", ".join(f"named_struct('label', '{a}', 'pattern', '{_bounded(c)}', 'priority', {d})" for a, _, c, d in rules())
+    table = F.expr(f"array({rows})")
     one = lambda r: F.transform(places(words, r["pattern"]), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), r["label"].alias("label"), r["priority"].alias("priority")))
     return F.flatten(F.transform(numbers, lambda i: one(F.get(table, i))))
 
@@ -206,7 +209,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     held = held.select("row", "n_words", F.when(hint, F.col("all")).alias("words"))
     words = F.col("words")
     base = F.array(*[F.struct(F.lit(label).alias("label"), F.when(words.contains(f" {phrase} "), places(words, F.lit(_bounded(phrase)))).otherwise(F.array().cast(NO_SPANS)).alias("at")) for phrase, label in PHRASES])
-    held = held.withColumns({"base": F.when(words.isNotNull(), F.filter(base, lambda b: F.size(b["at"]) > 0)), "numbers": F.when(words.isNotNull(), fitting(words))})
+    held = held.withColumns({"base": F.when(words.isNotNull(), F.filter(base, lambda b: F.size(b["at"]) > 0)), "numbers": F.when(words.isNotNull(), fitting("words"))})
     held = held.withColumn("more", F.when(F.size("numbers") > 0, unsuppressed(detections(words, F.col("numbers")))))
     places_ = F.flatten(F.transform(F.col("base"), lambda b: b["at"]))
     at = lambda pick: _place(words, pick(F.transform(places_, lambda m: m["start"]))) - 1  # noqa: E731  the first space stands before word 0
