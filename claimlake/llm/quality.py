@@ -2,7 +2,8 @@
 
 Statistics of a whole text are standardised and mapped to random Fourier features, which approximate a
 Gaussian kernel. Every partition sums its share of the normal equations; their sum gives ridge scores, and
-isotonic regression over binned scores turns these into probabilities. Labels, language, source and id are
+isotonic regression over binned scores turns these into probabilities. The bins hold scores out of fold: each row is
+scored by a ridge that was fitted without its fold. Labels, language, source and id are
 never inputs of a score.
 """
 
@@ -21,6 +22,8 @@ from . import common
 
 #: Number of Fourier features, kernel width in standard deviations, ridge penalty, seed, score bins.
 FOURIER, WIDTH, PENALTY, SEED, BINS = 192, 4.0, 1.0, 7, 1024
+#: Folds of the calibration; rows with equal statistics share one.
+FOLDS = 4
 NAMES = ["log_chars", "log_words", "word_length", "distinct_words", "log_lines", "line_words", "distinct_lines", "upper", "digits", "symbols", "stops", "marks", "beyond_ascii", "pipes", "symbol_words", "longest_word", "distinct_pairs"]
 
 _CLASS = np.zeros(256, dtype=np.uint8)
@@ -91,7 +94,7 @@ def isotonic(hits: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def with_statistics(docs: DataFrame, text: str, *keep: str) -> DataFrame:
-    """The kept columns and ``x``, the statistics of the whole text."""
+    """The kept columns (none of them named x or _text) and ``x``, the statistics of the whole text."""
     kept = docs.select(*keep, F.col(text).cast("string").alias("_text"))
     schema = kept.drop("_text").schema.add("x", T.ArrayType(T.DoubleType()))
 
@@ -107,23 +110,34 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("x").flatten().to_numpy().reshape(batch.num_rows, len(NAMES))
 
 
+def solve(system: np.ndarray) -> np.ndarray:
+    """Ridge weights of the normal equations, right side last; the constant is not penalised."""
+    penalty = PENALTY * np.eye(FOURIER + 1)
+    penalty[-1, -1] = 1e-6
+    return np.linalg.solve(system[:, :-1] + penalty, system[:, -1])
+
+
 def fit(rows: DataFrame) -> Model:
-    """Fit on rows (x, y) with y 0 or 1. Without rows every score is 1/2; with one label only, that label."""
-    rows = common.materialize(rows.select("x", F.col("y").cast("double").alias("y")).where(F.col("y").isNotNull()), "quality-train")
+    """Fit on rows (x, y) with y from 0 to 1. Without rows every score is 1/2; with one label only, that label."""
+    fold = F.pmod(F.xxhash64("x"), F.lit(FOLDS)).cast("int").alias("fold")
+    rows = common.materialize(rows.select("x", F.col("y").cast("double").alias("y"), fold).where(F.col("y").isNotNull()), "quality-train")
     each = [f(F.col("x")[i]) for i in range(len(NAMES)) for f in (F.avg, F.stddev_pop)]
     first = rows.agg(F.count("*"), F.avg("y"), *each).first()
     if not first[0] or first[1] in (0.0, 1.0):
         value = 0.5 if not first[0] else first[1]
         return Model(np.zeros(len(NAMES)), np.ones(len(NAMES)), np.zeros(FOURIER + 1), np.array([0.0]), np.array([value]))
     model = Model(np.array(first[2::2]), np.maximum(np.array(first[3::2]), 1e-6), np.zeros(FOURIER + 1), np.zeros(1), np.zeros(1))
+    size = FOURIER + 1
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((FOURIER + 1, FOURIER + 2))
+        total = np.zeros((FOLDS, size, size + 1))
         for batch in batches:
-            z, y = model.fourier(_matrix(batch)), batch.column("y").to_numpy()
-            total[:, :-1] += z.T @ z
-            total[:, -1] += z.T @ y
-        yield from _rows(dict(enumerate(total)))
+            z, y, at = model.fourier(_matrix(batch)), batch.column("y").to_numpy(), batch.column("fold").to_numpy()
+            for f in np.unique(at):
+                own = at == f
+                total[f, :, :-1] += z[own].T @ z[own]
+                total[f, :, -1] += z[own].T @ y[own]
+        yield from _rows(dict(enumerate(total.reshape(FOLDS * size, size + 1))))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -133,17 +147,19 @@ def fit(rows: DataFrame) -> Model:
         yield from _rows(total)
 
     parts = rows.mapInArrow(sums, "i int, v array<double>").repartition(8, "i").mapInArrow(add, "i int, v array<double>")
-    system = np.zeros((FOURIER + 1, FOURIER + 2))
-    for row in parts.collect():  # FOURIER + 1 rows
-        system[row["i"]] = row["v"]
-    penalty = PENALTY * np.eye(FOURIER + 1)
-    penalty[-1, -1] = 1e-6
-    model.weights = np.linalg.solve(system[:, :-1] + penalty, system[:, -1])
+    systems = np.zeros((FOLDS * size, size + 1))
+    for row in parts.collect():  # FOLDS * (FOURIER + 1) rows
+        systems[row["i"]] = row["v"]
+    systems = systems.reshape(FOLDS, size, size + 1)
+    whole = systems.sum(axis=0)
+    model.weights = solve(whole)
+    without = np.array([solve(whole - systems[f]) for f in range(FOLDS)])
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits, counts = np.zeros(BINS), np.zeros(BINS)
         for batch in batches:
-            at = np.clip((model.raw(_matrix(batch)) + 0.5) / 2 * BINS, 0, BINS - 1).astype(int)
+            raw = (model.fourier(_matrix(batch)) * without[batch.column("fold").to_numpy()]).sum(axis=1)
+            at = bin_of(raw)
             counts += np.bincount(at, minlength=BINS)
             hits += np.bincount(at, weights=batch.column("y").to_numpy(), minlength=BINS)
         used = np.flatnonzero(counts)
@@ -155,6 +171,11 @@ def fit(rows: DataFrame) -> Model:
     return model
 
 
+def bin_of(raw: np.ndarray) -> np.ndarray:
+    """Bins of ridge scores, which lie about 0 and 1."""
+    return np.clip((raw + 0.5) / 2 * BINS, 0, BINS - 1).astype(int)
+
+
 def _rows(total: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
     if total:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], ["i", "v"])
@@ -176,8 +197,9 @@ def held_out(doc_id: Column) -> Column:
 
 
 def usable_labels(labels: DataFrame, doc_id: str = "doc_id", label: str = "quality") -> DataFrame:
-    """(_of, y): the labels 0 and 1 of rows that are not held out."""
-    return labels.where(F.col(label).isin(0, 1) & ~held_out(F.col(doc_id))).select(F.col(doc_id).alias("_of"), F.col(label).alias("y"))
+    """(_of, y): the labels 0 and 1 of ids that are not held out, once each; of an id with several, their mean."""
+    usable = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col(doc_id)))
+    return usable.groupBy(F.col(doc_id).alias("_of")).agg(F.avg(label).alias("y"))
 
 
 def train(docs_x: DataFrame, labels: DataFrame, doc_id: str = "doc_id", label: str = "quality") -> Model:
@@ -190,15 +212,16 @@ def labelled_statistics(docs: DataFrame, labels: DataFrame, text: str = "text",
     ids = common.materialize(usable_labels(labels, doc_id, label).select(F.xxhash64("_of").alias("_h")), "quality-ids")
     bits = common.filter_bits(ids.count())
     words = common.materialize(common.filter_words(ids, "_h", bits), "quality-filter")
-    rows = docs.where(~held_out(F.col(doc_id))).select(F.col(doc_id), F.col(text).cast("string").alias(text), F.xxhash64(F.col(doc_id).cast(labels.schema[doc_id].dataType)).alias("_h"))
-    return with_statistics(common.might_hold(rows, words, "_h", bits, "_hit").where("_hit"), text, doc_id)
+    rows = docs.where(~held_out(F.col(doc_id))).select(F.col(doc_id), F.col(text).cast("string").alias("_words"), F.xxhash64(F.col(doc_id).cast(labels.schema[doc_id].dataType)).alias("_h"))
+    return with_statistics(common.might_hold(rows, words, "_h", bits, "_hit").where("_hit"), "_words", doc_id)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", least: float = 0.5) -> DataFrame:
     """The rows whose score is at least ``least``, with the columns of the input.
 
-    Null and empty texts are scored like any other, repeated rows alike; an empty table stays empty; without
-    usable labels every score is 1/2, so that nothing is rejected.
+    Null and empty texts are scored like any other, repeated rows alike (each teaches, if its id is labelled); an id
+    labelled several times teaches the mean of its labels; an empty table stays empty; without usable labels every score
+    is 1/2, so that nothing is rejected.
     """
     model = train(common.materialize(labelled_statistics(docs, labels, text, doc_id, label), "quality-stats"), labels, doc_id, label)
     return docs.where(score_column(model, text) >= least)

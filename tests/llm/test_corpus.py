@@ -499,6 +499,50 @@ def test_quality_held_out(spark):
     assert got.score.between(0, 1).all()
 
 
+def test_quality_against_plain_numpy(spark, data, docs):
+    """Every score of the query by a plain version: all training rows in one array, a fold left out at a time, pooled bins."""
+    labels = {r["doc_id"]: r["quality"] for r in common.table(spark, data, "labels").collect()}
+    rows = docs.select("doc_id", "text").collect()
+    x = np.array([quality.statistics(r["text"]) for r in rows])
+    held = np.array([zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1 for r in rows])
+    teach = np.flatnonzero([r["doc_id"] in labels and not h for r, h in zip(rows, held, strict=True)])
+    y = np.array([float(labels[rows[i]["doc_id"]]) for i in teach])
+    draw = np.random.default_rng(quality.SEED)
+    w, phase = draw.standard_normal((x.shape[1], quality.FOURIER)) / quality.WIDTH, draw.uniform(0, 2 * np.pi, quality.FOURIER)
+    scaled = (x - x[teach].mean(axis=0)) / np.maximum(x[teach].std(axis=0), 1e-6)
+    z = np.hstack([np.sqrt(2 / quality.FOURIER) * np.cos(np.clip(scaled, -8, 8) @ w + phase), np.ones((len(x), 1))])
+    ridge = np.diag([quality.PENALTY] * quality.FOURIER + [1e-6])
+    weights = lambda at: np.linalg.solve(z[at].T @ z[at] + ridge, z[at].T @ np.array([float(labels[rows[i]["doc_id"]]) for i in at]))
+    folds = {r["i"]: r["f"] for r in spark.createDataFrame([(int(i), x[i].tolist()) for i in teach], "i int, x array<double>").select("i", F.pmod(F.xxhash64("x"), F.lit(quality.FOLDS)).alias("f")).collect()}
+    fold = np.array([folds[i] for i in teach])
+    raw = np.zeros(len(teach))
+    for f in range(quality.FOLDS):
+        raw[fold == f] = z[teach[fold == f]] @ weights(teach[fold != f])
+    at = quality.bin_of(raw)
+    bins = np.unique(at)
+    levels, sizes = [], []
+    for b in bins:  # pool neighbours until rates ascend
+        levels.append([y[at == b].sum(), (at == b).sum()])
+        sizes.append(1)
+        while len(levels) > 1 and levels[-2][0] / levels[-2][1] >= levels[-1][0] / levels[-1][1]:
+            last, n = levels.pop(), sizes.pop()
+            levels[-1] = [levels[-1][0] + last[0], levels[-1][1] + last[1]]
+            sizes[-1] += n
+    rates = np.repeat([h / n for h, n in levels], sizes)
+    want = np.interp(z @ weights(teach), (bins + 0.5) / quality.BINS * 2 - 0.5, rates)
+    got = {r["doc_id"]: r for r in quality.op3(spark, data).collect()}
+    assert len(got) == len(rows)
+    for r, score, h in zip(rows, want, held, strict=True):
+        mine = got[r["doc_id"]]
+        assert mine["held_out"] == h and mine["score"] == pytest.approx(score, abs=1e-6) and mine["predicted"] == (mine["score"] >= 0.5)
+
+
+def test_quality_labels_once(spark):
+    labels = spark.createDataFrame([(2, 1), (2, 1), (2, 0), (3, 0), (None, 1), (5, 7)], "doc_id long, quality int")
+    got = {r["_of"]: r["y"] for r in quality.usable_labels(labels).collect()}
+    assert got == {i: y for i, y in ((2, pytest.approx(2 / 3)), (3, 0.0)) if zlib.crc32(str(i).encode()) % 3 != 1}
+
+
 def test_quality_without_labels(odd, spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert quality.keep_good(odd, labels).count() == odd.count()
