@@ -553,11 +553,16 @@ def test_isotonic():
     assert quality.isotonic(np.array([0.0, 3.0, 1.0, 4.0]), np.array([2.0, 4.0, 4.0, 4.0])).tolist() == [0.0, 0.5, 0.5, 1.0]
 
 
-def test_top_k_brute_force(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_top_k_brute_force(spark, monkeypatch, small):
+    if small:  # many blocks of both kinds, and short vectors that need not meet every query
+        monkeypatch.setattr(topk, "CANDIDATE_NUMBERS", 64 * 40)
+        monkeypatch.setattr(topk, "QUERY_NUMBERS", 64 * 40)
     draw = np.random.default_rng(3)
-    vectors = [(int(i), [float(x) for x in draw.normal(size=40)]) for i in range(600)]
-    vectors += [(20, vectors[20][1]), (40, None), (601, [1.0, float("nan")]), (602, [None, 1.0]), (603, [1.0]), (604, [])]
-    got = topk.top_k(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=7).collect()
+    vectors = [(int(i), [float(x) for x in draw.normal(size=40) * (0.05 if i % 3 and i % 20 else 1)]) for i in range(600 + 1400 * small)]
+    vectors += [(20, vectors[20][1]), (40, None), (6010, [1.0, float("nan")]), (6020, [None, 1.0]), (6030, [1.0]), (6040, [])]
+    d = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("rid", "v", "block", "norm", "place")})
+    got = topk.top_k(d, F.col("vec_id") % 20 == 0, k=7).collect()
     fine = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in vectors if v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = Counter()
     for n, (i, v) in enumerate(fine):
