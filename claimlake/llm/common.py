@@ -92,10 +92,14 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def count_runs(text: Column, gap: str) -> Column:
-    """How many runs of characters a pattern of one or more separators leaves. Nothing is gathered, as regexp_count does."""
-    spaced = F.trim(F.regexp_replace(text, gap, " "))
-    return F.when(spaced == "", F.lit(0)).otherwise(F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit(""))) + 1).cast("long")
+def count_runs(text: Column, separator: str) -> Column:
+    """How many words a class of separators leaves: one more than its runs, but for runs at the ends.
+
+    A class that lists characters is matched from a table, its complement is not; so separators are counted, not words.
+    """
+    ends = [F.when(c.rlike(separator), 1).otherwise(0) for c in (F.substring(text, 1, 1), F.right(text, F.lit(1)))]
+    runs = F.regexp_count(text, F.lit(separator + "+"))
+    return F.when(F.length(text) == 0, F.lit(0)).otherwise(runs + 1 - ends[0] - ends[1]).cast("long")
 
 
 def unit_hash(*cols: Column | str, seed: int | Column = 0) -> Column:

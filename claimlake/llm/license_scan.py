@@ -17,8 +17,8 @@ from . import common
 from .spans import NO_SPANS, bind, places
 from .url_filter import LOWER, UPPER
 
-#: Runs of characters that separate words once A-Z is lower case, and in the original text.
-GAP, GAP_ANY_CASE = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Runs of characters that separate words once A-Z is lower case, and one such character in the original text.
+GAP, SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 #: Base phrases and their labels: fixed values.
 PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
 #: Licenses of one version: label and the phrases that name it.
@@ -204,7 +204,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     own = [c for c in docs.columns if c not in OUTPUTS]
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     held = docs.select(F.struct(*[F.col(c) for c in own]).alias("row") if own else F.lit(None).alias("row"), whole.alias("whole"))
-    held = held.select("row", common.count_runs(F.col("whole"), GAP_ANY_CASE).alias("n_words"), F.when(_may_fit(F.col("whole")), _words(F.col("whole"))).alias("all"))
+    held = held.select("row", common.count_runs(F.col("whole"), SEPARATOR).alias("n_words"), F.when(_may_fit(F.col("whole")), _words(F.col("whole"))).alias("all"))
     hint = reduce(or_, [F.col("all").contains(k) for k in keywords()])
     held = held.select("row", "n_words", F.when(hint, F.col("all")).alias("words"))
     words = F.col("words")

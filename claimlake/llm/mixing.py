@@ -21,7 +21,7 @@ SEEDS = 16
 
 
 def word_count(text: Column) -> Column:
-    return common.count_runs(F.coalesce(text.cast("string"), F.lit("")), common.WS + "+")
+    return common.count_runs(F.coalesce(text.cast("string"), F.lit("")), common.WS)
 
 
 def _key(source: Column) -> Column:

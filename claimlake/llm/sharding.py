@@ -20,48 +20,61 @@ BUCKET_BYTES, LEAST_BUCKETS = 64 << 20, 256
 MOST_PARTITIONS = 1 << 16
 
 
-def scatter(rows: DataFrame, key: str, size: str, seed: int = 0, bucket_bytes: int = BUCKET_BYTES, least_buckets: int = LEAST_BUCKETS) -> tuple[DataFrame, int]:
-    """Rows with a uniform ``_bucket`` from the seeded hash of key and values, and the number of buckets."""
-    total = rows.agg(F.sum(size)).first()[0] or 0
-    buckets = max(least_buckets, -(-int(total) // bucket_bytes))
-    return rows.withColumn("_bucket", F.pmod(F.xxhash64(*_identity(rows, key), F.lit(seed)), F.lit(buckets)).cast("int")), buckets
+#: Rows equal in all plain columns that may share a bucket; more of them are scattered one by one.
+MOST_EQUAL = 1000
 
 
-def _identity(rows: DataFrame, key: str) -> list[Column]:
+def _identity(docs: DataFrame, key: str) -> list[Column]:
     """The key, then the other columns of plain types: rows that share a key, null above all, spread over buckets too."""
     plain = (T.NumericType, T.StringType, T.BinaryType, T.BooleanType, T.DateType, T.TimestampType)
-    return [F.col(key), *[F.col(f.name) for f in rows.schema if f.name != key and isinstance(f.dataType, plain)]]
+    return [F.col(key), *[F.col(f.name) for f in docs.schema if f.name != key and isinstance(f.dataType, plain)]]
+
+
+def scatter(docs: DataFrame, key: str, size: Column, seed: int = 0, bucket_bytes: int = BUCKET_BYTES, least_buckets: int = LEAST_BUCKETS) -> tuple[DataFrame, int]:
+    """(row, size, null, tie, bucket) with a uniform bucket from the seeded hash of key and values, and the number of buckets.
+
+    The row holds the input's columns, so that no name of theirs can clash. Rows equal in all plain columns hash alike;
+    where there are very many of one kind, each takes its place in the input as a salt.
+    """
+    own = _identity(docs, key)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), size.alias("size"), F.col(key).isNull().alias("null"), F.xxhash64(*own, F.lit(seed)).alias("hash"), F.xxhash64(*own, F.lit(seed + 1)).alias("tie"))
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    buckets = max(least_buckets, -(-int(total) // bucket_bytes))
+    many = common.materialize(rows.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > MOST_EQUAL).select(F.col("hash").alias("many")), "shard-many")
+    if not many.isEmpty():
+        salt = F.xxhash64("hash", F.monotonically_increasing_id())
+        rows = rows.withColumn("salt", salt).join(common.small_side(many), F.col("hash") == F.col("many"), "left")
+        rows = rows.select("row", "size", "null", F.when(F.col("many").isNull(), F.col("hash")).otherwise(F.col("salt")).alias("hash"), "tie")
+    return rows.select("row", "size", "null", "tie", F.pmod(F.xxhash64("hash"), F.lit(buckets)).cast("int").alias("bucket")), buckets
 
 
-def shuffle_rows(rows: DataFrame, key: str, size: str, seed: int = 0, **how) -> DataFrame:
-    """Input columns plus ``_place`` (from 0, gapless, a seeded random order) and ``_count`` (all rows).
+def shuffle_rows(docs: DataFrame, key: str, size: Column, seed: int = 0, **how) -> DataFrame:
+    """(row, place, count): place (from 0, gapless) in a seeded random order of all rows, and how many there are.
 
     Buckets are dealt out in a number of partitions that the size decides and sorted there, so that the seeded Fisher-Yates
-    draws, and with them the order, come out alike when a task is repeated. Rows that share a key, nulls too,
-    are scattered by their other columns; only rows equal in all plain columns share a bucket.
+    draws, and with them the order, come out alike when a task is repeated.
     """
-    own = rows.columns
-    rows, buckets = scatter(rows, key, size, seed, **how)
-    counts = rows.groupBy("_bucket").agg(F.count("*").alias("_rows"))
-    upto = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    rows, buckets = scatter(docs, key, size, seed, **how)
+    counts = rows.groupBy("bucket").agg(F.count("*").alias("rows"))
+    upto = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    starts = common.materialize(counts.select("_bucket", F.coalesce(F.sum("_rows").over(upto), F.lit(0)).alias("_start"), F.sum("_rows").over(whole).alias("_count")), "shard-starts")
-    dealt = rows.repartition(min(buckets, MOST_PARTITIONS), "_bucket")
-    packed = dealt.groupBy("_bucket").agg(F.array_sort(F.collect_list(F.struct(F.col(key).isNull().alias("_null"), F.xxhash64(*_identity(dealt, key), F.lit(seed + 1)).alias("_tie"), F.struct(*own).alias("row")))).alias("all"))
+    starts = common.materialize(counts.select("bucket", F.coalesce(F.sum("rows").over(upto), F.lit(0)).alias("start"), F.sum("rows").over(whole).alias("count")), "shard-starts")
+    dealt = rows.repartition(min(buckets, MOST_PARTITIONS), "bucket")
+    packed = dealt.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("null", "tie", "row"))).alias("all"))
     # the draws are a step of their own: within posexplode, Spark moves them below the sort where few columns are read, and the order would depend on that
-    drawn = packed.sortWithinPartitions("_bucket").select("_bucket", F.shuffle("all", seed).alias("_mixed"))
-    mixed = drawn.select("_bucket", F.posexplode("_mixed").alias("_at", "one"))
-    return mixed.join(common.small_side(starts), "_bucket").select("one.row.*", (F.col("_start") + F.col("_at")).alias("_place"), "_count")
+    drawn = packed.sortWithinPartitions("bucket").select("bucket", F.shuffle("all", seed).alias("mixed"))
+    mixed = drawn.select("bucket", F.posexplode("mixed").alias("at", "one"))
+    return mixed.join(common.small_side(starts), "bucket").select("one.row", (F.col("start") + F.col("at")).alias("place"), "count")
 
 
 def cut(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """Replace ``_place`` and ``_count`` by ``shard`` and ``slot``: the first count % shards shards hold one row more."""
-    base, more = F.expr(f"_count div {shards}"), F.col("_count") % shards
+    """(row, shard, slot) from (row, place, count): the first count % shards shards hold one row more."""
+    base, more = F.expr(f"count div {shards}"), F.col("count") % shards
     edge = (base + 1) * more
-    late = F.col("_place") >= edge
-    shard = F.when(late, more + F.expr(f"(_place - (_count div {shards} + 1) * (_count % {shards})) div greatest(_count div {shards}, 1L)")).otherwise(F.expr(f"_place div (_count div {shards} + 1)"))
-    slot = F.when(late, (F.col("_place") - edge) % F.greatest(base, F.lit(1).cast("long"))).otherwise(F.col("_place") % (base + 1))
-    return rows.withColumns({"shard": shard.cast("int"), "slot": slot.cast("long")}).drop("_place", "_count")
+    late = F.col("place") >= edge
+    shard = F.when(late, more + F.expr(f"(place - (count div {shards} + 1) * (count % {shards})) div greatest(count div {shards}, 1L)")).otherwise(F.expr(f"place div (count div {shards} + 1)"))
+    slot = F.when(late, (F.col("place") - edge) % F.greatest(base, F.lit(1).cast("long"))).otherwise(F.col("place") % (base + 1))
+    return rows.select("row", shard.cast("int").alias("shard"), slot.cast("long").alias("slot"))
 
 
 def shard(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shards: int = SHARDS, seed: int = 0) -> DataFrame:
@@ -69,8 +82,10 @@ def shard(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shards: i
 
     A null text has size 8, repeated rows each get a slot of their own, an empty table gives an empty result.
     """
-    sized = docs.drop("shard", "slot").withColumn("_size", F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long") + 8)
-    return cut(shuffle_rows(sized, doc_id, "_size", seed), shards).drop("_size")
+    own = [c for c in docs.columns if c not in ("shard", "slot")]
+    size = F.octet_length(F.coalesce(F.col(text).cast("string"), F.lit(""))).cast("long") + 8
+    placed = cut(shuffle_rows(docs.select(*own), doc_id, size, seed), shards)
+    return placed.select(*[F.col("row")[c].alias(c) for c in own], "shard", "slot")
 
 
 def write_shards(docs: DataFrame, path: str, **how) -> None:

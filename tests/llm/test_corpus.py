@@ -616,6 +616,101 @@ def test_filter_words(spark):
 
 def test_sharding_spreads_null_ids(spark):
     rows = spark.range(5000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.col("id").cast("string").alias("text"))
-    placed, buckets = sharding.scatter(rows.withColumn("_size", F.lit(8)), "doc_id", "_size")
-    assert placed.groupBy("_bucket").count().agg(F.max("count")).first()[0] < 5 * 5000 / buckets
+    placed, buckets = sharding.scatter(rows, "doc_id", F.lit(8))
+    assert placed.groupBy("bucket").count().agg(F.max("count")).first()[0] < 5 * 5000 / buckets
     assert [r["n"] for r in sharding.shard(rows).groupBy("shard").agg(F.countDistinct("slot").alias("n")).collect()] and sharding.shard(rows).count() == 5000
+
+
+def test_sharding_spreads_equal_rows(spark):
+    """A third of all rows is one and the same row: no bucket holds much of it, and each has a slot of its own."""
+    rows = spark.range(9000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 > 0, F.col("id").cast("string")).alias("text"))
+    placed, buckets = sharding.scatter(rows, "doc_id", F.lit(8))
+    assert placed.groupBy("bucket").count().agg(F.max("count")).first()[0] < 5 * 9000 / buckets
+    out = sharding.shard(rows)
+    assert Counter(tuple(r) for r in out.select("doc_id", "text").collect()) == Counter(tuple(r) for r in rows.collect())
+    slots = out.groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("d"), F.max("slot").alias("m")).collect()
+    assert all(r["n"] == r["d"] == r["m"] + 1 == 375 for r in slots) and len(slots) == 24
+
+
+def test_sharding_order_is_uniform_and_repeats(spark):
+    """Where a row lands says nothing of where it stood, and a second run lands it there again."""
+    rows = spark.range(4800).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"))
+    place = lambda d: {r["doc_id"]: r["shard"] * 200 + r["slot"] for r in sharding.shard(d).collect()}
+    first = place(rows)
+    assert first == place(rows.repartition(7))
+    at = np.array([first[i] for i in range(4800)])
+    assert sorted(at) == list(range(4800))
+    assert abs(np.corrcoef(np.arange(4800), at)[0, 1]) < 0.06
+    table = np.histogram2d(np.arange(4800), at, bins=8)[0]
+    assert ((table - 75) ** 2 / 75).sum() < 49 + 5 * (2 * 49) ** 0.5
+    assert place(rows) != {r["doc_id"]: r["shard"] * 200 + r["slot"] for r in sharding.shard(rows, seed=1).collect()}
+
+
+KEEPS_ROWS = {
+    "shard": (sharding.shard, ["shard", "slot"]), "find": (pii.find, ["base", "added"]), "redact": (pii.redact, []), "scan": (license_scan.scan, license_scan.OUTPUTS), "mark_copies": (exact_dedup.mark_copies, exact_dedup.OUTPUTS),
+    "filter_urls": (lambda d: url_filter.filter_urls(d, "text"), ["host", "path", "rule", "verdict"]),
+}
+#: Names that operators use inside, and those of their outputs.
+CLASHES = ["row", "text_", "size", "hash", "tie", "bucket", "place", "count", "_a", "_b", "_at", "_own", "_word", "_mask", "_hit", "_sha", "_points", "_id", "_rid", "_kept", "key", "draw", "rate", "seed", "rid", "node", "bands", "sig", "n", "x", "words", "numbers", "more", "base", "added", "whole", "all", "kinds", "clean", "list", "tokens", "shard", "slot", "labels", "kept", "class", "part", "rank", "length", "start"]
+
+
+def clashing(spark):
+    rows = [(1, "ann@example.com called +49 30 901820", "a"), (2, None, "a"), (3, "", None), (4, "mit license", "b"), (4, "mit license", "b"), (None, "a b c d e f g", "b"), (5, " a b c d e f g", "a")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    return d.withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in CLASHES})
+
+
+@pytest.mark.parametrize("name", list(KEEPS_ROWS))
+def test_clashing_columns_come_through(spark, name):
+    apply, outputs = KEEPS_ROWS[name]
+    d = clashing(spark)
+    out = apply(d)
+    own = [c for c in d.columns if c not in outputs and not (name == "redact" and c == "text")]
+    assert set(out.columns) == {*d.columns, *outputs}
+    assert Counter(map(tuple, out.select(*own).collect())) == Counter(map(tuple, d.select(*own).collect()))
+
+
+@pytest.mark.parametrize(("apply", "ids"), [(exact_dedup.exact_dedup, [1, 3, 4, 5]), (near_dedup.near_dedup, [1, 2, 3, 4, 5]), (lambda d: quality.keep_good(d, d.sparkSession.createDataFrame([], "doc_id long, quality int")), [None, 1, 2, 3, 4, 4, 5]), (mixing.mix, None)])
+def test_clashing_columns_of_kept_rows(spark, apply, ids):
+    d = clashing(spark)
+    out = apply(d)
+    rows = [tuple(r) for r in out.collect()]
+    assert out.columns == d.columns and set(rows) <= {tuple(r) for r in d.collect()}
+    assert ids is None or sorted((r[0] for r in rows), key=lambda i: (i is not None, i)) in (ids, [2, *ids[1:]] if ids[0] == 1 and 2 not in ids else ids, sorted({*ids} - {3} | {2}, key=lambda i: (i is not None, i)))
+
+
+def test_clashing_columns_of_packing(spark):
+    d = clashing(spark)
+    rows = packing.pack(d).collect()
+    assert Counter(r["doc_id"] for r in rows if r["start"] == 0) == Counter(r["doc_id"] for r in d.collect())
+
+
+def test_mixing_without_ids(spark):
+    """Rows without an id draw by their texts, so their source comes as near to its target as any."""
+    rows = [(None, " ".join(["w"] * (1 + i % 7)) + f" {i}", "a") for i in range(2000)] + [(i, f"x {i}", "b") for i in range(500)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = d.select("source", mixing.word_count(F.col("text")).alias("size"))
+    target = {r["key"]: r["target"] for r in mixing.targets(sizes).collect()}
+    taken = {r["source"]: r["n"] for r in mixing.mix(d).groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()}
+    assert all(abs(taken[s] - target["s" + s]) < 0.02 * target["s" + s] for s in ("a", "b"))
+
+
+def test_scratch_tables_go(spark):
+    at = common.mark()
+    kept, other = common.materialize(spark.range(5), "kept"), common.materialize(spark.range(6), "other")
+    common.release(spark, at, kept)
+    assert kept.count() == 5
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(other.inputFiles()[0]).count()
+
+
+def test_scratch_folder_must_be_shared(spark, monkeypatch):
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "spark://somewhere:7077"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        common.scratch_dir(Session())
