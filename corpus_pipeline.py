@@ -49,7 +49,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs, begin = common.table(spark, sf_dir, "documents"), common.mark()
     for name, stage in STAGES:
         docs = common.materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        common.release(spark, begin, docs)  # nothing reads the stage's own tables, or its input, again
     return docs
