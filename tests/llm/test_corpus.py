@@ -362,6 +362,35 @@ def test_license_scan(spark, texts):
     assert len(license_scan.rules()) > 200
 
 
+def plain_labels(text):
+    """Labels of the rules' places that no other place of at least their priority contains, by comparing all pairs."""
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    words = f" {' '.join(re.findall('[^' + chr(0) + '-/:-`{-' + chr(127) + ']+', lower))} "
+    found = []
+    for label, _, pattern, priority in license_scan.rules():
+        found += [(m.start(), m.end(), priority, label) for m in re.finditer(rf"(?<= )(?:{pattern})(?= )", words)]
+    found = sorted(set(found), key=lambda d: (d[0], -d[1], -d[2], d[3]))
+    kept = [d for i, d in enumerate(found) if not any(o[0] <= d[0] and d[1] <= o[1] and o[2] >= d[2] for o in found[:i])]
+    return {d[3] for d in kept}, max((d[2] for d in kept), default=0)
+
+
+def test_license_query_against_plain_rules(spark, data, texts):
+    """All columns of the query and the suppression of contained detections, on the documents and on mixed phrases."""
+    draw = np.random.default_rng(12)
+    phrases = [p for _, _, pattern, _ in license_scan.rules() for p in bare_phrases(pattern)] + [p for p, _ in license_scan.PHRASES]
+    glue = [" ", ", ", "\n", " and ", ". The ", " or later ", " 2.0 ", " x-"]
+    mixed = ["".join(draw.choice(phrases) + draw.choice(glue) for _ in range(draw.integers(1, 8))) for _ in range(150)]
+    got = license_scan.scan(spark.createDataFrame([(-1 - i, t) for i, t in enumerate(mixed)], "doc_id long, text string")).unionByName(license_scan.op9(spark, data).withColumn("text", F.lit(None)), allowMissingColumns=True)
+    rows = got.collect()
+    assert len(rows) == len(mixed) + len(texts)
+    for r in rows:
+        text = mixed[-1 - r["doc_id"]] if r["doc_id"] < 0 else texts[r["doc_id"]]
+        labels, best = plain_labels(text)
+        base = set(filter(None, r["base_labels"].split(",")))
+        assert r["labels"] == ",".join(sorted(labels | base)), text[:200]
+        assert r["score"] == max(license_scan.CONFIDENCE.get(best, 0.0), license_scan.CONFIDENCE[license_scan.MIDDLE] if base else 0.0)
+
+
 def bare_phrases(pattern):
     """The shortest and the longest way to write a rule: optional parts left out with first alternatives, then all of them with last ones."""
     for long in (False, True):

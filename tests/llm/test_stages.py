@@ -89,3 +89,32 @@ def test_packing_stage(stages):
             assert offset == at
             at += length
         assert at <= 1024
+
+
+def test_stages_on_odd_documents(spark, data):
+    """Null and repeated ids, null, empty and very long texts, null sources, extra columns: each stage on its predecessor's rows."""
+    long = " ".join(f"word{i % 9000}" for i in range(30000))
+    rows = [(None, "alone without an id and with enough words to be read"), (1, None), (2, ""), (3, " \n"), (4, long), (5, long + " x"), (5, "the same row twice over here"), (5, "the same row twice over here"), (6, "plain words of a plain text here"), (7, " plain words of a plain text here")]
+    docs = spark.createDataFrame([(i, t, "en", None if i == 6 else "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").withColumns({"row": F.lit(1), "kept": F.lit(2), "size": F.lit(3), "key": F.lit(4)})
+    for empty in (False, True):
+        now = docs.where("false") if empty else docs
+        for name, stage in corpus_pipeline.STAGES:
+            before = [tuple(r) for r in now.collect()]
+            made = common.materialize(stage(spark, now, data), f"odd-{name}")
+            after = [tuple(r) for r in made.collect()]
+            if name == "packing":
+                assert Counter(r["doc_id"] for r in made.where("start = 0").collect()) == Counter(r[0] for r in before)
+            else:
+                assert made.columns == docs.columns and set(after) <= set(before)
+            if name == "exact_dedup":
+                texts = ["".join((r[1] or "").split()) for r in after]
+                assert len(set(texts)) == len(texts) and set(texts) == {"".join((r[1] or "").split()) for r in before}
+            if name == "near_dedup" and not empty:
+                assert len([r for r in after if r[1] and r[1].startswith("word")]) <= 1
+            now = made
+
+
+def test_pipeline_runs_and_leaves_one_table(spark, data):
+    at = common.mark()
+    out = corpus_pipeline.run(spark, data)
+    assert out.count() > 100 and len(common._written) == at + 1
