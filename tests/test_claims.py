@@ -287,6 +287,14 @@ def test_ingest(spark, claims, tmp_path):
     assert files.read_state(spark, f"{out}/nothing", "claim_id string").isEmpty()
 
 
+def test_read_texts(spark, tmp_path):
+    for claim in ("k1", "k2"):
+        (tmp_path / claim).mkdir()
+        (tmp_path / claim / "diary.md").write_text(f"# {claim}\n\nline\n")
+    rows = files.read_texts(spark, str(tmp_path / "*" / "diary.md")).orderBy("claim_id").collect()
+    assert [tuple(r) for r in rows] == [(c, "diary.md", f"# {c}\n\nline\n") for c in ("k1", "k2")]
+
+
 def test_extract_and_merge(spark, claims):
     calls = []
 
