@@ -92,7 +92,8 @@ class Best:
         _, mine, theirs = np.intersect1d(self.rids, rids, assume_unique=True, return_indices=True)
         own[mine] = theirs
         dims = max(self.q.shape[1], v.shape[0])
-        q, v = np.pad(self.q, ((0, 0), (0, dims - self.q.shape[1]))), np.pad(v, ((0, dims - v.shape[0]), (0, 0)))
+        q = self.q if dims == self.q.shape[1] else np.pad(self.q, ((0, 0), (0, dims - self.q.shape[1])))
+        v = v if dims == v.shape[0] else np.pad(v, ((0, dims - v.shape[0]), (0, 0)))
         if float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * max(dims, 1) >= 2.0**52:
             scores = _exact(q, v)
             for i in range(len(q)):
