@@ -19,6 +19,7 @@ from ..operators import extract, generate, layout, ledger, merge
 from ..sources import files
 
 KEYS = ["claim_id", "doc_idx", "name"]
+STEPS = "claim_id string, doc_idx int, doc string, diary string, ledger string, error string"
 LEDGER_ROWS = "claim_id string, doc_idx int, doc string, line int, page string, field_name string, old_value string, new_value string"
 
 
@@ -66,13 +67,15 @@ def ingest(spark: SparkSession, root: str, generator, out: str | None = None, fo
     listed = files.list_claims(spark, root)
     start = prompts.template("diary")
     files.reset(listed, f"{out}/diary", f"{out}/ledger", start)
+    files.clear(listed, f"{out}/steps", f"{out}/summary")
     steps = ledger.fold(contents(listed, form), updater(tuned(generator, "update"), prompts.load("update")), start)
     files.write_by_claim(steps, f"{out}/steps", "overwrite")
-    steps = files.read_state(spark, f"{out}/steps", steps.schema.simpleString()[7:-1].replace(":", " ")).join(listed.select("claim_id").distinct(), "claim_id", "left_semi")
+    mine = listed.select("claim_id").distinct()
+    steps = files.read_state(spark, f"{out}/steps", STEPS).join(mine, "claim_id", "left_semi")
     last = steps.groupBy("claim_id").agg(F.max_by("diary", "doc_idx").alias("diary"))
     files.write_by_claim(last, f"{out}/diary", "overwrite")
     files.write_by_claim(entries(steps), f"{out}/ledger", "append")
-    diaries = files.read_state(spark, f"{out}/diary", "claim_id string, diary string").join(last.select("claim_id"), "claim_id", "left_semi")
+    diaries = files.read_state(spark, f"{out}/diary", "claim_id string, diary string").join(mine, "claim_id", "left_semi")
     logged = ledger.ledger_text(files.read_state(spark, f"{out}/ledger", LEDGER_ROWS), prompts.template("ledger"))
     files.write_by_claim(summaries(diaries, logged, generator), f"{out}/summary", "overwrite")
     return out
@@ -103,9 +106,12 @@ def extract_and_merge(spark: SparkSession, root: str, generator, out: str | None
     per claim), by claim. An answer that is no JSON object drops its document.
     """
     out = out or files.processed_root(root)
-    asked = generate.extract(contents(files.list_claims(spark, root), form), tuned(generator, "extraction"), extraction_prompt(), "claim_id", "doc_idx", "doc")
+    listed = files.list_claims(spark, root)
+    files.clear(listed, *(f"{out}/{table}" for table in ("answers", "extraction", "final_claim")))
+    asked = generate.extract(contents(listed, form), tuned(generator, "extraction"), extraction_prompt(), "claim_id", "doc_idx", "doc")
     files.write_by_claim(asked.drop("extraction"), f"{out}/answers", "overwrite")
     answers = files.read_state(spark, f"{out}/answers", "claim_id string, doc_idx int, doc string, raw string, error string")
+    answers = answers.join(listed.select("claim_id").distinct(), "claim_id", "left_semi")
     read = answers.withColumn("extraction", text.parse_json(F.col("raw")))
     objects = read.where(F.schema_of_variant("extraction").startswith("OBJECT"))
     kept = generate.succeeded(objects)

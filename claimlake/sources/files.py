@@ -180,13 +180,20 @@ def write_by_claim(rows: DataFrame, path: str, mode: str, claim: str = "claim_id
     (out.option("partitionOverwriteMode", "dynamic") if mode == "overwrite" else out).save(path)
 
 
+def clear(claims: DataFrame, *paths: str, claim: str = "claim_id") -> None:
+    """Remove what tables by claim hold of the claims at hand; others stay. Only folders are removed, one call for each."""
+    spark = claims.sparkSession
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for row in claims.select(claim).distinct().toLocalIterator():
+        for path in paths:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{claim}={row[0]}")
+            folder.getFileSystem(conf).delete(folder, True)
+
+
 def reset(claims: DataFrame, diary_path: str, ledger_path: str, diary: str, claim: str = "claim_id") -> None:
     """Start claims afresh: the template as their diary, and no entries in their ledger."""
-    spark, own = claims.sparkSession, claims.select(claim).distinct()
-    write_by_claim(own.withColumn("diary", F.lit(diary)), diary_path, "overwrite", claim)
-    for row in own.toLocalIterator():
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{ledger_path}/{claim}={row[0]}")
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    clear(claims, ledger_path, claim=claim)
+    write_by_claim(claims.select(claim).distinct().withColumn("diary", F.lit(diary)), diary_path, "overwrite", claim)
 
 
 def processed_root(root: str) -> str:

@@ -269,7 +269,7 @@ def test_chunks_of_layout(spark):
 def test_ingest(spark, claims, tmp_path):
     def model(prompt):
         if "Ledger of changes" in prompt:
-            return "no table" if "k2" in prompt else "<!-- BEGIN_SUMMARY -->\n| Field |\n<!-- END_SUMMARY -->"
+            return "no table" if "seen" not in prompt else "<!-- BEGIN_SUMMARY -->\n| Field |\n<!-- END_SUMMARY -->"
         if "# Diary so far" in prompt:
             assert "[Page 1]\nOne two" in prompt and "{{" not in prompt
             seen = prompt.split("# Diary so far")[1].split("# New document")[0].count("seen")
@@ -283,8 +283,15 @@ def test_ingest(spark, claims, tmp_path):
     assert {r["claim_id"]: r["diary"] for r in state.collect()} == {"k1": "seen seen", "k2": "seen", "k3": prompts.template("diary")}
     rows = files.read_state(spark, f"{out}/ledger", runs.LEDGER_ROWS).orderBy("claim_id", "doc_idx").collect()
     assert [(r["claim_id"], r["doc"], r["field_name"], r["new_value"]) for r in rows] == [("k1", "a.docx", "Status", "0"), ("k1", "b.docx", "Status", "1"), ("k2", "only.DOCX", "Status", "0")]
-    assert {r["claim_id"]: r["summary"] for r in files.read_state(spark, f"{out}/summary", "claim_id string, summary string").collect()} == {"k1": "| Field |", "k2": "| Field |"}
+    assert {r["claim_id"]: r["summary"] for r in files.read_state(spark, f"{out}/summary", "claim_id string, summary string").collect()} == {"k1": "| Field |", "k2": "| Field |"}  # k3's answer holds none
     assert files.read_state(spark, f"{out}/nothing", "claim_id string").isEmpty()
+    # a claim whose files can't be read any more starts afresh, and nothing of its last run stays
+    for name in ("a.docx", "b.docx"):
+        (tmp_path / "claims" / "k1" / name).write_bytes(b"broken")
+    runs.ingest(spark, claims, generate.Stub(answer=model))
+    again = files.read_state(spark, f"{out}/diary", "claim_id string, diary string").collect()
+    assert {r["claim_id"]: r["diary"] for r in again} == {"k1": prompts.template("diary"), "k2": "seen", "k3": prompts.template("diary")}
+    assert {r["claim_id"] for r in files.read_state(spark, f"{out}/ledger", runs.LEDGER_ROWS).collect()} == {"k2"}
 
 
 def test_read_texts(spark, tmp_path):
