@@ -168,7 +168,7 @@ def signatures(docs: DataFrame, text: str, doc_id: str, bands: int = BANDS) -> D
 
     kept = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), *common.address(doc_id, text))
     schema = T.StructType([kept.schema["doc_id"], *T._parse_datatype_string("_a long, _b long, key binary, n long, bands array<long>, sig binary").fields])
-    return kept.mapInArrow(compute, schema)
+    return kept.mapInArrow(common.tidy(compute), schema)
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
@@ -218,7 +218,7 @@ def spanning_edges(members: DataFrame, linker: Callable[[pa.Table], Callable[[in
     placed = members.withColumns({"i": own, "j": F.lit(0), "left": F.lit(True)})
     guests = members.where("blocks > 1 AND node = leader").select("*", _spread("blocks").alias("i"), F.lit(0).alias("j"), F.lit(True).alias("left")).where(F.col("i") != own)
     result = "cluster long, a long, b long"
-    found = common.materialize(_dealt(placed.unionByName(guests)).mapInArrow(_trees(linker, True), result), "near-trees")
+    found = common.materialize(_dealt(placed.unionByName(guests)).mapInArrow(common.tidy(_trees(linker, True)), result), "near-trees")
     edges, loose = found.where("b is not null").select("a", "b"), found.where("b is null").select("cluster", F.col("a").alias("node"))
     if loose.isEmpty():
         return edges
@@ -227,7 +227,7 @@ def spanning_edges(members: DataFrame, linker: Callable[[pa.Table], Callable[[in
     left = open_.join(loose, ["cluster", "node"]).select("*", F.pmod(F.xxhash64("node"), F.col("loose")).cast("int").alias("i"), _spread("blocks").alias("j"), F.lit(True).alias("left"))
     right = open_.select("*", _spread("loose").alias("i"), own.alias("j"), F.lit(False).alias("left"))
     crossed = common.materialize(left.unionByName(right).drop("loose", "blocks", "leader"), "near-crossed")
-    return edges.unionAll(_dealt(crossed).mapInArrow(_trees(linker, False), result).select("a", "b"))
+    return edges.unionAll(_dealt(crossed).mapInArrow(common.tidy(_trees(linker, False)), result).select("a", "b"))
 
 
 def _signatures_of(group: pa.Table) -> np.ndarray:
@@ -284,7 +284,7 @@ def confirmed(docs: DataFrame, classes: DataFrame, clusters: DataFrame, repeated
             kept = batch.take(pa.array([r[0] for r in rows], pa.int64()))
             yield pa.RecordBatch.from_arrays([*(kept.column(n) for n in kept_columns), pa.array([r[1] for r in rows], pa.binary())], [*kept_columns, "items"])
 
-    sets = texts.join(wanted, ["_a", "_b"]).select(*kept_columns, "key", "text").mapInArrow(gather, "cluster long, node long, blocks long, leader long, sig binary, items binary")
+    sets = texts.join(wanted, ["_a", "_b"]).select(*kept_columns, "key", "text").mapInArrow(common.tidy(gather), "cluster long, node long, blocks long, leader long, sig binary, items binary")
 
     def holding(group: pa.Table) -> Callable[[int, np.ndarray], np.ndarray]:
         sig, items = _signatures_of(group), group.column("items").to_pylist()

@@ -250,7 +250,7 @@ def cut_pieces(docs: DataFrame, text: str, doc_id: str, path: str, ranks: str |
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * keep_ids, names + ["ids"] * keep_ids)
 
     schema = f"doc_id {kind}, {PIECES}, class int, part int, rank long, marks binary" + ", ids binary" * keep_ids
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(cut, schema)
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(common.tidy(cut), schema)
 
 
 def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = None, ranks: str | None = None, length: int = LENGTH, keep_ids: bool = False) -> DataFrame:
@@ -299,7 +299,7 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x) for x in where)], [*names, "sequence_id", "place", "shared"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    placed = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * keep_ids, "marks", "class", "rank").mapInArrow(place, f"doc_id {kind}, {PIECES}{', ids binary' * keep_ids}, sequence_id long, place long, shared boolean")
+    placed = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * keep_ids, "marks", "class", "rank").mapInArrow(common.tidy(place), f"doc_id {kind}, {PIECES}{', ids binary' * keep_ids}, sequence_id long, place long, shared boolean")
     placed = common.materialize(placed, "placed")
     alone = placed.where("NOT shared").withColumn("offset", F.lit(0).cast("long"))
     within = Window.partitionBy("sequence_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)

@@ -103,7 +103,7 @@ def with_statistics(docs: DataFrame, text: str, *keep: str) -> DataFrame:
             x = pa.array([statistics(t) for t in batch.column("_text").to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), x], [*keep, "x"])
 
-    return kept.mapInArrow(compute, schema)
+    return kept.mapInArrow(common.tidy(compute), schema)
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
@@ -146,7 +146,7 @@ def fit(rows: DataFrame) -> Model:
                 total[i] = total.get(i, 0) + np.array(values)
         yield from _rows(total)
 
-    parts = rows.mapInArrow(sums, "i int, v array<double>").repartition(8, "i").mapInArrow(add, "i int, v array<double>")
+    parts = rows.mapInArrow(common.tidy(sums), "i int, v array<double>").repartition(8, "i").mapInArrow(common.tidy(add), "i int, v array<double>")
     systems = np.zeros((FOLDS * size, size + 1))
     for row in parts.collect():  # FOLDS * (FOURIER + 1) rows
         systems[row["i"]] = row["v"]
@@ -165,7 +165,7 @@ def fit(rows: DataFrame) -> Model:
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(hits[used]), pa.array(counts[used])], ["bin", "hits", "n"])
 
-    found = sorted(rows.mapInArrow(bins, "bin long, hits double, n double").groupBy("bin").agg(F.sum("hits"), F.sum("n")).collect())  # at most BINS rows
+    found = sorted(rows.mapInArrow(common.tidy(bins), "bin long, hits double, n double").groupBy("bin").agg(F.sum("hits"), F.sum("n")).collect())  # at most BINS rows
     at, hits, counts = (np.array(x, dtype=float) for x in zip(*found, strict=True))
     model.knots, model.values = (at + 0.5) / BINS * 2 - 0.5, isotonic(hits, counts)
     return model
@@ -237,5 +237,5 @@ def op3(spark, sf_dir: str) -> DataFrame:
             s = model.scores(_matrix(batch))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    scored = stats.mapInArrow(score, "doc_id long, score double, predicted int")
+    scored = stats.mapInArrow(common.tidy(score), "doc_id long, score double, predicted int")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

@@ -57,7 +57,7 @@ def into_blocks(rows: DataFrame, most: int, *order: Column) -> DataFrame:
         if held:
             yield block(number, held)
 
-    return rows.select("vec_id", "rid", "v", "norm").sortWithinPartitions(*order).mapInArrow(build, BLOCK)
+    return rows.select("vec_id", "rid", "v", "norm").sortWithinPartitions(*order).mapInArrow(common.tidy(build), BLOCK)
 
 
 def _exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -188,7 +188,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", vec
                 needed = np.where(lengths > 0, (best.floor - 1) / np.where(lengths > 0, lengths, 1), np.where(best.floor <= 0, -np.inf, np.inf)).min()
                 yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), pa.array([best.floor.astype("<f8").tobytes()], pa.binary()), pa.array([float(needed)])], ["block", "floor", "needed"])
 
-    floors = common.materialize(right.mapInArrow(start, "block long, floor binary, needed double"), "query-floors")
+    floors = common.materialize(right.mapInArrow(common.tidy(start), "block long, floor binary, needed double"), "query-floors")
     needed = sorted(tuple(r) for r in floors.select("block", "needed").collect())  # one row per block of queries
     cells = CELLS * max(vectors.sparkSession.sparkContext.defaultParallelism, 2)
     groups = max(1, min(-(-sizes["n"] // most), -(-cells // len(needed))))
@@ -215,7 +215,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", vec
         if best is not None:
             yield from best.rows()
 
-    found = dealt.mapInArrow(search, "rid long, query_id long, vec_id long, score long")
+    found = dealt.mapInArrow(common.tidy(search), "rid long, query_id long, vec_id long, score long")
     order = Window.partitionBy("rid").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
