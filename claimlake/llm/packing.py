@@ -27,7 +27,7 @@ TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 #: Length classes are exact up to EXACT tokens and STEP tokens wide beyond.
 EXACT, STEP = 64, 8
 #: Columns are added until the linear program is within this share of its optimum, or none improves it, or so many turns.
-GAP, TURNS = 0.002, 1000
+GAP, TURNS = 0.002, 200
 #: Patterns filled less than this are dissolved: their pieces are cut freely, at multiples of MARK tokens within a piece.
 LEAST_FILL, MARK = 0.98, 8
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
