@@ -154,4 +154,12 @@ MONEY_SHAPE, DATE_SHAPE, UNQUOTED = r"^[A-Z]{3} [0-9]+$", r"^[0-9]{4}-[0-9]{2}-[
 def quality_flags(rows: DataFrame, kind: str, value: str, reason: str, page: str) -> DataFrame:
     """Boolean columns: whether a value has the shape that its kind asks for, and whether absence is consistent."""
     v = F.col(value)
-    return rows.withColumns({"money_ok": (F.col(kind) != "currency") | v.isNull() | v.rlike(MONEY_SHAPE), "date_ok": (F.col(kind) != "date") | v.isNull() | v.rlike(DATE_SHAPE), "page_ok": F.col(page).isNull() | F.col(page).cast("string").rlike("^[0-9]+$"), "absence_ok": v.isNotNull() | F.col(reason).isNull(), "cell_ok": v.isNull() | ~v.contains("|"), "quotes_ok": v.isNull() | v.rlike(UNQUOTED)})
+    flags = {
+        "money_ok": (F.col(kind) != "currency") | v.isNull() | v.rlike(MONEY_SHAPE),
+        "date_ok": (F.col(kind) != "date") | v.isNull() | v.rlike(DATE_SHAPE),
+        "page_ok": F.col(page).isNull() | F.col(page).cast("string").rlike("^[0-9]+$"),
+        "absence_ok": v.isNotNull() | F.col(reason).isNull(),
+        "cell_ok": v.isNull() | ~v.contains("|"),
+        "quotes_ok": v.isNull() | v.rlike(UNQUOTED),
+    }
+    return rows.withColumns(flags)

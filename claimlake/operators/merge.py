@@ -35,7 +35,15 @@ def merge_fields(rows: DataFrame, documents: DataFrame, claim: str = "claim_id",
     won = groups.groupBy(claim, "path").agg(best)
     latest = F.try_element_at(F.col("best.members"), F.lit(-1))
     listed = lambda name, kind_: F.coalesce(F.transform("best.members", lambda m: m[name]), F.array().cast(f"array<{kind_}>"))
-    return won.select(claim, F.col("path").alias("field_name"), latest["reason"].alias("reason"), latest["value"].alias("field_value"), listed("doc", "string").alias("source_documents"), listed("page", "int").alias("pages"), F.coalesce(F.bround("best.score", 3), F.lit(0.0)).alias("confidence"))
+    return won.select(
+        claim,
+        F.col("path").alias("field_name"),
+        latest["reason"].alias("reason"),
+        latest["value"].alias("field_value"),
+        listed("doc", "string").alias("source_documents"),
+        listed("page", "int").alias("pages"),
+        F.coalesce(F.bround("best.score", 3), F.lit(0.0)).alias("confidence"),
+    )
 
 
 def union_payments(payments: DataFrame, claim: str = "claim_id") -> DataFrame:
@@ -52,7 +60,15 @@ def payments_record(payments: DataFrame, claim: str = "claim_id") -> DataFrame:
     one = F.struct("doc_idx", "pos", F.struct("date", "amount", "description", F.col("page").alias("_page"), F.col("doc").alias("_source_document")).alias("payment"))
     docs = F.array_sort(F.collect_set(F.struct("doc_idx", "doc")))
     out = kept.groupBy(claim).agg(F.array_sort(F.collect_list(one)).alias("all"), docs.alias("docs"))
-    return out.select(claim, F.lit("financials.payments_made").alias("field_name"), F.lit(None).cast("string").alias("reason"), F.to_json(F.transform("all", lambda x: x["payment"]), {"ignoreNullFields": "false"}).alias("field_value"), F.transform("docs", lambda d: d["doc"]).alias("source_documents"), F.array().cast("array<int>").alias("pages"), F.lit(1.0).alias("confidence"))
+    return out.select(
+        claim,
+        F.lit("financials.payments_made").alias("field_name"),
+        F.lit(None).cast("string").alias("reason"),
+        F.to_json(F.transform("all", lambda x: x["payment"]), {"ignoreNullFields": "false"}).alias("field_value"),
+        F.transform("docs", lambda d: d["doc"]).alias("source_documents"),
+        F.array().cast("array<int>").alias("pages"),
+        F.lit(1.0).alias("confidence"),
+    )
 
 
 def final_claim(fields: DataFrame, payments: DataFrame, claim: str = "claim_id") -> DataFrame:

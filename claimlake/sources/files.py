@@ -38,7 +38,8 @@ def decode_docx(content: bytes) -> list[dict]:
     import zipfile
     from xml.etree import ElementTree
 
-    w, a, r, wp = ("{http://schemas.openxmlformats.org/wordprocessingml/2006/main}", "{http://schemas.openxmlformats.org/drawingml/2006/main}", "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}", "{http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing}")
+    spaces = ("wordprocessingml/2006/main", "drawingml/2006/main", "officeDocument/2006/relationships", "drawingml/2006/wordprocessingDrawing")
+    w, a, r, wp = (f"{{http://schemas.openxmlformats.org/{space}}}" for space in spaces)
     pack = zipfile.ZipFile(io.BytesIO(content))
     parts = {}
     if "word/_rels/document.xml.rels" in pack.namelist():
@@ -129,7 +130,8 @@ def decode_pdf(content: bytes) -> list[dict]:
             boxes = [t.bbox for t in tables]
             for t in tables:
                 out.append({"kind": "table", "rows": t.extract(), "page": number} | dict(zip(("x0", "y0", "x1", "y1"), t.bbox, strict=True)))
-            clear = page.filter(lambda o, boxes=boxes: o.get("object_type") != "char" or not any(o["x0"] < b[2] and o["x1"] > b[0] and o["top"] < b[3] and o["bottom"] > b[1] for b in boxes))
+            inside = lambda o, boxes=boxes: any(o["x0"] < b[2] and o["x1"] > b[0] and o["top"] < b[3] and o["bottom"] > b[1] for b in boxes)
+            clear = page.filter(lambda o, inside=inside: o.get("object_type") != "char" or not inside(o))
             for word in clear.extract_words(x_tolerance=X_TOLERANCE, y_tolerance=Y_TOLERANCE, keep_blank_chars=False, use_text_flow=True):
                 out.append({"kind": "word", "text": word["text"], "page": number, "x0": word["x0"], "y0": word["top"], "x1": word["x1"], "y1": word["bottom"]})
             raw = image_bytes(number - 1) if page.images else []
