@@ -34,6 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def col(name: str) -> Column:
+    """A column by its name, whatever characters it holds: dots and backticks are no paths or quotes."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster, which the session must name; on a single machine a temporary one will do."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, license_scan, mixing, near_dedup, packing, pii, quality, sharding, topk, url_filter
+from . import bestfit, exact_dedup, license_scan, mixing, near_dedup, packing, pii, quality, sharding, topk, url_filter
 
 QUERIES = {
     "op1_packing": packing.op1,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_url_filter": url_filter.op8,
     "op9_license_scan": license_scan.op9,
     "op10_exact_dedup": exact_dedup.op10,
+    "op11_bestfit": bestfit.op11,
 }
 ORACLES = {"op4_near_dedup": near_dedup.OP4_SQL, "op5_topk": topk.OP5_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}
