@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize, registry, tables, text
 from ..operators import extract, generate, layout, ledger, merge
+from ..retrieval import queries as retrieval
 from ..sources import files
 from . import runs
 
@@ -340,8 +341,8 @@ def stub_update(diary: str, content: str) -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return QUERIES | retrieval.QUERIES
 
 
 def oracles() -> dict[str, str]:
-    return {name: sql for name, q in QUERIES.items() if (sql := q.oracle())}
+    return {name: sql for name, q in QUERIES.items() if (sql := q.oracle())} | retrieval.ORACLES
