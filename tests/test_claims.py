@@ -234,6 +234,19 @@ def test_deep_leaves(spark):
     assert max(r["path"].count(".") for r in rows) == 39
 
 
+def test_leaves_of_a_wide_document_take_linear_time(spark):
+    import time
+
+    field = lambda i: f"""'"k' || {i} || '":{{"value":1,"_page":2,"reason":"r"}}'"""
+    took = []
+    for n in (1000, 10_000, 100_000):
+        d = spark.range(1).selectExpr("id", f"parse_json('{{' || array_join(transform(sequence(1, {n}), i -> {field('i')}), ',') || '}}') AS v")
+        begin = time.perf_counter()
+        assert extract.leaves(d, "v", "id").where("value = '1' AND page = 2 AND reason = 'r'").count() == n
+        took.append(time.perf_counter() - begin)
+    assert took[2] < 20 * took[1]
+
+
 @pytest.fixture
 def claims(tmp_path):
     for claim, names in {"k1": ["a.docx", "b.docx", "broken.docx"], "k2": ["only.DOCX"], "k3": ["blank.docx"]}.items():
