@@ -10,8 +10,10 @@ import ctypes
 import gc
 import sys
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,15 +21,15 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only after its rows were counted and are at most this many.
 BROADCAST_ROWS = 100_000
-#: Bit arrays of filters: bits per entry and least bits; filters of at most so many words of 64 bits are broadcast.
-BITS_PER_ENTRY, LEAST_BITS, BROADCAST_WORDS = 32, 1 << 16, 1 << 20
+#: Bit arrays of filters: bits per entry and least bits, words of 64 bits in a cell, and bytes of a filter that are broadcast at a time.
+BITS_PER_ENTRY, LEAST_BITS, CELL, BROADCAST_BYTES = 32, 1 << 16, 1024, 1 << 27
 HASHES = 2
 #: ASCII white space of the contracts, for Java and RE2 regular expressions.
 WS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own: list[str] = []
-_written: list[str] = []
+_runs = threading.local()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,12 +54,19 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def _written() -> list[str]:
+    """Scratch tables of this thread: runs side by side in one driver never remove each other's."""
+    if not hasattr(_runs, "written"):
+        _runs.written = []
+    return _runs.written
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df once to a shared scratch table and read it back: cuts lineage, fixes row ids."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/claimlake/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
+    _written().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -67,18 +76,19 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def mark() -> int:
-    """Where the list of scratch tables ends now, for release()."""
-    return len(_written)
+    """Where this thread's list of scratch tables ends now, for release()."""
+    return len(_written())
 
 
 def release(spark: SparkSession, since: int = 0, *keep: DataFrame) -> None:
     """Remove the scratch tables written since a mark, save the kept ones; call it when nothing reads them any more."""
     kept = [file.rsplit("/", 1)[0] for df in keep for file in df.inputFiles()]
-    stay = [path for path in _written[since:] if any(k.endswith(path.rsplit("/", 1)[1]) for k in kept)]
-    for path in _written[since:]:
+    written = _written()
+    stay = [path for path in written[since:] if any(k.endswith(path.rsplit("/", 1)[1]) for k in kept)]
+    for path in written[since:]:
         if path not in stay:
             _delete(spark, path)
-    _written[since:] = stay
+    written[since:] = stay
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -171,23 +181,46 @@ def filter_words(keys: DataFrame, key: str, bits: int, least: int = 1) -> DataFr
     return bit.where(F.col("n") >= least).groupBy("word").agg(F.bit_or(_mask([F.col("b")])).alias("mask"))
 
 
+def filter_cells(words: DataFrame, bits: int) -> DataFrame:
+    """Scratch table (_cell, _words): the filter without gaps, CELL words to a row, so that a word takes little over its 8 bytes."""
+    size = min(CELL, bits // 64)
+    empty = words.sparkSession.range(bits // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("mask"))
+    whole = words.select("word", "mask").unionByName(empty).groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    packed = whole.groupBy(F.expr(f"word div {size}").alias("_cell")).agg(F.array_sort(F.collect_list(F.struct("word", "mask"))).alias("all"))
+    return materialize(packed.select("_cell", F.transform("all", lambda w: w["mask"]).alias("_words")), "filter-cells")
+
+
 def might_hold(df: DataFrame, words: DataFrame, key: str, bits: int, hit: str) -> DataFrame:
-    """Add boolean column ``hit``: whether the filter may hold the key; df has no columns named _at, _own, _word or _mask.
+    """Add boolean column ``hit``: whether the filter may hold the key; df has no columns named _cell, _words, _at or _own.
 
-    A filter of ``bits`` has at most bits / 64 rows. It is broadcast up to BROADCAST_WORDS; a larger one is parted by
-    word and the rows go to their part, so that neither the driver nor a task ever holds a filter that grows.
+    No row of df shuffles, however large the filter: it is broadcast, BROADCAST_BYTES of it at a time. A larger one is
+    probed part by part, and the rows of each part, which other passes skip, are written once.
     """
+    size = min(CELL, bits // 64)
+    cells = filter_cells(words, bits)
     word, spots = _place(F.col(key), bits)
-    part = words.select(F.col("word").alias("_word"), F.col("mask").alias("_mask"))
-    part = F.broadcast(part) if bits // 64 <= BROADCAST_WORDS else part
-    probed = df.withColumns({"_at": word, "_own": _mask(spots)}).join(part, F.col("_at") == F.col("_word"), "left")
-    return probed.select(*df.columns, F.coalesce(F.col("_mask").bitwiseAND(F.col("_own")) == F.col("_own"), F.lit(False)).alias(hit))
+    at = F.get(F.col("_words"), F.col("_at").cast("int"))
+    own = F.col("_own")
+    parts = max(1, bits // 8 // BROADCAST_BYTES)
+
+    def probed(rows: DataFrame, filter_: DataFrame) -> DataFrame:
+        placed = rows.withColumns({"_own": _mask(spots), "_at": word % size, "_word": word}).withColumn("_to", F.expr(f"_word div {size}"))
+        joined = placed.join(F.broadcast(filter_), F.col("_to") == F.col("_cell"))
+        return joined.select(*[col(c) for c in df.columns], (at.bitwiseAND(own) == own).alias(hit))
+
+    if parts == 1:
+        return probed(df, cells)
+    per, done = bits // 64 // parts, []
+    for p in range(parts):
+        mine = df.where((word >= p * per) & (word < (p + 1) * per))
+        done.append(materialize(probed(mine, cells.where(F.col("_cell").between(p * per // size, (p + 1) * per // size - 1))), "filter-probed"))
+    return reduce(DataFrame.unionByName, done)
 
 
 def address(doc_id: str, text: str) -> list[Column]:
     """Two hashes of a row's id and text, 128 bits: rows with one address share both."""
-    whole = F.col(text).cast("string")
-    return [F.xxhash64(F.col(doc_id), whole).alias("_a"), F.xxhash64(F.lit(1), whole, F.col(doc_id)).alias("_b")]
+    whole = col(text).cast("string")
+    return [F.xxhash64(col(doc_id), whole).alias("_a"), F.xxhash64(F.lit(1), whole, col(doc_id)).alias("_b")]
 
 
 def keep_rows(docs: DataFrame, decided: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -201,7 +234,7 @@ def keep_rows(docs: DataFrame, decided: DataFrame, doc_id: str, text: str) -> Da
     entries = gone.count()
     bits = filter_bits(entries)
     words = materialize(filter_words(gone, "_x", bits), "gone-filter")
-    addressed = docs.select(F.struct(*docs.columns).alias("row"), *address(doc_id, text))
+    addressed = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), *address(doc_id, text))
     probed = might_hold(addressed, words, "_a", bits, "_hit")
     clear = probed.where(~F.col("_hit")).select("row.*")
     hits = probed.where("_hit").join(F.broadcast(gone) if entries <= BROADCAST_ROWS else gone, (F.col("_a") == F.col("_x")) & (F.col("_b") == F.col("_y")), "left")

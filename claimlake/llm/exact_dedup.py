@@ -17,10 +17,10 @@ OUTPUTS = ["keep_id", "group_size", "kept", "text_sha256"]
 
 def fingerprint(docs: DataFrame, text: str, doc_id: str, carry: list[str]) -> DataFrame:
     """Scratch table (row, _id, _sha, _points, _a, _b): the carried columns as one, hash of the text without white space, code points as written, address."""
-    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    whole = F.coalesce(common.col(text).cast("string"), F.lit(""))
     sha = F.sha2(F.regexp_replace(whole, common.WS + "+", ""), 256)
-    row = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("boolean")
-    made = docs.select(row.alias("row"), F.col(doc_id).alias("_id"), sha.alias("_sha"), F.length(whole).alias("_points"), *common.address(doc_id, text))
+    row = F.struct(*[common.col(c) for c in carry]) if carry else F.lit(None).cast("boolean")
+    made = docs.select(row.alias("row"), common.col(doc_id).alias("_id"), sha.alias("_sha"), F.length(whole).alias("_points"), *common.address(doc_id, text))
     return common.materialize(made, "fingerprints")
 
 
@@ -42,10 +42,10 @@ def mark_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", car
     """The carried columns (all unless told) with keep_id, group_size, kept and text_sha256; every row comes out once.
 
     Null text counts as empty. Of equal texts the longest original stays, then the smallest id, null ids last; of
-    repeated rows that tie in all of it exactly one stays. Columns named like an output are replaced. An empty table
+    repeated rows that tie in all of it exactly one stays. Columns named like an output, in whatever case, are replaced. An empty table
     gives an empty result.
     """
-    carry = [c for c in (docs.columns if carry is None else carry) if c not in OUTPUTS]
+    carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in OUTPUTS]
     out = decide(fingerprint(docs, text, doc_id, carry))
     own = [F.col("row")[c].alias(c) for c in carry]
     return out.select(*own, F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"), F.col("_kept").alias("kept"), F.col("_sha").alias("text_sha256"))

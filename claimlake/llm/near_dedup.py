@@ -166,7 +166,7 @@ def signatures(docs: DataFrame, text: str, doc_id: str, bands: int = BANDS) -> D
                 sigs.append(pack_bits(low) if len(s) else None)
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("doc_id", "_a", "_b")), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(banded, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], ["doc_id", "_a", "_b", "key", "n", "bands", "sig"])
 
-    kept = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), *common.address(doc_id, text))
+    kept = docs.select(common.col(doc_id).alias("doc_id"), common.col(text).cast("string").alias("text"), *common.address(doc_id, text))
     schema = T.StructType([kept.schema["doc_id"], *T._parse_datatype_string("_a long, _b long, key binary, n long, bands array<long>, sig binary").fields])
     return kept.mapInArrow(common.tidy(compute), schema)
 
@@ -242,10 +242,9 @@ def candidates(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     least = percent / 100 - MARGIN
     rows = classes.select("node", F.explode("bands").alias("cluster"))
     shared = common.materialize(rows.groupBy("cluster").agg(F.count("*").alias("m"), F.min("node").alias("leader")).where("m > 1"), "near-buckets")
-    bits = common.filter_bits(shared.count())
-    if bits // 64 <= common.BROADCAST_WORDS:  # most buckets hold one class; their rows need not shuffle again
-        words = common.materialize(common.filter_words(shared, "cluster", bits), "near-bucket-filter")
-        rows = common.might_hold(rows, words, "cluster", bits, "_hit").where("_hit").drop("_hit")
+    bits = common.filter_bits(shared.count())  # most buckets hold one class; their rows need not shuffle again
+    words = common.materialize(common.filter_words(shared, "cluster", bits), "near-bucket-filter")
+    rows = common.might_hold(rows, words, "cluster", bits, "_hit").where("_hit").drop("_hit")
     inside = rows.join(shared, "cluster").select("cluster", "node", "m", F.ceil(F.col("m") / BLOCK).alias("blocks"), "leader")
     members = common.materialize(inside.join(classes.select("node", "sig"), "node"), "near-members")
     weights = members.groupBy("node").agg(F.sum("m").alias("weight"))
@@ -262,7 +261,7 @@ def confirmed(docs: DataFrame, classes: DataFrame, clusters: DataFrame, repeated
     wanted = common.materialize(clusters.join(classes.select("node", F.col("a").alias("_a"), F.col("b").alias("_b"), "key", "n", "sig"), "node"), "near-wanted")
     bits = common.filter_bits(wanted.count())
     words = common.materialize(common.filter_words(wanted, "_a", bits), "near-filter")
-    addressed = docs.select(*common.address(doc_id, text), F.col(text).cast("string").alias("text"))
+    addressed = docs.select(*common.address(doc_id, text), common.col(text).cast("string").alias("text"))
     texts = common.might_hold(addressed, words, "_a", bits, "_hit").where("_hit").drop("_hit")
     entries = repeated.count()
     if entries:  # of rows that share id and text one brings the class its set
