@@ -201,9 +201,9 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     A null text has no words. Repeated rows come out as often as they occur; an empty table gives an empty result.
     The score is the confidence of the best detection, 0 without any.
     """
-    own = [c for c in docs.columns if c not in OUTPUTS]
-    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    held = docs.select(F.struct(*[F.col(c) for c in own]).alias("row") if own else F.lit(None).alias("row"), whole.alias("whole"))
+    own = [c for c in docs.columns if c.lower() not in OUTPUTS]
+    whole = F.coalesce(common.col(text).cast("string"), F.lit(""))
+    held = docs.select(F.struct(*[common.col(c) for c in own]).alias("row") if own else F.lit(None).alias("row"), whole.alias("whole"))
     held = held.select("row", common.count_runs(F.col("whole"), SEPARATOR).alias("n_words"), F.when(_may_fit(F.col("whole")), _words(F.col("whole"))).alias("all"))
     hint = reduce(or_, [F.col("all").contains(k) for k in keywords()])
     held = held.select("row", "n_words", F.when(hint, F.col("all")).alias("words"))

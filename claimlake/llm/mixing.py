@@ -78,8 +78,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     Null text has size 0, null source is a source of its own (the last), rows without an id draw by their text, repeated
     rows draw alike, an empty table gives an empty mix. Documents of size 0 follow their source's rate.
     """
-    draw = draw_of(F.col(doc_id), F.col(text)).alias("draw")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), draw, F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+    draw = draw_of(common.col(doc_id), common.col(text)).alias("draw")
+    rows = docs.select(F.struct(*[common.col(c) for c in docs.columns]).alias("row"), draw, common.col(source).alias("source"), word_count(common.col(text)).alias("size"))
     sizes = common.materialize(rows.drop("row"), "mix-sizes")
     rates, _ = plan(sizes)
     out = rows.withColumn("key", _key(F.col("source"))).join(common.small_side(rates), "key")

@@ -250,7 +250,7 @@ def cut_pieces(docs: DataFrame, text: str, doc_id: str, path: str, ranks: str |
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * keep_ids, names + ["ids"] * keep_ids)
 
     schema = f"doc_id {kind}, {PIECES}, class int, part int, rank long, marks binary" + ", ids binary" * keep_ids
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(common.tidy(cut), schema)
+    return docs.select(common.col(doc_id).alias("doc_id"), common.col(text).cast("string").alias("text")).mapInArrow(common.tidy(cut), schema)
 
 
 def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = None, ranks: str | None = None, length: int = LENGTH, keep_ids: bool = False) -> DataFrame:
@@ -308,7 +308,10 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str
 
 
 def sequences(packed: DataFrame) -> DataFrame:
-    """From ``pack(..., keep_ids=True)``: one row per sequence with its ids as little-endian 32-bit integers."""
+    """From ``pack(..., keep_ids=True)``: one row per sequence with its ids as little-endian 32-bit integers.
+
+    Pieces of documents without an id have null in ``doc_ids``. An empty table gives an empty result.
+    """
     parts = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "length", "ids")))
     return packed.groupBy("sequence_id").agg(parts.alias("parts")).select("sequence_id", F.expr("aggregate(parts.ids, X'', (a, x) -> concat(a, x))").alias("ids"), F.expr("parts.doc_id").alias("doc_ids"))
 

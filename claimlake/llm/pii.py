@@ -262,7 +262,7 @@ def _located(docs: DataFrame, text: str) -> DataFrame:
     """(row, text, base, added): the input as one column, so that no name of it can clash."""
     fitted = model(docs.sparkSession)
     none = F.array().cast(SPAN)
-    held = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    held = docs.select(F.struct(*[common.col(c) for c in docs.columns]).alias("row"), F.coalesce(common.col(text).cast("string"), F.lit("")).alias("text"))
     whole = F.col("text")
     kinds = F.when(whole.rlike("[0-9@]"), F.struct(*[c.alias(k) for k, c in base_spans(whole).items()]))
     held = held.withColumns({"kinds": kinds, "more": candidates(whole)})
@@ -280,11 +280,11 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     occur; an empty table gives an empty result.
     """
     found = _located(docs, text)
-    return found.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in ("base", "added")], "base", "added")
+    return found.select(*[F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in ("base", "added")], "base", "added")
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The input with every span of its text replaced by its kind in angle brackets; null stays null. Overlapping spans are one."""
+    """The input with every span of its text replaced by its kind in angle brackets; null stays null. Overlapping spans are one; an empty table stays empty."""
     clean = F.when(F.col("row")[text].isNotNull(), replaced(F.col("text"), united(F.concat("base", "added"))))
     found = _located(docs, text).select("row", clean.alias("clean"))
     return found.select(*[F.col("clean").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])

@@ -95,7 +95,7 @@ def isotonic(hits: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def with_statistics(docs: DataFrame, text: str, *keep: str) -> DataFrame:
     """The kept columns (none of them named x or _text) and ``x``, the statistics of the whole text."""
-    kept = docs.select(*keep, F.col(text).cast("string").alias("_text"))
+    kept = docs.select(*[common.col(c) for c in keep], common.col(text).cast("string").alias("_text"))
     schema = kept.drop("_text").schema.add("x", T.ArrayType(T.DoubleType()))
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +188,7 @@ def score_column(model: Model, text: str = "text") -> Column:
         x = [statistics(t) for at in range(0, len(texts), 512) for t in texts.slice(at, 512).to_pylist()]
         return pa.array(model.scores(np.array(x).reshape(len(x), len(NAMES))))
 
-    return F.arrow_udf(score, "double")(F.col(text).cast("string"))
+    return F.arrow_udf(score, "double")(common.col(text).cast("string"))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -198,13 +198,13 @@ def held_out(doc_id: Column) -> Column:
 
 def usable_labels(labels: DataFrame, doc_id: str = "doc_id", label: str = "quality") -> DataFrame:
     """(_of, y): the labels 0 and 1 of ids that are not held out, once each; of an id with several, their mean."""
-    usable = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col(doc_id)))
-    return usable.groupBy(F.col(doc_id).alias("_of")).agg(F.avg(label).alias("y"))
+    usable = labels.where(common.col(label).isin(0, 1) & ~held_out(common.col(doc_id)))
+    return usable.groupBy(common.col(doc_id).alias("_of")).agg(F.avg(common.col(label)).alias("y"))
 
 
 def train(docs_x: DataFrame, labels: DataFrame, doc_id: str = "doc_id", label: str = "quality") -> Model:
     """Fit on rows (doc_id, x) that have a label and are not held out."""
-    return fit(docs_x.join(usable_labels(labels, doc_id, label), F.col(doc_id) == F.col("_of")).select("x", "y"))
+    return fit(docs_x.join(usable_labels(labels, doc_id, label), common.col(doc_id) == F.col("_of")).select("x", "y"))
 
 
 def labelled_statistics(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality") -> DataFrame:
@@ -212,7 +212,7 @@ def labelled_statistics(docs: DataFrame, labels: DataFrame, text: str = "text",
     ids = common.materialize(usable_labels(labels, doc_id, label).select(F.xxhash64("_of").alias("_h")), "quality-ids")
     bits = common.filter_bits(ids.count())
     words = common.materialize(common.filter_words(ids, "_h", bits), "quality-filter")
-    rows = docs.where(~held_out(F.col(doc_id))).select(F.col(doc_id), F.col(text).cast("string").alias("_words"), F.xxhash64(F.col(doc_id).cast(labels.schema[doc_id].dataType)).alias("_h"))
+    rows = docs.where(~held_out(common.col(doc_id))).select(common.col(doc_id), common.col(text).cast("string").alias("_words"), F.xxhash64(common.col(doc_id).cast(labels.schema[doc_id].dataType)).alias("_h"))
     return with_statistics(common.might_hold(rows, words, "_h", bits, "_hit").where("_hit"), "_words", doc_id)
 
 

@@ -141,9 +141,9 @@ def filter_urls(pages: DataFrame, url: str = "url", rules=RULES, **how) -> DataF
     A null URL or one without '://' has empty host and path and is allowed; repeated rows are judged alike and all
     come out; where the list decides nothing, nothing is mined; an empty table gives an empty result.
     """
-    host, path = host_and_path(F.col(url))
-    own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    parted = pages.select(F.struct(*[F.col(c) for c in own]).alias("row") if own else F.lit(None).alias("row"), host.alias("host"), path.alias("path"))
+    host, path = host_and_path(common.col(url))
+    own = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    parted = pages.select(F.struct(*[common.col(c) for c in own]).alias("row") if own else F.lit(None).alias("row"), host.alias("host"), path.alias("path"))
     judged = parted.withColumns({"list": list_rule(F.col("host"), F.col("path"), rules), "tokens": tokens(F.col("host"), F.col("path"))})
     index = inverted_index(mine(judged.select("tokens", F.col("list.verdict").alias("verdict")), **how), shortest=True)
     verdict = F.coalesce(F.col("list.verdict"), F.when(matches(F.col("tokens"), index), F.lit("block")).otherwise(F.lit("allow")))
