@@ -54,51 +54,30 @@ def parse_json(c: Column) -> Column:
     return F.try_parse_json(unfence(c))
 
 
-#: A delimiter of a section: fixed value.
-MARKER = r"(?U)<!--\s*(?i:BEGIN|END)_\w+\s*-->"
+#: The delimiters of a section, with its name: fixed values.
+BEGIN, END = r"<!--\s*BEGIN_(\w+)\s*-->", r"<!--\s*END_%s\s*-->"
 
 
 def sections(c: Column) -> Column:
     """map<name, content> of all delimited sections, names in upper case; of duplicates the last counts.
 
-    The text is split once at its delimiters. A section runs from a delimiter that opens it to the next one that
-    closes the same name; delimiters in between are content, and one that is never closed opens nothing.
+    A section runs from a delimiter that opens it to the next one that closes the same name; delimiters in between are
+    content, and one that is never closed opens nothing (each such one costs a look at the rest of the text).
     """
-    marks = F.regexp_extract_all(c, F.lit(MARKER), F.lit(0))
-    after = F.slice(F.split(c, MARKER, -1), 2, F.greatest(F.size(marks), F.lit(1)))
-    piece = F.zip_with(
-        marks,
-        after,
-        lambda m, a: F.struct(
-            (F.upper(F.regexp_extract(m, r"^<!--\s*(\w)", 1)) == "B").alias("opens"),
-            F.upper(F.regexp_extract(m, r"(?U)_(\w+)\s*-->$", 1)).alias("name"),
-            m.alias("mark"),
-            a.alias("after"),
-        ),
-    )
-    state = "struct<name:string,body:array<string>,found:array<struct<name:string,body:string>>>"
-
-    def walk(all_: Column) -> Column:
-        def step(s: Column, p: Column, i: Column) -> Column:
-            rest = F.slice(all_, i + 2, F.size(all_))
-            starts = s["name"].isNull() & p["opens"] & F.exists(rest, lambda q: ~q["opens"] & (q["name"] == p["name"]))
-            ends = ~p["opens"] & (p["name"] == s["name"])
-            opened = F.struct(p["name"].alias("name"), F.array(p["after"]).alias("body"), s["found"].alias("found"))
-            one = F.struct(s["name"].alias("name"), strip(F.array_join(s["body"], "")).alias("body"))
-            closed = F.struct(F.lit(None).cast("string").alias("name"), F.array().cast("array<string>").alias("body"), F.array_append(s["found"], one).alias("found"))
-            inner = F.struct(s["name"].alias("name"), F.concat(s["body"], F.array(p["mark"], p["after"])).alias("body"), s["found"].alias("found"))
-            return F.when(starts, opened).when(s["name"].isNull(), s).when(ends, closed).otherwise(inner).cast(state)
-
-        indexed = F.transform(all_, lambda p, i: F.struct(p.alias("p"), i.alias("i")))
-        none = F.struct(F.lit(None).alias("name"), F.array().alias("body"), F.array().alias("found")).cast(state)
-        return F.aggregate(indexed, none, lambda s, x: step(s, x["p"], x["i"]), lambda s: s["found"])
-
-    def last(pairs: Column) -> Column:
-        return F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["name"] == p["name"]))
+    whole = F.regexp_extract_all(c, F.lit("(?isU)" + BEGIN + ".*?" + END % r"\1"), F.lit(0))
+    name = lambda m: F.upper(F.regexp_extract(m, "(?iU)^" + BEGIN, 1))
+    body = lambda m: strip(F.regexp_replace(F.regexp_replace(m, "(?iU)^" + BEGIN, ""), "(?iU)" + END % r"\w+" + r"\z", ""))
+
+    def last(names: Column, bodies: Column) -> Column:
+        """Both arrays turned round: the first place of a name is its last section."""
+        one = lambda n: F.get(bodies, (F.array_position(names, n) - 1).cast("int"))
+        several = bind(F.array_distinct(names), lambda all_: F.map_from_arrays(all_, F.transform(all_, one)))
+        return F.when(F.size(F.array_distinct(names)) == F.size(names), F.map_from_arrays(names, bodies)).otherwise(several)
 
     # what lambdas refer to is bound once, or it would be computed for every element
-    found = bind(bind(piece, walk), last)
-    return F.when(c.contains("<!--"), F.map_from_entries(found)).when(c.isNotNull(), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+    found = bind(F.reverse(whole), lambda all_: bind(F.transform(all_, name), lambda names: bind(F.transform(all_, body), lambda bodies: last(names, bodies))))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    return F.when(c.contains("<!--"), found).when(c.isNotNull(), none)
 
 
 def section(c: Column, name: str) -> Column:

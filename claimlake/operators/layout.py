@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,24 +23,42 @@ def outside_tables(objects: DataFrame, boxes: DataFrame, keys: list[str]) -> Dat
     return o.join(b, on & hit & (F.col("o.object_type") == "char"), "left_anti")
 
 
+def lines_of(tops: list[float | None], tolerance: float) -> list[int]:
+    """The line of every word of a page, by its top: the first line whose first word's top is near enough, else a new one.
+
+    Lines lie in cells as wide as the tolerance, so that a word meets the few lines in the cells around its own.
+    """
+    cells: dict[int, list[tuple[int, float]]] = {}
+    out, count = [], 0
+    for top in tops:
+        near = []
+        if top is not None and top == top and abs(top) != float("inf"):
+            cell = int(top // tolerance) if tolerance else hash(top)
+            near = [line for c in range(cell - 2, cell + 3) for line, first in cells.get(c, ()) if abs(first - top) <= tolerance]
+            if not near:
+                cells.setdefault(cell, []).append((count, top))
+        out.append(min(near, default=count))
+        count += not near
+    return out
+
+
 def cluster_lines(words: DataFrame, keys: list[str], tolerance: float = TOLERANCE) -> DataFrame:
     """Lines of words, in order of appearance: text and box. A word joins the first line whose first word's top is near enough.
 
-    First fit depends on the order of words, so each page is one ordered array; a page bounds its size.
+    First fit depends on the order of words, so the tops of a page are one ordered array; a page bounds its size. Words
+    without a top are lines of their own.
     """
-    word = F.struct("ordinal", "text", "x0", "top", "x1", "bottom")
-    line = "array<struct<top:double,words:array<struct<ordinal:bigint,text:string,x0:double,top:double,x1:double,bottom:double>>>>"
 
-    def place(lines: Column, w: Column) -> Column:
-        at = F.array_position(F.transform(lines, lambda x: F.abs(x["top"] - w["top"]) <= tolerance), True)
-        grown = F.transform(lines, lambda x, i: F.when(i + 1 == at, F.struct(x["top"].alias("top"), F.array_append(x["words"], w).alias("words"))).otherwise(x))
-        return F.when(at > 0, grown).otherwise(F.array_append(lines, F.struct(w["top"].alias("top"), F.array(w).alias("words"))))
+    def place(tops: pa.Array) -> pa.Array:
+        return pa.array([lines_of(page, tolerance) for page in tops.to_pylist()], pa.list_(pa.int32()))
 
+    word = F.struct("ordinal", "text", "x0", "top", "x1", "bottom")
     typed = words.select(*keys, F.col("ordinal").cast("long"), "text", *[F.col(c).cast("double") for c in ("x0", "top", "x1", "bottom")])
     pages = typed.groupBy(*keys).agg(F.array_sort(F.collect_list(word)).alias("words"))
-    lines = pages.select(*keys, F.posexplode(F.aggregate("words", F.array().cast(line), place)).alias("line", "l"))
-    side = lambda name, pick: pick(F.transform("l.words", lambda w: w[name])).alias(name)
-    return lines.select(*keys, "line", F.array_join(F.transform("l.words", lambda w: w["text"]), " ").alias("text"), side("x0", F.array_min), side("top", F.array_min), side("x1", F.array_max), side("bottom", F.array_max), F.size("l.words").alias("n_words"))
+    placed = pages.withColumn("lines", F.arrow_udf(place, "array<int>")(F.transform("words", lambda w: w["top"])))
+    each = placed.select(*keys, F.explode(F.arrays_zip("lines", "words")).alias("w")).select(*keys, F.col("w.lines").alias("line"), "w.words.*")
+    said = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text", "x0", "top", "x1", "bottom"))), lambda w: w["text"])
+    return each.groupBy(*keys, "line").agg(F.array_join(said, " ").alias("text"), F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"), F.count("*").cast("int").alias("n_words"))
 
 
 def ordered(chunks: DataFrame, doc: str = "doc") -> DataFrame:

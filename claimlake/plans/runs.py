@@ -16,7 +16,7 @@ from .. import prompts
 from ..functions import text
 from ..functions.registry import FIELDS
 from ..operators import extract, generate, layout, ledger, merge
-from ..sources import files
+from ..sources import files, scratch
 
 KEYS = ["claim_id", "doc_idx", "name"]
 STEPS = "claim_id string, doc_idx int, doc string, diary string, ledger string, error string"
@@ -28,14 +28,20 @@ def tuned(generator, use: str):
     return dataclasses.replace(generator, system=prompts.ROLES[use], temperature=prompts.TEMPERATURES[use]) if dataclasses.is_dataclass(generator) else generator
 
 
-def parse(listed: DataFrame, form: str = "markdown") -> DataFrame:
-    """Ordered chunks of listed files (claim_id, doc_idx, name, content), tables as ``markdown`` or ``json``."""
-    return layout.chunks(files.decode(listed, False, *KEYS).where("error is null"), KEYS, form)
+def parse(listed: DataFrame, form: str = "markdown", images: bool = True) -> DataFrame:
+    """Ordered chunks of listed files (claim_id, doc_idx, name, content), tables as ``markdown`` or ``json``.
+
+    Files are decoded once: their layout is written to the shared folder, without the bytes of images if these are not
+    asked for, and all kinds of chunks are made from there.
+    """
+    decoded = files.decode(listed, False, *KEYS).where("error is null")
+    decoded = decoded if images else decoded.withColumn("image", F.lit(None).cast("binary"))
+    return layout.chunks(scratch.written(decoded, "layout"), KEYS, form)
 
 
 def contents(listed: DataFrame, form: str = "markdown") -> DataFrame:
     """(claim_id, doc_idx, doc, content): page-annotated text of the files that hold any."""
-    out = layout.content(parse(listed, form), KEYS, page_tags=True).where(F.length(text.strip(F.col("content"))) > 0)
+    out = layout.content(parse(listed, form, images=False), KEYS, page_tags=True).where(F.length(text.strip(F.col("content"))) > 0)
     return out.select("claim_id", "doc_idx", F.col("name").alias("doc"), "content")
 
 

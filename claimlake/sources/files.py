@@ -47,6 +47,18 @@ def decode_docx(content: bytes) -> list[dict]:
     body = ElementTree.fromstring(pack.read("word/document.xml")).find(f"{w}body")
     out = []
     said = lambda node: "".join(t.text or "" for t in node.iter(f"{w}t"))
+    signs = {f"{w}tab": "\t", f"{w}ptab": "\t", f"{w}cr": "\n", f"{w}noBreakHyphen": "-"}
+
+    def run(node) -> str:
+        """Text of a run within a cell: tabs and line breaks count, page and column breaks do not."""
+        shown = lambda x: (x.text or "") if x.tag == f"{w}t" else "\n" * (x.get(f"{w}type", "textWrapping") == "textWrapping") if x.tag == f"{w}br" else signs.get(x.tag, "")
+        return "".join(map(shown, node))
+
+    def in_cell(cell) -> str:
+        """Text of a cell's own paragraphs; tables within the cell are left out."""
+        runs = lambda p: (r for x in p for r in ([x] if x.tag == f"{w}r" else x.findall(f"{w}r") if x.tag == f"{w}hyperlink" else []))
+        return "\n".join("".join(map(run, runs(p))) for p in cell.findall(f"{w}p"))
+
     for pos, node in enumerate(body if body is not None else []):
         if node.tag == f"{w}p":
             breaks = any(b.get(f"{w}type") == "page" for b in node.iter(f"{w}br"))
@@ -71,7 +83,7 @@ def decode_docx(content: bytes) -> list[dict]:
                 for cell in row.findall(f"{w}tc"):
                     span, down = cell.find(f"{w}tcPr/{w}gridSpan"), cell.find(f"{w}tcPr/{w}vMerge")
                     above = rows[-1][len(cells) : len(cells) + 1] if rows and down is not None and down.get(f"{w}val", "continue") == "continue" else []
-                    own = above or ["\n".join(said(p) for p in cell.iter(f"{w}p")).strip()]
+                    own = above or [in_cell(cell).strip()]
                     cells += own * (int(span.get(f"{w}val", 1)) if span is not None else 1)
                 rows.append(cells)
             if rows:

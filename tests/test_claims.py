@@ -157,6 +157,107 @@ def test_merged_cells_repeat():
     assert files.decode_docx(out.getvalue())[0]["rows"] == [["wide", "wide", "tall"], ["a", "b", "tall"]]
 
 
+def test_texts_of_cells():
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    r = lambda inner: f"<w:r>{inner}</w:r>"
+    cells = [
+        "<w:p>" + r("<w:t>a</w:t><w:br/><w:t>b</w:t><w:tab/><w:t>c</w:t>") + "</w:p><w:tbl><w:tr><w:tc><w:p>" + r("<w:t>NESTED</w:t>") + "</w:p></w:tc></w:tr></w:tbl><w:p/>",
+        "<w:p>" + r("<w:t>one</w:t><w:cr/><w:t>two</w:t>") + "</w:p><w:p><w:hyperlink>" + r("<w:t>link</w:t>") + "</w:hyperlink>" + r("<w:noBreakHyphen/><w:br w:type='page'/><w:t>x</w:t>") + "</w:p>",
+    ]
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {w}><w:body><w:tbl><w:tr>{''.join(f'<w:tc>{c}</w:tc>' for c in cells)}</w:tr></w:tbl></w:body></w:document>")
+    assert files.decode_docx(out.getvalue())[0]["rows"] == [["a\nb\tc", "one\ntwo\nlink-x"]]
+
+
+def test_files_are_decoded_once(spark, tmp_path, monkeypatch):
+    (tmp_path / "k1").mkdir()
+    (tmp_path / "k1" / "a.docx").write_bytes(docx())
+    made = runs.contents(files.list_claims(spark, str(tmp_path)))
+    assert "MapInPandas" not in made._jdf.queryExecution().executedPlan().toString()
+    assert made.first()["content"] == "[Page 1]\nOne two\n\n[Page 1]\n| a |\n| --- |\n\n[Page 2]\nNext"
+
+
+class FakePage:
+    """A page as the optional PDF library shows it, as far as the decoder looks."""
+
+    def __init__(self, words, tables=(), images=()):
+        self.words, self.found, self.images, self.kept = words, tables, images, None
+
+    def find_tables(self):
+        return [type("Table", (), {"bbox": box, "extract": lambda self, rows=rows: rows})() for box, rows in self.found]
+
+    def filter(self, keep):
+        page = FakePage([x for x in self.words if keep(x)])
+        return page
+
+    def extract_words(self, **how):
+        assert how == {"x_tolerance": files.X_TOLERANCE, "y_tolerance": files.Y_TOLERANCE, "keep_blank_chars": False, "use_text_flow": True}
+        return self.words
+
+
+def test_pdf_pages(spark, monkeypatch, tmp_path):
+    """Words outside of tables become lines, in reading order with tables and images; needs no library."""
+    import sys
+    import types
+
+    word = lambda text, x, top: {"object_type": "char", "text": text, "x0": float(x), "top": top, "x1": x + 9.0, "bottom": top + 8}
+    pages = [
+        FakePage([word("second", 10, 52.0), word("line", 30, 53.0), word("first", 10, 20.0), word("celltext", 100, 150.0)], [((90.0, 140.0, 200.0, 180.0), [["h", None], ["1", "2"]])], [{"x0": 1, "top": 200, "x1": 5, "bottom": 210, "width": 4, "height": 10}]),
+        FakePage([word("next", 1, 1.0)], [], [{"x0": None, "top": None}]),
+    ]
+    opened = types.SimpleNamespace(pages=pages)
+    library = types.ModuleType("pdfplumber")
+    library.open = lambda stream: Opened(opened)
+    monkeypatch.setitem(sys.modules, "pdfplumber", library)
+    rows = files.decode_pdf(b"%PDF")
+    assert [(r["page"], r["kind"], r.get("text")) for r in rows] == [(1, "table", None), (1, "word", "second"), (1, "word", "line"), (1, "word", "first"), (1, "image", None), (2, "word", "next"), (2, "image", None)]
+    assert rows[4]["image"] is None and (rows[4]["y0"], rows[6]["y0"], rows[6]["width"]) == (200.0, 0.0, 0.0)
+    names = [p.split()[0] for p in files.LAYOUT.replace("array<array<string>>", "cells").split(", ")]
+    table = spark.createDataFrame([("d", *(r.get(n) for n in names)) for r in rows], f"doc string, {files.LAYOUT}")
+    got = layout.chunks(table, ["doc"]).orderBy("page", "order").collect()
+    assert [(r["page"], r["order"], r["chunk_type"], r["content"]) for r in got] == [
+        (1, 0, "text", "first\nsecond line"), (1, 1, "table", "| h |  |\n| --- | --- |\n| 1 | 2 |"), (1, 2, "image", None),
+        (2, 0, "image", None), (2, 1, "text", "next"),
+    ]
+
+
+class Opened:
+    def __init__(self, pdf):
+        self.pdf = pdf
+
+    def __enter__(self):
+        return self.pdf
+
+    def __exit__(self, *_):
+        return False
+
+
+def test_long_pages_and_texts_take_linear_time(spark):
+    import time
+
+    took = []
+    for n in (5000, 40_000):
+        begin = time.perf_counter()
+        assert layout.lines_of([float(3 * (i * 7919 % n)) for i in range(n)], 2.0) == list(range(n))
+        assert max(layout.lines_of([float(i % 50) * 12 for i in range(n)], 2.0)) == 49
+        took.append(time.perf_counter() - begin)
+    assert took[1] < 30 * took[0]
+    assert layout.lines_of([10, 11.5, 13, 12.1, 40, 10.9], 2.0) == [0, 0, 1, 1, 2, 0]
+    assert layout.lines_of([None, 1.0, None, float("nan"), 1.0], 0.0) == [0, 1, 2, 3, 1]
+    words = spark.range(20_000).selectExpr("1 AS doc", "id AS ordinal", "'w' AS text", "0.0 AS x0", "id * 5.0 AS top", "1.0 AS x1", "id * 5.0 + 1 AS bottom")
+    assert layout.cluster_lines(words, ["doc"]).agg(F.count("*"), F.max("line")).first()[:] == (20_000, 19_999)
+    took = []
+    for n in (2000, 20_000):
+        begin = time.perf_counter()
+        d = spark.range(1).select(F.expr(f"array_join(transform(sequence(1, {n}), i -> '<!-- BEGIN_S' || i || ' -->body ' || i || '<!-- END_S' || i || ' -->'), 'x')").alias("t"))
+        assert d.select(F.size(text.sections(F.col("t")))).first()[0] == n
+        same = spark.range(1).select(F.expr(f"array_join(transform(sequence(1, {n}), i -> '<!-- BEGIN_S -->body ' || i || '<!-- END_S -->'), 'x')").alias("t"))
+        assert same.select(text.sections(F.col("t"))["S"]).first()[0] == f"body {n}"
+        took.append(time.perf_counter() - begin)
+    assert took[1] < 20 * took[0]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "k1").mkdir()
     for name, content in {"c_invoice.docx": docx(), "a_claim.pdf": b"%PDF", "readme.txt": b"x", "b.dOcX": b"broken"}.items():
