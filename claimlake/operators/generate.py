@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import json
 import os
+import time
 import urllib.error
 import urllib.request
 import warnings
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, fields, is_dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources import scratch
+from ..sources.snapshots import Snapshots
 
 #: Defaults: fixed values.
 SYSTEM, TEMPERATURE, MOST_TOKENS, TIMEOUT = "You are a helpful assistant.", 0.7, -1, 2000
@@ -132,10 +136,74 @@ def ask(prompts: DataFrame, generator: Callable[[str], str], prompt: str = "prom
     return prompts.select(*keys, prompt).mapInPandas(run, schema)
 
 
-def extract(documents: DataFrame, generator: Callable[[str], str], template: str, *keys: str) -> DataFrame:
-    """(keys, raw, error, extraction): ask for each document's content and parse the answer; no JSON gives null."""
+#: Calls at a time in a task, tries of a call, seconds before the second; each later one waits twice as long.
+AT_ONCE, TRIES, PAUSE = 8, 3, 1.0
+
+
+def settings(generator: Callable[[str], str]) -> str:
+    """What answers depend on but for the prompt: the kind of generator and its fields, but no token. Plain functions go by name."""
+    if not is_dataclass(generator):
+        return f"{getattr(generator, '__module__', '')}.{getattr(generator, '__qualname__', type(generator).__qualname__)}"
+    own = {f.name: getattr(generator, f.name) for f in fields(generator) if f.name != "token"}
+    return json.dumps([type(generator).__qualname__, {k: settings(v) if callable(v) else v for k, v in own.items()}], sort_keys=True, default=str)
+
+
+class Answers:
+    """Answers that are kept in a folder by prompt, model and settings, so that nothing is asked twice.
+
+    Only what is not known is asked, each prompt once however many rows have it, several at a time within a task; a call
+    that fails is tried again after a pause that doubles. Calls that fail to the end are not kept: a later run asks again.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, at_once: int = AT_ONCE, tries: int = TRIES, pause: float = PAUSE):
+        self.store = Snapshots(spark, path, "answer_key string, raw string", "answer_key")
+        self.at_once, self.tries, self.pause = at_once, tries, pause
+
+    def ask(self, prompts: DataFrame, generator: Callable[[str], str], prompt: str = "prompt", *keys: str) -> DataFrame:
+        """(keys, raw, error) for every prompt, as ``ask`` gives them; a null prompt is asked like any other."""
+        with_ = F.lit(settings(generator))
+        key = F.sha2(F.concat_ws("\x00", with_, F.col(prompt).isNull().cast("string"), F.col(prompt)), 256).alias("answer_key")
+        rows = scratch.written(prompts.select(*keys, prompt, key), "answer-rows")
+        known = self.store.read(buckets=self.store._touched(rows)).join(rows.select("answer_key").distinct(), "answer_key", "left_semi")
+        unknown = rows.groupBy("answer_key").agg(F.first(prompt).alias("prompt")).join(known, "answer_key", "left_anti")
+        got = scratch.written(unknown.mapInPandas(self._caller(generator), "answer_key string, raw string, error string"), "answers")
+        fresh = got.where("raw IS NOT NULL").select("answer_key", "raw")
+        known = scratch.written(known, "answers-known")
+        if not fresh.isEmpty():
+            self.store.append(fresh)
+        every = known.withColumn("error", F.lit(None).cast("string")).unionByName(got)
+        return rows.join(every, "answer_key").select(*keys, "raw", "error")
+
+    def _caller(self, generator: Callable[[str], str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        at_once, tries, pause = self.at_once, self.tries, self.pause
+
+        def call(prompt: str) -> tuple[str | None, str | None]:
+            for turn in range(tries):
+                try:
+                    return generator(prompt), None
+                except Exception as failed:
+                    error = f"{type(failed).__name__}: {failed}"
+                    if turn + 1 < tries:
+                        time.sleep(pause * 2**turn)
+            return None, error
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            with ThreadPoolExecutor(at_once) as pool:
+                for batch in batches:
+                    said = list(pool.map(call, batch["prompt"]))
+                    yield pd.DataFrame({"answer_key": batch["answer_key"], "raw": [r for r, _ in said], "error": [e for _, e in said]})
+
+        return run
+
+
+def extract(documents: DataFrame, generator: Callable[[str], str], template: str, *keys: str, answers: Answers | None = None) -> DataFrame:
+    """(keys, raw, error, extraction): ask for each document's content and parse the answer; no JSON gives null.
+
+    With ``answers`` what was asked before is taken from there.
+    """
     prompts = documents.where(F.length(text.strip(F.col("content"))) > 0).withColumn("prompt", text.render(F.lit(template), {"document": F.col("content")}))
-    return ask(prompts, generator, "prompt", *keys).withColumn("extraction", text.parse_json(F.col("raw")))
+    asked = answers.ask(prompts, generator, "prompt", *keys) if answers else ask(prompts, generator, "prompt", *keys)
+    return asked.withColumn("extraction", text.parse_json(F.col("raw")))
 
 
 def succeeded(extractions: DataFrame, claim: str = "claim_id", order: str = "doc_idx") -> DataFrame:

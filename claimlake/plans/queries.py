@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize, registry, tables, text
 from ..operators import extract, generate, layout, ledger, merge
 from ..retrieval import queries as retrieval
-from ..sources import files
+from ..sources import files, scratch
 from . import runs
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages conversations".split()
@@ -72,6 +72,22 @@ def merge_fields(d: DataFrame) -> DataFrame:
     return out.withColumns({"source_documents": joined("source_documents"), "pages": joined("pages")})
 
 
+def growing_merge(d: DataFrame) -> DataFrame:
+    """The merge of all documents, added in three batches that are not in their order."""
+    growing = merge.Merge(d.sparkSession, scratch.fresh(d.sparkSession, "growing-merge"), kind="bigint")
+    for batch in (2, 0, 1):
+        mine = d.where(F.col("doc_idx") % 3 == batch)
+        growing.add(mine, mine)
+    return growing.fields().withColumns({"source_documents": joined("source_documents"), "pages": joined("pages")})
+
+
+def stored_answers(d: DataFrame) -> DataFrame:
+    """Answers that are asked for twice: the second time only what failed is."""
+    answers = generate.Answers(d.sparkSession, scratch.fresh(d.sparkSession, "stored-answers"), pause=0.0)
+    answers.ask(d, generate.Stub(answer=reply), "prompt", "id", "turn")
+    return answers.ask(d, generate.Stub(answer=reply), "prompt", "id", "turn")
+
+
 def final_claim(d: DataFrame) -> DataFrame:
     fields = merge.merge_fields(d, d.select("claim_id", "doc_idx").distinct())
     amount = F.concat(F.lit("EUR "), (F.col("event_id") % 40).cast("string"))
@@ -296,6 +312,12 @@ QUERIES: dict[str, Query] = {
         lambda d: d.select("id", normalize.normalize(F.col("kind"), F.col("raw")).alias("value"), normalize.merge_key(F.col("kind"), F.col("raw")).alias("key")),
         ", v AS (SELECT id, CASE id % 6 WHEN 0 THEN '2024-03-07' WHEN 1 THEN 'USD ' || CAST(id AS VARCHAR) WHEN 2 THEN 'commercial' WHEN 3 THEN regexp_replace(trim(raw), ' +', ' ', 'g') ELSE trim(raw) END AS value FROM d) SELECT id, value, lower(value) AS key FROM v",
     ),
+    "growing_merge": Query(MERGE_IN, growing_merge, MERGE_OUT),
+    "stored_answers": Query(
+        "SELECT conv_id AS id, turn, role || ': ' || coalesce(text, '') AS prompt FROM conversations",
+        stored_answers,
+        "SELECT id, turn, CASE WHEN prompt NOT LIKE 'system:%' THEN 're ' || prompt END AS raw, CASE WHEN prompt LIKE 'system:%' THEN 'ValueError: no answer' END AS error FROM d",
+    ),
     "registry_lookup": Query(REGISTRY_IN, lambda d: registry.with_kind(d), REGISTRY_OUT),
     "kept_extractions": Query(
         JSON_IN.replace("SELECT event_id AS id,", "SELECT event_id % 50 AS claim_id, CAST(event_id AS INT) AS doc_idx,"),
@@ -347,6 +369,13 @@ def stub_update(diary: str, content: str) -> str:
     return f"<!-- BEGIN_DIARY -->{diary}/{content}<!-- END_DIARY --><!-- BEGIN_LEDGER_ENTRY -->| 1 | said | - | {len(content)} |<!-- END_LEDGER_ENTRY -->"
 
 
+def reply(prompt: str) -> str:
+    """A model that answers all but the system."""
+    if prompt.startswith("system:"):
+        raise ValueError("no answer")
+    return "re " + prompt
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return QUERIES | retrieval.QUERIES
 

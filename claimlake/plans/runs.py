@@ -55,12 +55,13 @@ def entries(steps: DataFrame) -> DataFrame:
     return ledger.parse_ledger(steps.where("ledger is not null"), "ledger", "claim_id", "doc_idx", "doc")
 
 
-def summaries(diaries: DataFrame, ledgers: DataFrame, generator) -> DataFrame:
+def summaries(diaries: DataFrame, ledgers: DataFrame, generator, answers: generate.Answers | None = None) -> DataFrame:
     """(claim_id, summary): the model's summary of diary and ledger; claims whose answer holds none are left out."""
     both = diaries.select("claim_id", "diary").join(ledgers.select("claim_id", "ledger"), "claim_id", "left")
     filled = text.render(F.lit(prompts.load("summary")), {"diary": F.col("diary"), "ledger": F.coalesce("ledger", F.lit(prompts.template("ledger")))})
-    answers = generate.ask(both.withColumn("prompt", filled), tuned(generator, "summary"), "prompt", "claim_id")
-    return answers.select("claim_id", text.first_section(F.col("raw"), "SUMMARY").alias("summary")).where("summary <> ''")
+    ask = answers.ask if answers else generate.ask
+    said = ask(both.withColumn("prompt", filled), tuned(generator, "summary"), "prompt", "claim_id")
+    return said.select("claim_id", text.first_section(F.col("raw"), "SUMMARY").alias("summary")).where("summary <> ''")
 
 
 def ingest(spark: SparkSession, root: str, generator, out: str | None = None, form: str = "markdown") -> str:
@@ -105,20 +106,21 @@ def merged(extractions: DataFrame) -> DataFrame:
     return merge.as_json(merge.final_claim(fields, extract.payments(extractions, "extraction", "claim_id", "doc_idx", "doc")))
 
 
-def extract_and_merge(spark: SparkSession, root: str, generator, out: str | None = None, form: str = "markdown") -> str:
+def extract_and_merge(spark: SparkSession, root: str, generator, out: str | None = None, form: str = "markdown", answers: generate.Answers | None = None) -> str:
     """Ask for every document's fields and merge them into one record per claim; returns where the results are.
 
     Under ``out``: ``answers`` (raw answers and errors), ``extraction`` (JSON per document) and ``final_claim`` (JSON
     per claim), by claim. An answer that is no JSON object drops its document.
+    With ``answers``, kept from earlier runs, only documents that are new or changed are asked about.
     """
     out = out or files.processed_root(root)
     listed = files.list_claims(spark, root)
     files.clear(listed, *(f"{out}/{table}" for table in ("answers", "extraction", "final_claim")))
-    asked = generate.extract(contents(listed, form), tuned(generator, "extraction"), extraction_prompt(), "claim_id", "doc_idx", "doc")
+    asked = generate.extract(contents(listed, form), tuned(generator, "extraction"), extraction_prompt(), "claim_id", "doc_idx", "doc", answers=answers)
     files.write_by_claim(asked.drop("extraction"), f"{out}/answers", "overwrite")
-    answers = files.read_state(spark, f"{out}/answers", "claim_id string, doc_idx int, doc string, raw string, error string")
-    answers = answers.join(listed.select("claim_id").distinct(), "claim_id", "left_semi")
-    read = answers.withColumn("extraction", text.parse_json(F.col("raw")))
+    said = files.read_state(spark, f"{out}/answers", "claim_id string, doc_idx int, doc string, raw string, error string")
+    said = said.join(listed.select("claim_id").distinct(), "claim_id", "left_semi")
+    read = said.withColumn("extraction", text.parse_json(F.col("raw")))
     objects = read.where(F.schema_of_variant("extraction").startswith("OBJECT"))
     kept = generate.succeeded(objects)
     files.write_by_claim(named(kept).select("claim_id", "doc_idx", "doc", "json"), f"{out}/extraction", "overwrite")
@@ -126,10 +128,11 @@ def extract_and_merge(spark: SparkSession, root: str, generator, out: str | None
     return out
 
 
-def answer(contexts: DataFrame, generator, question: str, *keys: str) -> DataFrame:
+def answer(contexts: DataFrame, generator, question: str, *keys: str, answers: generate.Answers | None = None) -> DataFrame:
     """(keys, answer, found, error): what each content says to a question; ``found`` is false where it says nothing."""
     filled = text.render(F.lit(prompts.load("question")), {"refusal": F.lit(prompts.REFUSAL), "question": F.lit(question), "context": F.col("content")})
-    raw = generate.ask(contexts.withColumn("prompt", filled), tuned(generator, "question"), "prompt", *keys)
+    ask = answers.ask if answers else generate.ask
+    raw = ask(contexts.withColumn("prompt", filled), tuned(generator, "question"), "prompt", *keys)
     said = text.strip(F.col("raw"))
     return raw.select(*keys, said.alias("answer"), (~said.contains(prompts.REFUSAL)).alias("found"), "error")
 
