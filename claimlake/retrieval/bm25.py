@@ -1,10 +1,11 @@
 """BM25 over an inverted index.
 
-The index lies in a folder. ``postings`` holds, by bucket of the term's hash, one row per term and block of documents:
-places in the block, counts, lengths, and the best saturation any of them reaches. ``blocks`` holds the documents' ids by
-block, ``terms`` how many documents hold a term. A search reads the bounds of its terms first. It scores the most
-promising blocks of each query, and then only those blocks whose bounds reach the k-th score found there, so the result
-is exact. Contributions are whole millionths, so that sums do not depend on their order.
+The index lies in a folder. ``postings`` holds, by bucket of the term's hash, one row per term and block of documents: the
+documents' places in the block, how often each holds the term, and the best saturation any of them reaches. One more
+bucket holds the ids and lengths of each block's documents, ``terms`` how many documents hold a term. A search reads the
+bounds of its terms first. It scores the most promising blocks of each query, and then only those blocks whose bounds
+reach the k-th score found there, so the result is exact. Contributions are whole millionths, so that sums do not depend
+on their order.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from pyspark.sql import functions as F
 from ..sources import scratch
 
 K1, B, UNIT = 1.2, 0.75, 1_000_000
-#: Documents in a block, buckets of terms, queries that meet a block together, blocks of a query that are scored at first.
-BLOCK, BUCKETS, GROUP, SEEDS = 4096, 64, 256, 4
+#: Documents in a block (65,536 at most), buckets of terms and parts of a bucket that are written apart, queries that meet a block together, blocks of a query that are scored at first.
+BLOCK, BUCKETS, SPREAD, GROUP, SEEDS = 8192, 64, 4, 256, 4
+#: Steps that bounds are rounded up to, the bucket of the blocks' documents, and an entry of a posting list.
+STEPS, DOCUMENTS, ENTRY = 1000, -1, np.dtype([("place", "<u2"), ("count", "<u4")])
 #: Terms are runs of digits, ASCII letters, which are lower-cased, and everything beyond ASCII.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -53,29 +56,50 @@ def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def _lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values.astype(np.int32)))
+def saturation(count: np.ndarray, length: np.ndarray, average: float) -> np.ndarray:
+    """How much a term's occurrences count in documents of these lengths."""
+    return count * (K1 + 1) / (count + K1 * (1 - B + B * length / average))
+
+
+def totals(docs: DataFrame, text: str) -> tuple[int, int]:
+    """How many documents hold a term, and how many terms they hold in all."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [sum(len(p.split()) for p in _parts((t.as_py() or b"").translate(FOLD))) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([sum(n > 0 for n in sizes)]), pa.array([sum(sizes)])], ["n", "length"])
+
+    row = docs.select(_bytes(text).alias("text")).mapInArrow(count, "n long, length long").agg(F.sum("n"), F.sum("length")).first()
+    return row[0] or 0, row[1] or 0
 
 
-def _postings(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """Rows (term, block, places, counts, lengths), and one per block without a term but with the documents' ids."""
+def _postings(docs: DataFrame, text: str, doc_id: str, average: float) -> DataFrame:
+    """Rows (term, block, entries, best), and one per block without a term but with its documents' ids and lengths."""
     kind = docs.schema[doc_id].dataType.simpleString()
+    names = ["term", "block", "entries", "best", "ids", "lengths"]
 
     def block(number: int, ids: list, found: list[Counter]) -> Iterator[pa.RecordBatch]:
         vocabulary: dict[bytes, int] = {}
-        term = np.fromiter((vocabulary.setdefault(t, len(vocabulary)) for c in found for t in c), np.int64)
+        term = np.fromiter((vocabulary.setdefault(t, len(vocabulary)) for c in found for t in c), np.int32)
         count = np.fromiter((n for c in found for n in c.values()), np.int64)
         place = np.repeat(np.arange(len(found)), [len(c) for c in found])
         length = np.array([c.total() for c in found], dtype=np.int64)
         order = np.argsort(term, kind="stable")
+        place, count = place[order], count[order]
         ends = np.cumsum(np.bincount(term, minlength=len(vocabulary)))
+        starts = np.concatenate([[0], ends[:-1]])
+        best = np.ceil(STEPS * np.maximum.reduceat(saturation(count.astype(np.float64), length[place].astype(np.float64), average), starts)).astype(np.int32)
+        entries = np.zeros(len(place), dtype=ENTRY)
+        entries["place"], entries["count"] = place, count
+        offsets = (np.concatenate([[0], ends]) * ENTRY.itemsize).astype(np.int32)
+        lists = pa.Array.from_buffers(pa.binary(), len(vocabulary), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(entries.tobytes())])
         own = pa.concat_arrays(ids)
-        of_ids = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)
-        names = ["term", "block", "places", "counts", "lengths", "ids"]
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.array([number]), pa.nulls(1, pa.list_(pa.int32())), pa.nulls(1, pa.list_(pa.int32())), _lists(length, np.array([len(length)])), of_ids], names)
-        rows = pa.RecordBatch.from_arrays([pa.array(list(vocabulary), pa.binary()), pa.array(np.full(len(vocabulary), number)), *(_lists(v[order], ends) for v in (place, count, length[place])), pa.nulls(len(vocabulary), of_ids.type)], names)
-        for low in range(0, len(vocabulary), 2048):
-            yield rows.slice(low, 2048)
+        whole = pa.array([0, len(own)], pa.int32())
+        of_ids, of_lengths = pa.ListArray.from_arrays(whole, own), pa.ListArray.from_arrays(whole, pa.array(length))
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.array([number]), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), of_ids, of_lengths], names)
+        rows = pa.RecordBatch.from_arrays([pa.array(list(vocabulary), pa.binary()), pa.array(np.full(len(vocabulary), number)), lists, pa.array(best), pa.nulls(len(vocabulary), of_ids.type), pa.nulls(len(vocabulary), of_lengths.type)], names)
+        for low in range(0, len(vocabulary), 4096):
+            yield rows.slice(low, 4096)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, ids, found = TaskContext.get().partitionId() << 32, [], []
@@ -90,43 +114,40 @@ def _postings(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
         if found:
             yield from block(number, ids, found)
 
-    schema = f"term binary, block long, places array<int>, counts array<int>, lengths array<int>, ids array<{kind}>"
+    schema = f"term binary, block long, entries binary, best int, ids array<{kind}>, lengths array<bigint>"
     return docs.select(scratch.col(doc_id).alias("doc_id"), _bytes(text).alias("text")).mapInArrow(build, schema)
 
 
-def saturation(count, length, average):
-    """How much a term's occurrences count in a document of a length; for columns and numbers alike."""
-    return count * (K1 + 1) / (count + K1 * (1 - B + B * length / average))
-
-
 def build(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> None:
-    """Write the index of all documents that hold a term. Null and empty texts do not count; repeated rows each do."""
-    raw = scratch.written(_postings(docs, text, doc_id), "postings")
-    blocks = raw.where("term IS NULL").select("block", "ids", "lengths")
-    blocks.write.parquet(f"{path}/blocks")
-    total = F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, n: a + n))
-    stats = blocks.agg(F.coalesce(F.sum(F.size("ids").cast("long")), F.lit(0)).alias("documents"), F.coalesce(total, F.lit(0)).alias("length"))
-    stats.write.parquet(f"{path}/stats")
-    n = docs.sparkSession.read.parquet(f"{path}/stats").first()
-    average = F.lit(n["length"] / max(n["documents"], 1))
-    held = raw.where("term IS NOT NULL").drop("ids").withColumn("bucket", _bucket(F.col("term")))
-    best = F.array_max(F.zip_with("counts", "lengths", lambda c, m: saturation(c.cast("double"), m.cast("double"), average)))
-    # by range: a term in very many blocks is cut between two of them, and a partition writes to few buckets
-    placed = held.withColumn("best", best).repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block")
-    placed.write.partitionBy("bucket").parquet(f"{path}/postings")
-    held.groupBy("bucket", "term").agg(F.sum(F.size("places").cast("long")).alias("df")).write.parquet(f"{path}/terms")
+    """Write the index of all documents that hold a term. Null and empty texts do not count; repeated rows each do.
+
+    Postings are made and dealt out by bucket once. Blocks of a term go to several parts of its bucket, so that a term
+    which most documents hold is not the work of one task.
+    """
+    spark, kind = docs.sparkSession, docs.schema[doc_id].dataType.simpleString()
+    documents, length = totals(docs, text)
+    spark.createDataFrame([(documents, length, kind)], "documents long, length long, kind string").write.parquet(f"{path}/stats")
+    raw = _postings(docs, text, doc_id, length / max(documents, 1)).withColumn("bucket", F.when(F.col("term").isNull(), F.lit(DOCUMENTS)).otherwise(_bucket(F.col("term"))))
+    part = F.pmod(F.xxhash64("block"), F.lit(SPREAD))
+    raw.repartition("bucket", part).sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/postings")
+    held = Index(spark, path).postings
+    held.groupBy("bucket", "term").agg(F.sum(F.expr(f"octet_length(entries) div {ENTRY.itemsize}")).alias("df")).write.parquet(f"{path}/terms")
 
 
 class Index:
     def __init__(self, spark: SparkSession, path: str):
-        self.spark = spark
-        table = lambda name: spark.read.parquet(f"{path}/{name}")
-        self.blocks, self.terms = table("blocks"), table("terms")
-        self.documents, self.length = table("stats").first()
-        kind = "term binary, block long, places array<int>, counts array<int>, lengths array<int>, best double, bucket int"
-        self.postings = spark.read.schema(kind).parquet(f"{path}/postings") if self.documents else spark.createDataFrame([], kind)
+        self.spark, self.path = spark, path
+        self.documents, self.length, self.kind = spark.read.parquet(f"{path}/stats").first()
+        kind = f"term binary, block long, entries binary, best int, ids array<{self.kind}>, lengths array<bigint>, bucket int"
+        rows = spark.read.schema(kind).parquet(f"{path}/postings") if self.documents else spark.createDataFrame([], kind)
+        self.postings = rows.where(F.col("bucket") != DOCUMENTS).drop("ids", "lengths")
+        self.blocks = rows.where(F.col("bucket") == DOCUMENTS).select("block", "ids", "lengths")
         self.average = self.length / max(self.documents, 1)
 
+    @property
+    def terms(self) -> DataFrame:
+        return self.spark.read.schema("bucket int, term binary, df long").parquet(f"{self.path}/terms")
+
     def asked(self, queries: DataFrame, text: str, query_id: str) -> DataFrame:
         """(item, item_id, grp, bucket, term, idf): the known terms of every query row, once each."""
         kind = queries.schema[query_id].dataType.simpleString()
@@ -149,24 +170,24 @@ class Index:
 
         A block's ids, its queries' terms and the postings these need meet in one task, one block and group of queries after the other.
         """
-        average, row = self.average, "kind int, item long, idf double, term binary, places array<int>, counts array<int>, lengths array<int>"
+        average, row = self.average, "kind int, item long, idf double, term binary, entries binary"
         empty = {f.split()[0]: F.lit(None).cast(f.split()[1]).alias(f.split()[0]) for f in row.split(", ")}
         pairs = scratch.written(pairs, "bm25-pairs")
         cells = scratch.written(pairs.select("grp", "block").distinct(), "bm25-cells")
-        own = {"ids": F.lit(None).cast(f"array<{kind}>").alias("ids")}
+        own = {"ids": F.lit(None).cast(f"array<{kind}>").alias("ids"), "lengths": F.lit(None).cast("array<bigint>").alias("lengths")}
 
         def shaped(df: DataFrame, number: int) -> DataFrame:
             columns = {**empty, **own, "kind": F.lit(number).alias("kind")}
             return df.select("grp", "block", *[F.col(c) if c in df.columns else v for c, v in columns.items()])
 
-        hosts = shaped(self.blocks.select("block", "ids").join(scratch.small(cells), "block"), 0)
+        hosts = shaped(self.blocks.join(scratch.small(cells), "block"), 0)
         needs = shaped(pairs.select("item", "block").join(scratch.small(asked), "item").select("grp", "block", "item", "term", "idf"), 1)
         used = scratch.written(asked.select("grp", "bucket", "term").distinct(), "bm25-terms")
         guests = self.postings.drop("best").join(scratch.small(used), ["bucket", "term"]).join(scratch.small(cells), ["grp", "block"], "left_semi")
         dealt = hosts.unionByName(needs).unionByName(shaped(guests, 2)).repartition("grp", "block").sortWithinPartitions("grp", "block", "kind")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, items, wanted, scores, rank = None, {}, {}, None, None
+            ids, lengths, items, wanted, scores, rank = None, None, {}, {}, None, None
 
             def best() -> Iterator[pa.RecordBatch]:
                 names = np.array(list(items), dtype=np.int64)
@@ -178,13 +199,14 @@ class Index:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), names[i])), ids.take(pa.array(at)), pa.array(scores[i][at])], ["item", "doc_id", "score"])
 
             for batch in batches:
-                cell = {n: batch.column(n) for n in ("kind", "item", "idf", "term", "places", "counts", "lengths", "ids")}
+                cell = {n: batch.column(n) for n in ("kind", "item", "idf", "term", "entries", "ids", "lengths")}
                 for r in range(batch.num_rows):
                     what = cell["kind"][r].as_py()
                     if what == 0:
                         if scores is not None:
                             yield from best()
                         ids, items, wanted, scores = cell["ids"][r].values, {}, {}, None
+                        lengths = cell["lengths"][r].values.to_numpy().astype(np.float64)
                         rank = np.empty(len(ids), dtype=np.int64)
                         rank[pc.array_sort_indices(ids).to_numpy()] = np.arange(len(ids))
                     elif what == 1:
@@ -194,8 +216,9 @@ class Index:
                         if scores is None:
                             scores = np.zeros((len(items), len(ids)), dtype=np.int64)
                         if asking := wanted.get(cell["term"][r].as_py()):
-                            places, counts, lengths = (cell[n][r].values.to_numpy() for n in ("places", "counts", "lengths"))
-                            reached = saturation(counts.astype(np.float64), lengths.astype(np.float64), average)
+                            entries = np.frombuffer(cell["entries"][r].as_py(), ENTRY)
+                            places = entries["place"]
+                            reached = saturation(entries["count"].astype(np.float64), lengths[places], average)
                             for i, idf in asking:
                                 scores[i, places] += np.floor(UNIT * (idf * reached)).astype(np.int64)
             if scores is not None:
@@ -208,10 +231,10 @@ class Index:
 
         Every row of queries is a query of its own; one without a known term finds nothing.
         """
-        kind = self.blocks.schema["ids"].dataType.elementType.simpleString()
+        kind = self.kind
         asked = self.asked(queries, text, query_id)
         few = scratch.small(asked)
-        bound = F.floor(UNIT * (F.col("idf") * F.col("best"))).alias("bound")
+        bound = F.ceil(F.col("idf") * F.col("best") * (UNIT // STEPS) + 1).alias("bound")  # rounded up, as entries are rounded down
         bounds = self.postings.select("bucket", "term", "block", "best").join(few, ["bucket", "term"]).select("item", "grp", "block", bound)
         bounds = scratch.written(bounds.groupBy("item", "grp", "block").agg(F.sum("bound").alias("bound")).where("bound > 0"), "bm25-bounds")
         ranked = bounds.withColumn("n", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("bound"), "block")))
