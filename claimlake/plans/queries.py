@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import prompts
 from ..functions import normalize, registry, tables, text
 from ..operators import extract, generate, layout, ledger, merge
 from ..retrieval import queries as retrieval
@@ -72,6 +73,18 @@ def merge_fields(d: DataFrame) -> DataFrame:
     return out.withColumns({"source_documents": joined("source_documents"), "pages": joined("pages")})
 
 
+def final_json(d: DataFrame) -> DataFrame:
+    fields = merge.merge_fields(d, d.select("claim_id", "doc_idx").distinct())
+    return merge.as_json(merge.final_claim(fields, d.limit(0).select("claim_id", "doc_idx", "doc", F.lit(0).alias("pos"), *[F.lit("").alias(c) for c in ("date", "amount", "description")], "page")))
+
+
+def document_chunks(d: DataFrame) -> DataFrame:
+    """Layout rows of three kinds as ordered chunks; a text's turns in a row are one."""
+    rows = F.array(F.array("role", F.col("seq").cast("string")), F.array(F.lit("x|y"), F.lit(None).cast("string")))
+    shown = d.withColumns({"pos": F.col("seq"), "rows": rows, "image": F.lit(b"i"), "width": F.lit(1.0), "height": F.lit(2.0), "image_index": F.lit(0)})
+    return layout.chunks(shown, ["doc"]).select("doc", "page", "order", "chunk_type", "content", "x0", "y0", "x1", "y1")
+
+
 def growing_merge(d: DataFrame) -> DataFrame:
     """The merge of all documents, added in three batches that are not in their order."""
     growing = merge.Merge(d.sparkSession, scratch.fresh(d.sparkSession, "growing-merge"), kind="bigint")
@@ -167,6 +180,31 @@ SELECT claim_id, doc_idx, doc, pos, date, amount, description, page FROM k QUALI
 
 FILES_IN = """SELECT doc_id % 20 AS claim_id, CASE WHEN doc_id % 3 = 0 THEN upper(source) ELSE source END || '_' || CAST(doc_id AS STRING) || CASE CAST(doc_id % 5 AS INT) WHEN 0 THEN '.pdf' WHEN 1 THEN '.PDF' WHEN 2 THEN '.docx' WHEN 3 THEN '.txt' ELSE '' END AS name FROM documents"""
 
+REGISTERED_IN = f"""
+SELECT claim_id, doc_idx, 'doc' || CAST(doc_idx AS STRING) AS doc, page, 'r' || CAST(event_id AS STRING) AS reason, canon,
+ CASE n WHEN 1 THEN '{registry.FIELDS[2][0]}' WHEN 2 THEN '{registry.FIELDS[17][0]}' ELSE '{registry.FIELDS[9][0]}' END AS path,
+ CASE n WHEN 1 THEN CASE form WHEN 0 THEN canon WHEN 1 THEN '0' || CAST(k AS STRING) || '.03.2026' ELSE 'March ' || CAST(k AS STRING) || ', 2026' END
+  WHEN 2 THEN CASE form WHEN 0 THEN 'EUR 12,65' || CAST(k AS STRING) WHEN 1 THEN '€12.65' || CAST(k AS STRING) || ',00' ELSE '1265' || CAST(k AS STRING) || ' EUR' END
+  ELSE CASE form WHEN 0 THEN ' Gate  ' || CAST(k AS STRING) WHEN 1 THEN 'gate ' || CAST(k AS STRING) || ' ' ELSE 'GATE ' || CAST(k AS STRING) END END AS value
+FROM (SELECT *, CASE n WHEN 1 THEN '2026-03-0' || CAST(k AS STRING) WHEN 2 THEN 'eur 1265' || CAST(k AS STRING) ELSE 'gate ' || CAST(k AS STRING) END AS canon FROM (
+ SELECT user_id % 10 AS claim_id, CAST(dense_rank() OVER (PARTITION BY user_id % 10 ORDER BY CAST(ts AS DATE)) - 1 AS INT) AS doc_idx, event_id, CAST(1 + event_id % 4 AS INT) AS k, CAST(event_id % 3 AS INT) AS form,
+  CAST(row_number() OVER (PARTITION BY user_id % 10, CAST(ts AS DATE) ORDER BY event_id) AS INT) AS n, CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(event_id % 9 AS INT) END AS page
+ FROM events) AS e WHERE n <= 3) AS f"""
+
+FINAL_JSON_OUT = MERGE_OUT.replace("SELECT p.claim_id,", ", m AS (SELECT p.claim_id,") + """)
+SELECT claim_id, '[' || string_agg('{"field_name":"' || field_name || '","reason":' || coalesce('"' || reason || '"', 'null') || ',"field_value":' || coalesce('"' || field_value || '"', 'null') || ',"source_documents":'
+ || CASE WHEN source_documents = '' THEN '[]' ELSE '["' || replace(source_documents, ',', '","') || '"]' END || ',"pages":[' || replace(pages, '-', 'null') || '],"confidence":' || CAST(confidence AS VARCHAR) || '}', ',' ORDER BY field_name) || ']' AS json
+FROM m GROUP BY claim_id"""
+
+LAYOUT_IN = """SELECT doc, seq, role, CASE WHEN role = 'system' THEN 'table' WHEN seq % 5 = 4 THEN 'image' ELSE 'text' END AS kind, CAST(1 + floor(seq / 4.0) AS INT) AS page, '  turn ' || CAST(seq AS STRING) || ' by  ' || role AS text,
+ CAST(seq AS DOUBLE) AS x0, CAST(seq * 2 AS DOUBLE) AS y0, CAST(seq + 5 AS DOUBLE) AS x1, CAST(seq * 2 + 1 AS DOUBLE) AS y1
+FROM (SELECT conv_id AS doc, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS INT) AS seq, role, text FROM conversations)"""
+LAYOUT_OUT = """, s AS (SELECT *, CASE kind WHEN 'text' THEN 'turn ' || seq || ' by ' || role WHEN 'table' THEN '| system | ' || seq || ' |' || chr(10) || '| --- | --- |' || chr(10) || '| x\\|y |  |' END AS c,
+  CASE WHEN kind <> 'text' OR lag(kind) OVER w IS DISTINCT FROM 'text' OR lag(page) OVER w <> page THEN 1 ELSE 0 END AS start FROM d WINDOW w AS (PARTITION BY doc ORDER BY seq)),
+i AS (SELECT *, sum(start) OVER (PARTITION BY doc ORDER BY seq) AS island FROM s),
+g AS (SELECT doc, island, min(page) AS page, min(kind) AS chunk_type, string_agg(c, chr(10) ORDER BY seq) AS content, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM i GROUP BY doc, island)
+SELECT doc, page, CAST(row_number() OVER (PARTITION BY doc, page ORDER BY island) - 1 AS INT) AS "order", chunk_type, content, x0, y0, x1, y1 FROM g"""
+
 JSON_IN = """SELECT event_id AS id, CASE CAST(event_id % 4 AS INT) WHEN 0 THEN '```json' || chr(10) || '{"v": ' || CAST(event_id AS STRING) || '}' || chr(10) || '```' WHEN 1 THEN '```' || '{"v": ' || CAST(event_id AS STRING) || '}```' WHEN 2 THEN '  {"v": ' || CAST(event_id AS STRING) || '} ' ELSE 'sorry {"v": 1' END AS raw FROM events"""
 
 LEAF_IN = """SELECT o_orderkey AS id, '{"general": ' || CASE WHEN o_orderkey % 5 = 0 THEN 'null' ELSE '{"status": {"reason": "r", "value": "' || o_orderstatus || '", "_page": ' || CAST(o_orderkey % 9 AS STRING) || '}, "_skip": {"value": "x", "_page": 1}, "cause": {"value": null, "reason": null, "_page": null}}' END || ', "odd": {"value": "y", "note": null}, "list": [1, 2], "financials": {"payments_made": [], "reserves": {"total": {"value": ' || CAST(o_orderkey AS STRING) || ', "_page": null, "reason": "t"}}}, "_document": "d"}' AS raw FROM orders"""
@@ -312,6 +350,19 @@ QUERIES: dict[str, Query] = {
         lambda d: d.select("id", normalize.normalize(F.col("kind"), F.col("raw")).alias("value"), normalize.merge_key(F.col("kind"), F.col("raw")).alias("key")),
         ", v AS (SELECT id, CASE id % 6 WHEN 0 THEN '2024-03-07' WHEN 1 THEN 'USD ' || CAST(id AS VARCHAR) WHEN 2 THEN 'commercial' WHEN 3 THEN regexp_replace(trim(raw), ' +', ' ', 'g') ELSE trim(raw) END AS value FROM d) SELECT id, value, lower(value) AS key FROM v",
     ),
+    "registered_merge": Query(REGISTERED_IN, merge_fields, MERGE_OUT.replace("lower(trim(value)) AS norm", "canon AS norm")),
+    "final_json": Query(MERGE_IN, final_json, FINAL_JSON_OUT),
+    "document_chunks": Query(LAYOUT_IN, document_chunks, LAYOUT_OUT),
+    "answered_questions": Query(
+        "SELECT conv_id AS id, turn, role || ': ' || coalesce(text, '') AS content FROM conversations",
+        lambda d: runs.answer(d, generate.Stub(answer=answer_of), "What is said?", "id", "turn"),
+        f"SELECT id, turn, CASE WHEN content LIKE 'system: %' THEN '{prompts.REFUSAL}' ELSE 'said' END AS answer, content NOT LIKE 'system: %' AS found, CAST(NULL AS VARCHAR) AS error FROM d",
+    ),
+    "kept_summaries": Query(
+        "SELECT conv_id AS claim_id, 'claim <' || CAST(conv_id AS STRING) || '> of ' || CAST(count(*) AS STRING) AS diary FROM conversations GROUP BY conv_id",
+        lambda d: runs.summaries(d, d.where("claim_id % 2 = 0").select("claim_id", F.lit("| x |").alias("ledger")), generate.Stub(answer=summary_of)),
+        "SELECT claim_id, 'facts of ' || claim_id AS summary FROM d WHERE claim_id % 3 <> 0 AND claim_id % 5 <> 0",
+    ),
     "growing_merge": Query(MERGE_IN, growing_merge, MERGE_OUT),
     "stored_answers": Query(
         "SELECT conv_id AS id, turn, role || ': ' || coalesce(text, '') AS prompt FROM conversations",
@@ -369,6 +420,17 @@ def stub_update(diary: str, content: str) -> str:
     return f"<!-- BEGIN_DIARY -->{diary}/{content}<!-- END_DIARY --><!-- BEGIN_LEDGER_ENTRY -->| 1 | said | - | {len(content)} |<!-- END_LEDGER_ENTRY -->"
 
 
+def answer_of(prompt: str) -> str:
+    """A model that refuses contexts of the system."""
+    return f" {prompts.REFUSAL} " if prompt.rsplit("Context:\n", 1)[1].startswith("system: ") else " said\n"
+
+
+def summary_of(prompt: str) -> str:
+    """A model that gives some claims no summary, and others an empty one."""
+    claim = int(re.search("claim <([0-9]+)>", prompt)[1])
+    return "none" if claim % 3 == 0 else f"<!-- BEGIN_SUMMARY --> {f'facts of {claim}' if claim % 5 else ''}\n<!-- END_SUMMARY -->"
+
+
 def reply(prompt: str) -> str:
     """A model that answers all but the system."""
     if prompt.startswith("system:"):
