@@ -1,8 +1,9 @@
 """License scan by ordered signature rules.
 
-A text that holds a word of any keyword becomes a row of lower-case words. Words with a rule's keyword are tried
-against the rule, a regular expression over the words; of overlapping detections one that lies within another of at
-least its priority is suppressed. Base phrases are always reported.
+A text that holds a word of any keyword becomes a row of lower-case words. Words with a rule's keywords are tried
+against the rule, a regular expression over the words. Of overlapping detections the one of higher priority stays; of
+equal ones the one that begins first, and of those the longer, in which the others are contained or which cuts into them.
+Base phrases are always reported.
 """
 
 from __future__ import annotations
@@ -27,9 +28,35 @@ NAMED = [
     ("isc", "isc license"), ("isc", "permission to use copy modify and or distribute this software for any purpose"), ("zlib", "zlib license"), ("zlib", "this software is provided as is without any express or implied warranty"),
     ("unlicense", "this is free and unencumbered software released into the public domain"), ("unlicense", "the unlicense"), ("cc0-1.0", "cc0(?: 1 0)?"), ("cc0-1.0", "creative commons zero"), ("wtfpl", "do what the fuck you want to public license"),
     ("beerware", "beer ?ware license"), ("ofl-1.1", "sil open font license"), ("boost-1.0", "boost software license"), ("postgresql", "postgresql license"), ("python-2.0", "python software foundation license"), ("php-3.0", "php license"), ("ruby", "ruby license"),
-    ("ncsa", "university of illinois ncsa open source license"), ("openssl", "openssl license"), ("vim", "vim license"), ("x11", "x11 license"), ("bsl-1.1", "business source license"), ("sspl-1.0", "server side public license"), ("elastic-2.0", "elastic license"),
+    ("ncsa", "university of illinois ncsa open source license"), ("openssl", "openssl license"), ("vim", "vim license"), ("x11", "x11 license"), ("mit", "mit x11 licen[cs]e"), ("bsl-1.1", "business source license"), ("sspl-1.0", "server side public license"), ("elastic-2.0", "elastic license"),
     ("proprietary", "all rights reserved"), ("public-domain", "(?:placed|released|dedicated) (?:in|into|to) the public domain"),
 ]
+#: Names that say a license but no version, or a license that goes by several names: label and the phrases.
+FAMILIES = [
+    ("gpl", "gnu gpl"), ("gpl", "gpl licen[cs]ed?"), ("gpl", "gnu public licen[cs]e"), ("lgpl", "gnu lgpl"), ("lgpl", "lgpl licen[cs]ed?"), ("lgpl", "(?:lesser|library) general public licen[cs]e"), ("agpl", "gnu agpl"), ("agpl", "agpl licen[cs]ed?"), ("agpl", "affero general public licen[cs]e"),
+    ("mit", "mit licen[cs]ed"), ("mit", "mit expat licen[cs]e"), ("mit", "expat licen[cs]e"), ("mit", "mit style licen[cs]e"), ("mit-0", "mit no attribution"), ("apache", "apache licen[cs]ed"), ("apache", "apache software licen[cs]e"),
+    ("bsd", "bsd licen[cs]ed"), ("bsd", "bsd style licen[cs]e"), ("bsd", "bsd type licen[cs]e"), ("bsd-3-clause", "(?:new|revised|modified) bsd licen[cs]e"), ("bsd-2-clause", "(?:simplified|freebsd) bsd licen[cs]e"), ("bsd-2-clause", "freebsd licen[cs]e"), ("bsd-4-clause", "original bsd licen[cs]e"), ("0bsd", "0bsd"), ("0bsd", "bsd zero clause licen[cs]e"),
+    ("mpl", "mozilla public licen[cs]e"), ("mpl", "mpl licen[cs]ed?"), ("epl", "eclipse public licen[cs]e"), ("cddl", "common development and distribution licen[cs]e"), ("eupl", "european union public licen[cs]e"), ("artistic", "artistic licen[cs]e"), ("gfdl", "gnu free documentation licen[cs]e"), ("afl", "academic free licen[cs]e"), ("osl", "open software licen[cs]e"),
+    ("ofl-1.1", "open font licen[cs]e"), ("unlicense", "unlicen[cs]e"), ("unlicense", "unlicen[cs]ed into the public domain"), ("wtfpl", "wtfpl"), ("zlib", "zlib libpng licen[cs]e"), ("libpng", "libpng licen[cs]e"), ("isc", "isc licen[cs]ed"), ("isc", "internet systems consortium licen[cs]e"), ("python-2.0", "psf licen[cs]e"),
+    ("boost-1.0", "boost licen[cs]e"), ("cc", "creative commons licen[cs]e"), ("ms-pl", "microsoft public licen[cs]e"), ("ms-rl", "microsoft reciprocal licen[cs]e"), ("odbl-1.0", "open database licen[cs]e"), ("odc-by-1.0", "open data commons attribution licen[cs]e"), ("pddl-1.0", "public domain dedication and licen[cs]e"),
+    ("upl-1.0", "universal permissive licen[cs]e"), ("mulanpsl-2.0", "mulan psl v2"), ("mulanpsl-2.0", "mulan permissive software licen[cs]e"), ("ecl-2.0", "educational community licen[cs]e"), ("cpal-1.0", "common public attribution licen[cs]e"), ("cpl-1.0", "common public licen[cs]e"), ("ipl-1.0", "ibm public licen[cs]e"), ("qpl-1.0", "q public licen[cs]e"),
+    ("npl", "netscape public licen[cs]e"), ("spl-1.0", "sun public licen[cs]e"), ("json", "json licen[cs]e"), ("imagemagick", "imagemagick licen[cs]e"), ("curl", "curl licen[cs]e"), ("ijg", "independent jpeg group licen[cs]e"), ("icu", "icu licen[cs]e"), ("unicode", "unicode licen[cs]e"), ("w3c", "w3c software (?:notice and )?licen[cs]e"), ("zpl", "zope public licen[cs]e"),
+    ("tcl", "tcl tk licen[cs]e"), ("hpnd", "historical permission notice and disclaimer"), ("blueoak-1.0.0", "blue oak model licen[cs]e"), ("polyform", "polyform (?:noncommercial|shield|small business|strict) licen[cs]e"), ("commons-clause", "commons clause"), ("proprietary", "proprietary and confidential"), ("proprietary", "commercial licen[cs]e agreement"), ("proprietary", "end user licen[cs]e agreement"),
+    ("openrail", "openrail"), ("openrail", "responsible ai licen[cs]e"), ("llama", "llama [234] community licen[cs]e"), ("nasa-1.3", "nasa open source agreement"), ("sleepycat", "sleepycat licen[cs]e"), ("cecill", "cecill(?: [abc12])? licen[cs]e"), ("lppl", "latex project public licen[cs]e"), ("apsl", "apple public source licen[cs]e"), ("rpl", "reciprocal public licen[cs]e"),
+]
+#: Short identifiers of the public list of licenses, as files and manifests name them: fixed values.
+IDENTIFIERS = """
+0BSD AFL-1.1 AFL-1.2 AFL-2.0 AFL-2.1 AFL-3.0 AGPL-1.0 AGPL-1.0-only AGPL-1.0-or-later AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.0 Apache-1.1 Apache-2.0 APSL-2.0 Artistic-1.0
+Artistic-1.0-Perl Artistic-2.0 Beerware BlueOak-1.0.0 BSD-1-Clause BSD-2-Clause BSD-2-Clause-Patent BSD-3-Clause BSD-3-Clause-Clear BSD-4-Clause BSL-1.0 BUSL-1.1 CC0-1.0 CDDL-1.0 CDDL-1.1
+CDLA-Permissive-2.0 CECILL-2.1 CECILL-B CECILL-C CPAL-1.0 CPL-1.0 curl ECL-2.0 EFL-2.0 Elastic-2.0 EPL-1.0 EPL-2.0 EUPL-1.0 EUPL-1.1 EUPL-1.2 GFDL-1.1 GFDL-1.2 GFDL-1.3 GFDL-1.3-only GFDL-1.3-or-later
+GPL-1.0 GPL-1.0-only GPL-1.0-or-later GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later HPND ICU IJG ImageMagick IPL-1.0 ISC JSON LGPL-2.0 LGPL-2.0-only LGPL-2.0-or-later
+LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later libpng-2.0 LPL-1.02 LPPL-1.3c MirOS MIT MIT-0 MPL-1.0 MPL-1.1 MPL-2.0 MPL-2.0-no-copyleft-exception MS-PL MS-RL MulanPSL-2.0
+NASA-1.3 NCSA NPL-1.1 NTP ODbL-1.0 ODC-By-1.0 OFL-1.0 OFL-1.1 OLDAP-2.8 OpenSSL OSL-1.0 OSL-2.0 OSL-2.1 OSL-3.0 PDDL-1.0 PHP-3.0 PHP-3.01 PostgreSQL PSF-2.0 Python-2.0 QPL-1.0 RPL-1.5 Ruby Sleepycat
+SSPL-1.0 TCL Unicode-3.0 Unlicense UPL-1.0 Vim W3C WTFPL X11 Zlib ZPL-2.0 ZPL-2.1
+"""
+#: Identifiers that go by another label here, and words too common to name a license without "identifier" before them.
+OTHER_LABELS = {"bsl-1.0": "boost-1.0", "busl-1.1": "bsl-1.1", "psf-2.0": "python-2.0"}
+COMMON = {"curl", "json", "ruby", "tcl", "vim", "ntp", "w3c", "icu", "ijg"}
 #: Sentences of license texts and notices: label and words.
 TEXTS = [
     ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
@@ -82,9 +109,18 @@ def _literal(phrase: str) -> str:
 
 
 def rules() -> list[tuple[str, str, str, int]]:
-    """(label, keyword, pattern, priority), in order; patterns are over words with a space before and after."""
+    """(label, keyword, pattern, priority), in order; patterns are over words with a space before and after.
+
+    Text that a rule fits holds its keyword; where the keyword has several parts, all of them.
+    """
     out = [(label, _literal(phrase), phrase, MIDDLE) for label, phrase in NAMED]
     out += [(label, _literal(phrase), phrase, HIGH) for label, phrase in TEXTS]
+    out += [(label, _literal(phrase), phrase, LOW) for label, phrase in FAMILIES]
+    for name in IDENTIFIERS.lower().split():
+        label, words = OTHER_LABELS.get(name, name), name.replace("-", " ").replace(".", " ")
+        out.append((label, f"spdx license identifier & {words}", f"spdx license identifier {words}", HIGH))
+        if name not in COMMON:
+            out.append((label, f"licen & {words}", f"licen[cs]e(?:d under)?(?: the)? {words}", MIDDLE))
     for family, work, name, versions in NOTICES:
         for v in versions:
             terms = f"it under the terms of the gnu {name} as published by the free software foundation"
@@ -98,7 +134,6 @@ def rules() -> list[tuple[str, str, str, int]]:
             out.append((full, keyword, f"{name}(?: version| v)? ?v?{plain}", MIDDLE))
             out.append((full + "-or-later", keyword, f"{name}(?: version| v)? ?v?{plain} or (?:later|(?:at your option )?any later version)", HIGH))
             out.append((full + "-only", keyword, f"{name}(?: version| v)? ?v?{plain} only", HIGH))
-            out.append((full, "spdx license identifier", f"spdx license identifier {label} {plain}", HIGH))
     for kind in CREATIVE:
         long_name = " ".join(CREATIVE_LONG[x] for x in kind.split())
         for v in CREATIVE_VERSIONS:
@@ -107,14 +142,14 @@ def rules() -> list[tuple[str, str, str, int]]:
             out.append((label, "creative commons", f"creative commons {long_name} {spaced}(?: international| unported| generic)?(?: license)?", HIGH))
         out.append((f"cc-{kind.replace(' ', '-')}", "cc by", f"cc {kind}", MIDDLE if " " in kind else LOW))
     for n, word in BSD_CLAUSES.items():
-        out.append((f"bsd-{n}-clause", "clause", f"(?:bsd (?:{n}|{word}) clause|(?:{n}|{word}) clause bsd)(?: license)?", MIDDLE))
+        out.append((f"bsd-{n}-clause" if n != "0" else "0bsd", "clause", f"(?:bsd (?:{n}|{word}) clause|(?:{n}|{word}) clause bsd)(?: license)?", MIDDLE))
     out.append(("bsd", "bsd license", "bsd license", LOW))
     return out
 
 
 def keywords() -> list[str]:
     """What words must hold one of for any rule or base phrase to fit; keywords that hold another one are left out."""
-    every = {keyword for _, keyword, _, _ in rules()} | {phrase for phrase, _ in PHRASES}
+    every = {keyword.split(" & ")[0] for _, keyword, _, _ in rules()} | {phrase for phrase, _ in PHRASES}
     return sorted(k for k in every if not any(o != k and o in k for o in every))
 
 
@@ -161,7 +196,8 @@ def fitting(words: str) -> Column:
     by_keyword: dict[str, list[str]] = {}
     for i, (_, keyword, pattern, _) in enumerate(rules()):
         by_keyword.setdefault(keyword, []).append(f"CASE WHEN {words} RLIKE ' (?:{pattern}) ' THEN {i} END")
-    tried = [f"CASE WHEN contains({words}, '{k}') THEN array_compact(array({', '.join(own)})) ELSE CAST(array() AS array<int>) END" for k, own in by_keyword.items()]
+    holds = lambda k: " AND ".join(f"contains({words}, '{part}')" for part in k.split(" & "))
+    tried = [f"CASE WHEN {holds(k)} THEN array_compact(array({', '.join(own)})) ELSE CAST(array() AS array<int>) END" for k, own in by_keyword.items()]
     return F.expr(f"concat({', '.join(tried)})")
 
 
@@ -176,22 +212,33 @@ def detections(words: Column, numbers: Column) -> Column:
 def unsuppressed(found: Column) -> Column:
     """Labels and priorities that remain after suppression, by a sweep over starts.
 
-    Detections that start no later come first (of equal starts the longer, then the higher priority), so one lies
-    within an earlier one exactly if its end is not beyond the furthest end so far of its priority or above.
+    Detections that start no later come first (of equal starts the longer, then the higher priority). One that overlaps
+    an earlier one of at least its priority goes, and earlier ones of lower priority that it overlaps go. Of those that
+    stay so far at most one of each priority reaches beyond the sweep; it is pending until the sweep has passed its end.
     """
     order = F.array_sort(F.transform(found, lambda d: F.struct(d["start"].alias("start"), (-d["end"]).alias("last"), (-d["priority"]).alias("minus"), d["label"].alias("label"))))
-    none = F.struct(F.array(*[F.lit(-1)] * HIGH).alias("ends"), F.array().cast("array<struct<label:string,priority:int>>").alias("kept"))
+    state = "struct<pending:array<struct<end:int,label:string>>,kept:array<struct<label:string,priority:int>>>"
+    nobody = F.struct(F.lit(-1).alias("end"), F.lit(None).cast("string").alias("label"))
+    none = F.struct(F.array(*[nobody] * HIGH).alias("pending"), F.array().alias("kept")).cast(state)
 
     def step(s: Column, d: Column) -> Column:
         priority, end = -d["minus"], -d["last"]
-        within = F.exists(F.slice(s["ends"], priority, F.lit(HIGH) - priority + 1), lambda e: e >= end)
-        ends = F.transform(s["ends"], lambda e, i: F.when(i + 1 == priority, F.greatest(e, end)).otherwise(e))
-        one = F.array(F.struct(d["label"].alias("label"), priority.alias("priority")))
-        return F.when(within, s).otherwise(F.struct(ends.alias("ends"), F.array_union(s["kept"], one).alias("kept")))
+        blocked = F.exists(F.slice(s["pending"], priority, F.lit(HIGH) - priority + 1), lambda x: x["end"] > d["start"])
+        before = F.get(s["pending"], priority - 1)["label"]
+        passed = F.when(before.isNull(), F.array().cast("array<struct<label:string,priority:int>>")).otherwise(F.array(F.struct(before.alias("label"), priority.alias("priority"))))
+        own = F.struct(end.alias("end"), d["label"].alias("label"))
+        pending = F.transform(s["pending"], lambda x, i: F.when(i + 1 == priority, own).when((i + 1 < priority) & (x["end"] > d["start"]), nobody).otherwise(x))
+        return F.when(blocked, s).otherwise(F.struct(pending.alias("pending"), F.array_union(s["kept"], passed).alias("kept")).cast(state))
+
+    def done(s: Column) -> Column:
+        last = F.transform(s["pending"], lambda x, i: F.struct(x["label"].alias("label"), (i + 1).alias("priority")))
+        return F.array_union(s["kept"], F.filter(last, lambda x: x["label"].isNotNull()))
 
-    return F.aggregate(order, none, step, lambda s: s["kept"])
+    return F.aggregate(order, none, step, done)
 
 
+#: A plus after a version says "or later"; it is a separator elsewhere.
+PLUS = r"([0-9])\+(?![0-9A-Za-z+])"
 OUTPUTS = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
 
 
@@ -204,13 +251,15 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     own = [c for c in docs.columns if c.lower() not in OUTPUTS]
     whole = F.coalesce(common.col(text).cast("string"), F.lit(""))
     held = docs.select(F.struct(*[common.col(c) for c in own]).alias("row") if own else F.lit(None).alias("row"), whole.alias("whole"))
-    held = held.select("row", common.count_runs(F.col("whole"), SEPARATOR).alias("n_words"), F.when(_may_fit(F.col("whole")), _words(F.col("whole"))).alias("all"))
+    held = held.select("row", "whole", common.count_runs(F.col("whole"), SEPARATOR).alias("n_words"), F.when(_may_fit(F.col("whole")), _words(F.col("whole"))).alias("all"))
     hint = reduce(or_, [F.col("all").contains(k) for k in keywords()])
-    held = held.select("row", "n_words", F.when(hint, F.col("all")).alias("words"))
-    words = F.col("words")
+    held = held.select("row", "whole", "n_words", F.when(hint, F.col("all")).alias("words"))
+    plus = F.when(F.col("whole").contains("+"), _words(F.regexp_replace("whole", PLUS, "$1 or later "))).otherwise(F.col("words"))
+    held = held.select("row", "n_words", "words", F.when(F.col("words").isNotNull(), plus).alias("spoken"))
+    words, spoken = F.col("words"), F.col("spoken")
     base = F.array(*[F.struct(F.lit(label).alias("label"), F.when(words.contains(f" {phrase} "), places(words, F.lit(_bounded(phrase)))).otherwise(F.array().cast(NO_SPANS)).alias("at")) for phrase, label in PHRASES])
-    held = held.withColumns({"base": F.when(words.isNotNull(), F.filter(base, lambda b: F.size(b["at"]) > 0)), "numbers": F.when(words.isNotNull(), fitting("words"))})
-    held = held.withColumn("more", F.when(F.size("numbers") > 0, unsuppressed(detections(words, F.col("numbers")))))
+    held = held.withColumns({"base": F.when(words.isNotNull(), F.filter(base, lambda b: F.size(b["at"]) > 0)), "numbers": F.when(words.isNotNull(), fitting("spoken"))})
+    held = held.withColumn("more", F.when(F.size("numbers") > 0, unsuppressed(detections(spoken, F.col("numbers")))))
     places_ = F.flatten(F.transform(F.col("base"), lambda b: b["at"]))
     at = lambda pick: _place(words, pick(F.transform(places_, lambda m: m["start"]))) - 1  # noqa: E731  the first space stands before word 0
     labels = F.coalesce(F.transform("base", lambda b: b["label"]), F.array().cast("array<string>"))

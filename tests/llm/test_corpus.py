@@ -363,14 +363,18 @@ def test_license_scan(spark, texts):
 
 
 def plain_labels(text):
-    """Labels of the rules' places that no other place of at least their priority contains, by comparing all pairs."""
-    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    """Labels of the rules' places that are left when places that overlap are settled one after the other, by comparing all pairs."""
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in re.sub(license_scan.PLUS, r"\1 or later ", text))
     words = f" {' '.join(re.findall('[^' + chr(0) + '-/:-`{-' + chr(127) + ']+', lower))} "
     found = []
     for label, _, pattern, priority in license_scan.rules():
         found += [(m.start(), m.end(), priority, label) for m in re.finditer(rf"(?<= )(?:{pattern})(?= )", words)]
     found = sorted(set(found), key=lambda d: (d[0], -d[1], -d[2], d[3]))
-    kept = [d for i, d in enumerate(found) if not any(o[0] <= d[0] and d[1] <= o[1] and o[2] >= d[2] for o in found[:i])]
+    kept = []
+    for d in found:
+        over = [o for o in kept if o[1] > d[0]]
+        if not any(o[2] >= d[2] for o in over):
+            kept = [o for o in kept if o not in over] + [d]
     return {d[3] for d in kept}, max((d[2] for d in kept), default=0)
 
 
