@@ -17,9 +17,11 @@ from ..functions import text
 from ..functions.registry import FIELDS
 from ..operators import extract, generate, layout, ledger, merge
 from ..sources import files, scratch
+from ..sources.snapshots import Snapshots
 
 KEYS = ["claim_id", "doc_idx", "name"]
 STEPS = "claim_id string, doc_idx int, doc string, diary string, ledger string, error string"
+DIARIES, SUMMARIES = "claim_id string, diary string", "claim_id string, summary string"
 LEDGER_ROWS = "claim_id string, doc_idx int, doc string, line int, page string, field_name string, old_value string, new_value string"
 
 
@@ -64,27 +66,25 @@ def summaries(diaries: DataFrame, ledgers: DataFrame, generator, answers: genera
     return said.select("claim_id", text.first_section(F.col("raw"), "SUMMARY").alias("summary")).where("summary <> ''")
 
 
-def ingest(spark: SparkSession, root: str, generator, out: str | None = None, form: str = "markdown") -> str:
+def ingest(spark: SparkSession, root: str, generator, out: str | None = None, form: str = "markdown", answers: generate.Answers | None = None) -> str:
     """Fold the documents of every claim under ``root`` into diary, ledger and summary; returns where they are.
 
-    Tables under ``out``: ``steps`` (one row per document, with errors), ``diary``, ``ledger`` and ``summary``, by claim.
-    Each run starts its claims afresh; claims that are not under ``root`` stay as they are.
+    Tables under ``out``: ``steps`` (one row per document, with errors), ``diary``, ``ledger`` and ``summary``, as
+    snapshots that ``files.read_state`` reads. Each run starts its claims afresh: a claim without a readable document has
+    the template as its diary and no entries. What a run replaces stays until the new is there, table by table; claims
+    that are not under ``root`` stay as they are.
     """
     out = out or files.processed_root(root)
     listed = files.list_claims(spark, root)
+    mine = scratch.written(listed.select("claim_id").distinct(), "claims")
     start = prompts.template("diary")
-    files.reset(listed, f"{out}/diary", f"{out}/ledger", start)
-    files.clear(listed, f"{out}/steps", f"{out}/summary")
-    steps = ledger.fold(contents(listed, form), updater(tuned(generator, "update"), prompts.load("update")), start)
-    files.write_by_claim(steps, f"{out}/steps", "overwrite")
-    mine = listed.select("claim_id").distinct()
-    steps = files.read_state(spark, f"{out}/steps", STEPS).join(mine, "claim_id", "left_semi")
+    steps = scratch.written(ledger.fold(contents(listed, form), updater(tuned(generator, "update"), prompts.load("update")), start), "steps")
     last = steps.groupBy("claim_id").agg(F.max_by("diary", "doc_idx").alias("diary"))
-    files.write_by_claim(last, f"{out}/diary", "overwrite")
-    files.write_by_claim(entries(steps), f"{out}/ledger", "append")
-    diaries = files.read_state(spark, f"{out}/diary", "claim_id string, diary string").join(mine, "claim_id", "left_semi")
-    logged = ledger.ledger_text(files.read_state(spark, f"{out}/ledger", LEDGER_ROWS), prompts.template("ledger"))
-    files.write_by_claim(summaries(diaries, logged, generator), f"{out}/summary", "overwrite")
+    diaries = scratch.written(mine.join(last, "claim_id", "left").select("claim_id", F.coalesce("diary", F.lit(start)).alias("diary")), "diaries")
+    logged = scratch.written(entries(steps), "entries")
+    summed = summaries(diaries, ledger.ledger_text(logged, prompts.template("ledger")), generator, answers)
+    for name, rows, schema in (("steps", steps, STEPS), ("diary", diaries, DIARIES), ("ledger", logged, LEDGER_ROWS), ("summary", summed, SUMMARIES)):
+        Snapshots(spark, f"{out}/{name}", schema).replace(rows, mine)
     return out
 
 
@@ -111,20 +111,21 @@ def extract_and_merge(spark: SparkSession, root: str, generator, out: str | None
 
     Under ``out``: ``answers`` (raw answers and errors), ``extraction`` (JSON per document) and ``final_claim`` (JSON
     per claim), by claim. An answer that is no JSON object drops its document.
-    With ``answers``, kept from earlier runs, only documents that are new or changed are asked about.
+    With ``answers``, kept from earlier runs, only documents that are new or changed are asked about. Results that a run
+    replaces stay until the new ones are written.
     """
     out = out or files.processed_root(root)
     listed = files.list_claims(spark, root)
-    files.clear(listed, *(f"{out}/{table}" for table in ("answers", "extraction", "final_claim")))
+    mine = scratch.written(listed.select("claim_id").distinct(), "claims")
     asked = generate.extract(contents(listed, form), tuned(generator, "extraction"), extraction_prompt(), "claim_id", "doc_idx", "doc", answers=answers)
-    files.write_by_claim(asked.drop("extraction"), f"{out}/answers", "overwrite")
-    said = files.read_state(spark, f"{out}/answers", "claim_id string, doc_idx int, doc string, raw string, error string")
-    said = said.join(listed.select("claim_id").distinct(), "claim_id", "left_semi")
-    read = said.withColumn("extraction", text.parse_json(F.col("raw")))
-    objects = read.where(F.schema_of_variant("extraction").startswith("OBJECT"))
+    said = scratch.written(asked.drop("extraction"), "said")
+    objects = said.withColumn("extraction", text.parse_json(F.col("raw"))).where(F.schema_of_variant("extraction").startswith("OBJECT"))
     kept = generate.succeeded(objects)
-    files.write_by_claim(named(kept).select("claim_id", "doc_idx", "doc", "json"), f"{out}/extraction", "overwrite")
-    files.write_by_claim(merged(kept), f"{out}/final_claim", "overwrite", form="text")
+    results = {"answers": (said, "parquet"), "extraction": (named(kept).select("claim_id", "doc_idx", "doc", "json"), "parquet"), "final_claim": (merged(kept), "text")}
+    for table, (rows, kind) in results.items():
+        made = scratch.written(rows, table)
+        files.write_by_claim(made, f"{out}/{table}", "overwrite", form=kind)
+        files.clear(mine.join(made, "claim_id", "left_anti"), f"{out}/{table}")  # claims that have no results any more
     return out
 
 

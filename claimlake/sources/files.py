@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .snapshots import Snapshots
 
 #: Page size and line height of documents without layout, and units of length: fixed values.
 PAGE_WIDTH, LINE_HEIGHT, ROW_HEIGHT, EMU_PER_INCH, POINTS = 612.0, 12.0, 20.0, 914400, 72
@@ -204,19 +205,16 @@ def clear(claims: DataFrame, *paths: str, claim: str = "claim_id") -> None:
             folder.getFileSystem(conf).delete(folder, True)
 
 
-def reset(claims: DataFrame, diary_path: str, ledger_path: str, diary: str, claim: str = "claim_id") -> None:
-    """Start claims afresh: the template as their diary, and no entries in their ledger."""
-    clear(claims, ledger_path, claim=claim)
-    write_by_claim(claims.select(claim).distinct().withColumn("diary", F.lit(diary)), diary_path, "overwrite", claim)
-
-
 def processed_root(root: str) -> str:
     """Where results of the claims under a folder go: ``processed`` beside it."""
     return root.rstrip("/").rsplit("/", 1)[0] + "/processed"
 
 
 def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A table by claim that earlier runs left, empty where there is none yet."""
+    """A table by claim that earlier runs left, as snapshots or as folders, empty where there is none yet."""
+    versions = Snapshots(spark, path, schema)
+    if versions.version():
+        return versions.read()
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     there = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
     return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
