@@ -305,6 +305,11 @@ QUERIES: dict[str, Query] = {
         lambda d: files.with_index(d).select("claim_id", "name", "doc_idx", text.file_stem(F.col("name")).alias("stem")),
         r"SELECT claim_id, name, CAST(row_number() OVER (PARTITION BY claim_id ORDER BY lower(name), name) - 1 AS INT) AS doc_idx, regexp_replace(name, '\.[^.]*$', '') AS stem FROM d WHERE lower(regexp_extract(name, '\.([^.]+)$', 1)) IN ('pdf', 'docx')",
     ),
+    "parser_labels": Query(
+        FILES_IN,
+        lambda d: d.select("claim_id", "name", files.parser_label(F.col("name")).alias("label")),
+        r"SELECT claim_id, name, CASE WHEN lower(regexp_extract(name, '[^.]*$')) IN ('pdf', 'docx') THEN '<DocumentParser:' || upper(regexp_extract(name, '[^.]*$')) || '>' END AS label FROM d",
+    ),
     "json_fence": Query(
         JSON_IN,
         lambda d: d.select("id", text.parse_json(F.col("raw")).alias("v")).where("v is not null").select("id", F.try_variant_get("v", "$.v", "long").alias("value")),

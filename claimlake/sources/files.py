@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -165,6 +165,12 @@ def register(ext: str, decoder: Callable[[bytes], list[dict]]) -> None:
     DECODERS[ext.lower()] = decoder
 
 
+def parser_label(name: Column) -> Column:
+    """How the parser of a file is shown, by what follows the last dot of its name (all of it without one); null if there is none."""
+    ext = F.lower(F.element_at(F.split(name, r"\."), -1))
+    return F.when(ext.isin(*DECODERS), F.concat(F.lit("<DocumentParser:"), F.upper(ext), F.lit(">")))
+
+
 def decode(files: DataFrame, strict: bool = False, *keys: str) -> DataFrame:
     """Layout rows of files (keys, name, content) by extension; a file that fails gives one row with its error.
 

@@ -157,6 +157,12 @@ def test_merged_cells_repeat():
     assert files.decode_docx(out.getvalue())[0]["rows"] == [["wide", "wide", "tall"], ["a", "b", "tall"]]
 
 
+def test_parser_labels(spark):
+    names = ["a.pdf", "b.x.DOCX", "pdf", "c.txt", "docx.", "", None]
+    d = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, name string")
+    assert [r[0] for r in d.orderBy("i").select(files.parser_label(F.col("name"))).collect()] == ["<DocumentParser:PDF>", "<DocumentParser:DOCX>", "<DocumentParser:PDF>", None, None, None, None]
+
+
 def test_texts_of_cells():
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     r = lambda inner: f"<w:r>{inner}</w:r>"
