@@ -34,13 +34,16 @@ _DATE = r"(?:[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-[
 #: Generators of further candidates: kind, pattern, and what any match of it holds one of (nothing: a digit).
 PROPOSED = [
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}[\x20]?[(\[][\x20]?(?:at|AT)[\x20]?[)\]][\x20]?[A-Za-z0-9-]{1,63}(?:[\x20]?[(\[][\x20]?(?:dot|DOT)[\x20]?[)\]][\x20]?[A-Za-z0-9-]{1,63}){1,4}", "(["),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}[\x20]?[(\[][\x20]?(?:at|AT)[\x20]?[)\]][\x20]?[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,4}", "(["),
     ("phone", r"(?<![0-9A-Za-z+-])(?:\([0-9]{3}\)[\x20]?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9A-Za-z-])"),
     ("phone", r"(?<![0-9A-Za-z+-])00[1-9][0-9]{0,2}[\x20.-][0-9][0-9\x20.-]{6,14}[0-9](?![0-9A-Za-z-])"),
     ("phone", r"(?<![0-9A-Za-z+.-])0[1-9][0-9]{0,3}(?:[\x20/-][0-9]{2,6}){2,5}(?![0-9A-Za-z-])"),
+    ("phone", r"(?<![0-9A-Za-z+./-])0[1-9][0-9]{1,4}[\x20/-][0-9]{5,8}(?![0-9A-Za-z/-])"),
     ("ssn", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
     ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]{4}){3,7}(?:[\x20]?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"),
     ("secret", r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{20,}+={0,2}"),
     ("secret", r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api[_-]?key)[\x22']?[\x20]{0,3}[:=][\x20]{0,3}[\x22']?[^\s\x22',;]{6,}+[\x22']?", ":="),
+    ("secret", r"(?<![A-Za-z0-9_+/.-])eyJ[A-Za-z0-9_-]{5,}+(?:\.[A-Za-z0-9_-]{5,}+){1,2}", "J"),
     ("secret", r"-----BEGIN[A-Z\x20]{0,40}PRIVATE[\x20]KEY-----", "-"),
     ("birth", r"(?<![A-Za-z])(?i:born|dob|birth|geboren|née?|nacid[oa])[^0-9\n]{1,24}" + _DATE),
 ]
@@ -101,6 +104,8 @@ def features(kind: Column, found: Column, before: Column, after: Column) -> dict
         "valid_ssn": (kind == "ssn") & ~found.rlike(r"^(?:000|666|9[0-9]{2})-|-00-|-0000$"),
         "last_label": F.length(F.regexp_extract(found, r"([A-Za-z]*)$", 1)),
         "key_block": found.startswith("-----BEGIN"),
+        "token_prefix": found.rlike(r"^(?:eyJ|ghp_|AKIA|sk-)"),
+        "in_url": before.rlike(r"(?:://|www\.)[^\s\x22'<>]*$"),
         "value_digits": count("[0-9]", value) / F.greatest(F.length(value), F.lit(1)),
         "value_length": F.length(value),
         "digit_runs": count("[0-9]+", value) / F.greatest(F.length(value), F.lit(1)),

@@ -11,8 +11,8 @@ import random
 import string
 
 #: Words before a candidate, by what they tell: fixed values, shared with the features.
-PERSON = ["call", "phone", "tel", "mobile", "cell", "fax", "contact", "reach", "whatsapp", "ssn", "social security", "tax id", "applicant", "iban", "account", "bank", "transfer", "mail", "write to"]
-THING = ["order", "part", "serial", "isbn", "invoice", "version", "sum of", "value", "table", "row", "lot", "code", "ref", "batch", "product key", "licence", "license", "model", "between", "case"]
+PERSON = ["call", "phone", "tel", "mobile", "cell", "fax", "contact", "reach", "whatsapp", "ssn", "social security", "tax id", "applicant", "iban", "account", "bank", "transfer", "mail", "write to", "telefon", "handy", "mobil", "ruf", "appel", "tél", "portable", "joindre", "llam", "móvil", "teléfono", "whats app", "hotline", "office", "dial", "ring"]
+THING = ["order", "part", "serial", "isbn", "invoice", "version", "sum of", "value", "table", "row", "lot", "code", "ref", "batch", "product key", "licence", "license", "model", "between", "case", "score", "result", "rating", "room", "page", "chapter", "section", "article", "flight", "sku", "barcode", "catalog", "standard", "formula", "figure", "bestell", "rechnung", "facture", "commande", "pedido", "factura", "artikel", "seite"]
 SECRET = ["token", "secret", "api key", "password", "passwd", "auth", "bearer", "credential"]
 HASH = ["commit", "sha1", "sha256", "md5", "checksum", "etag", "hash", "digest", "uuid", "path", "url", "file"]
 PLAIN = ["and then", "we saw", "the next", "it was", "with", "in the", "of", "un", "les", "der", "que", "send to", "or"]
@@ -27,6 +27,10 @@ def check_digits(body: str, country: str) -> str:
     return f"{98 - int(number) % 97:02d}"
 
 
+def word_(draw: random.Random) -> str:
+    return "".join(draw.choices(string.ascii_lowercase, k=draw.randint(3, 9)))
+
+
 class Grammar:
     def __init__(self, seed: int):
         self.draw = random.Random(seed)
@@ -41,7 +45,7 @@ class Grammar:
     def phone(self) -> Example:
         good, sep = self.draw.random() < 0.5, self.draw.choice("---. ")
         a, b = self.digits(3, "23456789"), self.digits(3, "23456789")
-        style = self.draw.randrange(4)
+        style = self.draw.randrange(5)
         if style == 0:
             found = f"({a}) {b}-{self.digits(4)}"
         elif style == 1:
@@ -49,6 +53,8 @@ class Grammar:
         elif style == 2:
             groups = [self.digits(self.draw.choice([2, 2, 3])) for _ in range(self.draw.randint(3, 4))]
             found = self.draw.choice([" ", ".", "-"]).join(["00" + self.digits(2, "123456789"), self.digits(1, "123456789"), *groups])
+        elif style == 4:
+            found = "0" + self.digits(self.draw.randint(2, 4), "123456789") + self.draw.choice(" /-") + self.digits(self.draw.randint(5, 8))
         else:
             groups = [self.digits(self.draw.choice([2, 2, 3, 4])) for _ in range(self.draw.randint(2, 4))]
             found = self.draw.choice([" ", "-", "/"]).join(["0" + self.digits(self.draw.randint(1, 3), "123456789"), *groups])
@@ -92,6 +98,8 @@ class Grammar:
         gap = self.draw.choice(["", " "])
         good = self.draw.random() < 0.6
         last = self.draw.choice(["com", "org", "net", "de", "fr", "io", "info"]) if good else self.draw.choice([word(8, 14), self.digits(2), word(4, 8) + self.digits(2)])
+        if self.draw.random() < 0.3:
+            return "email", gap.join([word(2, 9), style[0], word(3, 10) + "." + last]), self.before(PLAIN, PERSON), self.draw.choice(AFTER), int(good)
         parts = [word(2, 9), style[0], word(3, 10), *([style[1], word(3, 8)] if self.draw.random() < 0.3 else []), style[1], last]
         return "email", gap.join(parts), self.before(PLAIN, PERSON), self.draw.choice(AFTER), int(good)
 
@@ -102,6 +110,10 @@ class Grammar:
         roll = self.draw.random()
         if roll < 0.08:
             return "secret", f"-----BEGIN {self.draw.choice(['', 'RSA ', 'EC ', 'OPENSSH '])}PRIVATE KEY-----", self.before(PLAIN), self.draw.choice(AFTER), 1
+        if roll < 0.13:
+            return "secret", ".".join(["eyJ" + mixed(self.draw.randint(12, 40)), *(mixed(self.draw.randint(12, 60)) for _ in range(self.draw.randint(1, 2)))]), self.before(PLAIN, SECRET), self.draw.choice(AFTER), 1
+        if roll < 0.16:
+            return "secret", self.draw.choice([hexed(32), hexed(40), mixed(self.draw.randint(20, 40))]), f"{self.draw.choice(PLAIN)} https://{word_(self.draw)}.org/", self.draw.choice(["/x", ".html", "", "?q=1"]), 0
         if roll < 0.3:
             value = self.draw.choice([hexed(32), hexed(40), hexed(64), mixed(self.draw.randint(20, 64)), "ghp_" + mixed(36), "AKIA" + "".join(self.draw.choices(string.ascii_uppercase + string.digits, k=16)), "sk-" + mixed(40)])
             return "secret", value, f"{self.draw.choice(PLAIN)} {self.draw.choice([*SECRET, 'key', 'x', 'cfg'])}{assign}{quote}", quote + self.draw.choice(AFTER), 1
