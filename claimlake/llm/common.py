@@ -182,16 +182,16 @@ def filter_words(keys: DataFrame, key: str, bits: int, least: int = 1) -> DataFr
 
 
 def filter_cells(words: DataFrame, bits: int) -> DataFrame:
-    """Scratch table (_cell, _words): the filter without gaps, CELL words to a row, so that a word takes little over its 8 bytes."""
+    """Scratch table (_cell, _filter): the filter without gaps, CELL words to a row, so that a word takes little over its 8 bytes."""
     size = min(CELL, bits // 64)
     empty = words.sparkSession.range(bits // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("mask"))
     whole = words.select("word", "mask").unionByName(empty).groupBy("word").agg(F.bit_or("mask").alias("mask"))
     packed = whole.groupBy(F.expr(f"word div {size}").alias("_cell")).agg(F.array_sort(F.collect_list(F.struct("word", "mask"))).alias("all"))
-    return materialize(packed.select("_cell", F.transform("all", lambda w: w["mask"]).alias("_words")), "filter-cells")
+    return materialize(packed.select("_cell", F.transform("all", lambda w: w["mask"]).alias("_filter")), "filter-cells")
 
 
 def might_hold(df: DataFrame, words: DataFrame, key: str, bits: int, hit: str) -> DataFrame:
-    """Add boolean column ``hit``: whether the filter may hold the key; df has no columns named _cell, _words, _at or _own.
+    """Add boolean column ``hit``: whether the filter may hold the key; df has no columns named _cell, _filter, _word, _to, _at or _own.
 
     No row of df shuffles, however large the filter: it is broadcast, BROADCAST_BYTES of it at a time. A larger one is
     probed part by part, and the rows of each part, which other passes skip, are written once.
@@ -199,7 +199,7 @@ def might_hold(df: DataFrame, words: DataFrame, key: str, bits: int, hit: str) -
     size = min(CELL, bits // 64)
     cells = filter_cells(words, bits)
     word, spots = _place(F.col(key), bits)
-    at = F.get(F.col("_words"), F.col("_at").cast("int"))
+    at = F.get(F.col("_filter"), F.col("_at").cast("int"))
     own = F.col("_own")
     parts = max(1, bits // 8 // BROADCAST_BYTES)
 
