@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import scratch
 from . import bm25, chunkers, dense, fusion
 
 #: Sizes of chunks that are searched and of those that are read, and chunks found per query.
@@ -29,12 +30,18 @@ def semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parent_child(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items search small chunks; what they find is the large chunks around them."""
+    """Benchmark items search small chunks; what they find is the large chunks around them.
+
+    All documents are cut and searched; those with a hit are cut again, to link their chunks.
+    """
     docs = table(spark, sf_dir, "documents")
     children = chunkers.recursive(docs, size=CHILD, overlap=0).withColumn("chunk_id", F.col("doc_id") * 1_000_000 + F.col("chunk"))
-    links = chunkers.contained(children, chunkers.recursive(docs, size=PARENT, overlap=0), cell=PARENT)
     hits = bm25.search(children, table(spark, sf_dir, "benchmark"), FOUND, doc_id="chunk_id")
     hits = hits.select("query_id", F.expr("doc_id div 1000000").alias("doc_id"), (F.col("doc_id") % 1_000_000).cast("int").alias("chunk"), "score")
+    hits = scratch.written(hits, "chunk-hits")
+    met = scratch.written(hits.select("doc_id", "chunk").distinct(), "chunks-met")
+    cut = lambda size: chunkers.recursive(docs.join(scratch.small(met.select("doc_id").distinct()), "doc_id", "left_semi"), size=size, overlap=0)
+    links = chunkers.contained(cut(CHILD).join(scratch.small(met), ["doc_id", "chunk"], "left_semi"), cut(PARENT), cell=PARENT)
     return chunkers.expanded(hits, links).withColumnRenamed("query_id", "item_id")
 
 
@@ -51,7 +58,7 @@ def dense_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dense_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many of the ten nearest vectors a search of the nearest lists alone finds."""
     vectors, asked = asking(spark, sf_dir)
-    path = dense.scratch.fresh(spark, "dense")
+    path = scratch.fresh(spark, "dense")
     dense.build(vectors, path)
     lists = dense.Quantiser(spark, path)
     return dense.recall(lists.search(asked), lists.search(asked, exact=True))
