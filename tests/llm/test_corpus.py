@@ -316,6 +316,20 @@ def test_url_rules_against_counting(spark):
     assert got
 
 
+def test_url_rules_of_many_tokens(spark):
+    """Rules of four tokens, and of tokens that are not among a URL's ten rarest: the same rows are met as by counting all combinations."""
+    draw = np.random.default_rng(8)
+    rows = []
+    for _ in range(300):
+        toks = [f"t{i}{'a' if draw.random() < (0.6 if i < 2 else 0.85) else 'b'}" for i in range(12)] + ["u", "v"]
+        bad = toks[0] == "t0a" and toks[9:12] == ["t9a", "t10a", "t11a"]
+        rows.append((toks, None if draw.random() < 0.2 else "block" if bad else "allow"))
+    how = {"min_support": 0.2, "min_confidence": 0.98, "min_coverage": 0.6}
+    got = [frozenset(r["items"]) for r in url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), **how).collect()]
+    wanted = plain_rules([(t[:12], v) for t, v in rows], int(0.2 * sum(v is not None for _, v in rows)), 0.98, 0.6, most=12)
+    assert wanted and {i for i, (t, _) in enumerate(rows) if any(r <= set(t) for r in got)} == {i for i, (t, _) in enumerate(rows) if any(set(r) <= set(t) for r in wanted)}
+
+
 def test_url_rules_decide_unlisted_pages(spark):
     """A host whose pages the list blocks but for a few is blocked altogether; one of which it mentions a few is not."""
     rows = [f"http://www.cheap-pills.example.com/{'en' if i % 5 else 'fr'}/1{i}" for i in range(100)] + [f"http://blog.fine.example.com/{'en' if i % 5 == 0 else 'fr'}/{i}00" for i in range(100)]
