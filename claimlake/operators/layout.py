@@ -2,25 +2,74 @@
 
 from __future__ import annotations
 
+import math
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tables
 from ..functions import text as functions_text
+from ..sources import scratch
 
 #: How far the tops of words on one line may lie apart: fixed value.
 TOLERANCE = 2.0
+#: Cells of a grid that a box may lie in; larger ones are compared with all of their page.
+MOST_CELLS = 256
+
+
+EDGES = ("x0", "top", "x1", "bottom")
+
+
+def _cells(rows: DataFrame, width: float, height: float) -> DataFrame:
+    """Add ``cx`` and ``cy``: a row for every cell of a grid in which a box has an area."""
+    span = lambda low, high, size: F.explode(F.sequence(F.floor(F.col(low) / size), F.ceil(F.col(high) / size) - 1))
+    return rows.withColumn("cx", span("x0", "x1", width)).withColumn("cy", span("top", "bottom", height))
+
+
+def _clipped(boxes: DataFrame, keys: list[str], width: float, height: float) -> DataFrame:
+    """Boxes cut into cells. Of the pieces in a cell that agree in three edges the largest stays, so a cell that a box fills keeps one."""
+    low = {"x0": F.greatest("x0", F.col("cx") * F.lit(width)), "top": F.greatest("top", F.col("cy") * F.lit(height))}
+    high = {"x1": F.least("x1", (F.col("cx") + 1) * F.lit(width)), "bottom": F.least("bottom", (F.col("cy") + 1) * F.lit(height))}
+    pieces, cell = _cells(boxes, width, height).withColumns({**low, **high}), [*keys, "cx", "cy"]
+    for edge in EDGES:
+        widest = F.min(edge) if edge in low else F.max(edge)
+        pieces = pieces.groupBy(*cell, *[e for e in EDGES if e != edge]).agg(widest.alias(edge))
+    whole = (F.col("x1") - F.col("x0") == width) & (F.col("bottom") - F.col("top") == height)
+    full = F.max(whole).over(Window.partitionBy(*cell))
+    return pieces.withColumn("full", full).where(~F.col("full") | whole).drop("full")
 
 
 def outside_tables(objects: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
-    """Layout objects that overlap no table box of their page (touching edges do not overlap); only characters are masked."""
-    o, b = objects.alias("o"), boxes.alias("b")
-    on = F.lit(True)
-    for k in keys:
-        on = on & (F.col(f"o.{k}") == F.col(f"b.{k}"))
-    hit = (F.col("o.x0") < F.col("b.x1")) & (F.col("o.x1") > F.col("b.x0")) & (F.col("o.top") < F.col("b.bottom")) & (F.col("o.bottom") > F.col("b.top"))
-    return o.join(b, on & hit & (F.col("o.object_type") == "char"), "left_anti")
+    """Layout objects that overlap no table box of their page (touching edges do not overlap); only characters are masked.
+
+    Characters meet pieces of boxes in the cells of a grid, half as wide and high as a usual box. What has no area, no
+    finite edge or lies in more than MOST_CELLS cells is compared with all of its page.
+    """
+    place = [*keys, *EDGES]
+    typed = [*keys, *[F.col(e).cast("double").alias(e) for e in EDGES]]
+    known = F.forall(F.array(*EDGES), lambda e: e.isNotNull())
+    spots = scratch.written(objects.where("object_type = 'char'").select(*typed).where(known).distinct(), "char-spots")
+    tables_ = scratch.written(boxes.select(*typed).where(known).distinct(), "table-boxes")
+    size = tables_.agg(*[F.median(F.when(d > 0, d)).alias(n) for n, d in (("w", F.col("x1") - F.col("x0")), ("h", F.col("bottom") - F.col("top")))]).first()
+    width, height = (2.0 ** (math.floor(math.log2(s)) - 1) if s and math.isfinite(s) and 1e-9 < s < 1e9 else 1.0 for s in (size["w"], size["h"]))
+    covers = ((F.col("x1") - F.col("x0")) / width + 2) * ((F.col("bottom") - F.col("top")) / height + 2)
+    usual = (F.col("x0") < F.col("x1")) & (F.col("top") < F.col("bottom")) & (F.greatest(*[F.abs(e) / (width if e in ("x0", "x1") else height) for e in EDGES]) < 2.0**52) & (covers <= MOST_CELLS)
+
+    def met(chars: DataFrame, at: DataFrame, by: list[str]) -> DataFrame:
+        o, b = chars.alias("o"), at.alias("b")
+        on = (F.col("o.x0") < F.col("b.x1")) & (F.col("o.x1") > F.col("b.x0")) & (F.col("o.top") < F.col("b.bottom")) & (F.col("o.bottom") > F.col("b.top"))
+        for k in by:
+            on = on & (F.col(f"o.{k}") == F.col(f"b.{k}"))
+        return o.join(b, on, "left_semi").select(*place)
+
+    in_cells = met(_cells(spots.where(usual), width, height), _clipped(tables_.where(usual), keys, width, height), [*keys, "cx", "cy"])
+    masked = in_cells.unionByName(met(spots, tables_.where(~usual), keys)).unionByName(met(spots.where(~usual), tables_.where(usual), keys)).distinct()
+    o, m = objects.alias("o"), masked.alias("m")
+    on = F.col("o.object_type") == "char"
+    for c in place:
+        on = on & ((F.col(f"o.{c}").cast("double") if c in EDGES else F.col(f"o.{c}")) == F.col(f"m.{c}"))
+    return o.join(m, on, "left_anti")
 
 
 def lines_of(tops: list[float | None], tolerance: float) -> list[int]:
