@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ from ..sources import scratch
 
 #: Rows that centroids are fitted on, centroids at most, turns of fitting.
 SAMPLE, LISTS, TURNS = 65_536, 4096, 10
+#: Leading bits of hashes by which rows are counted before some are drawn.
+SLOT_BITS = 14
 #: Rows that ask, when it is measured how many lists a query must visit, how many neighbours each asks for, and the share of these to be found.
 TUNERS, NEIGHBOURS, GOAL = 200, 10, 0.95
 #: Numbers in a block of a list and in one of its queries, and the digits that scores are rounded to.
@@ -92,11 +95,12 @@ class Quantiser:
         """(list, vec_id, v): the lists each query (vec_id, v) visits: the nearest ones or, given floors, all others that may hold something at least as good."""
         own, radii, others = self.centroids, self.radii, floors is not None
         dims = own.shape[1]
+        most = max(1, NUMBERS // dims)
 
         def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for low in range(0, batch.num_rows, 512):
-                    part = batch.slice(low, 512)
+                for low in range(0, batch.num_rows, 128):
+                    part = batch.slice(low, 128)
                     like = matrix(part.column(1), dims) @ own.T
                     order = np.argsort(-like, axis=1, kind="stable")
                     near = np.zeros(like.shape, dtype=bool)
@@ -106,8 +110,9 @@ class Quantiser:
                         floor = part.column(2).to_numpy(zero_copy_only=False)[:, None]
                         near = ~near & (np.cos(angle) + 10.0 ** -(DIGITS - 1) >= floor)
                     query, visited = np.nonzero(near)
-                    taken = part.take(pa.array(query))
-                    yield pa.RecordBatch.from_arrays([pa.array(visited.astype(np.int32)), *taken.columns[:2]], ["list", "vec_id", "v"])
+                    for at in range(0, len(query), most):  # a query that visits all lists is never held as often
+                        taken = part.take(pa.array(query[at : at + most]))
+                        yield pa.RecordBatch.from_arrays([pa.array(visited[at : at + most].astype(np.int32)), *taken.columns[:2]], ["list", "vec_id", "v"])
 
         rows = queries
         if others:
@@ -173,6 +178,22 @@ class Quantiser:
         return int(turns[math.ceil(goal * len(turns)) - 1]) + 1
 
 
+def first_by_hash(rows: DataFrame, n: int, seed: int | None = None, once: bool = False) -> DataFrame:
+    """The n rows (vec_id, v) of smallest hash, with ``once`` the first of every id, written to a table of their own.
+
+    Counts by the hash's leading bits tell which rows can be among them. A sort with a limit over all rows would send n
+    rows of every partition to one place, and collected ones to the driver.
+    """
+    key = F.xxhash64("vec_id") if seed is None else F.xxhash64("vec_id", F.lit(seed))
+    slot = F.shiftright(key, 64 - SLOT_BITS)
+    ids = rows.select("vec_id").distinct() if once else rows
+    counts = ids.groupBy(slot.alias("slot")).count().orderBy("slot").collect()  # at most 2 ** SLOT_BITS rows
+    last = next((r["slot"] for r, held in zip(counts, accumulate(r["count"] for r in counts), strict=True) if held >= n), None)
+    near = rows if last is None else rows.where(slot <= last)
+    near = near.dropDuplicates(["vec_id"]) if once else near
+    return scratch.written(near.orderBy(key, "vec_id", *([] if once else ["v"])).limit(n), "dense-drawn")
+
+
 def build(vectors: DataFrame, path: str, lists: int | None = None, vec_id: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE, goal: float = GOAL) -> None:
     """Write the quantiser of all usable vectors. Centroids are fitted on ``sample`` rows at most; every row is listed.
 
@@ -183,8 +204,7 @@ def build(vectors: DataFrame, path: str, lists: int | None = None, vec_id: str =
     rows = scratch.written(usable(vectors, vec_id, vector), "dense-vectors")
     size = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dims")).first()
     dims = size["dims"] or 1
-    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample).select("v").collect()
-    fitted = np.array([list(r["v"]) + [0.0] * (dims - len(r["v"])) for r in drawn]).reshape(-1, dims)
+    fitted = matrix(first_by_hash(rows, sample).select("v").toArrow().column(0).combine_chunks(), dims)
     own = centroids(fitted, lists or max(1, min(LISTS, math.isqrt(size["n"])))) if len(fitted) else fitted
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +219,7 @@ def build(vectors: DataFrame, path: str, lists: int | None = None, vec_id: str =
     radii = {r["list"]: r["radius"] for r in listed.groupBy("list").agg(F.max("angle").alias("radius")).collect()}  # at most LISTS rows
     shown = [(i, [float(x) for x in c], radii.get(i, 0.0) + 1e-9) for i, c in enumerate(own)]
     spark.createDataFrame(shown, "list int, centroid array<double>, radius double").write.parquet(f"{path}/lists")
-    asking = scratch.written(rows.dropDuplicates(["vec_id"]).orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(TUNERS), "dense-tuners")
+    asking = first_by_hash(rows, TUNERS, 1, once=True)
     probes = Quantiser(spark, path, 1).enough(asking, NEIGHBOURS, goal)
     spark.createDataFrame([(probes,)], "probes int").write.parquet(f"{path}/probes")
 

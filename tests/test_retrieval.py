@@ -162,6 +162,17 @@ def test_dense_search_of_odd_tables(spark):
     assert dense.search(table, asked.where("false"), vec_id="vec.id", vector="em.b").count() == 0
 
 
+def test_dense_drawn_rows(spark):
+    """What is drawn are the rows of smallest hash, repeated ids and all, and no more rows than these meet in the sort."""
+    rows = spark.range(20000).selectExpr("id % 15000 AS vec_id", "array(id / 7.0D, 1.0D) AS v").repartition(4)
+    by_hash = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v")
+    for n in (1, 700, 30000):
+        assert dense.first_by_hash(rows, n).sort(F.xxhash64("vec_id"), "vec_id", "v").collect() == by_hash.limit(n).collect()
+    once = {r["vec_id"] for r in dense.first_by_hash(rows, 50, 1, once=True).collect()}
+    assert once == {r["vec_id"] for r in rows.select("vec_id").distinct().orderBy(F.xxhash64("vec_id", F.lit(1))).limit(50).collect()}
+    assert dense.first_by_hash(rows.where("false"), 5).count() == 0
+
+
 def test_dense_recall(spark, data):
     rows = queries.dense_recall(spark, data).toPandas()
     assert rows["found"].sum() >= 0.9 * rows["wanted"].sum()
