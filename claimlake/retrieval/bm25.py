@@ -25,6 +25,8 @@ from ..sources import scratch
 K1, B, UNIT = 1.2, 0.75, 1_000_000
 #: Documents in a block (65,536 at most), buckets of terms and parts of a bucket that are written apart, queries that meet a block together, blocks of a query that are scored at first.
 BLOCK, BUCKETS, SPREAD, GROUP, SEEDS = 8192, 64, 4, 256, 4
+#: Terms of documents, repeated ones once each, after which a block ends early.
+HELD = 1 << 21
 #: Steps that bounds are rounded up to, the bucket of the blocks' documents, and an entry of a posting list.
 STEPS, DOCUMENTS, ENTRY = 1000, -1, np.dtype([("place", "<u2"), ("count", "<u4")])
 #: Terms are runs of digits, ASCII letters, which are lower-cased, and everything beyond ASCII.
@@ -78,12 +80,10 @@ def _postings(docs: DataFrame, text: str, doc_id: str, average: float) -> DataFr
     kind = docs.schema[doc_id].dataType.simpleString()
     names = ["term", "block", "entries", "best", "ids", "lengths"]
 
-    def block(number: int, ids: list, found: list[Counter]) -> Iterator[pa.RecordBatch]:
-        vocabulary: dict[bytes, int] = {}
-        term = np.fromiter((vocabulary.setdefault(t, len(vocabulary)) for c in found for t in c), np.int32)
-        count = np.fromiter((n for c in found for n in c.values()), np.int64)
-        place = np.repeat(np.arange(len(found)), [len(c) for c in found])
-        length = np.array([c.total() for c in found], dtype=np.int64)
+    def block(number: int, ids: list, vocabulary: dict[bytes, int], terms: list[np.ndarray], counts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        term, count = np.concatenate(terms), np.concatenate(counts)
+        place = np.repeat(np.arange(len(terms), dtype=np.uint16), [len(t) for t in terms])
+        length = np.array([c.sum(dtype=np.int64) for c in counts])
         order = np.argsort(term, kind="stable")
         place, count = place[order], count[order]
         ends = np.cumsum(np.bincount(term, minlength=len(vocabulary)))
@@ -102,17 +102,22 @@ def _postings(docs: DataFrame, text: str, doc_id: str, average: float) -> DataFr
             yield rows.slice(low, 4096)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, ids, found = TaskContext.get().partitionId() << 32, [], []
+        number, held = TaskContext.get().partitionId() << 32, 0
+        ids, vocabulary, terms, counts = [], {}, [], []
         for batch in batches:
             for i in range(batch.num_rows):
                 if own := counted(batch.column(1)[i].as_py()):
-                    ids.append(batch.column(0).slice(i, 1))
-                    found.append(own)
-                if len(found) == BLOCK:
-                    yield from block(number, ids, found)
-                    number, ids, found = number + 1, [], []
-        if found:
-            yield from block(number, ids, found)
+                    # numbers instead of the document's own terms, and an id that does not hold on to its batch
+                    ids.append(batch.column(0).take(pa.array([i])))
+                    terms.append(np.fromiter((vocabulary.setdefault(t, len(vocabulary)) for t in own), np.int32, len(own)))
+                    counts.append(np.fromiter(own.values(), np.uint32, len(own)))
+                    held += len(own)
+                if len(ids) == BLOCK or held >= HELD:
+                    yield from block(number, ids, vocabulary, terms, counts)
+                    number, held = number + 1, 0
+                    ids, vocabulary, terms, counts = [], {}, [], []
+        if ids:
+            yield from block(number, ids, vocabulary, terms, counts)
 
     schema = f"term binary, block long, entries binary, best int, ids array<{kind}>, lengths array<bigint>"
     return docs.select(scratch.col(doc_id).alias("doc_id"), _bytes(text).alias("text")).mapInArrow(build, schema)
