@@ -162,6 +162,18 @@ def test_dense_search_of_odd_tables(spark):
     assert dense.search(table, asked.where("false"), vec_id="vec.id", vector="em.b").count() == 0
 
 
+def test_bm25_blocks_end_by_terms(spark, tmp_path, monkeypatch):
+    """Long documents end a block before it has its number of documents; the index holds the same."""
+    docs = spark.range(60).selectExpr("id AS doc_id", "array_join(transform(sequence(0, 99), x -> concat('w', x * id % 157)), ' ') AS text").coalesce(1)
+    bm25.build(docs, f"file://{tmp_path}/whole")
+    monkeypatch.setattr(bm25, "HELD", 500)
+    bm25.build(docs, f"file://{tmp_path}/parts")
+    whole, parts = (bm25.Index(spark, f"file://{tmp_path}/{n}") for n in ("whole", "parts"))
+    assert whole.blocks.count() == 1 and parts.blocks.count() > 5
+    queries_ = spark.createDataFrame([(1, "w1 w2 w30"), (2, "w156 w5")], "item_id long, text string")
+    assert sorted(map(tuple, whole.search(queries_).collect())) == sorted(map(tuple, parts.search(queries_).collect()))
+
+
 def test_dense_drawn_rows(spark):
     """What is drawn are the rows of smallest hash, repeated ids and all, and no more rows than these meet in the sort."""
     rows = spark.range(20000).selectExpr("id % 15000 AS vec_id", "array(id / 7.0D, 1.0D) AS v").repartition(4)
