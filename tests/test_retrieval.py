@@ -174,6 +174,43 @@ def test_bm25_blocks_end_by_terms(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, whole.search(queries_).collect())) == sorted(map(tuple, parts.search(queries_).collect()))
 
 
+def test_bm25_search_indexes_what_is_asked(spark, monkeypatch):
+    """One search reads the documents once and keeps postings of its own terms only, and finds what a whole index finds."""
+    read, paths, build = spark.sparkContext.accumulator(0), [], bm25.build
+
+    def ticked(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [(i, " ".join(f"w{i * x % 157}" for x in range(1, 30 + i % 50))) for i in range(90)] + [(200, "not asked"), (201, None), (202, "w2 " * 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    items = [(1, "w1 w2 W30"), (2, "w156 w5 none"), (3, "w2")]
+    asked = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(bm25, "BLOCK", 16)
+    monkeypatch.setattr(bm25, "build", lambda d, path, *a, **b: paths.append(path) or build(d, path, *a, **b))
+    found = bm25.search(docs.mapInArrow(ticked, docs.schema), asked, 7).collect()
+    assert read.value == len(rows)
+    assert sorted(map(tuple, found), key=str) == plain_bm25(rows, items, 7)
+    index = bm25.Index(spark, paths[0])
+    assert {bytes(r["term"]) for r in index.postings.select("term").collect()} == {b"w1", b"w2", b"w30", b"w156", b"w5"}
+    assert (index.documents, index.length) == (92, sum(len(t.split()) for _, t in rows if t))
+    monkeypatch.setattr(bm25, "ASKED", 0)
+    assert sorted(map(tuple, bm25.search(docs, asked, 7).collect())) == sorted(map(tuple, found))
+    assert bm25.Index(spark, paths[1]).terms.count() == 159
+
+
+def test_bm25_terms_of_long_texts(spark, monkeypatch):
+    """Texts over the size that is counted at once, alone and among short ones, and texts without a term."""
+    rows = [(1, "a b"), (2, "c " * 40 + "A b" * 30), (3, "..."), (4, ""), (5, "b " * 70), (6, "a" * 90), (7, "a c, c")]
+    items = [(1, "a c"), (2, "b"), (3, "a" * 90), (4, "z")]
+    docs, asked = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, text string")
+    for size, most in ((64, 1 << 22), (64, 0), (1, 1 << 22), (1, 0)):
+        monkeypatch.setattr(bm25, "TEXTS", size)
+        monkeypatch.setattr(bm25, "ASKED", most)
+        assert sorted(map(tuple, bm25.search(docs, asked).collect()), key=str) == plain_bm25(rows, items, 10)
+
+
 def test_dense_drawn_rows(spark):
     """What is drawn are the rows of smallest hash, repeated ids and all, and no more rows than these meet in the sort."""
     rows = spark.range(20000).selectExpr("id % 15000 AS vec_id", "array(id / 7.0D, 1.0D) AS v").repartition(4)
