@@ -24,9 +24,12 @@ SAMPLE, LISTS, TURNS = 65_536, 4096, 10
 SLOT_BITS = 14
 #: Rows that ask, when it is measured how many lists a query must visit, how many neighbours each asks for, and the share of these to be found.
 TUNERS, NEIGHBOURS, GOAL = 200, 10, 0.95
-#: Numbers in a block of a list and in one of its queries, and the digits that scores are rounded to.
+#: Numbers in a block of a list and in a pack of queries, and the digits that scores are rounded to.
 NUMBERS, DIGITS = 1 << 18, 6
+#: Numbers in the queries that meet a block together and in what they keep, parts that blocks are dealt to, and a score under all others.
+ASKING, PARTS, NONE = 1 << 21, 64, -2.0
 _BLOCK = "list int, ids array<bigint>, data binary"
+_PACK = "ids array<bigint>, data binary, floors array<double>, visits binary"
 
 
 def usable(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -80,6 +83,51 @@ def _blocks(rows: DataFrame, dims: int) -> DataFrame:
     return dealt.select("list", "vec_id", "v").mapInArrow(build, _BLOCK)
 
 
+class Best:
+    """The k best rows that each of some queries has met: those of higher score first, ties by smaller ids."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, floors: np.ndarray, visits: np.ndarray, k: int):
+        self.ids, self.vectors, self.floors, self.visits, self.k = ids, vectors, floors, visits, k
+        self.score = np.full((len(ids), k), -np.inf)
+        self.found, self.list = np.zeros((len(ids), k), dtype=np.int64), np.zeros((len(ids), k), dtype=np.int32)
+
+    def meet(self, number: int, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """Compare a block of a list with the queries that visit the list."""
+        asking = np.flatnonzero(self.visits[:, number >> 3] & (128 >> (number & 7)))
+        step = max(256, NUMBERS // len(ids))
+        for low in range(0, len(asking), step):
+            some = asking[low : low + step]
+            raw = self.vectors[some] @ vectors.T
+            raw[self.ids[some, None] == ids] = -np.inf
+            floor = self.floors[some]
+            if len(ids) > self.k and (floor == NONE).any():
+                floor = np.maximum(floor, np.partition(raw, -self.k, axis=1)[:, -self.k])
+            row, at = np.nonzero(raw >= floor[:, None] - 2 * 10.0**-DIGITS)  # may reach the floor when rounded
+            score, row = np.round(raw[row, at], DIGITS) + 0.0, some[row]
+            good = score >= self.floors[row]
+            if good.any():
+                self._keep(row[good], ids[at[good]], score[good], number)
+
+    def _keep(self, row: np.ndarray, ids: np.ndarray, score: np.ndarray, number: int) -> None:
+        touched = np.unique(row)
+        of, at = np.nonzero(self.score[touched] > -np.inf)
+        of = touched[of]
+        lists = np.concatenate([np.full(len(row), number, dtype=np.int32), self.list[of, at]])
+        row, ids, score = np.concatenate([row, of]), np.concatenate([ids, self.found[of, at]]), np.concatenate([score, self.score[of, at]])
+        order = np.lexsort((ids, -score, row))
+        turn = np.arange(len(row)) - np.searchsorted(row[order], row[order])
+        order, turn = order[turn < self.k], turn[turn < self.k]
+        row = row[order]
+        self.score[row, turn], self.found[row, turn], self.list[row, turn] = score[order], ids[order], lists[order]
+        self.floors[touched] = np.maximum(self.floors[touched], self.score[touched, -1])
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        row, at = np.nonzero(self.score > -np.inf)
+        for low in range(0, len(row), 1 << 16):
+            some = row[low : low + (1 << 16)], at[low : low + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(self.ids[some[0]]), pa.array(self.found[some]), pa.array(self.score[some]), pa.array(self.list[some])], ["query_id", "vec_id", "score", "list"])
+
+
 class Quantiser:
     """Vectors by list, and what a driver needs to choose lists: centroids and radii, one row per list."""
 
@@ -91,54 +139,78 @@ class Quantiser:
         self.blocks = spark.read.schema(_BLOCK).parquet(f"{path}/blocks")
         self.probes = probes or spark.read.parquet(f"{path}/probes").first()["probes"]
 
-    def visits(self, queries: DataFrame, probes: int, floors: DataFrame | None = None) -> DataFrame:
-        """(list, vec_id, v): the lists each query (vec_id, v) visits: the nearest ones or, given floors, all others that may hold something at least as good."""
+    def asking(self, queries: DataFrame, probes: int, groups: int, floors: DataFrame | None = None) -> DataFrame:
+        """(grp, ids, data, floors, visits): queries (vec_id, v) in packs, each of one group of queries.
+
+        ``visits`` has a bit per list: a query visits the nearest ones or, given floors, all others that may hold something at least as good. Those that visit none are left out.
+        """
         own, radii, others = self.centroids, self.radii, floors is not None
         dims = own.shape[1]
         most = max(1, NUMBERS // dims)
 
+        def visited(x: np.ndarray, floor: np.ndarray) -> np.ndarray:
+            like = x @ own.T
+            order = np.argsort(-like, axis=1, kind="stable")
+            near = np.zeros(like.shape, dtype=bool)
+            np.put_along_axis(near, order[:, :probes], True, axis=1)
+            if others:
+                angle = np.maximum(np.arccos(np.clip(like, -1, 1)) - radii, 0)
+                near = ~near & (np.cos(angle) + 10.0 ** -(DIGITS - 1) >= floor[:, None])
+            return np.packbits(near, axis=1)
+
         def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for low in range(0, batch.num_rows, 128):
-                    part = batch.slice(low, 128)
-                    like = matrix(part.column(1), dims) @ own.T
-                    order = np.argsort(-like, axis=1, kind="stable")
-                    near = np.zeros(like.shape, dtype=bool)
-                    np.put_along_axis(near, order[:, :probes], True, axis=1)
-                    if others:
-                        angle = np.maximum(np.arccos(np.clip(like, -1, 1)) - radii, 0)
-                        floor = part.column(2).to_numpy(zero_copy_only=False)[:, None]
-                        near = ~near & (np.cos(angle) + 10.0 ** -(DIGITS - 1) >= floor)
-                    query, visited = np.nonzero(near)
-                    for at in range(0, len(query), most):  # a query that visits all lists is never held as often
-                        taken = part.take(pa.array(query[at : at + most]))
-                        yield pa.RecordBatch.from_arrays([pa.array(visited[at : at + most].astype(np.int32)), *taken.columns[:2]], ["list", "vec_id", "v"])
-
-        rows = queries
-        if others:
-            rows = queries.join(floors, "vec_id", "left").select("vec_id", "v", F.coalesce("floor", F.lit(-2.0)).alias("floor"))
-        return rows.mapInArrow(choose, "list int, vec_id long, v array<double>")
-
-    def met(self, visits: DataFrame, k: int) -> DataFrame:
-        """(query_id, vec_id, score, list): each query's k best of every block that it meets, save rows with its own id."""
+                grp = batch.column(3).to_numpy()
+                for g in np.unique(grp):
+                    rows = batch.take(pa.array(np.flatnonzero(grp == g)))
+                    for low in range(0, rows.num_rows, most):
+                        part = rows.slice(low, most)
+                        x, floor = matrix(part.column(1), dims), part.column(2).to_numpy()
+                        bits = np.concatenate([visited(x[i : i + 128], floor[i : i + 128]) for i in range(0, len(x), 128)])
+                        some = np.flatnonzero(bits.any(axis=1))
+                        if len(some):
+                            one = lambda a, n=len(some): pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), a)
+                            yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), one(part.column(0).take(pa.array(some))), pa.array([x[some].tobytes()]), one(pa.array(floor[some])), pa.array([bits[some].tobytes()])], ["grp", "ids", "data", "floors", "visits"])
+
+        rows = queries.join(floors, "vec_id", "left") if others else queries.withColumn("floor", F.lit(None).cast("double"))
+        grp = F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("grp")
+        return rows.select("vec_id", "v", F.coalesce("floor", F.lit(NONE)).alias("floor"), grp).mapInArrow(choose, f"grp int, {_PACK}")
+
+    def met(self, queries: DataFrame, k: int, probes: int, floors: DataFrame | None = None) -> DataFrame:
+        """(query_id, vec_id, score, list): each query's k best of every part of the lists it visits, save rows with its own id and ones under its floor.
+
+        Blocks are dealt to parts. Every group of queries meets every part in one task, which holds the group and the k best
+        of each of its queries, and one block at a time: a vector travels once per group, a query once per part.
+        """
         dims = self.centroids.shape[1]
-        asked = _blocks(visits, dims).select("list", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-        pairs = self.blocks.join(asked, "list").select("ids", "data", "q_ids", "q_data", "list")
+        groups = max(1, -(-queries.count() * max(dims, k) // ASKING))
+        every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+        packs = self.asking(queries, probes, groups, floors).select(every(PARTS, "part"), "grp", F.lit(-1).alias("list"), "ids", "data", "floors", "visits")
+        part = F.pmod(F.xxhash64("list", F.col("ids")[0]), F.lit(PARTS)).cast("int").alias("part")
+        blocks = self.blocks.select(part, every(groups, "grp"), "list", "ids", "data", F.lit(None).cast("array<double>").alias("floors"), F.lit(None).cast("binary").alias("visits"))
+        dealt = packs.unionByName(blocks).repartition("part", "grp").sortWithinPartitions("part", "grp", "list")
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cell, asked, best = None, [], None
             for batch in batches:
                 for i in range(batch.num_rows):
-                    ids, q_ids = (batch.column(c)[i].values.to_numpy() for c in (0, 2))
-                    v, q = (np.frombuffer(batch.column(c)[i].as_py()).reshape(-1, dims) for c in (1, 3))
-                    for low in range(0, len(q), 256):
-                        scores = np.round(q[low : low + 256] @ v.T, DIGITS) + 0.0
-                        scores[q_ids[low : low + 256, None] == ids] = -np.inf
-                        order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
-                        best = np.take_along_axis(scores, order, axis=1)
-                        query, at = np.nonzero(best > -np.inf)
-                        yield pa.RecordBatch.from_arrays([pa.array(q_ids[low + query]), pa.array(ids[order[query, at]]), pa.array(best[query, at]), batch.column(4).slice(i, 1).take(pa.array(np.zeros(len(query), dtype=np.int64)))], ["query_id", "vec_id", "score", "list"])
-
-        return pairs.mapInArrow(compare, "query_id long, vec_id long, score double, list int")
+                    part, grp, number = (batch.column(c)[i].as_py() for c in range(3))
+                    if (part, grp) != cell:
+                        if best:
+                            yield from best.rows()
+                        cell, asked, best = (part, grp), [], None
+                    ids, data = batch.column(3)[i].values.to_numpy(), np.frombuffer(batch.column(4)[i].as_buffer()).reshape(-1, dims)
+                    if number < 0:
+                        bits = np.frombuffer(batch.column(6)[i].as_buffer(), np.uint8).reshape(len(ids), -1)
+                        asked.append([x.copy() for x in (ids, data, batch.column(5)[i].values.to_numpy(), bits)])
+                    elif best or asked:
+                        if not best:
+                            best, asked = Best(*map(np.concatenate, zip(*asked, strict=True)), k), []
+                        best.meet(number, ids, data)
+            if best:
+                yield from best.rows()
+
+        return dealt.mapInArrow(compare, "query_id long, vec_id long, score double, list int")
 
     def search(self, queries: DataFrame, k: int = NEIGHBOURS, probes: int | None = None, exact: bool = False, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
         """Rows query_id, rank, vec_id, score: each query's k vectors of highest cosine, save those with its own id, ties by smaller ids.
@@ -155,11 +227,11 @@ class Quantiser:
         top = lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         if not len(self.centroids):
             return self.spark.createDataFrame([], "query_id long, vec_id long, score double, list int, rank int")
-        first = top(self.met(self.visits(asked, probes), k))
+        first = top(self.met(asked, k, probes))
         if exact:
             first = scratch.written(first, "dense-first")
             floors = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
-            rest = self.met(self.visits(asked, probes, floors), k)
+            rest = self.met(asked, k, probes, floors)
             first = top(first.drop("rank").unionByName(rest))
         return first
 

@@ -222,6 +222,29 @@ def test_dense_drawn_rows(spark):
     assert dense.first_by_hash(rows.where("false"), 5).count() == 0
 
 
+def test_dense_queries_meet_blocks_in_groups(spark, tmp_path, monkeypatch):
+    """Queries are never broadcast, travel once per part and not once per list, and find the same in groups of any size."""
+    draw = np.random.default_rng(3)
+    vectors = draw.normal(size=(900, 8))
+    vectors[500:520] = vectors[3]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(3)
+    asked = table.where("vec_id % 3 = 0")
+    dense.build(table, f"file://{tmp_path}/dense")
+    lists = dense.Quantiser(spark, f"file://{tmp_path}/dense")
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    scores = np.round(unit @ unit.T, 6) + 0.0
+    want = [(q, n, int(j), scores[q, j]) for q in range(0, 900, 3) for n, j in enumerate([j for j in np.lexsort((np.arange(900), -scores[q])) if j != q][:10], 1)]
+    plan = lists.search(asked, probes=len(lists.centroids))._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Join" not in plan
+    few = lists.search(asked, probes=2).collect()
+    for asking, parts, numbers in ((dense.ASKING, dense.PARTS, dense.NUMBERS), (500, 3, 160), (100, 1, 8)):
+        for name, value in (("ASKING", asking), ("PARTS", parts), ("NUMBERS", numbers)):
+            monkeypatch.setattr(dense, name, value)
+        for found in (lists.search(asked, probes=len(lists.centroids)), lists.search(asked, probes=2, exact=True)):
+            assert [(q, n, j, pytest.approx(s)) for q, n, j, s in want] == sorted(map(tuple, found.collect()))
+        assert sorted(map(tuple, few)) == sorted(map(tuple, lists.search(asked, probes=2).collect()))
+
+
 def test_dense_recall(spark, data):
     rows = queries.dense_recall(spark, data).toPandas()
     assert rows["found"].sum() >= 0.9 * rows["wanted"].sum()
