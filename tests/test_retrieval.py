@@ -250,6 +250,13 @@ def test_dense_recall(spark, data):
     assert rows["found"].sum() >= 0.9 * rows["wanted"].sum()
 
 
+def test_rank_fusion_does_not_broadcast_vectors(spark, data):
+    """What is broadcast are tables that were counted and scores, never blocks of queries by the lists they visit."""
+    plan = queries.rank_fusion(spark, data)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join [" in line]
+    assert joins and not [line for line in joins if "Join [list#" in line]
+
+
 def test_fusion(spark):
     ranking = lambda rows: spark.createDataFrame(rows, "query_id long, doc_id long, rank int")
     a = ranking([(1, 10, 1), (1, 11, 2), (1, 12, 2), (2, 10, 1), (None, 5, 1), (1, 10, 7)])
